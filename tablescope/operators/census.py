@@ -77,7 +77,7 @@ def census(df: DataFrame, entries: Sequence[tuple[str, Column, Column | None, bo
         kp = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
         if is_list:
             arrays.append(F.transform(F.coalesce(F.array_distinct(text), F.array().cast("array<string>")),
-                                      lambda e, n=name, kp=kp: F.struct(F.lit(n).alias("column_name"), e.alias("value"), kp.alias("keep"))))
+                                      _element_struct(name, kp)))
         else:
             arrays.append(F.array(F.struct(F.lit(name).alias("column_name"), text.alias("value"), kp.alias("keep"))))
     stacked = df.select(F.inline(reduce(F.concat, arrays) if len(arrays) > 1 else arrays[0]))
@@ -86,6 +86,12 @@ def census(df: DataFrame, entries: Sequence[tuple[str, Column, Column | None, bo
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("keep")).alias("n_keep")))
 
 
+def _element_struct(name: str, keep: Column):
+    def make(e: Column) -> Column:
+        return F.struct(F.lit(name).alias("column_name"), e.alias("value"), keep.alias("keep"))
+    return make
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint dir."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -167,7 +167,7 @@ class Facets:
             dt = self.schema[n].dataType
             if is_scalar_list(dt):
                 et = dt.elementType
-                entries.append((n, F.transform(col(n), lambda x, et=et: text_of(x, et)), self.flags.keep(n), True))
+                entries.append((n, F.transform(col(n), _element_text(et)), self.flags.keep(n), True))
             else:
                 entries.append((n, text_of(col(n), dt), self.flags.keep(n), False))
         return census(self.df, entries)
@@ -230,6 +230,12 @@ class Facets:
         return reduce(DataFrame.unionByName, parts)
 
 
+def _element_text(et):
+    def make(x: Column) -> Column:
+        return text_of(x, et)
+    return make
+
+
 def facets(df: DataFrame, q: str | None = None, filters: Sequence[Filter] = ()) -> DataFrame:
     return Facets(df, q, filters).all()
 

@@ -1 +1,77 @@
-"""(registered queries)"""
+"""2.A/2.C  Paging, sorting, table tile, export projection, nested-as-JSON."""
+from __future__ import annotations
+
+from tablescope.operators.explore import export_frame, json_safe, preview_with_total, table_tile
+from tablescope.operators.filters import Filter
+from tablescope.plans import load, register
+from tablescope.plans.filtering import PART_WORDS_SQL, part_words
+
+
+@register("preview_page", """
+SELECT *, (SELECT count(*) FROM orders WHERE CAST(o_orderstatus AS VARCHAR) = 'F') AS total
+FROM orders WHERE CAST(o_orderstatus AS VARCHAR) = 'F'
+ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 50
+""")
+def preview_page(spark, sf):
+    return preview_with_total(load(spark, sf, "orders"), limit=25, offset=50,
+                              filters=[Filter("o_orderstatus", value="F")],
+                              sort="o_totalprice", direction="desc", tie_break=["o_orderkey"])
+
+
+@register("preview_sorted", """
+SELECT *, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS total
+FROM lineitem WHERE CAST(l_returnflag AS VARCHAR) = 'R'
+ORDER BY l_shipdate ASC NULLS LAST, l_orderkey, l_linenumber LIMIT 1000
+""")
+def preview_sorted(spark, sf):
+    return preview_with_total(load(spark, sf, "lineitem"), limit=5000,  # capped at 1000
+                              filters=[Filter("l_returnflag", value="R")],
+                              sort="l_shipdate", tie_break=["l_orderkey", "l_linenumber"])
+
+
+@register("preview_unknown_sort", """
+SELECT *, (SELECT count(*) FROM supplier) AS total FROM supplier ORDER BY s_suppkey LIMIT 25
+""")
+def preview_unknown_sort(spark, sf):
+    # not a real column -> no sort key; the tie-break keeps the page deterministic
+    return preview_with_total(load(spark, sf, "supplier"), sort="no_such_column; DROP", tie_break=["s_suppkey"])
+
+
+@register("table_tile", """
+SELECT * FROM part WHERE (CAST(p_partkey AS VARCHAR) ILIKE '%bolt%' OR CAST(p_name AS VARCHAR) ILIKE '%bolt%'
+  OR CAST(p_brand AS VARCHAR) ILIKE '%bolt%' OR CAST(p_type AS VARCHAR) ILIKE '%bolt%'
+  OR CAST(p_size AS VARCHAR) ILIKE '%bolt%' OR CAST(p_retailprice AS VARCHAR) ILIKE '%bolt%')
+ORDER BY p_partkey LIMIT 20
+""")
+def table_tile_q(spark, sf):
+    return table_tile(load(spark, sf, "part"), text="bolt", order=["p_partkey"])
+
+
+@register("export_filtered", """
+SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders
+WHERE CAST(o_orderpriority AS VARCHAR) = '3-MEDIUM'
+  AND (CAST(o_orderkey AS VARCHAR) ILIKE '%99%' OR CAST(o_custkey AS VARCHAR) ILIKE '%99%'
+   OR CAST(o_orderstatus AS VARCHAR) ILIKE '%99%' OR CAST(o_totalprice AS VARCHAR) ILIKE '%99%'
+   OR CAST(o_orderdate AS VARCHAR) ILIKE '%99%' OR CAST(o_orderpriority AS VARCHAR) ILIKE '%99%')
+""")
+def export_filtered(spark, sf):
+    # hidden columns are dropped from the output but still searched
+    return export_frame(load(spark, sf, "orders"), q="99", filters=[Filter("o_orderpriority", value="3-MEDIUM")],
+                        hidden=["o_custkey", "o_orderpriority"])
+
+
+@register("export_all_hidden", "SELECT * FROM region")
+def export_all_hidden(spark, sf):
+    df = load(spark, sf, "region")
+    return export_frame(df, hidden=df.columns)
+
+
+@register("nested_json", f"""
+SELECT p_partkey, to_json(p_words) AS p_words, to_json({{'brand': p_brand, 'size': p_size}}) AS spec
+FROM {PART_WORDS_SQL}
+""")
+def nested_json(spark, sf):
+    from pyspark.sql import functions as F
+    df = part_words(spark, sf).select("p_partkey", "p_words",
+                                      F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).alias("spec"))
+    return json_safe(df)

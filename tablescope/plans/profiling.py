@@ -1 +1,124 @@
-"""(registered queries)"""
+"""2.E  Column statistics.  Float aggregates are rounded to 6 decimals in the
+registered queries (engines sum in different orders); the operators return
+them unrounded."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablescope.operators.filters import Filter
+from tablescope.operators.stats import Stats
+from tablescope.plans import load, register
+
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+LINEITEM_NUM = LINEITEM[:8]
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+ORDERS_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+def _r(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+def _union(parts):
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("stats_counts", _union(
+    [f"SELECT '{c}' AS column_name, count(*) AS rows, count({c}) AS non_null, count(*) - count({c}) AS nulls FROM lineitem"
+     for c in LINEITEM]))
+def stats_counts(spark, sf):
+    return Stats(load(spark, sf, "lineitem")).counts()
+
+
+@register("stats_distinct", _union(
+    [f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct, true AS exact FROM lineitem" for c in LINEITEM]))
+def stats_distinct(spark, sf):
+    # exact for every column (the reference estimates above 10,000; the estimate
+    # is engine-specific, so the checked query counts exactly)
+    return Stats(load(spark, sf, "lineitem"), exact_distinct_max=None).distinct()
+
+
+@register("stats_minmaxavg", _union(
+    [f"SELECT '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS avg FROM lineitem"
+     for c in LINEITEM_NUM]))
+def stats_minmaxavg(spark, sf):
+    return Stats(load(spark, sf, "lineitem")).numeric_summary().select("column_name", "min", "max", _r("avg"))
+
+
+QUARTILES_SQL = _union(
+    [f"SELECT '{c}' AS column_name, round(quantile_cont({c}, 0.25), 6) AS q1, round(median({c}), 6) AS median, "
+     f"round(quantile_cont({c}, 0.75), 6) AS q3 FROM lineitem" for c in LINEITEM_NUM])
+
+
+@register("stats_quartiles", QUARTILES_SQL)
+def stats_quartiles(spark, sf):
+    return Stats(load(spark, sf, "lineitem")).quartiles().select("column_name", _r("q1"), _r("median"), _r("q3"))
+
+
+@register("stats_quartiles_ranked", QUARTILES_SQL)
+def stats_quartiles_ranked(spark, sf):
+    # forces the scalable path: exact order statistics from distributed prefix sums
+    return (Stats(load(spark, sf, "lineitem"), percentile_map_max=0).quartiles()
+            .select("column_name", _r("q1"), _r("median"), _r("q3")))
+
+
+def _hist_sql(table: str, c: str, bins: int = 12) -> str:
+    return f"""
+SELECT '{c}' AS column_name, CAST(g.bin AS INTEGER) AS bin,
+       round(b.lo + ((b.hi - b.lo) / {bins}) * (g.bin - 1), 6) AS lo,
+       round(b.lo + ((b.hi - b.lo) / {bins}) * g.bin, 6) AS hi, coalesce(h.cnt, 0) AS cnt
+FROM range(1, {bins + 1}) g(bin)
+CROSS JOIN (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM {table}) b
+LEFT JOIN (
+  SELECT least({bins}, greatest(1, CAST(floor(({c} - b2.lo) / ((b2.hi - b2.lo) / {bins})) AS BIGINT) + 1)) AS bin, count(*) AS cnt
+  FROM {table}, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM {table}) b2
+  WHERE {c} IS NOT NULL GROUP BY 1) h ON h.bin = g.bin"""
+
+
+@register("stats_histogram", _union([_hist_sql("lineitem", c) for c in LINEITEM_NUM]))
+def stats_histogram(spark, sf):
+    return Stats(load(spark, sf, "lineitem")).histogram().select("column_name", "bin", _r("lo"), _r("hi"), "cnt")
+
+
+@register("stats_top", f"""
+SELECT column_name, value, cnt, CAST(row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS INTEGER) AS rank
+FROM ({_union([f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS cnt FROM part WHERE {c} IS NOT NULL GROUP BY 2" for c in ["p_name", "p_brand", "p_type"]])})
+QUALIFY rank <= 12""")
+def stats_top(spark, sf):
+    return Stats(load(spark, sf, "part")).top()
+
+
+def _timeline_sql(table, c, where="TRUE"):
+    days = f"datediff('day', CAST(min({c}) AS TIMESTAMP), CAST(max({c}) AS TIMESTAMP))"
+    gran = (f"(SELECT CASE WHEN coalesce({days}, 0) <= 2 THEN 'hour' WHEN {days} <= 90 THEN 'day' "
+            f"WHEN {days} <= 1500 THEN 'month' ELSE 'year' END FROM {table} WHERE {c} IS NOT NULL AND {where})")
+    return (f"SELECT '{c}' AS column_name, date_trunc({gran}, CAST({c} AS TIMESTAMP))::VARCHAR AS bucket, count(*) AS cnt "
+            f"FROM {table} WHERE {c} IS NOT NULL AND {where} GROUP BY 2")
+
+
+@register("stats_timeline", _timeline_sql("events", "ts"))
+def stats_timeline(spark, sf):
+    return Stats(load(spark, sf, "events")).timeline()
+
+
+@register("stats_timeline_hours", _timeline_sql("events", "ts", "ts < TIMESTAMP '2024-01-03 00:00:00'"))
+def stats_timeline_hours(spark, sf):
+    # a two-day window -> hourly buckets
+    return Stats(load(spark, sf, "events"), filters=[Filter("ts", tmax="2024-01-03 00:00:00")]).timeline()
+
+
+FILTERED_WHERE = ("CAST(o_orderstatus AS VARCHAR) = 'O' AND (o_totalprice >= 200000.0) AND "
+                  "(" + " OR ".join(f"CAST({c} AS VARCHAR) ILIKE '%1995%'" for c in ORDERS) + ")")
+
+
+@register("stats_filtered", _union(
+    [f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, "
+     + (f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS avg"
+        if c in ORDERS_NUM else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS avg")
+     + f" FROM orders WHERE {FILTERED_WHERE}" for c in ORDERS]))
+def stats_filtered(spark, sf):
+    st = Stats(load(spark, sf, "orders"), q="1995",
+               filters=[Filter("o_orderstatus", value="O"), Filter("o_totalprice", min=200000)])
+    return (st.counts().join(st.numeric_summary(), "column_name", "left")
+            .select("column_name", "rows", "nulls", "min", "max", _r("avg")))

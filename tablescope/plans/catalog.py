@@ -1 +1,147 @@
-"""(registered queries)"""
+"""2.A  Sources, sinks, catalog."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablescope.session import scratch_path
+from tablescope.sources.catalog import describe, list_relations, query, register_tables, save_view
+from tablescope.sources.ingest import read_csv, read_json
+from tablescope.sources.snapshot import read_manifest, restore, snapshot
+from tablescope.plans import TABLES, load, register
+
+
+@register("table_inventory", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS name, CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) "
+    f"AS column_count, (SELECT count(*) FROM {t}) AS estimated_size, false AS is_view" for t in TABLES))
+def table_inventory(spark, sf):
+    register_tables(spark, sf, TABLES)
+    return list_relations(spark, TABLES)
+
+
+_KIND = ("CASE WHEN data_type LIKE '%[]' THEN 'list' "
+         "WHEN data_type IN ('TINYINT','SMALLINT','INTEGER','BIGINT','HUGEINT','FLOAT','REAL','DOUBLE') "
+         "OR data_type LIKE 'DECIMAL%' THEN 'numeric' "
+         "WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'temporal' "
+         "WHEN data_type = 'BOOLEAN' THEN 'boolean' ELSE 'text' END")
+
+
+@register("describe_table", f"""
+SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name, {_KIND} AS kind,
+       is_nullable = 'YES' AS nullable
+FROM information_schema.columns WHERE table_name IN ('lineitem', 'embeddings', 'events')
+""")
+def describe_table(spark, sf):
+    parts = [describe(load(spark, sf, t), t) for t in ("lineitem", "embeddings", "events")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.drop("col_type")
+
+
+ADHOC_JOIN = """
+SELECT n.n_name AS nation, count(*) AS orders, round(sum(o.o_totalprice), 2) AS revenue
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY n.n_name
+"""
+
+ADHOC_WINDOW = """
+SELECT o_custkey, o_orderkey,
+       rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk,
+       round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running
+FROM orders
+"""
+
+ADHOC_CTE = """
+WITH big AS (SELECT * FROM lineitem WHERE l_quantity > (SELECT avg(l_quantity) FROM lineitem))
+SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_orderkey) AS orders,
+       count(*) FILTER (WHERE l_discount > 0.05) AS discounted
+FROM big GROUP BY l_returnflag, l_linestatus
+"""
+
+ADHOC_UNION = """
+SELECT 'supplier' AS kind, s_name AS name, s_nationkey AS nationkey FROM supplier
+UNION ALL
+SELECT 'customer' AS kind, c_name AS name, c_nationkey AS nationkey FROM customer
+"""
+
+ADHOC_SELF = """
+SELECT a.conv_id, a.turn, a.role AS asker, b.role AS answerer
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+"""
+
+
+def _adhoc(sql):
+    def run(spark, sf):
+        register_tables(spark, sf, TABLES)
+        return query(spark, sql)
+    return run
+
+
+for _name, _sql in [("adhoc_query", ADHOC_JOIN), ("adhoc_window", ADHOC_WINDOW), ("adhoc_cte", ADHOC_CTE),
+                    ("adhoc_union", ADHOC_UNION), ("adhoc_self_lookup", ADHOC_SELF)]:
+    register(_name, _sql)(_adhoc(_sql))
+
+
+@register("saved_view", """
+SELECT o_orderpriority, count(*) AS n FROM (SELECT * FROM orders WHERE o_totalprice > 250000) GROUP BY o_orderpriority
+""")
+def saved_view(spark, sf):
+    register_tables(spark, sf, ["orders"])
+    save_view(spark, "pricey_orders", "SELECT * FROM orders WHERE o_totalprice > 250000;", overwrite=True)
+    return query(spark, "SELECT o_orderpriority, count(*) AS n FROM pricey_orders GROUP BY o_orderpriority")
+
+
+@register("export_query", """
+SELECT l_returnflag, l_linestatus, l_shipdate, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-06-01 00:00:00'
+""")
+def export_query(spark, sf):
+    register_tables(spark, sf, ["lineitem"])
+    return query(spark, "SELECT l_returnflag, l_linestatus, l_shipdate, l_quantity FROM lineitem "
+                        "WHERE l_shipdate >= TIMESTAMP '1997-06-01 00:00:00'")
+
+
+@register("ingest_csv", """
+SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS INTEGER) AS p_size, p_retailprice
+FROM part
+""")
+def ingest_csv(spark, sf):
+    # Spark derives the CSV from the given table, then reads it back with
+    # header and type inference (ints stay int: inference picks the narrowest)
+    path = scratch_path(spark, "ingest-part-csv")
+    load(spark, sf, "part").write.option("header", True).csv(path)
+    return read_csv(spark, path)
+
+
+@register("ingest_tsv", "SELECT r_regionkey, r_name FROM region")
+def ingest_tsv(spark, sf):
+    path = scratch_path(spark, "ingest-region") + ".tsv"
+    load(spark, sf, "region").write.option("header", True).option("sep", "\t").csv(path)
+    return read_csv(spark, path)
+
+
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+@register("ingest_json", "SELECT * FROM events")
+def ingest_json(spark, sf):
+    src = load(spark, sf, "events")
+    path = scratch_path(spark, "ingest-events-json")
+    src.write.option("timestampNTZFormat", MICROS).json(path)
+    return read_json(spark, path, schema=src.schema, timestamp_format=MICROS)
+
+
+@register("snapshot_manifest", "\nUNION ALL\n".join(
+    f"SELECT 1 AS version, '{t}' AS table_name, (SELECT count(*) FROM {t}) AS rows, "
+    f"CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) AS column_count"
+    for t in ("nation", "region", "supplier", "orders")))
+def snapshot_manifest(spark, sf):
+    bundle = scratch_path(spark, "bundle")
+    snapshot({t: load(spark, sf, t) for t in ("nation", "region", "supplier", "orders")}, bundle)
+    return read_manifest(spark, bundle).select("version", "table_name", "rows", "column_count")
+
+
+@register("snapshot_restore", "SELECT * FROM orders")
+def snapshot_restore(spark, sf):
+    bundle = scratch_path(spark, "bundle")
+    snapshot({"orders": load(spark, sf, "orders")}, bundle)
+    return restore(spark, bundle)["orders"]

@@ -35,7 +35,7 @@ from tablescope.operators.census import checkpoint, default_buckets
 
 def _group_ids(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.Series:
     if not keys:
-        return pd.Series(0, index=pdf.index)
+        return pd.Series(1, index=pdf.index)
     k = pdf[list(keys)]
     changed = (k != k.shift()).any(axis=1)
     # NaN != NaN: treat two missing keys as equal
@@ -156,7 +156,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags:
                 first = _key_of(pdf.iloc[0], keys)
             _, state = _scan_batch(pdf, keys, lags, sums, prior_max, state)
             if state.key != first or _group_ids(pdf, keys).iloc[-1] != 1:
-                single = False
+                single = False  # more than one key in this partition
         if state is not None:
             import pickle
             yield pd.DataFrame({"pid": [pid], "blob": [pickle.dumps((first, single, state.to_row()))]})

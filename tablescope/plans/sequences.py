@@ -1 +1,70 @@
-"""(registered queries)"""
+"""2.H17-H20  Sequence diagrams, one per conversation.
+
+Messages: from = role; to = the other side (user <-> assistant, system ->
+assistant); type reply for assistant turns; from_type actor for users and
+database for the system; from turn 2 on the exchange sits in a
+``loop:follow-up`` frame whose branch is ``early`` (turns 2-3) then ``late``.
+"""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablescope.operators import sequence as SQ
+from tablescope.plans import load, register
+
+CONV_SQL = """(SELECT conv_id AS key, turn AS ord, role AS src,
+  CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END AS dst, text AS label,
+  CASE WHEN role = 'assistant' THEN 'reply' ELSE 'sync' END AS mtype,
+  CASE WHEN turn >= 2 THEN 'loop:follow-up' END AS grp,
+  CASE WHEN turn >= 4 THEN 'late' WHEN turn >= 2 THEN 'early' END AS branch,
+  CASE WHEN role = 'user' THEN 'actor' WHEN role = 'system' THEN 'database' END AS src_type
+FROM conversations)"""
+
+
+def conv_messages(spark, sf):
+    c = load(spark, sf, "conversations")
+    c = c.select("conv_id", "turn", "role", "text",
+                 F.when(F.col("role") == "user", "assistant").otherwise("user").alias("dst"),
+                 F.when(F.col("role") == "assistant", "reply").otherwise("sync").alias("mtype"),
+                 F.when(F.col("turn") >= 2, "loop:follow-up").alias("grp"),
+                 F.when(F.col("turn") >= 4, "late").when(F.col("turn") >= 2, "early").alias("branch"),
+                 F.when(F.col("role") == "user", "actor").when(F.col("role") == "system", "database").alias("src_type"))
+    return SQ.messages(c, "role", "dst", "text", "turn", key="conv_id", message_type="mtype", group="grp",
+                       branch="branch", from_type="src_type")
+
+
+@register("tile_sequence", f"""
+SELECT key, ord, src, dst, label, mtype, row_number() OVER (PARTITION BY key ORDER BY ord) AS number
+FROM {CONV_SQL} WHERE src <> '' AND dst <> ''""")
+def tile_sequence(spark, sf):
+    return SQ.numbered(conv_messages(spark, sf)).select("key", "ord", "src", "dst", "label", "mtype", "number")
+
+
+@register("seq_participants", f"""
+WITH e AS (SELECT key, ord, 0 AS side, src AS name, src_type AS t FROM {CONV_SQL}
+           UNION ALL SELECT key, ord, 1, dst, NULL FROM {CONV_SQL}),
+f AS (SELECT key, name, min(ord * 2 + side) AS firstpos,
+             arg_min(lower(trim(t)), ord * 2 + side) FILTER (WHERE lower(trim(t)) IN ('actor','database','boundary','participant')) AS ptype
+      FROM e WHERE name <> '' GROUP BY key, name)
+SELECT key, name, row_number() OVER (PARTITION BY key ORDER BY firstpos) - 1 AS position, ptype FROM f""")
+def seq_participants(spark, sf):
+    return SQ.participants(conv_messages(spark, sf))
+
+
+@register("seq_frames", f"""
+WITH m AS (SELECT *, CASE WHEN grp IS NOT DISTINCT FROM lag(grp) OVER w THEN 0 ELSE 1 END AS chg
+           FROM {CONV_SQL} WHERE src <> '' AND dst <> '' WINDOW w AS (PARTITION BY key ORDER BY ord)),
+r AS (SELECT *, sum(chg) OVER (PARTITION BY key ORDER BY ord) AS run FROM m),
+b AS (SELECT *, lag(branch) OVER (PARTITION BY key, run ORDER BY ord) AS pb FROM r)
+SELECT key, run AS frame_no, 'loop' AS kind, 'follow-up' AS label, min(ord) AS first_ord, max(ord) AS last_ord,
+       count(*) FILTER (WHERE chg = 0 AND branch IS NOT NULL AND branch IS DISTINCT FROM pb) + 1 AS compartments
+FROM b WHERE grp IS NOT NULL GROUP BY key, run""")
+def seq_frames(spark, sf):
+    return SQ.frames(conv_messages(spark, sf))
+
+
+@register("seq_mermaid")
+def seq_mermaid(spark, sf):
+    """One row per document line (checked against a line-by-line Python
+    rendering of the same rules in tests/)."""
+    return SQ.mermaid_lines(conv_messages(spark, sf), autonumber=True)

@@ -1 +1,76 @@
-"""(registered queries)"""
+"""2.I  Time-series overview, LOESS trend, outliers, epoch detection."""
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from tablescope.operators import series as SR
+from tablescope.plans import load, register
+
+
+@register("ts_overview", """
+SELECT date_trunc('day', ts) AS bucket, count(*) AS n, round(sum(value), 2) AS sum_value, round(avg(value), 6) AS avg_value
+FROM events WHERE ts IS NOT NULL GROUP BY 1""")
+def ts_overview(spark, sf):
+    out = SR.overview(load(spark, sf, "events"), value="value")
+    return out.select("bucket", "n", F.round("sum_value", 2).alias("sum_value"), F.round("avg_value", 6).alias("avg_value"))
+
+
+@register("ts_overview_auto", """
+SELECT date_trunc('year', l_shipdate) AS bucket, count(*) AS n FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1""")
+def ts_overview_auto(spark, sf):
+    return SR.overview(load(spark, sf, "lineitem"))   # first time column, auto granularity
+
+
+def _hourly(spark, sf):
+    ev = load(spark, sf, "events")
+    s = SR.overview(ev, "ts", unit="hour")
+    t0 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return s.select((F.timestamp_diff("SECOND", t0, F.col("bucket")) / 3600.0).alias("x"), F.col("n").cast("double").alias("y"))
+
+
+def _loess_sql(span=0.3) -> str:
+    return f"""
+WITH s AS (SELECT (epoch(date_trunc('hour', ts)) - epoch(TIMESTAMP '2024-01-01 00:00:00')) / 3600.0 AS x, CAST(count(*) AS DOUBLE) AS y
+           FROM events WHERE ts IS NOT NULL GROUP BY date_trunc('hour', ts)),
+i AS (SELECT x, y, row_number() OVER (ORDER BY x) - 1 AS idx FROM s),
+k AS (SELECT greatest(2, CAST(ceil({span} * count(*)) AS BIGINT)) AS q FROM s),
+c AS (SELECT a.idx AS i, a.x AS xi, b.idx AS j, b.x AS xj, b.y AS yj, abs(b.x - a.x) AS d
+      FROM i a JOIN i b ON b.idx BETWEEN a.idx - (SELECT q FROM k) + 1 AND a.idx + (SELECT q FROM k) - 1),
+dq AS (SELECT i, d AS dq FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn FROM c)
+       WHERE rn = (SELECT q FROM k)),
+w AS (SELECT c.*, CASE WHEN d < dq THEN pow(1 - pow(d / dq, 3), 3) WHEN dq = 0 THEN 1.0 ELSE 0.0 END AS w FROM c JOIN dq USING (i)),
+g AS (SELECT i, first(xi) AS xi, sum(w) AS W, sum(w * xj) AS Sx, sum(w * yj) AS Sy, sum(w * xj * xj) AS Sxx, sum(w * xj * yj) AS Sxy
+      FROM w GROUP BY i),
+f AS (SELECT i, CASE WHEN abs(W * Sxx - Sx * Sx) > 1e-12 * greatest(1.0, abs(W * Sxx))
+                     THEN (Sy - ((W * Sxy - Sx * Sy) / (W * Sxx - Sx * Sx)) * Sx) / W + ((W * Sxy - Sx * Sy) / (W * Sxx - Sx * Sx)) * xi
+                     ELSE Sy / W END AS fit FROM g)
+SELECT i.x, i.y, i.idx, f.fit FROM i JOIN f ON f.i = i.idx"""
+
+
+@register("ts_trend", "SELECT x, y, idx, round(fit, 6) AS fit FROM (" + _loess_sql() + ")")
+def ts_trend(spark, sf):
+    return SR.loess(_hourly(spark, sf), "x", "y").select("x", "y", "idx", F.round("fit", 6).alias("fit"))
+
+
+@register("ts_outliers", f"""
+WITH t AS ({_loess_sql()}), r AS (SELECT *, y - fit AS residual FROM t),
+m AS (SELECT median(residual) AS med FROM r), mad AS (SELECT median(abs(residual - (SELECT med FROM m))) AS mad FROM r)
+SELECT x, y, round(fit, 6) AS fit, round(residual, 6) AS residual, round(residual / (1.4826 * (SELECT mad FROM mad)), 6) AS z
+FROM r WHERE abs(residual / (1.4826 * (SELECT mad FROM mad))) > 3.0""")
+def ts_outliers(spark, sf):
+    tr = SR.loess(_hourly(spark, sf), "x", "y")
+    out = SR.outliers(tr, threshold=3.0)
+    return out.select("x", "y", F.round("fit", 6).alias("fit"), F.round("residual", 6).alias("residual"), F.round("z", 6).alias("z"))
+
+
+@register("detect_epoch", """
+WITH e AS (SELECT epoch(ts)::BIGINT AS created_at, epoch_ms(ts) AS ts_ms, value AS amount_ms, user_id AS user_at FROM events)
+SELECT * FROM (VALUES ('created_at', 's'), ('ts_ms', 'ms')) v(column_name, unit)
+WHERE (SELECT min(created_at) >= 1e9 AND max(created_at) <= 4e9 FROM e)""")
+def detect_epoch(spark, sf):
+    ev = load(spark, sf, "events").select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"),
+                                          F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+                                          F.col("value").alias("amount_ms"), F.col("user_id").alias("user_at"))
+    return SR.detect_epoch(ev)

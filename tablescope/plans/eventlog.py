@@ -1 +1,93 @@
-"""(registered queries)"""
+"""2.K  Event-log folds.  The ledger is derived from ``events`` in both engines:
+every event starts a run (id = event_id, cwd = event type, db_path for clicks
+and views); every non-view event ends it after ``value`` seconds with exit
+code 1 for errors; signups also log an end for an id that never started; and
+purchases above 400 carry a malformed phase."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablescope.session import scratch_path
+from tablescope.streaming import events as EV
+from tablescope.plans import load, register
+
+LEDGER_SQL = """(
+SELECT event_id AS id, ts, CASE WHEN event_type = 'purchase' AND value > 400 THEN 'oops' ELSE 'start' END AS phase,
+       event_type AS cwd, CASE WHEN event_type IN ('click', 'view') THEN 'db/' || CAST(user_id AS VARCHAR) END AS db_path,
+       CAST(NULL AS INTEGER) AS exit_code, CAST(user_id AS VARCHAR) AS session
+FROM events
+UNION ALL
+SELECT event_id, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)), 'end', NULL, 'db/' || CAST(user_id AS VARCHAR) || '/end',
+       CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, NULL
+FROM events WHERE event_type <> 'view'
+UNION ALL
+SELECT event_id + 1000000, ts, 'end', NULL, NULL, 0, NULL FROM events WHERE event_type = 'signup')"""
+
+
+def ledger(spark, sf):
+    ev = load(spark, sf, "events")
+    start = ev.select(F.col("event_id").alias("id"), "ts",
+                      F.when((F.col("event_type") == "purchase") & (F.col("value") > 400), "oops").otherwise("start").alias("phase"),
+                      F.col("event_type").alias("cwd"),
+                      F.when(F.col("event_type").isin("click", "view"), F.concat(F.lit("db/"), F.col("user_id").cast("string"))).alias("db_path"),
+                      F.lit(None).cast("int").alias("exit_code"), F.col("user_id").cast("string").alias("session"))
+    end = ev.where(F.col("event_type") != "view").select(
+        F.col("event_id").alias("id"),
+        (F.col("ts") + F.make_dt_interval(secs=F.round(F.col("value") * 1000000).cast("long") / F.lit(1000000))).alias("ts"),
+        F.lit("end").alias("phase"), F.lit(None).cast("string").alias("cwd"),
+        F.concat(F.lit("db/"), F.col("user_id").cast("string"), F.lit("/end")).alias("db_path"),
+        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("exit_code"), F.lit(None).cast("string").alias("session"))
+    orphan = ev.where(F.col("event_type") == "signup").select(
+        (F.col("event_id") + 1000000).alias("id"), "ts", F.lit("end").alias("phase"), F.lit(None).cast("string").alias("cwd"),
+        F.lit(None).cast("string").alias("db_path"), F.lit(0).alias("exit_code"), F.lit(None).cast("string").alias("session"))
+    return start.unionByName(end).unionByName(orphan)
+
+
+@register("fold_events", f"""
+SELECT id, min(ts) FILTER (WHERE phase = 'start') AS started, max(ts) FILTER (WHERE phase = 'end') AS ended,
+       max(ts) FILTER (WHERE phase = 'end') IS NULL AS running,
+       CAST(arg_max(exit_code, ts) FILTER (WHERE phase = 'end') AS INTEGER) AS exit_code,
+       coalesce(arg_max(db_path, ts) FILTER (WHERE phase = 'start'), arg_max(db_path, ts) FILTER (WHERE phase = 'end')) AS db_path,
+       arg_max(cwd, ts) FILTER (WHERE phase = 'start') AS cwd, arg_max(session, ts) FILTER (WHERE phase = 'start') AS session
+FROM {LEDGER_SQL} WHERE phase IN ('start', 'end') GROUP BY id HAVING min(ts) FILTER (WHERE phase = 'start') IS NOT NULL""")
+def fold_events(spark, sf):
+    return EV.fold(ledger(spark, sf))
+
+
+@register("active_keys", """
+SELECT 'db/' || CAST(user_id AS VARCHAR) AS key, max(ts) FILTER (WHERE event_type <> 'error') AS last_touch
+FROM events GROUP BY 1
+HAVING max(ts) FILTER (WHERE event_type <> 'error') IS NOT NULL
+   AND (max(ts) FILTER (WHERE event_type = 'error') IS NULL
+        OR max(ts) FILTER (WHERE event_type <> 'error') > max(ts) FILTER (WHERE event_type = 'error'))""")
+def active_keys(spark, sf):
+    ev = load(spark, sf, "events").select(F.concat(F.lit("db/"), F.col("user_id").cast("string")).alias("key"), "ts",
+                                          (F.col("event_type") == "error").alias("forget"))
+    return EV.active_keys(ev)
+
+
+@register("history_last_n", f"""
+SELECT * FROM (SELECT * FROM {LEDGER_SQL} ORDER BY ts DESC, id DESC LIMIT 50)""")
+def history_last_n(spark, sf):
+    return EV.history(ledger(spark, sf), 50)
+
+
+@register("activity_counts", """
+SELECT user_id AS session, json_extract_string(props, '$.k') AS tile,
+       count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'click') AS clicks,
+       count(*) FILTER (WHERE event_type = 'purchase') AS purchases, max(ts) AS last_ts
+FROM events GROUP BY 1, 2""")
+def activity_counts(spark, sf):
+    ev = load(spark, sf, "events").withColumn("tile", F.get_json_object("props", "$.k"))
+    return EV.activity(ev, "user_id", "tile", "event_type", "ts", kinds=("view", "click", "purchase"))
+
+
+@register("stream_profile", """
+SELECT event_type AS key, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""")
+def stream_profile(spark, sf):
+    src = load(spark, sf, "events")
+    stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    base = scratch_path(spark, "stream-profile")
+    path = EV.stream_profile(spark, stream, "event_type", "value", base + "/out", base + "/chk")
+    return spark.read.parquet(path).select("key", "n", F.round("total", 2).alias("total"))

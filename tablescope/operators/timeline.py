@@ -68,7 +68,7 @@ def bars(df: DataFrame, lane: str, label: str, start: str, order: str, end: str
 
     def t(c: str) -> Column:
         if numeric:
-            return F.try_cast(col(c).cast("string"), "double") if not is_numeric(df.schema[c].dataType) else col(c).cast("double")
+            return col(c).cast("string").try_cast("double") if not is_numeric(df.schema[c].dataType) else col(c).cast("double")
         return _epoch_ms(col(c), df.schema[c].dataType)
     s = t(start)
     if end is not None:
@@ -161,7 +161,7 @@ def markers(b: DataFrame, raw: Sequence[str], numeric: bool) -> DataFrame:
         return m.select("value", "label", F.lit(None).cast("double").alias("frac")).limit(0)
     t0 = dom["t0"]
     t1 = dom["t1"] if dom["t1"] > t0 else t0 + 1
-    t = F.try_cast("value", "double") if numeric else _epoch_ms(F.try_to_timestamp("value").cast("timestamp_ntz"), T.TimestampNTZType())
+    t = F.col("value").try_cast("double") if numeric else _epoch_ms(F.try_to_timestamp("value").cast("timestamp_ntz"), T.TimestampNTZType())
     frac = (t - F.lit(t0)) / F.lit(t1 - t0)
     return m.select("value", "label", frac.alias("frac")).where(F.col("frac").between(-0.001, 1.001))
 

@@ -121,3 +121,36 @@ def value_ranks(counts: DataFrame, key_cols: Sequence[str], value_col: str, n_co
     return (local.join(F.broadcast(offsets), ["__pid", *key_cols])
             .withColumn("before", F.col("__off") + F.col("__local"))
             .drop("__pid", "__off", "__local"))
+
+
+# A key whose exact number of distinct values is at most this is ranked with a
+# plain keyed window: its census rows (bounded by this count) fit one task.
+# Larger keys take the range-partitioned prefix sum of ``value_ranks``.
+WINDOW_RANK_MAX = 1_000_000
+
+
+def ranks_by_key(counts: DataFrame, key: str, value_col: str, n_col: str = "n",
+                 window_max: int = WINDOW_RANK_MAX) -> DataFrame:
+    """``value_ranks`` for one key column, choosing per key by its exact size.
+
+    Adds ``before`` (rows with a smaller value in the same key) and ``tot``
+    (rows in the key).  ``counts`` should be persisted by the caller; the
+    per-key sizes (one row per key) are read once on the driver."""
+    sizes = {r[0]: (r[1], r[2]) for r in
+             counts.groupBy(key).agg(F.count(F.lit(1)), F.sum(n_col)).collect()}
+    small = [k for k, (rows, _) in sizes.items() if rows <= window_max]
+    large = [k for k in sizes if k not in small]
+    tot = counts.sparkSession.createDataFrame([(k, t) for k, (_, t) in sizes.items()],
+                                              f"{key} {counts.schema[key].dataType.simpleString()}, tot long")
+    parts = []
+    if small:
+        w = Window.partitionBy(key).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+        parts.append(counts.where(F.col(key).isin(small))
+                     .withColumn("before", F.coalesce(F.sum(n_col).over(w), F.lit(0)).cast("long")))
+    if large:
+        parts.append(value_ranks(counts.where(F.col(key).isin(large)), [key], value_col, n_col)
+                     .select(*counts.columns, F.col("before").cast("long").alias("before")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.join(F.broadcast(tot), key)   # one row per key

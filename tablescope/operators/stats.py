@@ -23,7 +23,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.text import text_of
+from tablescope.functions.text import key_text, text_of
 from tablescope.operators.census import census, top_k_per_group, value_ranks
 from tablescope.operators.facets import granularity
 from tablescope.operators.filters import Filter, apply_filters, col
@@ -83,8 +83,10 @@ class Stats:
         rows = [(n, p[f"mn{self._idx(n)}"], p[f"mx{self._idx(n)}"], p[f"av{self._idx(n)}"]) for n in self.numeric]
         return self.df.sparkSession.createDataFrame(rows, "column_name string, min double, max double, avg double")
 
-    def _census(self, names: Sequence[str]) -> DataFrame:
-        entries = [(n, text_of(col(n), self.schema[n].dataType), None, False) for n in names]
+    def _census(self, names: Sequence[str], display: bool = True) -> DataFrame:
+        """Value census; ``display=False`` uses the cheap equality text (for counts)."""
+        txt = text_of if display else key_text
+        entries = [(n, txt(col(n), self.schema[n].dataType), None, False) for n in names]
         return census(self.df, entries)
 
     def distinct(self) -> DataFrame:
@@ -98,7 +100,7 @@ class Stats:
                                        "column_name string, distinct long")
         parts = [approx.withColumn("exact", F.lit(False))]
         if exact_names:
-            ex = (self._census(exact_names).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct")))
+            ex = (self._census(exact_names, display=False).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct")))
             # columns that are all NULL have no census rows
             zero = spark.createDataFrame([(n,) for n in exact_names], "column_name string")
             ex = zero.join(ex, "column_name", "left").select("column_name", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"))

@@ -260,3 +260,21 @@ def threshold(df: DataFrame, x: str, y: str, targets: Sequence[float]) -> DataFr
     """H22  Horizontal reference values: one breach flag per target (y > t)."""
     return df.select(col(x).alias("x"), col(y).cast("double").alias("y"),
                      *[(col(y) > F.lit(float(t))).alias(f"above_{i}") for i, t in enumerate(targets)])
+
+
+def quadrant_mermaid_lines(df: DataFrame, x: str, y: str, label: str, order: str,
+                           xlabel: str = "x", ylabel: str = "y") -> DataFrame:
+    """H20  A Mermaid ``quadrantChart`` document, one row per line (line_no, line):
+    axes named from the dimension labels, one point per item with the -1..1
+    coordinates moved to Mermaid's 0..1 scale (3 decimals)."""
+    spark = df.sparkSession
+    head = [(1, "quadrantChart"), (2, f"  x-axis Low {xlabel} --> High {xlabel}"),
+            (3, f"  y-axis Low {ylabel} --> High {ylabel}")]
+    unit = lambda c: F.format_number((col(c).cast("double") + 1) / 2, 3)
+    pts = df.where(col(x).isNotNull() & col(y).isNotNull()).select(
+        col(order).alias("ord"),
+        F.concat(F.lit("  "), F.coalesce(col(label).cast("string"), F.lit("")), F.lit(": ["), unit(x), F.lit(", "),
+                 unit(y), F.lit("]")).alias("line"))
+    numbered = ordered_scan(pts.withColumn("one", F.lit(1)), [], ["ord"], sums=["one"])
+    body = numbered.select((F.col("cum_one") + len(head)).alias("line_no"), "line")
+    return spark.createDataFrame(head, "line_no long, line string").unionByName(body)

@@ -224,3 +224,17 @@ def tile_band(spark, sf):
 def tile_threshold(spark, sf):
     d = TL.bucketed_counts(load(spark, sf, "events"), "ts", "day")
     return TL.threshold(d, "bucket", "n", [300, 340])
+
+
+@register("tile_quadrant_mermaid", """
+SELECT 1 AS line_no, 'quadrantChart' AS line
+UNION ALL SELECT 2, '  x-axis Low effort --> High effort'
+UNION ALL SELECT 3, '  y-axis Low impact --> High impact'
+UNION ALL
+SELECT 3 + row_number() OVER (ORDER BY p_partkey), '  ' || p_name || ': [' || format('{:.3f}', (p_size / 25.0 - 1 + 1) / 2)
+       || ', ' || format('{:.3f}', ((p_retailprice - 1500) / 600 + 1) / 2) || ']'
+FROM part""")
+def tile_quadrant_mermaid(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_name", (F.col("p_size") / 25.0 - 1).alias("effort"),
+                                       ((F.col("p_retailprice") - 1500) / 600).alias("impact"))
+    return TL.quadrant_mermaid_lines(p, "effort", "impact", "p_name", "p_partkey", "effort", "impact")

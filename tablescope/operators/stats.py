@@ -20,11 +20,12 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.text import key_text, text_of
-from tablescope.operators.census import census, top_k_per_group, value_ranks
+from tablescope.operators.census import census, ranks_by_key, top_k_per_group, value_ranks
 from tablescope.operators.facets import granularity
 from tablescope.operators.filters import Filter, apply_filters, col
 from tablescope.types import is_nested, is_numeric, is_temporal
@@ -182,33 +183,34 @@ class Stats:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact ``quantile_cont`` of many numeric columns without holding any
-    column's values in one task: census of ``(column, value) -> n``, distributed
-    prefix sums, then a lookup of the two neighbouring order statistics.
-    Returns (column, p, value)."""
+    """Exact ``quantile_cont`` of many numeric columns without holding a large
+    column's values in one task: census of ``(column, value) -> n``, exact
+    prefix sums (``ranks_by_key``), then a lookup of the two neighbouring
+    order statistics of every target.  Returns (column_name, p, value)."""
     spark = df.sparkSession
     structs = [F.struct(F.lit(n).alias("column_name"), col(n).cast("double").alias("v")) for n in columns]
     counts = (df.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull())
-              .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")))
-    ranked = value_ranks(counts, ["column_name"], "v")
-    totals = {r["column_name"]: r["N"] for r in counts.groupBy("column_name").agg(F.sum("n").alias("N")).collect()}
-    targets = []
-    for n in columns:
-        N = totals.get(n)
-        if not N:
-            continue
-        for p in probs:
-            pos = p * (N - 1)
-            lo = int(pos // 1)
-            hi = min(lo + 1, N - 1) if pos > lo else lo
-            targets += [(n, float(p), "lo", lo, pos - lo), (n, float(p), "hi", hi, pos - lo)]
-    if not targets:
-        return spark.createDataFrame([], "column_name string, p double, value double")
-    tg = spark.createDataFrame(targets, "column_name string, p double, side string, idx long, frac double")
-    hit = (ranked.join(F.broadcast(tg), (ranked["column_name"] == tg["column_name"]) & (ranked["before"] <= tg["idx"])
-                       & (tg["idx"] < ranked["before"] + ranked["n"]))
-           .select(tg["column_name"], "p", "side", "frac", "v"))
-    lo = hit.where(F.col("side") == "lo").select("column_name", "p", "frac", F.col("v").alias("vlo"))
-    hi = hit.where(F.col("side") == "hi").select("column_name", "p", F.col("v").alias("vhi"))
-    return (lo.join(hi, ["column_name", "p"])
-            .select("column_name", "p", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value")))
+              .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        ranked = ranks_by_key(counts, "column_name", "v")
+        pos = F.lit(0.0)
+        targets = (ranked.select("column_name", "tot").distinct()
+                   .select("column_name", "tot", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+                   .withColumn("pos", F.col("p") * (F.col("tot") - 1))
+                   .select("column_name", "p", (F.col("pos") - F.floor("pos")).alias("frac"), F.explode(F.array(
+                       F.struct(F.lit("lo").alias("side"), F.floor("pos").cast("long").alias("idx")),
+                       F.struct(F.lit("hi").alias("side"), F.least(F.ceil("pos").cast("long"), F.col("tot") - 1).alias("idx")))).alias("s"))
+                   .select("column_name", "p", "frac", "s.*"))
+        # targets: (#columns x #probs x 2) rows -- a proven small bound
+        hit = (ranked.join(F.broadcast(targets), "column_name")
+               .where((F.col("before") <= F.col("idx")) & (F.col("idx") < F.col("before") + F.col("n")))
+               .select("column_name", "p", "frac", "side", "v"))
+        lo = hit.where(F.col("side") == "lo").select("column_name", "p", "frac", F.col("v").alias("vlo"))
+        hi = hit.where(F.col("side") == "hi").select("column_name", "p", F.col("v").alias("vhi"))
+        out = (lo.join(hi, ["column_name", "p"])
+               .select("column_name", "p", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value")))
+        rows = out.collect()   # (#columns x #probs) rows
+    finally:
+        counts.unpersist()
+    return spark.createDataFrame(rows, "column_name string, p double, value double")

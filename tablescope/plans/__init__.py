@@ -31,6 +31,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Read a driver table (filters and projections reach the parquet scan)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +99,8 @@ class Facets:
         self.kinds = facet_kinds(self.schema)
         self.top = top
         self._bounds = None
+        self._census: dict = {}
+        self._share = False
 
     # ---- range + time bounds: one aggregate pass ----
     def _bounds_frame(self) -> DataFrame:
@@ -112,6 +115,10 @@ class Facets:
                 lo, hi = F.min(_cond(k, c)), F.max(_cond(k, c))
                 aggs += [lo.cast("string").alias(f"lo::{name}"), hi.cast("string").alias(f"hi::{name}"),
                          F.datediff(F.to_date(hi), F.to_date(lo)).alias(f"days::{name}")]
+            else:
+                isn = c.isNull()
+                aggs += [_count_if(isn if k is None else (isn & k)).alias(f"nulls::{name}"),
+                         _count_if(isn).alias(f"anynull::{name}")]
         if not aggs:
             return None
         return self.df.agg(*aggs)
@@ -162,6 +169,21 @@ class Facets:
         return [n for n in names if only is None or n in only]
 
     def census(self, only: Sequence[str] | None = None) -> DataFrame:
+        """Value census of the values-facet columns, built once per instance
+        (persisted: values and totals both read it); call ``release()`` after."""
+        key = tuple(self._value_columns(only))
+        if not self._share:
+            return self._build_census(only)
+        if key not in self._census:
+            self._census[key] = self._build_census(only).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._census[key]
+
+    def release(self) -> None:
+        for c in self._census.values():
+            c.unpersist()
+        self._census.clear()
+
+    def _build_census(self, only: Sequence[str] | None = None) -> DataFrame:
         entries = []
         for n in self._value_columns(only):
             dt = self.schema[n].dataType
@@ -184,30 +206,20 @@ class Facets:
         return self.census(only).groupBy("column_name").agg(F.count(F.lit(1)).alias("total"))
 
     def nulls(self, only: Sequence[str] | None = None) -> DataFrame:
-        """(column, nulls, has_nulls, is_list, is_boolean): filtered NULL count and
-        whether the column has NULLs at all."""
+        """(column_name, nulls, has_nulls, is_list, is_boolean): filtered NULL
+        count and whether the column has NULLs at all (from the bounds pass)."""
         names = self._value_columns(only)
         spark = self.df.sparkSession
-        if not names:
-            return spark.createDataFrame([], "column_name string, nulls long, has_nulls boolean, is_list boolean, is_boolean boolean")
-        aggs = []
-        for n in names:
-            k = self.flags.keep(n)
-            isn = col(n).isNull()
-            aggs += [_count_if(isn if k is None else (isn & k)).alias(f"a{len(aggs)}"),
-                     _count_if(isn).alias(f"a{len(aggs) + 1}")]
-        row = self.df.agg(*aggs)
-        structs = [F.struct(F.lit(n).alias("column_name"), F.col(f"a{2 * i}").alias("nulls"),
-                            (F.col(f"a{2 * i + 1}") > 0).alias("has_nulls"),
-                            F.lit(is_scalar_list(self.schema[n].dataType)).alias("is_list"),
-                            F.lit(is_boolean(self.schema[n].dataType)).alias("is_boolean"))
-                   for i, n in enumerate(names)]
-        return row.select(F.inline(F.array(*structs)))
+        b = self.bounds()
+        rows = [(n, b[f"nulls::{n}"], b[f"anynull::{n}"] > 0, is_scalar_list(self.schema[n].dataType),
+                 is_boolean(self.schema[n].dataType)) for n in names]
+        return spark.createDataFrame(rows, "column_name string, nulls long, has_nulls boolean, is_list boolean, is_boolean boolean")
 
     def all(self) -> DataFrame:
         """Every facet in one long frame: (column, kind, label, cnt, lo, hi)."""
         spark = self.df.sparkSession
         schema = "column_name string, kind string, label string, cnt long, lo double, hi double"
+        self._share = True   # values and totals read one persisted census
         parts = [spark.createDataFrame([], schema)]
         if any(k == "range" for k in self.kinds.values()):
             parts.append(self.ranges().select("column_name", F.lit("range").alias("kind"), F.lit(None).cast("string").alias("label"),
@@ -227,7 +239,13 @@ class Facets:
                                              F.col("nulls").alias("cnt"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
             parts.append(self.totals().select("column_name", F.lit("total").alias("kind"), F.lit(None).cast("string").alias("label"),
                                               F.col("total").alias("cnt"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
-        return reduce(DataFrame.unionByName, parts)
+        try:
+            # bounded result: (#columns x (top values + time bins + 3)) rows
+            rows = reduce(DataFrame.unionByName, parts).collect()
+        finally:
+            self.release()
+            self._share = False
+        return spark.createDataFrame(rows, schema)
 
 
 def _element_text(et):

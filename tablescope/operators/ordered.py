@@ -15,6 +15,9 @@ data.  Instead:
    batch, starting from its carry-in state.
 
 The result is identical to the window functions (tested against them).
+When the largest key is small enough to be a proven-bounded group (counted
+exactly first, ``WINDOW_SCAN_MAX`` rows), the keyed window itself is used:
+one shuffle instead of a range shuffle, a checkpoint and two passes.
 
 Scans:
 * ``lags``: ``prev_<c>`` = value of ``c`` on the previous row of the same key;
@@ -26,7 +29,7 @@ from __future__ import annotations
 from typing import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,11 +136,45 @@ def _scan_batch(pdf: pd.DataFrame, keys, lags, sums, pmax, state: _State | None)
     return res, _State(last_key, st_last, st_sum, st_max)
 
 
+# A key with at most this many rows (its exact size is counted first) is
+# scanned with a plain keyed window: the group is bounded and fits one task.
+WINDOW_SCAN_MAX = 1_000_000
+
+
+def _window_scan(df: DataFrame, keys, order, lags, sums, prior_max) -> DataFrame:
+    w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*[F.col(c).asc_nulls_first() for c in (*keys, *order)])
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    base = {f.name: f.dataType for f in df.schema.fields}
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    cols += [F.lag(c).over(w).alias(f"prev_{c}") for c in lags]
+    cols += [F.coalesce(F.sum(c).over(upto), F.lit(0)).cast(
+        T.LongType() if isinstance(base[c], T.IntegralType) else T.DoubleType()).alias(f"cum_{c}") for c in sums]
+    cols += [F.max(c).over(before).alias(f"pmax_{c}") for c in prior_max]
+    return df.select(*cols)
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Exact row count of the largest key (one aggregate)."""
+    if not keys:
+        return df.count()
+    r = df.groupBy(*keys).count().agg(F.max("count")).collect()[0][0]
+    return int(r or 0)
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: Sequence[str] = (),
-                 sums: Sequence[str] = (), prior_max: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+                 sums: Sequence[str] = (), prior_max: Sequence[str] = (), partitions: int | None = None,
+                 window_max: int = WINDOW_SCAN_MAX, max_group: int | None = None) -> DataFrame:
     """See module docstring.  ``order`` must make rows unique within a key for a
-    deterministic result (add a row-order column)."""
+    deterministic result (add a row-order column).  When the largest key has
+    at most ``window_max`` rows (counted exactly, one aggregate) a keyed
+    window computes the same result in one shuffle.  ``max_group`` is an
+    upper bound on the largest key the caller already knows (skips the count)."""
     spark = df.sparkSession
+    if window_max > 0:
+        biggest = max_group if max_group is not None else largest_group(df, keys)
+        if biggest <= window_max:
+            return _window_scan(df, list(keys), list(order), list(lags), list(sums), list(prior_max))
     p = partitions or default_buckets(spark)
     sort_cols = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
     laid = checkpoint(df.repartitionByRange(p, *sort_cols).sortWithinPartitions(*sort_cols)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tablescope.operators.census import value_ranks
 from tablescope.operators.filters import col
-from tablescope.operators.ordered import ordered_scan
+from tablescope.operators.ordered import largest_group, ordered_scan
 from tablescope.types import is_numeric, is_temporal
 
 _NUMERIC_TEXT = r"^\s*[+]?[0-9]*\.?[0-9]+([eE][+-]?[0-9]+)?\s*$"
@@ -120,9 +120,11 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def sublanes(b: DataFrame) -> DataFrame:
     """(ord, lane, sub): greedy lowest-free-sublane packing per lane."""
-    scanned = ordered_scan(b.select("ord", "lane", "s", "e"), ["lane"], ["s", "ord"], prior_max=["e"])
+    biggest = largest_group(b, ["lane"])
+    scanned = ordered_scan(b.select("ord", "lane", "s", "e"), ["lane"], ["s", "ord"], prior_max=["e"], max_group=biggest)
     isl_start = (F.col("pmax_e").isNull() | (F.col("pmax_e") <= F.col("s"))).cast("long")
-    isl = ordered_scan(scanned.withColumn("isl_start", isl_start), ["lane"], ["s", "ord"], sums=["isl_start"])
+    isl = ordered_scan(scanned.withColumn("isl_start", isl_start), ["lane"], ["s", "ord"], sums=["isl_start"],
+                       max_group=biggest)
     ord_type = b.schema["ord"].dataType.simpleString()
     return (isl.select("ord", "lane", "s", "e", F.col("cum_isl_start").alias("island"))
             .groupBy("lane", "island").applyInPandas(_pack, f"ord {ord_type}, lane string, sub int"))

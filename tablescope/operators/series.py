@@ -30,6 +30,9 @@ from tablescope.types import EPOCH_NAME, is_numeric, is_temporal
 
 LOESS_SPAN = 0.3
 OUTLIER_Z = 3.0
+# LOESS meets 2q - 1 neighbours per point (q = 0.3 n): quadratic in the series
+# length.  It runs on bucketed series; longer inputs are refused, not cut.
+LOESS_MAX_POINTS = 200_000
 MAD_SCALE = 1.4826
 # plausible epoch values (years 2001-2096) per unit
 EPOCH_BOUNDS = {"s": (1e9, 4e9), "ms": (1e12, 4e12), "us": (1e15, 4e15)}
@@ -60,6 +63,8 @@ def overview(df: DataFrame, ts: str | None = None, value: str | None = None, uni
 def loess(series: DataFrame, x: str, y: str, span: float = LOESS_SPAN) -> DataFrame:
     """I2  (x, y, idx, fit): local linear LOESS over an ordered series."""
     n = series.count()
+    if n > LOESS_MAX_POINTS:
+        raise ValueError(f"LOESS on {n} points: bucket the series first (overview), at most {LOESS_MAX_POINTS}")
     spark = series.sparkSession
     if n == 0:
         return spark.createDataFrame([], f"x double, y double, idx long, fit double")

@@ -74,7 +74,12 @@ def heatmap_grid(df: DataFrame, x: str, y: str, value: str | None = None, agg: s
     Built as ``groupBy(x).pivot(y)`` (partial aggregation first) and an
     ``unpivot`` back to long form -- the grid without a cross join."""
     measure = F.count(F.lit(1)) if value is None else _agg(agg, col(value))
-    ys = [r[0] for r in df.where(col(y).isNotNull()).select(col(y)).distinct().orderBy(col(y)).collect()]
+    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    # the y axis is read to the driver only after its size is proven bounded
+    distinct_y = df.where(col(y).isNotNull()).select(col(y)).distinct()
+    if distinct_y.limit(limit + 1).count() > limit:
+        raise ValueError(f"heatmap y axis has more than {limit} values (spark.sql.pivotMaxValues)")
+    ys = [r[0] for r in distinct_y.orderBy(col(y)).collect()]
     if not ys:
         return df.sparkSession.createDataFrame([], f"x string, y string, value double")
     wide = (df.where(col(x).isNotNull() & col(y).isNotNull())

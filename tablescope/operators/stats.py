@@ -182,6 +182,22 @@ class Stats:
                 .select("column_name", F.col("b").cast("string").alias("bucket"), "cnt"))
 
 
+def report(st: "Stats") -> DataFrame:
+    """One row per column, the reference's column-stat shape: counts, distinct,
+    numeric summary and quartiles, plus bounded arrays of histogram bins (12),
+    top values (12) and timeline bins."""
+    arr = lambda df, fields, order: (df.groupBy("column_name")
+                                     .agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("a")))
+    out = (st.counts().join(st.distinct().drop("exact"), "column_name", "left")
+           .join(st.numeric_summary(), "column_name", "left").join(st.quartiles(), "column_name", "left"))
+    h = arr(st.histogram(), ["lo", "hi", "cnt"], ["bin"]).withColumnRenamed("a", "histogram")
+    t = arr(st.top(), ["value", "cnt"], ["rank"]).withColumnRenamed("a", "top")
+    tl = arr(st.timeline(), ["cnt"], ["bucket"]).withColumnRenamed("a", "timeline")
+    order = st.df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(st.schema.fieldNames())], "column_name string, ord int")
+    return (out.join(h, "column_name", "left").join(t, "column_name", "left").join(tl, "column_name", "left")
+            .join(order, "column_name").orderBy("ord").drop("ord"))
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact ``quantile_cont`` of many numeric columns without holding a large
     column's values in one task: census of ``(column, value) -> n``, exact

@@ -173,6 +173,18 @@ def density(df: DataFrame, group: str, value: str, cells: int = DENSITY_CELLS) -
             .select(F.col("g").alias(group), "cell", centre(F.col("cell")).alias("x"), "density", "n", "mean"))
 
 
+SCATTER_MAX_POINTS = 5000
+
+
+def scatter(df: DataFrame, x: str, y: str, max_points: int = SCATTER_MAX_POINTS, bins: int = 64) -> tuple[str, DataFrame]:
+    """H8  ('points', x/y projection) when at most ``max_points`` rows have both
+    values, else ('bins', 2-D bin counts): every row is represented either way."""
+    pts = df.where(col(x).isNotNull() & col(y).isNotNull()).select(col(x).alias("x"), col(y).alias("y"))
+    if pts.limit(max_points + 1).count() <= max_points:
+        return "points", pts
+    return "bins", scatter_bins(df, x, y, bins)
+
+
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 64) -> DataFrame:
     """H8  Raw points are a projection; past a point budget they become 2-D bin
     counts: (bin_x, bin_y, x_lo, y_lo, cnt) on ``bins`` x ``bins`` equal cells."""

@@ -51,9 +51,10 @@ def read_manifest(spark: SparkSession, bundle: str) -> DataFrame:
     return spark.read.json(os.path.join(bundle, "_manifest"), schema=MANIFEST_SCHEMA)
 
 
-def restore(spark: SparkSession, bundle: str, verify: bool = True) -> dict[str, DataFrame]:
+def restore(spark: SparkSession, bundle: str, verify: bool = True, register: bool = False) -> dict[str, DataFrame]:
     """Read a bundle back; refuses a newer format version; verifies row counts,
-    schema and checksums (one aggregate job per table)."""
+    schema and checksums (one aggregate job per table).  With ``register`` each
+    table becomes a temp view; a name already taken gets ``_2``, ``_3``, ..."""
     man = read_manifest(spark, bundle).collect()   # one row per table: small
     out = {}
     for m in man:
@@ -66,4 +67,12 @@ def restore(spark: SparkSession, bundle: str, verify: bool = True) -> dict[str,
             if got["rows"] != m["rows"] or got["checksum"] != m["checksum"]:
                 raise ValueError(f"table {m['table_name']} does not match its manifest")
         out[m["table_name"]] = df
+    if register:
+        taken = {t.name.lower() for t in spark.catalog.listTables()}
+        for name, df in list(out.items()):
+            view, k = name, 2
+            while view.lower() in taken:
+                view, k = f"{name}_{k}", k + 1
+            df.createOrReplaceTempView(view)
+            taken.add(view.lower())
     return out

@@ -92,10 +92,12 @@ class Stats:
 
     def distinct(self) -> DataFrame:
         """(column, distinct, exact): exact where the estimate is small (or always)."""
-        p = self.pass1()
         names = self.schema.fieldNames()
-        exact_names = [n for i, n in enumerate(names)
-                       if self.exact_distinct_max is None or p[f"nd{i}"] <= self.exact_distinct_max]
+        if self.exact_distinct_max is None:
+            p, exact_names = {}, list(names)      # no estimate needed
+        else:
+            p = self.pass1()
+            exact_names = [n for i, n in enumerate(names) if p[f"nd{i}"] <= self.exact_distinct_max]
         spark = self.df.sparkSession
         approx = spark.createDataFrame([(n, p[f"nd{i}"]) for i, n in enumerate(names) if n not in exact_names],
                                        "column_name string, distinct long")
@@ -110,9 +112,12 @@ class Stats:
 
     def quartiles(self) -> DataFrame:
         """(column, q1, median, q3), exact (linear interpolation)."""
-        p = self.pass1()
         spark = self.df.sparkSession
-        small = [n for n in self.numeric if p[f"nd{self._idx(n)}"] <= self.percentile_map_max]
+        if self.percentile_map_max <= 0:
+            small = []                            # every column on the rank path: no estimate needed
+        else:
+            p = self.pass1()
+            small = [n for n in self.numeric if p[f"nd{self._idx(n)}"] <= self.percentile_map_max]
         large = [n for n in self.numeric if n not in small]
         parts = [spark.createDataFrame([], "column_name string, q1 double, median double, q3 double")]
         if small:

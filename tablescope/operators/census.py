@@ -135,7 +135,8 @@ def ranks_by_key(counts: DataFrame, key: str, value_col: str, n_col: str = "n",
 
     Adds ``before`` (rows with a smaller value in the same key) and ``tot``
     (rows in the key).  ``counts`` should be persisted by the caller; the
-    per-key sizes (one row per key) are read once on the driver."""
+    per-key sizes (one row per key) are read once on the driver, so keys must
+    be few (columns, rank keys) -- for data-valued groups use ``value_ranks``."""
     sizes = {r[0]: (r[1], r[2]) for r in
              counts.groupBy(key).agg(F.count(F.lit(1)), F.sum(n_col)).collect()}
     small = [k for k, (rows, _) in sizes.items() if rows <= window_max]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.operators.census import value_ranks
+from tablescope.operators.census import ranks_by_key
 from tablescope.operators.filters import col
 from tablescope.operators.ordered import largest_group, ordered_scan
 from tablescope.types import is_numeric, is_temporal
@@ -95,8 +95,9 @@ def bars(df: DataFrame, lane: str, label: str, start: str, order: str, end: str
 def lane_order(b: DataFrame) -> DataFrame:
     """(lane, lane_index): lanes by first appearance (smallest row order), 0-based,
     ranked with distributed prefix sums (no single-partition window)."""
-    first = b.groupBy("lane").agg(F.min("ord").alias("first_ord"), F.lit(1).cast("long").alias("n"))
-    r = value_ranks(first, [], "first_ord")
+    first = (b.groupBy("lane").agg(F.min("ord").alias("first_ord"))
+             .select(F.lit(0).alias("g"), "lane", "first_ord", F.lit(1).cast("long").alias("n")))
+    r = ranks_by_key(first, "g", "first_ord")     # one key: the lanes, sized exactly first
     return r.select("lane", F.col("before").alias("lane_index"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
-from typing import Sequence
+
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

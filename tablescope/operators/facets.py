@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tablescope.functions.text import text_of
 from tablescope.operators.census import census, top_k_per_group
 from tablescope.operators.filters import Filter, build_clauses, col, normalize_contains, search_predicate
-from tablescope.types import classify, is_boolean, is_numeric, is_scalar_list, is_temporal, looks_like_id
+from tablescope.types import is_boolean, is_numeric, is_scalar_list, is_temporal, looks_like_id
 
 TOP_VALUES = 12
 ALL_FACET_VALUES = 1000

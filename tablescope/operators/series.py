@@ -16,7 +16,7 @@ Outliers: robust z = residual / (1.4826 * MAD of residuals); |z| > threshold.
 from __future__ import annotations
 
 import math
-from typing import Sequence
+
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.text import key_text, text_of
-from tablescope.operators.census import census, ranks_by_key, top_k_per_group, value_ranks
+from tablescope.operators.census import census, ranks_by_key, top_k_per_group
 from tablescope.operators.facets import granularity
 from tablescope.operators.filters import Filter, apply_filters, col
 from tablescope.types import is_nested, is_numeric, is_temporal

@@ -1,7 +1,6 @@
 """2.I  Time-series overview, LOESS trend, outliers, epoch detection."""
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 

@@ -56,7 +56,9 @@ def overview(df: DataFrame, ts: str | None = None, value: str | None = None, uni
     aggs = [F.count(F.lit(1)).alias("n")]
     if value:
         aggs += [F.sum(col(value)).alias("sum_value"), F.avg(col(value)).alias("avg_value")]
-    return (df.where(col(ts).isNotNull()).groupBy(F.date_trunc(unit, col(ts).cast("timestamp_ntz")).alias("bucket"))
+    # date_trunc answers a zoned timestamp; the bucket keeps the input's wall clock
+    bucket = F.date_trunc(unit, col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
+    return (df.where(col(ts).isNotNull()).groupBy(bucket.alias("bucket"))
             .agg(*aggs))
 
 

@@ -67,7 +67,7 @@ def export_all_hidden(spark, sf):
 
 
 @register("nested_json", f"""
-SELECT p_partkey, to_json(p_words) AS p_words, to_json({{'brand': p_brand, 'size': p_size}}) AS spec
+SELECT p_partkey, CAST(to_json(p_words) AS VARCHAR) AS p_words, CAST(to_json({{'brand': p_brand, 'size': p_size}}) AS VARCHAR) AS spec
 FROM {PART_WORDS_SQL}
 """)
 def nested_json(spark, sf):

@@ -30,7 +30,7 @@ def part_words(spark, sf, holes: bool = False):
 
 PART_WORDS_SQL = "(SELECT *, string_split(p_name, ' ') AS p_words FROM part)"
 PART_WORDS_HOLES_SQL = ("(SELECT *, CASE WHEN p_size <= 45 THEN string_split(p_name, ' ') END AS p_words FROM part)")
-PART_COLS = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, to_json(p_words) AS p_words"
+PART_COLS = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, CAST(to_json(p_words) AS VARCHAR) AS p_words"
 
 
 def _run(df, q=None, filters=()):

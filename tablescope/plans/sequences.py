@@ -56,7 +56,7 @@ WITH m AS (SELECT *, CASE WHEN grp IS NOT DISTINCT FROM lag(grp) OVER w THEN 0 E
            FROM {CONV_SQL} WHERE src <> '' AND dst <> '' WINDOW w AS (PARTITION BY key ORDER BY ord)),
 r AS (SELECT *, sum(chg) OVER (PARTITION BY key ORDER BY ord) AS run FROM m),
 b AS (SELECT *, lag(branch) OVER (PARTITION BY key, run ORDER BY ord) AS pb FROM r)
-SELECT key, run AS frame_no, 'loop' AS kind, 'follow-up' AS label, min(ord) AS first_ord, max(ord) AS last_ord,
+SELECT key, CAST(run AS BIGINT) AS frame_no, 'loop' AS kind, 'follow-up' AS label, min(ord) AS first_ord, max(ord) AS last_ord,
        count(*) FILTER (WHERE chg = 0 AND branch IS NOT NULL AND branch IS DISTINCT FROM pb) + 1 AS compartments
 FROM b WHERE grp IS NOT NULL GROUP BY key, run""")
 def seq_frames(spark, sf):

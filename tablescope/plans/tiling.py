@@ -22,9 +22,9 @@ def tile_bar(spark, sf):
 PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@register("tile_stacked", "SELECT year(o_orderdate) AS yr, " + ", ".join(
+@register("tile_stacked", "SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, " + ", ".join(
     f"round(sum(o_totalprice) FILTER (WHERE o_orderpriority = '{p}'), 2) AS \"{p}\"" for p in PRIOS)
-    + " FROM orders GROUP BY year(o_orderdate)")
+    + " FROM orders GROUP BY 1")
 def tile_stacked(spark, sf):
     o = load(spark, sf, "orders").withColumn("yr", F.year("o_orderdate"))
     out = TL.stacked_series(o, "yr", "o_orderpriority", "o_totalprice", categories=PRIOS)
@@ -39,7 +39,7 @@ def tile_daily(spark, sf):
 
 
 @register("tile_cumulative", """
-SELECT bucket, n, sum(n) OVER (ORDER BY bucket) AS cum_n
+SELECT bucket, n, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS cum_n
 FROM (SELECT CAST(ts AS DATE) AS bucket, count(*) AS n FROM events GROUP BY 1)""")
 def tile_cumulative(spark, sf):
     daily = TL.bucketed_counts(load(spark, sf, "events"), "ts", "day")
@@ -144,7 +144,7 @@ def tile_quadrant(spark, sf):
     return out.select("label", _r("x"), _r("y"), "quadrant", "in_range")
 
 
-CUST_GEO = """(SELECT c_nationkey * 7.0 - 85 AS lat, (c_acctbal + 1000) / 11000 * 360 - 180 AS lon, c_acctbal, c_mktsegment
+CUST_GEO = """(SELECT CAST(c_nationkey * 7.0 - 85 AS DOUBLE) AS lat, (c_acctbal + 1000) / 11000 * 360 - 180 AS lon, c_acctbal, c_mktsegment
 FROM customer)"""
 
 
@@ -155,7 +155,7 @@ WITH p AS (SELECT CAST(floor((lon + 180) / 2.0) AS INTEGER) AS cx, CAST(floor((9
 l AS (SELECT cx, cy, lbl, count(*) AS k FROM p WHERE lbl IS NOT NULL GROUP BY ALL),
 t AS (SELECT cx, cy, string_agg(lbl, '|' ORDER BY k DESC, lbl) AS labels FROM
       (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY k DESC, lbl) AS rn FROM l) WHERE rn <= 5 GROUP BY cx, cy)
-SELECT a.cx, a.cy, 90.0 - (a.cy + 0.5) * 2.0 AS lat, (a.cx + 0.5) * 2.0 - 180.0 AS lon, a.n, round(a.avg_value, 6) AS avg_value, t.labels
+SELECT a.cx, a.cy, CAST(90.0 - (a.cy + 0.5) * 2.0 AS DOUBLE) AS lat, CAST((a.cx + 0.5) * 2.0 - 180.0 AS DOUBLE) AS lon, a.n, round(a.avg_value, 6) AS avg_value, t.labels
 FROM (SELECT cx, cy, count(*) AS n, avg(v) AS avg_value FROM p GROUP BY cx, cy) a LEFT JOIN t ON a.cx = t.cx AND a.cy = t.cy""")
 def tile_map(spark, sf):
     c = load(spark, sf, "customer").select((F.col("c_nationkey") * 7.0 - 85).alias("lat"),
@@ -178,8 +178,8 @@ def _flows(spark, sf):
 
 
 FLOWS_SQL = """(SELECT fn.n_name AS from_nation, tn.n_name AS to_nation,
-  fn.n_nationkey * 7.0 - 85 AS from_lat, CAST((fn.n_nationkey * 47) % 360 - 180 AS DOUBLE) AS from_lon,
-  tn.n_nationkey * 7.0 - 85 AS to_lat, CAST((tn.n_nationkey * 47) % 360 - 180 AS DOUBLE) AS to_lon, count(*) AS n
+  CAST(fn.n_nationkey * 7.0 - 85 AS DOUBLE) AS from_lat, CAST((fn.n_nationkey * 47) % 360 - 180 AS DOUBLE) AS from_lon,
+  CAST(tn.n_nationkey * 7.0 - 85 AS DOUBLE) AS to_lat, CAST((tn.n_nationkey * 47) % 360 - 180 AS DOUBLE) AS to_lon, count(*) AS n
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation fn ON c.c_nationkey = fn.n_nationkey
 JOIN nation tn ON s.s_nationkey = tn.n_nationkey GROUP BY ALL)"""

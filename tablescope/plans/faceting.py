@@ -169,3 +169,21 @@ UNION ALL SELECT column_name, 'total', CAST(NULL AS VARCHAR), total, {nd}, {nd}
 @register("facets_all", _all_sql())
 def facets_all(spark, sf):
     return _orders_facets(spark, sf).all()
+
+
+SEARCH_ORDERS = " OR ".join(f"CAST({c} AS VARCHAR) ILIKE '%199%'" for c in
+                            ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+
+
+@register("facets_search", _top(f"""
+SELECT 'o_orderstatus' AS column_name, CAST(o_orderstatus AS VARCHAR) AS value,
+       count(*) FILTER (WHERE {P_PRIO} AND ({SEARCH_ORDERS})) AS cnt
+FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 2
+UNION ALL
+SELECT 'o_orderpriority', CAST(o_orderpriority AS VARCHAR), count(*) FILTER (WHERE ({SEARCH_ORDERS}))
+FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 2
+"""))
+def facets_search(spark, sf):
+    """Search applies to every facet; a column's own filter does not."""
+    fl = [Filter("o_orderpriority", value="1-URGENT"), Filter("o_orderpriority", value="2-HIGH")]
+    return Facets(load(spark, sf, "orders"), "199", fl).values()

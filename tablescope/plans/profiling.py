@@ -122,3 +122,13 @@ def stats_filtered(spark, sf):
                filters=[Filter("o_orderstatus", value="O"), Filter("o_totalprice", min=200000)])
     return (st.counts().join(st.numeric_summary(), "column_name", "left")
             .select("column_name", "rows", "nulls", "min", "max", _r("avg")))
+
+
+@register("stats_nested", """
+SELECT column_name, value, cnt, CAST(row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS INTEGER) AS rank
+FROM (SELECT 'embedding' AS column_name, CAST(embedding AS VARCHAR) AS value, count(*) AS cnt
+      FROM embeddings WHERE embedding IS NOT NULL GROUP BY 2)
+QUALIFY rank <= 12""")
+def stats_nested(spark, sf):
+    """A list column gets top values of its whole-list text (no numeric stats)."""
+    return Stats(load(spark, sf, "embeddings")).top()

@@ -91,7 +91,7 @@ def normalize_contains(schema: T.StructType, filters: Iterable[Filter]) -> list[
     return out
 
 
-_INT_TEXT = re.compile(r"-?(0|[1-9]\d*)")
+_INT_TEXT = re.compile(r"0|-?[1-9]\d*")
 
 
 def _value_equals(schema: T.StructType, name: str, v: str) -> Column:

@@ -98,3 +98,9 @@ def test_malformed_filter_json_raises():
     with pytest.raises(Exception):
         filters_from_json("[{not json")
     assert filters_from_json('[{"column": "a", "value": "x", "ignored": 1}]') == [Filter("a", value="x")]
+
+
+def test_integer_value_filter_matches_text_exactly(spark):
+    df = spark.createDataFrame([(0,), (5,), (-5,), (None,)], "v long")
+    for text, want in {"0": 1, "-0": 0, "5": 1, "05": 0, "-5": 1, "5.0": 0}.items():
+        assert apply_filters(df, filters=[Filter("v", value=text)]).count() == want, text

@@ -44,7 +44,10 @@ def preview(df: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0, q: str |
             filters: Sequence[Filter] = (), sort: str | None = None, direction: str | None = None,
             tie_break: Sequence[str] = (), with_total: bool = True) -> Page:
     """One filtered, sorted page (top-k: Spark plans TakeOrderedAndProject, no
-    full sort) plus the total matching count."""
+    full sort) plus the total matching count.  Each partition keeps at most
+    offset + limit rows for the final merge, so shallow pages are cheap at any
+    table size; very deep offsets are better served by filtering on the sort
+    key of the last row seen (keyset paging)."""
     limit = max(0, min(int(limit), MAX_PAGE))
     kept = apply_filters(df, q, filters)
     order = sort_columns(df, sort, direction, tie_break)

@@ -33,7 +33,7 @@ from tablescope.types import is_nested, is_numeric, is_temporal
 HIST_BINS = 12
 TOP_VALUES = 12
 EXACT_DISTINCT_MAX = 10_000
-PERCENTILE_MAP_MAX = 1_000_000
+PERCENTILE_MAP_MAX = 10_000   # value->count map per column in one final task: keep it small
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -111,13 +111,18 @@ class Stats:
         return reduce(DataFrame.unionByName, parts)
 
     def quartiles(self) -> DataFrame:
-        """(column, q1, median, q3), exact (linear interpolation)."""
+        """(column, q1, median, q3), exact (linear interpolation).
+
+        One ``percentile`` aggregate when the estimate pass has already run and
+        shows every numeric column within ``percentile_map_max`` distinct
+        values (small value->count maps); otherwise exact ranks for all columns
+        (census + prefix sums), which needs no estimate at all."""
         spark = self.df.sparkSession
-        if self.percentile_map_max <= 0:
-            small = []                            # every column on the rank path: no estimate needed
-        else:
-            p = self.pass1()
-            small = [n for n in self.numeric if p[f"nd{self._idx(n)}"] <= self.percentile_map_max]
+        small: list[str] = []
+        if self.percentile_map_max > 0 and self._p1 is not None:
+            p = self._p1
+            if all(p[f"nd{self._idx(n)}"] <= self.percentile_map_max for n in self.numeric):
+                small = list(self.numeric)
         large = [n for n in self.numeric if n not in small]
         parts = [spark.createDataFrame([], "column_name string, q1 double, median double, q3 double")]
         if small:

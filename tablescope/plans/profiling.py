@@ -132,3 +132,13 @@ QUALIFY rank <= 12""")
 def stats_nested(spark, sf):
     """A list column gets top values of its whole-list text (no numeric stats)."""
     return Stats(load(spark, sf, "embeddings")).top()
+
+
+@register("stats_quartiles_small", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, round(quantile_cont({c}, 0.25), 6) AS q1, round(median({c}), 6) AS median, "
+    f"round(quantile_cont({c}, 0.75), 6) AS q3 FROM customer" for c in ["c_custkey", "c_nationkey", "c_acctbal"]))
+def stats_quartiles_small(spark, sf):
+    """With the estimate pass done and every column small, one percentile aggregate."""
+    st = Stats(load(spark, sf, "customer"))
+    st.pass1()
+    return st.quartiles().select("column_name", _r("q1"), _r("median"), _r("q3"))

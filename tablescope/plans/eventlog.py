@@ -91,3 +91,23 @@ def stream_profile(spark, sf):
     base = scratch_path(spark, "stream-profile")
     path = EV.stream_profile(spark, stream, "event_type", "value", base + "/out", base + "/chk")
     return spark.read.parquet(path).select("key", "n", F.round("total", 2).alias("total"))
+
+
+@register("stream_fold", f"""
+SELECT id, min(ts) FILTER (WHERE phase = 'start') AS started, max(ts) FILTER (WHERE phase = 'end') AS ended,
+       max(ts) FILTER (WHERE phase = 'end') IS NULL AS running,
+       CAST(arg_max(exit_code, ts) FILTER (WHERE phase = 'end') AS INTEGER) AS exit_code,
+       coalesce(arg_max(db_path, ts) FILTER (WHERE phase = 'start'), arg_max(db_path, ts) FILTER (WHERE phase = 'end')) AS db_path,
+       arg_max(cwd, ts) FILTER (WHERE phase = 'start') AS cwd, arg_max(session, ts) FILTER (WHERE phase = 'start') AS session
+FROM {LEDGER_SQL} WHERE phase IN ('start', 'end') GROUP BY id HAVING min(ts) FILTER (WHERE phase = 'start') IS NOT NULL""")
+def stream_fold(spark, sf):
+    """The K1 fold as a Structured Streaming job: the ledger (derived by Spark
+    from events) arrives as several files, one per micro-batch, each id's
+    records spread over batches; the final state per id equals the batch fold."""
+    base = scratch_path(spark, "stream-fold")
+    led = ledger(spark, sf)
+    # four files; a run's start and end land in different files for many ids
+    led.repartition(4, F.pmod(F.xxhash64("ts"), F.lit(4))).write.parquet(base + "/ledger")
+    out = EV.run_fold_stream(spark, base + "/ledger", led.schema, base + "/out", base + "/chk")
+    return out.select("id", F.col("started").cast("timestamp_ntz").alias("started"),
+                      F.col("ended").cast("timestamp_ntz").alias("ended"), "running", "exit_code", "db_path", "cwd", "session")

@@ -77,35 +77,41 @@ def activity(events: DataFrame, session: str, tile: str, kind: str, ts: str,
 # ---- streaming ----
 
 def _fold_state_fn(max_run_ms: int):
+    """State per id: the start (if seen) and the latest end (if seen) -- an end
+    may arrive before its start, so it waits in state until the start comes or
+    the watermark passes it."""
+    def row(rid, st):
+        started, db, cwd, sess, ended, code, end_db = st
+        return pd.DataFrame([{"id": rid, "started": started, "ended": ended, "running": ended is None,
+                              "exit_code": None if code is None or pd.isna(code) else int(code),
+                              "db_path": db if db is not None else end_db, "cwd": cwd, "session": sess}])
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
         (rid,) = key
         if state.hasTimedOut:
             st = state.get
             state.remove()
-            yield pd.DataFrame([{"id": rid, "started": st[0], "ended": None, "running": True, "exit_code": None,
-                                 "db_path": st[1], "cwd": st[2], "session": st[3]}])
-            return
-        cur = state.get if state.exists else None
-        end = None
+            if st[0] is not None:            # a run that never ended: final 'running' row
+                yield row(rid, st)
+            return                           # an end whose start never came: ignored
+        st = list(state.get) if state.exists else [None] * 7
         for pdf in pdfs:
             for r in pdf.sort_values("ts").itertuples(index=False):
-                if r.phase == "start" and cur is None:
-                    cur = (r.ts, r.db_path, r.cwd, r.session)
-                elif r.phase == "end":
-                    end = (r.ts, r.exit_code, r.db_path)
-        if cur is None:
-            return          # an end without a start is ignored (it is not kept either)
-        if end is not None:
+                if r.phase == "start" and st[0] is None:
+                    st[0:4] = [r.ts, r.db_path, r.cwd, r.session]
+                elif r.phase == "end" and (st[4] is None or r.ts >= st[4]):
+                    st[4:7] = [r.ts, r.exit_code, r.db_path]
+        st = tuple(None if (v is not None and not isinstance(v, str) and pd.isna(v)) else v for v in st)
+        if st[0] is not None and st[4] is not None:
             if state.exists:
                 state.remove()
-            yield pd.DataFrame([{"id": rid, "started": cur[0], "ended": end[0], "running": False,
-                                 "exit_code": None if pd.isna(end[1]) else int(end[1]),
-                                 "db_path": cur[1] if cur[1] is not None else end[2], "cwd": cur[2], "session": cur[3]}])
-        else:
-            state.update(cur)
-            state.setTimeoutTimestamp(int(pd.Timestamp(cur[0]).value // 1_000_000) + max_run_ms)
-            yield pd.DataFrame([{"id": rid, "started": cur[0], "ended": None, "running": True, "exit_code": None,
-                                 "db_path": cur[1], "cwd": cur[2], "session": cur[3]}])
+            yield row(rid, st)
+            return
+        state.update(st)
+        anchor = st[0] if st[0] is not None else st[4]
+        state.setTimeoutTimestamp(int(pd.Timestamp(anchor).value // 1_000_000) + max_run_ms)
+        if st[0] is not None:
+            yield row(rid, st)
     return fn
 
 
@@ -115,7 +121,8 @@ def fold_stream(ledger_stream: DataFrame, watermark: str = "1 hour", max_run_ms:
     dropped by Spark; state for a run that never ends is evicted once the
     watermark passes ``start + max_run``."""
     v = valid_records(ledger_stream).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    state_schema = "started timestamp, db_path string, cwd string, session string"
+    state_schema = ("started timestamp, db_path string, cwd string, session string, "
+                    "ended timestamp, exit_code int, end_db string")
     out = (v.groupBy("id").applyInPandasWithState(
         _fold_state_fn(max_run_ms), FOLD_SCHEMA.replace("timestamp_ntz", "timestamp"), state_schema, "update",
         GroupStateTimeout.EventTimeTimeout))
@@ -148,3 +155,23 @@ def stream_profile(spark: SparkSession, source: DataFrame, key: str, value: str,
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return latest["path"]
+
+
+def run_fold_stream(spark: SparkSession, ledger_dir: str, schema, out_dir: str, checkpoint: str,
+                    watermark: str = "3650 days", files_per_trigger: int = 1) -> DataFrame:
+    """Drive ``fold_stream`` over a directory of ledger files to completion
+    (``availableNow``) and return the final fold: each micro-batch's updates
+    are appended with their batch id, and the last update per id wins."""
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(ledger_dir))
+    updates = fold_stream(stream, watermark=watermark)
+
+    def sink(batch: DataFrame, batch_id: int):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+
+    q = (updates.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    allu = spark.read.parquet(out_dir)
+    cols = [c for c in allu.columns if c not in ("id", "batch_id")]
+    last = allu.groupBy("id").agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
+    return last.select("id", "s.*")

@@ -60,6 +60,9 @@ SELECT xs.x, ys.y, CAST(coalesce(cnt, 0) AS DOUBLE) AS value
 FROM (SELECT DISTINCT x FROM f) xs CROSS JOIN (SELECT DISTINCT y FROM f) ys
 LEFT JOIN (SELECT x, y, count(*) AS cnt FROM f GROUP BY x, y) g ON g.x = xs.x AND g.y = ys.y""")
 def tile_heatmap(spark, sf):
+    """Region x priority counts of the largest orders (> 450,000): a sparse
+    selection on purpose, so the grid has empty cells and the zero fill --
+    the behaviour under test -- shows."""
     return TL.heatmap_grid(_orders_region(spark, sf), "r_name", "o_orderpriority")
 
 

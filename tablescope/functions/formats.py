@@ -68,15 +68,25 @@ def format_number_col(c: Column, fmt: Format) -> Column:
         F.concat(F.lit(fmt.prefix or ""), body, F.lit(fmt.suffix or "")))
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+_MICROS = {"s": 1_000_000, "ms": 1_000, "us": 1}
+
+
 def epoch_to_timestamp(c: Column, unit: str) -> Column:
-    """J4  Numeric epoch -> timestamp; only s, ms and us are accepted."""
+    """J4  Numeric epoch -> naive (UTC wall clock) timestamp; only s, ms and us
+    are accepted.  Pure arithmetic on timestamp_ntz: the session zone plays no
+    part."""
     if unit not in EPOCH_UNITS:
         raise ValueError(f"epoch unit must be s, ms or us (got {unit!r})")
-    if unit == "s":
-        return F.timestamp_seconds(c)
-    if unit == "ms":
-        return F.timestamp_millis(c.cast("long"))
-    return F.timestamp_micros(c.cast("long"))
+    micros = (c.cast("double") * _MICROS[unit]).cast("long") if unit == "s" else c.cast("long") * _MICROS[unit]
+    return F.timestamp_add("MICROSECOND", micros, F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
+
+
+def epoch_micros(c: Column, dtype: T.DataType) -> Column:
+    """Microseconds since the epoch of a timestamp; naive timestamps are UTC."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), c.cast("timestamp_ntz"))
 
 
 def tz_text(c: Column, dtype: T.DataType, tz: str, local_zone: str = "UTC",

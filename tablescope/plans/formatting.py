@@ -50,13 +50,12 @@ SELECT event_id, make_timestamp(epoch_us(ts)) AS from_us, epoch_ms(epoch_us(ts)
        make_timestamp((epoch_us(ts) // 1000000) * 1000000) AS from_s
 FROM events""")
 def fmt_epoch(spark, sf):
-    ev = load(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-                                          F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
-                                          F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
-    ntz = lambda c: c.cast("timestamp_ntz")  # noqa: E731  (session zone is UTC)
-    return ev.select("event_id", ntz(FM.epoch_to_timestamp(F.col("us"), "us")).alias("from_us"),
-                     ntz(FM.epoch_to_timestamp(F.col("ms"), "ms")).alias("from_ms"),
-                     ntz(FM.epoch_to_timestamp(F.col("s"), "s")).alias("from_s"))
+    ev = load(spark, sf, "events")
+    us = FM.epoch_micros(F.col("ts"), ev.schema["ts"].dataType)
+    ev = ev.select("event_id", us.alias("us"), F.floor(us / 1000).alias("ms"), F.floor(us / 1000000).alias("s"))
+    return ev.select("event_id", FM.epoch_to_timestamp(F.col("us"), "us").alias("from_us"),
+                     FM.epoch_to_timestamp(F.col("ms"), "ms").alias("from_ms"),
+                     FM.epoch_to_timestamp(F.col("s"), "s").alias("from_s"))
 
 
 @register("fmt_link", """

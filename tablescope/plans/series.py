@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablescope.functions.formats import epoch_micros
 from tablescope.operators import series as SR
 from tablescope.plans import load, register
 
@@ -69,7 +70,8 @@ WITH e AS (SELECT epoch(ts)::BIGINT AS created_at, epoch_ms(ts) AS ts_ms, value
 SELECT * FROM (VALUES ('created_at', 's'), ('ts_ms', 'ms')) v(column_name, unit)
 WHERE (SELECT min(created_at) >= 1e9 AND max(created_at) <= 4e9 FROM e)""")
 def detect_epoch(spark, sf):
-    ev = load(spark, sf, "events").select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"),
-                                          F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+    ev = load(spark, sf, "events")
+    us = epoch_micros(F.col("ts"), ev.schema["ts"].dataType)
+    ev = ev.select(F.floor(us / 1000000).alias("created_at"), F.floor(us / 1000).alias("ts_ms"),
                                           F.col("value").alias("amount_ms"), F.col("user_id").alias("user_at"))
     return SR.detect_epoch(ev)

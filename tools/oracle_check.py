@@ -50,6 +50,9 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 and sys.argv[1].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in sys.argv[1:] if not a.startswith("/")]
     spark = local_session()
+    import os
+    if os.environ.get("SESSION_TZ"):      # robustness: results must not depend on the session zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["SESSION_TZ"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")

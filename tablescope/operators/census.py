@@ -118,7 +118,9 @@ def value_ranks(counts: DataFrame, key_cols: Sequence[str], value_col: str, n_co
     wp = (Window.partitionBy("__pid", *keys).orderBy(F.col(value_col))
           .rowsBetween(Window.unboundedPreceding, -1))
     local = laid.withColumn("__local", F.coalesce(F.sum(n_col).over(wp), F.lit(0)))
-    return (local.join(F.broadcast(offsets), ["__pid", *key_cols])
+    # offsets hold one row per (partition, key): few for column keys, but they
+    # grow with data-valued groups, so AQE picks the join from the real size
+    return (local.join(offsets, ["__pid", *key_cols])
             .withColumn("before", F.col("__off") + F.col("__local"))
             .drop("__pid", "__off", "__local"))
 

@@ -177,7 +177,8 @@ def _flows(spark, sf):
              .groupBy(F.col("c_nationkey").alias("fk"), F.col("s_nationkey").alias("tk")).agg(F.count(F.lit(1)).alias("n")))
     f = geo.select([F.col(x).alias("f_" + x) for x in geo.columns])
     t = geo.select([F.col(x).alias("t_" + x) for x in geo.columns])
-    return pairs.join(F.broadcast(f), pairs.fk == f.f_k).join(F.broadcast(t), pairs.tk == t.t_k)   # nation: 25 rows
+    # the nation lookup is tiny: the planner broadcasts it from the file statistics
+    return pairs.join(f, pairs.fk == f.f_k).join(t, pairs.tk == t.t_k)
 
 
 FLOWS_SQL = """(SELECT fn.n_name AS from_nation, tn.n_name AS to_nation,

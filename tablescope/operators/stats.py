@@ -218,9 +218,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     counts = (df.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull())
               .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
               .persist(StorageLevel.MEMORY_AND_DISK))
+    ranked = None
     try:
-        ranked = ranks_by_key(counts, "column_name", "v")
-        pos = F.lit(0.0)
+        # read twice (per-column totals, then the target lookup): persist once
+        ranked = ranks_by_key(counts, "column_name", "v").persist(StorageLevel.MEMORY_AND_DISK)
         targets = (ranked.select("column_name", "tot").distinct()
                    .select("column_name", "tot", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
                    .withColumn("pos", F.col("p") * (F.col("tot") - 1))
@@ -239,4 +240,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         rows = out.collect()   # (#columns x #probs) rows
     finally:
         counts.unpersist()
+        if ranked is not None:
+            ranked.unpersist()
     return spark.createDataFrame(rows, "column_name string, p double, value double")

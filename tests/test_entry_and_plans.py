@@ -72,3 +72,14 @@ def test_skew_safe_ranks_use_checkpointed_range_layout(spark):
     a = {r.v: r.before for r in ranks_by_key(counts, "k", "v", window_max=0).collect()}
     b = {r.v: r.before for r in ranks_by_key(counts, "k", "v").collect()}
     assert a == b and a[0.0] == 0 and a[2999.0] == 2999
+
+
+def test_every_oracle_runs_in_duckdb():
+    import duckdb
+    from tablescope.plans import TABLES
+    m = _entry()
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    for name, sql in m.oracle_sql().items():
+        con.execute(sql).fetchall()

@@ -85,7 +85,10 @@ class Stats:
         return self.df.sparkSession.createDataFrame(rows, "column_name string, min double, max double, avg double")
 
     def _census(self, names: Sequence[str], display: bool = True) -> DataFrame:
-        """Value census; ``display=False`` uses the cheap equality text (for counts)."""
+        """Value census; ``display=False`` uses the cheap equality text (for counts).
+        Inside ``report`` one shared, persisted census serves every caller."""
+        if getattr(self, "_shared", None) is not None:
+            return self._shared.where(F.col("column_name").isin(list(names)))
         txt = text_of if display else key_text
         entries = [(n, txt(col(n), self.schema[n].dataType), None, False) for n in names]
         return census(self.df, entries)
@@ -195,17 +198,30 @@ class Stats:
 def report(st: "Stats") -> DataFrame:
     """One row per column, the reference's column-stat shape: counts, distinct,
     numeric summary and quartiles, plus bounded arrays of histogram bins (12),
-    top values (12) and timeline bins."""
-    arr = lambda df, fields, order: (df.groupBy("column_name")
-                                     .agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("a")))
-    out = (st.counts().join(st.distinct().drop("exact"), "column_name", "left")
-           .join(st.numeric_summary(), "column_name", "left").join(st.quartiles(), "column_name", "left"))
-    h = arr(st.histogram(), ["lo", "hi", "cnt"], ["bin"]).withColumnRenamed("a", "histogram")
-    t = arr(st.top(), ["value", "cnt"], ["rank"]).withColumnRenamed("a", "top")
-    tl = arr(st.timeline(), ["cnt"], ["bucket"]).withColumnRenamed("a", "timeline")
-    order = st.df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(st.schema.fieldNames())], "column_name string, ord int")
-    return (out.join(h, "column_name", "left").join(t, "column_name", "left").join(tl, "column_name", "left")
-            .join(order, "column_name").orderBy("ord").drop("ord"))
+    top values (12) and timeline bins.  One census serves both the distinct
+    counts and the top values; the result (one row per column) is materialised
+    so the shared census can be released."""
+    spark = st.df.sparkSession
+    entries = [(n, text_of(col(n), st.schema[n].dataType) if n in st.categorical else key_text(col(n), st.schema[n].dataType),
+                None, False) for n in st.schema.fieldNames()]
+    st._shared = census(st.df, entries).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        arr = lambda df, fields, order: (df.groupBy("column_name")
+                                         .agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("a")))
+        out = (st.counts().join(st.distinct().drop("exact"), "column_name", "left")
+               .join(st.numeric_summary(), "column_name", "left").join(st.quartiles(), "column_name", "left"))
+        h = arr(st.histogram(), ["lo", "hi", "cnt"], ["bin"]).withColumnRenamed("a", "histogram")
+        t = arr(st.top(), ["value", "cnt"], ["rank"]).withColumnRenamed("a", "top")
+        tl = arr(st.timeline(), ["cnt"], ["bucket"]).withColumnRenamed("a", "timeline")
+        order = spark.createDataFrame([(n, i) for i, n in enumerate(st.schema.fieldNames())], "column_name string, ord int")
+        full = (out.join(h, "column_name", "left").join(t, "column_name", "left").join(tl, "column_name", "left")
+                .join(order, "column_name").orderBy("ord").drop("ord"))
+        schema = full.schema
+        rows = full.collect()          # one row per column, bounded arrays
+    finally:
+        st._shared.unpersist()
+        st._shared = None
+    return spark.createDataFrame(rows, schema)
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:

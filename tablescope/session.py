@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +53,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint dir for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every Python worker this package: a zip of its modules, sent once per context.
+
+    Functions that run in tasks are pickled by reference, so workers must be able to
+    import the package wherever the driver was started.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tablescope_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tablescope-code-"), "tablescope_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tablescope", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._tablescope_shipped = True

@@ -13,12 +13,13 @@ thrown up to rank (k ln k + 3k) / total weight, twice as far for the rare texts
 with an empty coordinate.  Two texts agree in a coordinate with probability equal
 to their similarity.
 
-Joining.  ``BANDS`` bands of ``ROWS`` coordinates put texts into buckets.  Texts
-that share a bucket are compared exactly: first every text with one pivot per
-bucket, then, while a bucket holds texts of several components, small buckets
-(at most ``SMALL_BUCKET`` texts) compare what is left of them at once and larger
-ones take the next pivot from their smallest component.  So no link between texts
-that share a bucket is lost, and no round emits all pairs of a large group.  At
+Joining.  ``BANDS`` bands of ``ROWS`` coordinates put texts into buckets.  A bucket's pivot
+is its most central text, the one with the most bucket neighbours in all.  Every text is
+compared exactly with the pivots of its buckets.  Two texts of one bucket are both
+attached to its pivot, so what is left lies inside the families of the pivots: texts
+that failed against their pivot are compared exactly with all texts of the family, in
+blocks of at most ``BLOCK_TEXTS`` by ``BLOCK_TEXTS`` texts, which report a spanning
+forest of their links, never pairs.  So no link between texts that share a bucket is lost.  At
 similarity 0.8 a pair shares no bucket with probability (1 - 0.8^6)^40 = 5e-6.
 
 Equal texts are one node (the MD5 digest of the text) from the start.
@@ -34,17 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tablescope.llm.skew import components, cut, hot_join, maybe_in, written
+from tablescope.llm.skew import components, maybe_in, written
 from tablescope.llm.textkernel import ALNUM_WORDS, Block, chunks, mix64, scan_words, windows, annotate
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6
-SMALL_BUCKET = 24
 BLOCK = 1 << 20
-#: edges that share one pivot text are dealt out in lots of this many
-PIVOT_LOT = 200
+BLOCK_TEXTS = 96
 
 
 def shingle_counts(block: Block, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,95 +156,123 @@ def similarities(a: pa.Array, b: pa.Array, width: int = SHINGLE_WORDS) -> np.nda
     return out
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links among ``pairs`` (a, b); ``b`` may be a pivot of very many pairs.
-
-    The pairs of one ``b`` are numbered off into lots by a hash of ``a``; the pivot's
-    text is sent once to each lot, so no task gets all pairs of a pivot.
-    """
-    pairs = cut(pairs)
-    lots = (pairs.groupBy("b").count()
-            .select("b", F.ceil(F.col("count") / PIVOT_LOT).cast("int").alias("lots")))
-    right = (lots.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-             .select("b", "lots", "text_b", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")))
-    many = hot_join(pairs, lots, "b")
-    left = (many.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", F.pmod(F.xxhash64("a"), "lots").cast("int").alias("lot")))
-    both = left.join(right.select("b", "lot", "text_b"), ["b", "lot"]).select("a", "b", "text_a", "text_b")
-    schema = StructType([both.schema["a"], both.schema["b"], StructField("similarity", DoubleType())])
+def _compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``pairs`` (a, b) with the exact similarity of their texts.  ``b`` may be the pivot of very many
+    pairs: the last join has two plain shuffles, of which Spark splits a skewed one."""
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         for batch in batches:
-            s = similarities(batch.column(2), batch.column(3), width)
-            linked = pa.array(s >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], schema=pa.schema(
-                [("a", batch.column(0).type), ("b", batch.column(1).type), ("similarity", pa.float64())])).filter(linked)
-
-    return both.mapInArrow(run, schema)
-
-
-def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """Every text of a bucket with the bucket's least text."""
-    pivots = (members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-              .where(F.col("pivot") != F.col("last")).select("bucket", "pivot"))
-    pairs = hot_join(members, cut(pivots), "bucket")
-    return pairs.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-
-
-def _open_buckets(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of buckets that hold texts of several components, with the component and the
-    number of the bucket's texts in it."""
-    placed = cut(hot_join(members, parts.select("node", "part"), "node", how="left")
-                 .select("bucket", "node", F.coalesce("part", "node").alias("part")))
-    sizes = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("own"))
-    buckets = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("own").alias("texts")).where("parts > 1")
-    inside = cut(hot_join(placed, cut(buckets), "bucket"))
-    own = inside.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("own"))
-    return cut(_join_two(inside, cut(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarities(batch.column(2), batch.column(3), width))],
+                                             names=["a", "b", "similarity"])
+
+    return both.mapInArrow(run, StructType([both.schema["a"], both.schema["b"], StructField("similarity", DoubleType())]))
+
+
+def cross_similarities(texts: pa.Array, left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    """Exact similarities of the rows ``left`` with the rows ``right`` (a matrix)."""
+    rows, hashes, weights = [], [], []
+    for block in chunks(texts, BLOCK):
+        row, h, weight = shingle_counts(block, width)
+        rows.append(row + block.first), hashes.append(h), weights.append(weight)
+    row, h, weight = np.concatenate(rows), np.concatenate(hashes), np.concatenate(weights)
+    total = np.bincount(row, weights=weight, minlength=len(texts))
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    common = np.zeros((len(left), len(right)), np.float32)
+    use = times[column] > 1  # a shingle of one text is common to none
+    place_left, place_right = np.full(len(texts), -1), np.full(len(texts), -1)
+    place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
+    row, column, weight = row[use], column[use], weight[use]
+    steps = np.unique(weight)
+    for step, below in zip(steps, np.r_[0, steps[:-1]]):  # min(u, v) as a sum over the weights both reach
+        some = np.flatnonzero(weight >= step)
+        names, at = np.unique(column[some], return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        some, at = some[order], at[order]
+        for first in range(0, len(names), 16_384):
+            a, b = np.searchsorted(at, [first, first + 16_384])
+            r, c = row[some[a:b]], at[a:b] - first
+            one, two = np.zeros((len(left), 16_384), np.float32), np.zeros((len(right), 16_384), np.float32)
+            in_left, in_right = place_left[r] >= 0, place_right[r] >= 0
+            one[place_left[r[in_left]], c[in_left]] = 1
+            two[place_right[r[in_right]], c[in_right]] = 1
+            common += np.float32(step - below) * (one @ two.T)
+    whole = total[left][:, None] + total[right][None, :] - common
+    return np.where(whole > 0, common / np.maximum(whole, 1e-9), 0)
+
+
+def _forest(width: int, similarity: float):
+    """Links of one block of a family: a spanning forest of the strays' links with the members."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = table.column("text").combine_chunks()
+        stray = table.column("stray").to_numpy(zero_copy_only=False).astype(bool)
+        nodes = table.column("node").to_pylist()
+        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        # the exact sums are whole numbers below 2^24, the tolerance is for their ratio
+        linked = np.argwhere(cross_similarities(texts, left, right, width) >= similarity - 1e-7)
+        root = {n: n for n in nodes}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in linked.tolist():
+            a, b = nodes[left[i]], nodes[right[j]]
+            x, y = find(a), find(b)
+            if x != y:
+                root[x] = y
+                out.append((a, b))
+        return pa.table([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], schema=schema)
+    return run
 
 
-def _join_two(inside: DataFrame, own: DataFrame) -> DataFrame:
-    mark = F.xxhash64("bucket", "part")
-    left, right = inside.withColumn("k", mark), own.withColumn("k", mark).select("k", F.col("bucket").alias("b2"), F.col("part").alias("p2"), "own")
-    return hot_join(left, right, "k").where("bucket = b2 and part = p2").drop("b2", "p2", "k")
+def _family_links(compared: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links of texts that failed against their pivot with the other texts attached to it."""
+    marked = compared.select(F.col("b").alias("pivot"), F.col("a").alias("node"), (F.col("similarity") < similarity).alias("failed"))
+    sizes = (marked.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.count_if("failed").alias("strays"))
+             .where("members > 1 and strays > 0")
+             .select("pivot", F.ceil(F.col("members") / BLOCK_TEXTS).cast("int").alias("across"), F.ceil(F.col("strays") / BLOCK_TEXTS).cast("int").alias("down")))
+    families = marked.join(written(sizes, "families"), "pivot")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    members = families.select("pivot", "node", F.lit(False).alias("stray"), numbers("down").alias("i"), spot("across").alias("j"))
+    strays = families.where("failed").select("pivot", "node", F.lit(True).alias("stray"), spot("down").alias("i"), numbers("across").alias("j"))
+    block = F.xxhash64("pivot", "i", "j").alias("block")
+    dealt = written(members.unionByName(strays).select(block, "node", "stray"), "blocks")
+    return dealt.join(texts, "node").groupBy("block").applyInArrow(_forest(width, similarity), "a binary, b binary")
 
 
 def link_texts(docs: DataFrame, text: str, node: str, width: int, similarity: float, bands: int, rows: int) -> DataFrame:
-    """All links (a, b, similarity) between different texts that are needed to connect the classes."""
+    """Links (a, b) between different texts: enough of them to connect every class."""
     sketched = annotate(docs.where(F.col(text).isNotNull()), text, [node], [StructField("keys", ArrayType(LongType()))],
                         lambda: _sketch(bands, rows, width))
     once = (sketched.select(F.col("row")[node].alias("node"), "keys").where(F.size("keys") > 0)
             .groupBy("node").agg(F.first("keys").alias("keys")))
     members = written(once.select("node", F.explode("keys").alias("bucket")), "members")
-    pairs = cut(_pivot_pairs(members))
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # every bucket of several texts has a pivot pair, so the texts in pivot pairs are all that is ever compared
-    keys = cut(met.select(F.xxhash64("node").alias("key")))
-    test = maybe_in(keys, keys.count())
+    buckets = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "buckets")
+    together = written(members.join(buckets, "bucket"), "together")
+    central = together.groupBy("node").agg(F.sum("texts").alias("degree"))
+    ranked = written(together.join(central, "node").select("bucket", "node", "degree"), "ranked")
+    pivots = written(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot")), "pivots")
+    pairs = ranked.join(pivots, "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    # the texts in pivot pairs are all that is ever compared
+    met = pairs.select(F.xxhash64("a").alias("key")).unionByName(pairs.select(F.xxhash64("b").alias("key")))
+    test = maybe_in(met, 2 * pairs.count())
     texts = (docs.select(F.col(node).alias("node"), F.col(text).alias("text")).where(F.col("text").isNotNull())
              .where(test(F.xxhash64("node"))).groupBy("node").agg(F.first("text").alias("text")))
-    texts = written(texts.join(met, "node", "left_semi"), "texts")
-    links, checked = cut(_compare(pairs, texts, width, similarity)), pairs
-    left = cut(members.join(met, "node", "left_semi"))
-    while True:
-        parts = components(links)
-        left = _open_buckets(left.select("bucket", "node"), parts)
-        if left.isEmpty():
-            return links
-        small = left.where(F.col("texts") <= SMALL_BUCKET)
-        one, two = small.alias("one"), small.alias("two")
-        few = (one.join(two, F.col("one.bucket") == F.col("two.bucket")).where("one.node > two.node and one.part <> two.part")
-               .select(F.col("one.node").alias("a"), F.col("two.node").alias("b")))
-        large = left.where(F.col("texts") > SMALL_BUCKET)
-        picks = cut(large.groupBy("bucket").agg(F.min(F.struct("own", "node", "part")).alias("pick"))
-                    .select("bucket", F.col("pick.node").alias("pivot"), F.col("pick.part").alias("pivot_part")))
-        starred = hot_join(large, picks, "bucket")
-        many = starred.where("part <> pivot_part").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-        fresh = few.unionByName(many).distinct().join(checked, ["a", "b"], "left_anti")
-        pairs = cut(fresh)
-        links = cut(links.unionByName(_compare(pairs, texts, width, similarity)))
-        checked = cut(checked.unionByName(pairs))
-        left = cut(starred.where("node <> pivot").select("bucket", "node"))
+    texts = written(texts, "texts")
+    compared = written(_compare(pairs, texts, width), "compared")
+    links = compared.where(F.col("similarity") >= similarity).select("a", "b")
+    return written(links.unionByName(_family_links(compared, texts, width, similarity)), "links")
 
 
 def _placed(source: DataFrame, width: int, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
@@ -253,12 +280,12 @@ def _placed(source: DataFrame, width: int, similarity: float, bands: int, rows:
     links = link_texts(source, "text", "node", width, similarity, bands, rows)
     parts = components(links)
     ids = written(source.select("doc_id", "node"), "ids")
-    placed = cut(hot_join(ids, parts, "node", how="left").select("doc_id", "node", F.coalesce("part", "node").alias("part")))
+    placed = written(ids.join(parts, "node", "left").select("doc_id", "node", F.coalesce("part", "node").alias("part")), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
-    classes = cut(placed.where("part is not null").groupBy("part").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
+    classes = (placed.where("part is not null").groupBy("part").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
                   .where("class_size > 1")
                   .select("part", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node"), "class_size"))
-    return placed, classes
+    return placed, written(classes, "classes")
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -270,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: ``doc_id``, ``class_id`` (least id of its class) and ``class_size``
     (documents in it)."""
     placed, classes = _placed(_source(docs, doc_id, text), width, similarity, bands, rows)
-    return (hot_join(placed, classes, "part", how="left")
+    return (placed.join(classes, "part", "left")
             .select("doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.coalesce("class_size", F.lit(1)).alias("class_size")))
 
@@ -285,9 +312,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """
     placed, classes = _placed(_source(docs, doc_id, text), width, similarity, bands, rows)
     mark = F.xxhash64("doc_id", "node")
-    grouped = hot_join(placed, classes, "part")
+    grouped = placed.join(classes, "part")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))
-    decided = cut(grouped.select(F.col("doc_id").alias("d"), F.col("node").alias("n"), mark.alias("mark"), stays.alias("stays")).distinct())
+    decided = written(grouped.select(F.col("doc_id").alias("d"), F.col("node").alias("n"), mark.alias("mark"), stays.alias("stays")).distinct(), "decided")
     test = maybe_in(decided.select("mark"), decided.count())
     row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row")
     tagged = docs.select(row, docs[doc_id].alias("doc_id"), F.unhex(F.md5(docs[text])).alias("node")).withColumn("mark", mark)

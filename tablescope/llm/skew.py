@@ -83,26 +83,27 @@ def maybe_in(keys: DataFrame, n: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a, b): every node with the least node of its component.
+    """Connected components of ``edges`` (a, b): every node (``node``) with the least node of its
+    component (``part``).
 
     Each round moves every node to its least neighbour and contracts the graph.
     Nodes are digests, so their order is random and the graph shrinks by a constant
-    factor a round.  Nodes without an edge to another one are left out.
+    factor a round.  Nodes without an edge to another one are left out.  Every frame is a
+    written table, so that each join has two plain shuffles and Spark can split a skewed one.
     """
-    edges = cut(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    edges = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
     mapping = None
-    while not edges.isEmpty():
+    while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         if mapping is None:
             mapping = least.select(F.col("a").alias("node"), F.col("m").alias("part"))
         else:
-            moved = hot_join(mapping.withColumnRenamed("part", "a"), least, "a", how="left")
-            mapping = moved.select("node", F.coalesce("m", "a").alias("part"))
-        mapping = cut(mapping)
-        one = hot_join(edges, least, "a").select(F.col("b").alias("a"), F.col("m").alias("x"))
-        both_ends = hot_join(cut(one), least, "a").select(F.col("x").alias("a"), F.col("m").alias("b"))
-        edges = cut(both_ends.where("a <> b").distinct())
+            moved = mapping.withColumnRenamed("part", "a").join(least, "a", "left")
+            mapping = written(moved.select("node", F.coalesce("m", "a").alias("part")), "parts")
+        one = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("x"))
+        ends = one.join(least, "a").select(F.col("x").alias("a"), F.col("m").alias("b"))
+        edges = written(ends.where("a <> b").distinct(), "edges")
     if mapping is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("part"))
     return mapping

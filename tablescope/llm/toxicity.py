@@ -14,8 +14,8 @@ The class tables come from all labelled training documents (one shuffle of disti
 word pairs, summed into hashed tables of fixed size, which are broadcast: about
 15 MB whatever the corpus).  A document's features are its length-normalised
 log-likelihood ratio and its excess, the sum of what single expressions exceed
-``MARGIN``, by itself and for its length; a logistic function fitted on at most
-``CALIBRATION_ROWS`` labelled training rows turns them into a score.
+``MARGIN``, by itself and for its length; a logistic function fitted on about
+``CALIBRATION_ROWS`` labelled training rows (all if there are fewer) turns them into a score.
 
 Training rows: labelled rows whose crc32(doc_id as text) mod 3 is not 1.  Labels,
 language, source and id are no inputs of a score.
@@ -206,12 +206,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     pairs = (train.select("text", "label").mapInArrow(_pairs, "word long, context int, toxic boolean, ordinary boolean")
              .groupBy("word", "context").agg(F.bool_or("toxic").alias("toxic"), F.bool_or("ordinary").alias("ordinary")))
     summed = (pairs.select("word", "toxic", "ordinary").mapInArrow(_table_rows, "at int, toxic long, ordinary long").groupBy("at")
-              .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas())
+              .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow())
     tables = np.zeros((2, STARTS[-1]), np.int64)
-    tables[:, summed["at"].to_numpy()] = summed[["toxic", "ordinary"]].to_numpy().T
+    for k, name in enumerate(("toxic", "ordinary")):
+        tables[k, summed["at"].to_numpy()] = summed[name].to_numpy()
+    del summed
     model = spark.sparkContext.broadcast(build_model(tables, discount))
-    # calibration: the rows with the least hashes, whatever the corpus
-    sample = (train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows) if calibration_rows else train)
+    # calibration: rows by a hash of their id, so many that about calibration_rows are taken whatever the corpus
+    share = min(1.0, calibration_rows / max(1, train.select("label").count()))
+    sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     seen = annotate(sample.select("text", "label"), "text", ["label"], FEATURES, lambda: _features(model.value)) \
         .select(F.col("row.label").alias("label"), "n_words", "mean_ratio", "excess").toPandas()
     y = (seen["label"].to_numpy() == 1).astype(float)

@@ -37,9 +37,11 @@ SEED = 17
 VARIANTS = 4
 SHORT = 48
 #: units are segmented in slices of at most this many characters
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: rows are encoded in blocks of at most this many bytes (a longer row is a block of its own)
+ENCODE_BYTES = 1 << 19
 #: a worker keeps the segmentations of at most this many (unit, variant) pairs
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1) << np.int64(62)
 
@@ -372,7 +374,7 @@ def _encode(path: str, seed: int, dropout: float, variants: int):
 
     def run(column: pa.Array) -> list[pa.Array]:
         ids, sizes, exact = [], [], []
-        for block in chunks(column):
+        for block in chunks(column, ENCODE_BYTES):
             if len(cache.keys) > cache.most:
                 cache.clear()
             flat, offsets = encode_block(model, block, seed, dropout, variants, cache)

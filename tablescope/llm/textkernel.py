@@ -18,7 +18,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tablescope.session import ship_package
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _BYTE = np.arange(256, dtype=np.uint8)
 #: A-Z to a-z, all other bytes as they are.

@@ -291,6 +291,7 @@ def _merge(df: DataFrame) -> DataFrame:
     text = old["row"]["text"]
     inner = F.aggregate(F.col("merged"), F.lit(0).cast("long"),
                         lambda n, s: n + F.regexp_count(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(word)))
-    return (df.withColumn("merged", merged)
-            .select(old["row"].alias("row"), "n_words", inner.alias("n_hit"),
-                    F.array_sort(F.array_union(old["items"], F.col("items"))).alias("items"), F.col("merged").alias("spans")))
+    full = (df.withColumn("merged", merged).withColumn("inner", inner)
+            .withColumn("united", F.array_sort(F.array_union(old["items"], F.col("items")))))
+    return full.select(F.col("row.row").alias("row"), "n_words", F.col("inner").alias("n_hit"), F.col("united").alias("items"),
+                       F.col("merged").alias("spans"))

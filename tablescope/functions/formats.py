@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.functions.text import text_of
+from tablescope.functions.text import plain_number_text, text_of
 
 # Fixed values (same as the reference): currency symbols; any other code is
 # shown as "<CODE> " in front.  A currency format also adds " <CODE>" behind,
@@ -54,7 +54,7 @@ def number_text(c: Column, decimals: int | None, group: bool) -> Column:
     separators; without decimals the plain number text."""
     x = c.cast("double")
     if decimals is None and not group:
-        return c.cast("string")
+        return plain_number_text(c)
     d = 6 if decimals is None else int(decimals)
     t = F.format_number(x, d)
     if decimals is None:

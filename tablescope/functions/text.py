@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 _EXP = r"^(-?\d+(?:\.\d+)?)E(-?)(\d+)$"
 
 
-def _fractional_text(c: Column) -> Column:
+def plain_number_text(c: Column) -> Column:
     s = c.cast("string")
     a = F.abs(c.cast("double"))
     # Spark writes the shortest round-trip digits; re-express them.
@@ -43,7 +43,7 @@ def _fractional_text(c: Column) -> Column:
 def text_of(c: Column, dt: T.DataType) -> Column:
     """Text of column ``c`` whose Spark type is ``dt``."""
     if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return _fractional_text(c)
+        return plain_number_text(c)
     if isinstance(dt, T.ArrayType):
         et = dt.elementType
         inner = F.transform(c, lambda x: text_of(x, et))

@@ -11,7 +11,6 @@ from tablescope.operators.filters import Filter, apply_filters, col
 from tablescope.types import is_nested
 
 DEFAULT_PAGE = 25
-MAX_PAGE = 1000
 TABLE_TILE_ROWS = 20
 
 
@@ -48,7 +47,7 @@ def preview(df: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0, q: str |
     offset + limit rows for the final merge, so shallow pages are cheap at any
     table size; very deep offsets are better served by filtering on the sort
     key of the last row seen (keyset paging)."""
-    limit = max(0, min(int(limit), MAX_PAGE))
+    limit = max(0, int(limit))
     kept = apply_filters(df, q, filters)
     order = sort_columns(df, sort, direction, tie_break)
     page = kept.orderBy(*order) if order else kept

@@ -92,12 +92,14 @@ def framed(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
     at this row), closes_prev (the previous frame ends before this row),
     new_branch (a compartment starts here), kind and frame_label."""
     valid = msgs.where((F.col("src") != "") & (F.col("dst") != ""))
+    valid = valid.withColumn("branch", F.when(F.col("branch") != "", F.col("branch")))   # a blank branch is none
     if max_group is None:
         max_group = largest_group(msgs, ["key"])          # one count bounds all three scans
     s1 = ordered_scan(valid, ["key"], ["ord"], lags=["grp"], max_group=max_group)
     changed = ~F.col("grp").eqNullSafe(F.col("prev_grp"))
-    s1 = s1.withColumn("chg", changed.cast("long"))
-    s2 = ordered_scan(s1, ["key"], ["ord"], sums=["chg"], max_group=max_group).withColumnRenamed("cum_chg", "run")
+    s1 = s1.withColumn("chg", changed.cast("long")).withColumn("opened", (changed & F.col("grp").isNotNull()).cast("long"))
+    s2 = (ordered_scan(s1, ["key"], ["ord"], sums=["chg", "opened"], max_group=max_group)
+          .withColumnsRenamed({"cum_chg": "run", "cum_opened": "frame_no"}))
     # within a run: the last non-null branch before this row (the opening row's
     # branch counts even when NULL)
     s2 = s2.withColumn("bord", F.when(F.col("branch").isNotNull() | (F.col("chg") == 1), F.col("ord")))
@@ -117,10 +119,9 @@ def framed(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
 def frames(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
     """(key, frame_no, kind, label, first_ord, last_ord, compartments)."""
     f = framed(msgs, max_group).where(F.col("grp").isNotNull())
-    return (f.groupBy("key", "run").agg(F.first("kind").alias("kind"), F.first("frame_label").alias("label"),
+    return (f.groupBy("key", "frame_no").agg(F.first("kind").alias("kind"), F.first("frame_label").alias("label"),
                                         F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"),
-                                        (F.count_if("new_branch") + 1).alias("compartments"))
-            .withColumnRenamed("run", "frame_no"))
+                                             (F.count_if("new_branch") + 1).alias("compartments")))
 
 
 def mermaid_id(name: Column) -> Column:
@@ -160,7 +161,8 @@ def mermaid_lines(msgs: DataFrame, autonumber: bool = False) -> DataFrame:
         F.struct(F.lit(0).alias("sub"), F.when(F.col("closes_prev"), F.lit("  end")).alias("line")),
         F.struct(F.lit(1).alias("sub"), F.when(F.col("opens"), F.concat(F.lit("  "), open_kind, F.lit(" "), F.col("frame_label"))).alias("line")),
         F.struct(F.lit(2).alias("sub"), F.when(F.col("new_branch"), F.concat(
-            F.lit("  "), F.when(F.col("kind") == "par", F.lit("and")).otherwise(F.lit("else")), F.lit(" "), F.col("branch"))).alias("line")),
+            F.lit("  "), F.when(F.col("kind") == "par", F.lit("and")).when(F.col("kind") == "alt", F.lit("else")),   # null elsewhere: no line
+            F.lit(" "), F.col("branch"))).alias("line")),
         F.struct(F.lit(3).alias("sub"), msg.alias("line")))).alias("l")).select("key", "sec", "pos", "l.*")
     # the frame still open after the last message closes at the end
     last = (f.groupBy("key").agg(F.max_by("grp", "ord").alias("g_last"))

@@ -71,22 +71,16 @@ def cumulative(series: DataFrame, order: str, value: str, keys: Sequence[str] =
 def heatmap_grid(df: DataFrame, x: str, y: str, value: str | None = None, agg: str = "sum") -> DataFrame:
     """H5  One row per (x, y) of the full grid; missing cells are 0.
 
-    Built as ``groupBy(x).pivot(y)`` (partial aggregation first) and an
-    ``unpivot`` back to long form -- the grid without a cross join."""
+    Cells are aggregated once; the grid is every x with the list of all y values
+    exploded, to which the cells are joined.  Labels may be any text."""
     measure = F.count(F.lit(1)) if value is None else _agg(agg, col(value))
-    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    # the y axis is read to the driver only after its size is proven bounded
-    distinct_y = df.where(col(y).isNotNull()).select(col(y)).distinct()
-    if distinct_y.limit(limit + 1).count() > limit:
-        raise ValueError(f"heatmap y axis has more than {limit} values (spark.sql.pivotMaxValues)")
-    ys = [r[0] for r in distinct_y.orderBy(col(y)).collect()]
-    if not ys:
-        return df.sparkSession.createDataFrame([], f"x string, y string, value double")
-    wide = (df.where(col(x).isNotNull() & col(y).isNotNull())
-            .groupBy(col(x).alias("x")).pivot(y, ys).agg(measure))
-    names = [c for c in wide.columns if c != "x"]
-    long = wide.unpivot("x", [F.col(f"`{c}`").cast("double").alias(c) for c in names], "y", "value")
-    return long.select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
+    cells = (df.where(col(x).isNotNull() & col(y).isNotNull())
+             .groupBy(col(x).alias("x"), col(y).cast("string").alias("y")).agg(measure.cast("double").alias("value")))
+    # the grid has x * y cells; its y axis, one row of an array, meets the x axis
+    axis = cells.agg(F.collect_set("y").alias("ys"))
+    grid = (cells.select("x").distinct().withColumn("__one", F.lit(1))
+            .join(F.broadcast(axis.withColumn("__one", F.lit(1))), "__one").select("x", F.explode("ys").alias("y")))
+    return grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float]) -> DataFrame:

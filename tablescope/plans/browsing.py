@@ -21,10 +21,10 @@ def preview_page(spark, sf):
 @register("preview_sorted", """
 SELECT *, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS total
 FROM lineitem WHERE CAST(l_returnflag AS VARCHAR) = 'R'
-ORDER BY l_shipdate ASC NULLS LAST, l_orderkey, l_linenumber LIMIT 1000
+ORDER BY l_shipdate ASC NULLS LAST, l_orderkey, l_linenumber LIMIT 5000
 """)
 def preview_sorted(spark, sf):
-    return preview_with_total(load(spark, sf, "lineitem"), limit=5000,  # capped at 1000
+    return preview_with_total(load(spark, sf, "lineitem"), limit=5000,
                               filters=[Filter("l_returnflag", value="R")],
                               sort="l_shipdate", tie_break=["l_orderkey", "l_linenumber"])
 

@@ -3,7 +3,8 @@
 Messages: from = role; to = the other side (user <-> assistant, system ->
 assistant); type reply for assistant turns; from_type actor for users and
 database for the system; from turn 2 on the exchange sits in a
-``loop:follow-up`` frame whose branch is ``early`` (turns 2-3) then ``late``.
+frame ``follow-up`` (loop, alt, par or a plain group by conversation; every seventh turn
+stands outside) whose branch is ``early`` (turns 2-3), then ``late``, blank on some turns.
 """
 from __future__ import annotations
 
@@ -15,8 +16,9 @@ from tablescope.plans import load, register
 CONV_SQL = """(SELECT conv_id AS key, turn AS ord, role AS src,
   CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END AS dst, text AS label,
   CASE WHEN role = 'assistant' THEN 'reply' ELSE 'sync' END AS mtype,
-  CASE WHEN turn >= 2 THEN 'loop:follow-up' END AS grp,
-  CASE WHEN turn >= 4 THEN 'late' WHEN turn >= 2 THEN 'early' END AS branch,
+  CASE WHEN turn >= 2 AND turn % 7 <> 5 THEN CASE conv_id % 4 WHEN 0 THEN 'loop:follow-up' WHEN 1 THEN 'alt:follow-up'
+       WHEN 2 THEN 'par:follow-up' ELSE 'follow-up' END END AS grp,
+  CASE WHEN turn >= 4 AND conv_id % 3 = 0 AND turn % 2 = 0 THEN '' WHEN turn >= 4 THEN 'late' WHEN turn >= 2 THEN 'early' END AS branch,
   CASE WHEN role = 'user' THEN 'actor' WHEN role = 'system' THEN 'database' END AS src_type
 FROM conversations)"""
 
@@ -26,8 +28,11 @@ def conv_messages(spark, sf):
     c = c.select("conv_id", "turn", "role", "text",
                  F.when(F.col("role") == "user", "assistant").otherwise("user").alias("dst"),
                  F.when(F.col("role") == "assistant", "reply").otherwise("sync").alias("mtype"),
-                 F.when(F.col("turn") >= 2, "loop:follow-up").alias("grp"),
-                 F.when(F.col("turn") >= 4, "late").when(F.col("turn") >= 2, "early").alias("branch"),
+                 F.when((F.col("turn") >= 2) & (F.col("turn") % 7 != 5),
+                        F.when(F.col("conv_id") % 4 == 0, "loop:follow-up").when(F.col("conv_id") % 4 == 1, "alt:follow-up")
+                        .when(F.col("conv_id") % 4 == 2, "par:follow-up").otherwise("follow-up")).alias("grp"),
+                 F.when((F.col("turn") >= 4) & (F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 0), "")
+                 .when(F.col("turn") >= 4, "late").when(F.col("turn") >= 2, "early").alias("branch"),
                  F.when(F.col("role") == "user", "actor").when(F.col("role") == "system", "database").alias("src_type"))
     return SQ.messages(c, "role", "dst", "text", "turn", key="conv_id", message_type="mtype", group="grp",
                        branch="branch", from_type="src_type")
@@ -52,13 +57,20 @@ def seq_participants(spark, sf):
 
 
 @register("seq_frames", f"""
-WITH m AS (SELECT *, CASE WHEN grp IS NOT DISTINCT FROM lag(grp) OVER w THEN 0 ELSE 1 END AS chg
-           FROM {CONV_SQL} WHERE src <> '' AND dst <> '' WINDOW w AS (PARTITION BY key ORDER BY ord)),
-r AS (SELECT *, sum(chg) OVER (PARTITION BY key ORDER BY ord) AS run FROM m),
-b AS (SELECT *, lag(branch) OVER (PARTITION BY key, run ORDER BY ord) AS pb FROM r)
-SELECT key, CAST(run AS BIGINT) AS frame_no, 'loop' AS kind, 'follow-up' AS label, min(ord) AS first_ord, max(ord) AS last_ord,
-       count(*) FILTER (WHERE chg = 0 AND branch IS NOT NULL AND branch IS DISTINCT FROM pb) + 1 AS compartments
-FROM b WHERE grp IS NOT NULL GROUP BY key, run""")
+WITH m AS (SELECT key, ord, grp, nullif(branch, '') AS branch FROM {CONV_SQL} WHERE src <> '' AND dst <> ''),
+opening AS (SELECT key, ord, grp, row_number() OVER (PARTITION BY key ORDER BY ord) AS frame_no
+            FROM (SELECT *, lag(grp) OVER (PARTITION BY key ORDER BY ord) AS g FROM m) WHERE grp IS NOT NULL AND grp IS DISTINCT FROM g),
+inside AS (SELECT m.key, m.ord, m.grp, m.branch, max(o.frame_no) AS frame_no FROM m JOIN opening o ON o.key = m.key AND o.ord <= m.ord
+           WHERE m.grp IS NOT NULL GROUP BY m.key, m.ord, m.grp, m.branch),
+named AS (SELECT key, frame_no, ord, branch, lag(branch) OVER (PARTITION BY key, frame_no ORDER BY ord) AS pb,
+                 first_value(branch) OVER (PARTITION BY key, frame_no ORDER BY ord) AS fb,
+                 first_value(ord) OVER (PARTITION BY key, frame_no ORDER BY ord) AS fo FROM inside WHERE branch IS NOT NULL),
+heads AS (SELECT key, frame_no, min(ord) AS first_ord, max(ord) AS last_ord, any_value(grp) AS grp FROM inside GROUP BY key, frame_no),
+turns AS (SELECT n.key, n.frame_no, count(*) FILTER (WHERE n.ord > h.first_ord AND n.branch IS DISTINCT FROM n.pb) AS c
+          FROM named n JOIN heads h ON h.key = n.key AND h.frame_no = n.frame_no GROUP BY n.key, n.frame_no)
+SELECT h.key, h.frame_no, CASE WHEN contains(h.grp, ':') THEN split_part(h.grp, ':', 1) ELSE 'group' END AS kind, 'follow-up' AS label,
+       h.first_ord, h.last_ord, coalesce(t.c, 0) + 1 AS compartments
+FROM heads h LEFT JOIN turns t ON t.key = h.key AND t.frame_no = h.frame_no""")
 def seq_frames(spark, sf):
     return SQ.frames(conv_messages(spark, sf))
 
@@ -70,8 +82,8 @@ def _mermaid_sql() -> str:
             "THEN lower(trim(split_part(grp, ':', 1))) ELSE 'group' END")
     flabel = "CASE WHEN instr(grp, ':') > 1 THEN trim(substr(grp, instr(grp, ':') + 1)) ELSE grp END"
     arrow = "CASE mtype WHEN 'sync' THEN '->>' WHEN 'reply' THEN '-->>' WHEN 'async' THEN '-)' WHEN 'lost' THEN '-x' END"
-    return f"""
-WITH m AS (SELECT * FROM {CONV_SQL} WHERE src <> '' AND dst <> ''),
+    return rf"""
+WITH m AS (SELECT * REPLACE (nullif(branch, '') AS branch) FROM {CONV_SQL} WHERE src <> '' AND dst <> ''),
 f AS (SELECT *, lag(grp) OVER w AS prev_grp, CASE WHEN grp IS NOT DISTINCT FROM lag(grp) OVER w THEN 0 ELSE 1 END AS chg
       FROM m WINDOW w AS (PARTITION BY key ORDER BY ord)),
 r AS (SELECT *, sum(chg) OVER (PARTITION BY key ORDER BY ord) AS run, {kind} AS kind, {flabel} AS flabel FROM f),
@@ -94,7 +106,7 @@ lines AS (
   UNION ALL SELECT key, 2, ord, 1, '  ' || CASE WHEN kind = 'group' THEN 'loop' ELSE kind END || ' ' || flabel
             FROM c WHERE chg = 1 AND grp IS NOT NULL
   UNION ALL SELECT key, 2, ord, 2, '  ' || CASE WHEN kind = 'par' THEN 'and' ELSE 'else' END || ' ' || branch
-            FROM c WHERE grp IS NOT NULL AND chg = 0 AND branch IS NOT NULL AND branch IS DISTINCT FROM cur_branch
+            FROM c WHERE kind IN ('alt', 'par') AND grp IS NOT NULL AND chg = 0 AND branch IS NOT NULL AND branch IS DISTINCT FROM cur_branch
   UNION ALL SELECT c.key, 2, c.ord, 3, CASE WHEN c.grp IS NOT NULL THEN '    ' ELSE '  ' END || s.mid || ({arrow.replace('mtype', 'c.mtype')})
                    || d.mid || ': ' || regexp_replace(c.label, '\s*\n\s*', ' ', 'g')
             FROM c JOIN ids s ON s.key = c.key AND s.name = c.src JOIN ids d ON d.key = c.key AND d.name = c.dst

@@ -83,9 +83,26 @@ def _strip_literals(s: str) -> str:
     return re.sub(r"'(?:[^']|'')*'", "''", s)
 
 
+def _check_reads_only(spark: SparkSession, sql: str) -> None:
+    """Refuse a statement whose parsed plan has a command or an insert anywhere (``WITH ... INSERT``,
+    ``FROM ... INSERT``): ``spark.sql`` would run it at once."""
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    writes = [loader.loadClass(logical + name) for name in ("Command", "ParsedStatement")]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        node = todo.pop()
+        if any(kind.isInstance(node) for kind in writes):
+            raise ValueError("only read-only queries are allowed")
+        for nodes in (node.children(), node.innerChildren()):
+            todo += [nodes.apply(i) for i in range(nodes.size())]
+
+
 def query(spark: SparkSession, sql: str, json_nested: bool = True) -> DataFrame:
     """Read-only ad-hoc SQL; nested result columns are rewrapped as JSON."""
-    df = spark.sql(_check_single_read(sql))
+    body = _check_single_read(sql)
+    _check_reads_only(spark, body)
+    df = spark.sql(body)
     return json_safe(df) if json_nested else df
 
 
@@ -93,6 +110,7 @@ def save_view(spark: SparkSession, name: str, sql: str, overwrite: bool = False)
     """Save one read-only statement as a (temp) view.  A name clash -- compared
     case-insensitively with any relation -- fails unless ``overwrite``."""
     body = _check_single_read(sql)
+    _check_reads_only(spark, body)
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
         raise ValueError(f"invalid view name: {name!r}")
     existing = {t.name.lower() for t in spark.catalog.listTables()}

@@ -90,58 +90,6 @@ def test_end_before_start_and_bad_rows(spark):
     assert [(x.ord, x.s, x.e) for x in r] == [(0, 10.0, 10.0)]
 
 
-def _render(rows, autonumber):
-    """Plain-Python rendering of the sequence rules, for comparison."""
-    import re
-    arrows = {"sync": "->>", "reply": "-->>", "async": "-)", "lost": "-x"}
-    def mid(n):
-        i = re.sub(r"^_+|_+$", "", re.sub(r"[^A-Za-z0-9_]", "_", n))
-        return i or "p"
-    lines = ["sequenceDiagram"] + (["  autonumber"] if autonumber else [])
-    order, typ = [], {}
-    for r in rows:
-        for n, t in ((r["src"], r.get("src_type")), (r["dst"], None)):
-            if n == "":
-                continue
-            if n not in order:
-                order.append(n)
-            tt = (t or "").strip().lower()
-            if n not in typ and tt in ("actor", "database", "boundary", "participant"):
-                typ[n] = tt
-    for n in order:
-        t = typ.get(n, "participant")
-        if t in ("database", "boundary"):
-            lines.append(f"  %% {t}")
-        kw = "actor" if t == "actor" else "participant"
-        lines.append(f"  {kw} {mid(n)}" + (f" as {n}" if mid(n) != n else ""))
-    cur, kind, br = None, None, None
-    for r in rows:
-        if r["src"] == "" or r["dst"] == "":
-            continue
-        raw = (r.get("grp") or "").strip() or None
-        if raw != cur:
-            if cur:
-                lines.append("  end")
-            cur = None
-            if raw:
-                i = raw.find(":")
-                k = raw[:i].strip().lower() if i > 0 else ""
-                lbl = raw[i + 1:].strip() if i > 0 else raw
-                kind = k if k in ("loop", "opt", "alt", "par") else "loop"
-                lines.append(f"  {kind} {lbl}")
-                cur, br = raw, r.get("branch")
-        elif cur and r.get("branch") and r.get("branch") != br:
-            lines.append(f"  {'and' if kind == 'par' else 'else'} {r['branch']}")
-            br = r["branch"]
-        t = (r.get("mtype") or "").strip().lower()
-        t = t if t in arrows else "sync"
-        label = re.sub(r"\s*\n\s*", " ", r["label"])
-        lines.append(f"{'    ' if cur else '  '}{mid(r['src'])}{arrows[t]}{mid(r['dst'])}: {label}")
-    if cur:
-        lines.append("  end")
-    return lines
-
-
 MESSAGES = [
     dict(seq=1, src="Web App", dst="API", label="GET /x", mtype="sync", grp=None, branch=None, src_type="actor"),
     dict(seq=2, src="API", dst="db", label="query\n  rows", mtype="weird", grp="alt:cache", branch="hit", src_type=None),
@@ -154,20 +102,54 @@ MESSAGES = [
 ]
 
 
-def test_mermaid_lines_match_rendering(spark):
-    df = spark.createDataFrame(MESSAGES, "seq long, src string, dst string, label string, mtype string, grp string, branch string, src_type string")
-    msgs = SQ.messages(df, "src", "dst", "label", "seq", message_type="mtype", group="grp", branch="branch", from_type="src_type")
-    got = [r.line for r in SQ.mermaid_lines(msgs, autonumber=True).orderBy("line_no").collect()]
-    assert got == _render(MESSAGES, True)
-    doc = SQ.mermaid_documents(SQ.mermaid_lines(msgs)).collect()[0].document
-    assert doc.startswith("sequenceDiagram\n") and doc.endswith("  end\n")
-
-
-def test_loop_frame_has_end_and_no_else(spark):
-    rows = [(i, "a", "b", f"m{i}", "loop retry") for i in range(3)]
-    df = spark.createDataFrame(rows, "seq long, src string, dst string, msg string, grp string")
-    text = "\n".join(r.line for r in SQ.mermaid_lines(SQ.messages(df, "src", "dst", "msg", "seq", group="grp")).orderBy("line_no").collect())
-    assert "  loop loop retry" in text and text.endswith("  end") and "else" not in text and "\n  and" not in text
+def _document(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "seq long, src string, dst string, label string, grp string, branch string")
+    msgs = SQ.messages(df, "src", "dst", "label", "seq", group="grp", branch="branch")
+    return SQ.mermaid_documents(SQ.mermaid_lines(msgs, **kw)).collect()[0].document
+
+
+def test_mermaid_alt_and_par_have_dividers(spark):
+    rows = [(1, "A", "B", "ask", None, None), (2, "B", "A", "yes", "alt:answer", "good"), (3, "B", "A", "no", "alt:answer", "bad"),
+            (4, "A", "B", "one", "par:both", "x"), (5, "A", "B", "two", "par:both", ""), (6, "A", "B", "three", "par:both", "y"), (7, "B", "A", "bye", None, None)]
+    assert _document(spark, rows, autonumber=True) == """sequenceDiagram
+  autonumber
+  participant A
+  participant B
+  A->>B: ask
+  alt answer
+    B->>A: yes
+  else bad
+    B->>A: no
+  end
+  par both
+    A->>B: one
+    A->>B: two
+  and y
+    A->>B: three
+  end
+  B->>A: bye
+"""
+
+
+def test_mermaid_loop_opt_and_plain_groups_have_no_dividers(spark):
+    for grp, head in (("loop:again", "loop again"), ("opt:maybe", "opt maybe"), ("odd thing", "loop odd thing")):
+        rows = [(i, "A", "B", f"m{i}", grp, f"try{i}") for i in range(1, 4)]
+        assert _document(spark, rows) == f"""sequenceDiagram
+  participant A
+  participant B
+  {head}
+    A->>B: m1
+    A->>B: m2
+    A->>B: m3
+  end
+"""
+
+
+def test_frames_are_numbered_without_the_gaps(spark):
+    rows = [(1, "A", "B", "m", None, None), (2, "A", "B", "m", "alt:x", "p"), (3, "A", "B", "m", None, None), (4, "A", "B", "m", "alt:x", "q")]
+    df = spark.createDataFrame(rows, "seq long, src string, dst string, label string, grp string, branch string")
+    got = SQ.frames(SQ.messages(df, "src", "dst", "label", "seq", group="grp", branch="branch")).collect()
+    assert sorted((r.frame_no, r.first_ord) for r in got) == [(1, 2), (2, 4)]
 
 
 def test_participants_and_frames(spark):

@@ -82,3 +82,36 @@ def test_restore_registers_with_suffix(spark):
     S.snapshot({"regionx": region}, bundle)
     S.restore(spark, bundle, register=True)
     assert spark.table("regionx_2").count() == 5
+
+
+def test_inserts_inside_queries_are_refused(spark):
+    import pytest
+    from tablescope.sources import catalog
+    spark.range(3).createOrReplaceTempView("guard_src")
+    for sql in ("WITH q AS (SELECT * FROM guard_src) INSERT INTO guard_tgt SELECT * FROM q", "FROM guard_src INSERT INTO guard_tgt SELECT id"):
+        with pytest.raises(ValueError, match="read-only"):
+            catalog.query(spark, sql)
+        with pytest.raises(ValueError, match="read-only"):
+            catalog.save_view(spark, "guard_view", sql)
+    assert catalog.query(spark, "WITH q AS (SELECT id FROM guard_src WHERE id IN (SELECT 1)) SELECT 'InsertIntoStatement' AS t FROM q").count() == 1
+
+
+def test_plain_numbers_have_no_exponent(spark):
+    from pyspark.sql import functions as F
+    from tablescope.functions.formats import Format, format_number_col
+    df = spark.sql("SELECT 12345678.0D AS a, 0.0001D AS b, 9007199254740993L AS c")
+    money = Format(prefix="$")
+    row = df.select(*[format_number_col(F.col(c), money).alias(c) for c in "abc"]).first()
+    assert tuple(row) == ("$12345678.0", "$0.0001", "$9007199254740993")
+
+
+def test_heatmap_takes_any_label(spark):
+    from tablescope.operators.tiles import heatmap_grid
+    df = spark.createDataFrame([("a", "x"), ("a", "Red"), ("b", "red"), ("b", "`q")], "k string, v string")
+    got = {(r.x, r.y): r.value for r in heatmap_grid(df, "k", "v").collect()}
+    assert len(got) == 8 and got["b", "`q"] == 1 and got["a", "red"] == 0
+
+
+def test_preview_honours_its_limit(spark):
+    from tablescope.operators.explore import preview
+    assert preview(spark.range(6000), limit=5000).rows.count() == 5000

@@ -1,5 +1,4 @@
-"""Shared primitives: the value census, bounded top-k per group, and exact
-distributed ranks (no single-partition window anywhere).
+"""Shared primitives: the value census and bounded top-k per group.
 
 Value census
     ``stack`` the wanted columns into long form ``(column, value, keep)`` and
@@ -14,13 +13,6 @@ Top-k per group
     ``(group, hash-bucket)`` partitions first (Spark plans this with a partial
     ``WindowGroupLimit`` before the exchange), then the exact top k per group
     over at most ``buckets * k`` candidates.
-
-Ranks
-    Average / minimum rank of each distinct value: census rows are range
-    partitioned on the value, the partition layout is fixed by a reliable
-    ``checkpoint`` (so a recomputation cannot move a boundary), partition
-    totals (one number per partition) give offsets, and a running sum inside
-    each partition finishes the prefix sum.
 """
 from __future__ import annotations
 
@@ -96,64 +88,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint dir."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def value_ranks(counts: DataFrame, key_cols: Sequence[str], value_col: str, n_col: str = "n",
-                partitions: int | None = None) -> DataFrame:
-    """Exact prefix sums of ``n`` ordered by ``value`` within each key.
-
-    ``counts`` holds one row per ``(key..., value)`` with multiplicity ``n``.
-    Adds ``before`` (rows with a smaller value in the same key), from which
-    min rank = before + 1 and average rank = before + (n + 1) / 2.
-    """
-    spark = counts.sparkSession
-    p = partitions or default_buckets(spark)
-    keys = [F.col(c) for c in key_cols]
-    laid = checkpoint(counts.repartitionByRange(p, *keys, F.col(value_col))
-                      .withColumn("__pid", F.spark_partition_id()))
-    # partition totals per key: at most (#partitions x #keys) rows
-    totals = laid.groupBy("__pid", *key_cols).agg(F.sum(n_col).alias("__tot"))
-    wk = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__off", F.coalesce(F.sum("__tot").over(wk), F.lit(0))).drop("__tot")
-    wp = (Window.partitionBy("__pid", *keys).orderBy(F.col(value_col))
-          .rowsBetween(Window.unboundedPreceding, -1))
-    local = laid.withColumn("__local", F.coalesce(F.sum(n_col).over(wp), F.lit(0)))
-    # offsets hold one row per (partition, key): few for column keys, but they
-    # grow with data-valued groups, so AQE picks the join from the real size
-    return (local.join(offsets, ["__pid", *key_cols])
-            .withColumn("before", F.col("__off") + F.col("__local"))
-            .drop("__pid", "__off", "__local"))
-
-
-# A key whose exact number of distinct values is at most this is ranked with a
-# plain keyed window: its census rows (bounded by this count) fit one task.
-# Larger keys take the range-partitioned prefix sum of ``value_ranks``.
-WINDOW_RANK_MAX = 1_000_000
-
-
-def ranks_by_key(counts: DataFrame, key: str, value_col: str, n_col: str = "n",
-                 window_max: int = WINDOW_RANK_MAX) -> DataFrame:
-    """``value_ranks`` for one key column, choosing per key by its exact size.
-
-    Adds ``before`` (rows with a smaller value in the same key) and ``tot``
-    (rows in the key).  ``counts`` should be persisted by the caller; the
-    per-key sizes (one row per key) are read once on the driver, so keys must
-    be few (columns, rank keys) -- for data-valued groups use ``value_ranks``."""
-    sizes = {r[0]: (r[1], r[2]) for r in
-             counts.groupBy(key).agg(F.count(F.lit(1)), F.sum(n_col)).collect()}
-    small = [k for k, (rows, _) in sizes.items() if rows <= window_max]
-    large = [k for k in sizes if k not in small]
-    tot = counts.sparkSession.createDataFrame([(k, t) for k, (_, t) in sizes.items()],
-                                              f"{key} {counts.schema[key].dataType.simpleString()}, tot long")
-    parts = []
-    if small:
-        w = Window.partitionBy(key).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-        parts.append(counts.where(F.col(key).isin(small))
-                     .withColumn("before", F.coalesce(F.sum(n_col).over(w), F.lit(0)).cast("long")))
-    if large:
-        parts.append(value_ranks(counts.where(F.col(key).isin(large)), [key], value_col, n_col)
-                     .select(*counts.columns, F.col("before").cast("long").alias("before")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(F.broadcast(tot), key)   # one row per key

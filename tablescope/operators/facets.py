@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 from tablescope.functions.text import text_of
 from tablescope.operators.census import census, top_k_per_group
 from tablescope.operators.filters import Filter, build_clauses, col, normalize_contains, search_predicate
+from tablescope.operators.ordered import ordered_scan
 from tablescope.types import is_boolean, is_numeric, is_scalar_list, is_temporal, looks_like_id
 
 TOP_VALUES = 12
-ALL_FACET_VALUES = 1000
 
 
 def granularity(days: int | None) -> str:
@@ -259,11 +259,17 @@ def facets(df: DataFrame, q: str | None = None, filters: Sequence[Filter] = ())
 
 
 def facet_values(df: DataFrame, column: str, q: str | None = None, filters: Sequence[Filter] = (),
-                 limit: int = ALL_FACET_VALUES) -> DataFrame:
-    """All values of one column (show-all), scoped by the other columns' filters."""
+                 limit: int | None = None) -> DataFrame:
+    """All values of one column (show-all) in order, scoped by the other columns' filters;
+    at most ``limit`` of them where one is given."""
     if column not in df.columns:
         raise ValueError(f"no such column: {column}")
     fc = Facets(df, q, filters)
     fc.kinds = {column: "values"}
-    return fc.values(top=limit, only=[column])
+    if limit is not None:
+        return fc.values(top=limit, only=[column])
+    every = fc.census([column]).select("column_name", "value", F.col("n_keep").alias("cnt"), (-F.col("n_keep")).alias("fewer"),
+                                       F.lit(1).alias("one"))
+    ranked = ordered_scan(every, ["column_name"], ["fewer", "value"], sums=["one"])
+    return ranked.select("column_name", "value", "cnt", F.col("cum_one").cast("int").alias("rank"))
 

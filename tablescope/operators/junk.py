@@ -13,6 +13,7 @@ fingerprints; only pairs with equal fingerprints are then verified exactly with
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 from typing import Sequence
 
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from tablescope.functions.text import text_of
 from tablescope.operators.census import census, top_k_per_group
 from tablescope.operators.filters import Filter, apply_filters, col
-from tablescope.operators.predict import SAMPLE_ROWS, sample_exact
 from tablescope.types import junk_supported
 
 # Verdict thresholds (the reference kept them in its browser code, which is not
@@ -34,10 +34,13 @@ SPARSE_SHARE = 0.10          # fewer than this share of rows are non-null
 @dataclass
 class JunkReport:
     row_count: int
-    sampled: bool
-    sample_n: int
     columns: DataFrame      # column_name, non_null, distinct, top_value, top_count
-    duplicates: DataFrame   # a, b
+    text: DataFrame         # the compared columns, as text
+    names: list[str]
+
+    @cached_property
+    def duplicates(self) -> DataFrame:   # a, b; found when first asked for
+        return duplicates(self.text, self.names)
 
 
 def _usable(df: DataFrame) -> list[str]:
@@ -49,21 +52,15 @@ def _usable(df: DataFrame) -> list[str]:
     return out
 
 
-def junk(df: DataFrame, q: str | None = None, filters: Sequence[Filter] = (),
-         sample_rows: int | None = None) -> JunkReport:
+def junk(df: DataFrame, q: str | None = None, filters: Sequence[Filter] = ()) -> JunkReport:
     spark = df.sparkSession
     kept = apply_filters(df, q, filters)
     names = _usable(df)
     n = kept.count()
-    sampled = sample_rows is not None and n > sample_rows
     if not names or n == 0:
         empty_c = spark.createDataFrame([], "column_name string, non_null long, distinct long, top_value string, top_count long")
-        return JunkReport(n, sampled, min(n, sample_rows or n), empty_c, spark.createDataFrame([], "a string, b string"))
+        return JunkReport(n, empty_c, empty_c, [])
     text = kept.select([text_of(col(c), df.schema[c].dataType).alias(c) for c in names])
-    if sampled:
-        text = sample_exact(text, sample_rows)
-    n_eff = sample_rows if sampled else n
-
     cen = census(text, [(c, col(c), None, False) for c in names])
     per_col = cen.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("non_null"))
     modal = top_k_per_group(cen, ["column_name"], [F.col("n").desc(), F.col("value").asc()], 1, tie_key="value")
@@ -73,10 +70,10 @@ def junk(df: DataFrame, q: str | None = None, filters: Sequence[Filter] = (),
                        F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"),
                        F.col("value").alias("top_value"), F.coalesce("n", F.lit(0)).cast("long").alias("top_count"))
                .orderBy("ord").drop("ord"))
-    return JunkReport(n, sampled, n_eff, columns, duplicates(text, names, columns))
+    return JunkReport(n, columns, text, names)
 
 
-def duplicates(text: DataFrame, names: Sequence[str], columns: DataFrame) -> DataFrame:
+def duplicates(text: DataFrame, names: Sequence[str]) -> DataFrame:
     spark = text.sparkSession
     if len(names) < 2:
         return spark.createDataFrame([], "a string, b string")
@@ -98,7 +95,7 @@ def duplicates(text: DataFrame, names: Sequence[str], columns: DataFrame) -> Dat
 
 def verdicts(report: JunkReport) -> DataFrame:
     """(column_name, verdict): all_null, constant, near_constant, sparse or ok."""
-    n = report.sample_n
+    n = report.row_count
     c = report.columns
     share = F.col("top_count") / F.col("non_null")
     v = (F.when(F.col("non_null") == 0, F.lit("all_null"))
@@ -109,4 +106,4 @@ def verdicts(report: JunkReport) -> DataFrame:
     return c.select("column_name", v.alias("verdict"))
 
 
-__all__ = ["junk", "verdicts", "duplicates", "JunkReport", "SAMPLE_ROWS"]
+__all__ = ["junk", "verdicts", "duplicates", "JunkReport"]

@@ -1,34 +1,34 @@
-"""Skew-safe ordered scans: lag, running sum and running max per key.
+"""Skew-safe ordered scans: lag, running sum, running max and ranks per key.
 
 ``Window.partitionBy(key).orderBy(t)`` moves every row of a key into one task;
 a key holding a third of the table would make that task hold a third of the
-data.  Instead:
-
-1. ``repartitionByRange(P, *keys, *order)`` + ``sortWithinPartitions`` -- the
-   range partitioner samples the sort key, so a hot key is spread over several
-   partitions -- and a reliable ``checkpoint`` fixes that layout;
-2. one ``mapInPandas`` pass summarises each partition (first/last key, the
-   last key's running state): one small row per partition;
-3. the driver folds those P summaries into the carry-in state of every
-   partition (a key can span many partitions);
-4. one ``mapInPandas`` pass computes the scan inside each partition, batch by
-   batch, starting from its carry-in state.
-
-The result is identical to the window functions (tested against them).
-When the largest key is small enough to be a proven-bounded group (counted
-exactly first, ``WINDOW_SCAN_MAX`` rows), the keyed window itself is used:
-one shuffle instead of a range shuffle, a checkpoint and two passes.
+data.  One plan serves every size instead:
+
+1. ``repartitionByRange(P, *keys, *order)`` samples the sort key, so a hot key
+   is spread over several ranges; a reliable ``checkpoint`` fixes that layout,
+   and every row carries the number of its range;
+2. one aggregate per (range, key) takes what the scan has reached at its end:
+   the last values, the sums and the maxima;
+3. a window over those few rows (at most P per key) accumulates them: what a
+   key brings into each of its later ranges;
+4. these carried rows are put in front of the rows of their (range, key), and
+   plain windows over (range, key) finish the scan.  A group is never larger
+   than a range.
+
+Keys and values may be NULL (NULL keys are one group, as in SQL); integers stay
+exact.  The results equal the window functions over the whole key.
 
 Scans:
 * ``lags``: ``prev_<c>`` = value of ``c`` on the previous row of the same key;
-* ``sums``: ``cum_<c>`` = running sum of ``c`` up to and including the row;
-* ``prior_max``: ``pmax_<c>`` = max of ``c`` over strictly earlier rows of the key.
+* ``sums``: ``cum_<c>`` = running sum of ``c`` up to and including the row
+  (NULLs count as 0; long for integers, else double);
+* ``prior_max``: ``pmax_<c>`` = max of ``c`` over strictly earlier rows of the key;
+* ``totals``: ``tot_<c>`` = sum of ``c`` over the whole key.
 """
 from __future__ import annotations
 
-from typing import Iterator, Sequence
+from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,208 +36,84 @@ from pyspark.sql import types as T
 from tablescope.operators.census import checkpoint, default_buckets
 
 
-def _group_ids(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.Series:
-    if not keys:
-        return pd.Series(1, index=pdf.index)
-    k = pdf[list(keys)]
-    changed = (k != k.shift()).any(axis=1)
-    # NaN != NaN: treat two missing keys as equal
-    both_na = (k.isna() & k.shift().isna()).all(axis=1)
-    changed = changed & ~both_na
-    changed.iloc[0] = True
-    return changed.cumsum()
-
-
-def _key_of(row: pd.Series, keys: Sequence[str]) -> tuple:
-    return tuple(None if pd.isna(row[k]) else _py(row[k]) for k in keys)
-
-
-def _py(v):
-    if v is None:
-        return None
-    if hasattr(v, "item"):
-        try:
-            return v.item()
-        except Exception:  # noqa: BLE001
-            return v
-    if isinstance(v, pd.Timestamp):
-        return v.to_pydatetime()
-    return v
-
-
-class _State:
-    __slots__ = ("key", "last", "sum", "max")
-
-    def __init__(self, key, last, sums, maxes):
-        self.key, self.last, self.sum, self.max = key, last, sums, maxes
-
-    def to_row(self):
-        return (self.key, self.last, self.sum, self.max)
-
-    @staticmethod
-    def from_row(r):
-        return None if r is None else _State(*r)
-
-
-def _combine_max(a, b):
-    if a is None or (isinstance(a, float) and pd.isna(a)):
-        return b
-    if b is None or (isinstance(b, float) and pd.isna(b)):
-        return a
-    return max(a, b)
-
-
-def _scan_batch(pdf: pd.DataFrame, keys, lags, sums, pmax, state: _State | None):
-    """Scan one sorted batch; returns (frame with new columns, end state)."""
-    gid = _group_ids(pdf, keys)
-    g = pdf.groupby(gid, sort=False)
-    first_key = _key_of(pdf.iloc[0], keys)
-    carry = state if (state is not None and state.key == first_key) else None
-    first_mask = gid == gid.iloc[0]
-    first_pos = pdf.index[0]
-    out = {}
-    for c in lags:
-        s = g[c].shift(1)
-        if carry is not None:
-            s = s.astype(object) if s.dtype.kind not in "fcmM" else s
-            s.loc[first_pos] = carry.last.get(c)
-        out[f"prev_{c}"] = s
-    for c in sums:
-        s = g[c].cumsum()
-        s = s.where(pdf[c].notna() | True, s)  # cumsum skips NaN already
-        s = s.groupby(gid).ffill().fillna(0)
-        if carry is not None and carry.sum.get(c) is not None:
-            s = s.where(~first_mask, s + carry.sum[c])
-        out[f"cum_{c}"] = s
-    for c in pmax:
-        cm = g[c].cummax().groupby(gid).ffill()
-        prior = cm.groupby(gid).shift(1)
-        if carry is not None and carry.max.get(c) is not None:
-            cv = carry.max[c]
-            prior = prior.astype(object)
-            prior[first_mask] = [cv if (p is None or (isinstance(p, float) and pd.isna(p))) else max(p, cv)
-                                 for p in prior[first_mask]]
-        out[f"pmax_{c}"] = prior
-    res = pdf.assign(**out)
-    # end state: the last key's segment (combined with the carry if it is the first)
-    last = res.iloc[-1]
-    last_key = _key_of(last, keys)
-    last_mask = gid == gid.iloc[-1]
-    seg = pdf[last_mask]
-    st_last = {c: _py(last[c]) for c in lags}
-    st_sum = {c: _py(res[f"cum_{c}"].iloc[-1]) for c in sums}
-    st_max = {}
-    for c in pmax:
-        m = seg[c].max()
-        m = None if pd.isna(m) else _py(m)
-        if carry is not None and last_key == first_key:
-            m = _combine_max(m, carry.max.get(c))
-        st_max[c] = m
-    return res, _State(last_key, st_last, st_sum, st_max)
-
-
-# A key with at most this many rows (its exact size is counted first) is
-# scanned with a plain keyed window: the group is bounded and fits one task.
-WINDOW_SCAN_MAX = 1_000_000
-
-
-def _window_scan(df: DataFrame, keys, order, lags, sums, prior_max) -> DataFrame:
-    w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*[F.col(c).asc_nulls_first() for c in (*keys, *order)])
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    base = {f.name: f.dataType for f in df.schema.fields}
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    cols += [F.lag(c).over(w).alias(f"prev_{c}") for c in lags]
-    cols += [F.coalesce(F.sum(c).over(upto), F.lit(0)).cast(
-        T.LongType() if isinstance(base[c], T.IntegralType) else T.DoubleType()).alias(f"cum_{c}") for c in sums]
-    cols += [F.max(c).over(before).alias(f"pmax_{c}") for c in prior_max]
-    return df.select(*cols)
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Exact row count of the largest key (one aggregate)."""
-    if not keys:
-        return df.count()
-    r = df.groupBy(*keys).count().agg(F.max("count")).collect()[0][0]
-    return int(r or 0)
-
-
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: Sequence[str] = (),
-                 sums: Sequence[str] = (), prior_max: Sequence[str] = (), partitions: int | None = None,
-                 window_max: int = WINDOW_SCAN_MAX, max_group: int | None = None) -> DataFrame:
+                 sums: Sequence[str] = (), prior_max: Sequence[str] = (), totals: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """See module docstring.  ``order`` must make rows unique within a key for a
-    deterministic result (add a row-order column).  When the largest key has
-    at most ``window_max`` rows (counted exactly, one aggregate) a keyed
-    window computes the same result in one shuffle.  ``max_group`` is an
-    upper bound on the largest key the caller already knows (skips the count)."""
-    spark = df.sparkSession
-    if window_max > 0:
-        biggest = max_group if max_group is not None else largest_group(df, keys)
-        if biggest <= window_max:
-            return _window_scan(df, list(keys), list(order), list(lags), list(sums), list(prior_max))
-    p = partitions or default_buckets(spark)
-    sort_cols = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
-    laid = checkpoint(df.repartitionByRange(p, *sort_cols).sortWithinPartitions(*sort_cols)
-                      .withColumn("__pid", F.spark_partition_id()))
-    keys, lags, sums, prior_max = list(keys), list(lags), list(sums), list(prior_max)
-
-    # pass 2: one summary row per partition
-    def summarise(it: Iterator[pd.DataFrame]):
-        state, first, pid, single = None, None, None, True
-        for pdf in it:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            pid = int(pdf["__pid"].iloc[0])
-            if first is None:
-                first = _key_of(pdf.iloc[0], keys)
-            _, state = _scan_batch(pdf, keys, lags, sums, prior_max, state)
-            if state.key != first or _group_ids(pdf, keys).iloc[-1] != 1:
-                single = False  # more than one key in this partition
-        if state is not None:
-            import pickle
-            yield pd.DataFrame({"pid": [pid], "blob": [pickle.dumps((first, single, state.to_row()))]})
-
-    import pickle
-    summaries = {r["pid"]: pickle.loads(r["blob"]) for r in
-                 laid.mapInPandas(summarise, "pid int, blob binary").collect()}   # <= P rows
-    carries: dict[int, object] = {}
-    carry = None
-    for pid in range(max(summaries) + 1 if summaries else 0):
-        carries[pid] = carry.to_row() if carry is not None else None
-        if pid not in summaries:
-            continue
-        first, single, end = summaries[pid]
-        end = _State.from_row(end)
-        if single and carry is not None and carry.key == end.key:
-            merged_sum = {c: (end.sum.get(c) or 0) + (carry.sum.get(c) or 0) for c in sums}
-            merged_max = {c: _combine_max(end.max.get(c), carry.max.get(c)) for c in prior_max}
-            carry = _State(end.key, end.last, merged_sum, merged_max)
-        else:
-            carry = end
-
-    out_fields = list(laid.schema.fields)
-    base = {f.name: f.dataType for f in out_fields}
-    for c in lags:
-        out_fields.append(T.StructField(f"prev_{c}", base[c]))
-    for c in sums:
-        out_fields.append(T.StructField(f"cum_{c}", T.LongType() if isinstance(base[c], T.IntegralType) else T.DoubleType()))
-    for c in prior_max:
-        out_fields.append(T.StructField(f"pmax_{c}", base[c]))
-    schema = T.StructType(out_fields)
-    int_sums = [c for c in sums if isinstance(base[c], T.IntegralType)]
-
-    def scan(it: Iterator[pd.DataFrame]):
-        state = None
-        for pdf in it:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            if state is None:
-                state = _State.from_row(carries.get(int(pdf["__pid"].iloc[0])))
-            res, state = _scan_batch(pdf, keys, lags, sums, prior_max, state)
-            for c in int_sums:
-                res[f"cum_{c}"] = res[f"cum_{c}"].astype("int64")
-            yield res[[f.name for f in out_fields]]
-
-    return laid.mapInPandas(scan, schema).drop("__pid")
+    deterministic result (add a row-order column)."""
+    columns = df.columns
+    types = {f.name: f.dataType for f in df.schema.fields}
+    p = partitions or default_buckets(df.sparkSession)
+    sort_cols = [F.col(f"`{c}`").asc_nulls_first() for c in (*keys, *order)]
+    # a key column that is stored, so that no keys at all means one group and not one task
+    laid = checkpoint(df.withColumn("__all", F.lit(0)).repartitionByRange(p, *sort_cols)
+                      .withColumn("__range", F.spark_partition_id()))
+    group = [F.col(f"`{c}`") for c in (keys or ["__all"])]
+    names = list(keys or ["__all"])
+
+    lag_in = [F.col(f"`{c}`").alias(f"__lag_{c}") for c in lags]
+    added = lambda c: F.col(f"`{c}`").cast(T.LongType() if isinstance(types[c], T.IntegralType) else T.DoubleType())
+    sum_in = [added(c).alias(f"__sum_{c}") for c in sums]
+    tot_in = [added(c).alias(f"__tot_{c}") for c in totals]
+    max_in = [F.col(f"`{c}`").alias(f"__max_{c}") for c in prior_max]
+    carried = [*(f"__lag_{c}" for c in lags), *(f"__sum_{c}" for c in sums), *(f"__max_{c}" for c in prior_max),
+               *(f"__tot_{c}" for c in totals)]
+    rows = laid.select("*", *lag_in, *sum_in, *max_in, *tot_in, F.lit(1).alias("__row"))
+
+    last = F.max_by(F.struct(*[f"__lag_{c}" for c in lags]), F.struct(*[F.col(f"`{c}`") for c in order])).alias("last") if lags else None
+    ends = rows.groupBy("__range", *group).agg(
+        *([last] if lags else []), *[F.sum(f"__sum_{c}").alias(f"__sum_{c}") for c in sums],
+        *[F.max(f"__max_{c}").alias(f"__max_{c}") for c in prior_max], *[F.sum(f"__tot_{c}").alias(f"__tot_{c}") for c in totals])
+    whole = Window.partitionBy(*group)
+    across = Window.partitionBy(*group).orderBy("__range")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(
+        "__range", *group, F.lag("__range").over(across).alias("from"),
+        *([F.lag("last").over(across).alias("last")] if lags else []),
+        *[F.sum(f"__sum_{c}").over(earlier).alias(f"__sum_{c}") for c in sums],
+        *[F.max(f"__max_{c}").over(earlier).alias(f"__max_{c}") for c in prior_max],
+        *[F.sum(f"__tot_{c}").over(whole).alias(f"__tot_{c}") for c in totals])
+    if not totals:   # nothing comes into a key's first range
+        carry = carry.where(F.col("from").isNotNull())
+    carry = carry.select("__range", *group, *[F.col("last")[f"__lag_{c}"].alias(f"__lag_{c}") for c in lags],
+                         *carried[len(lags):],
+                         F.lit(0).alias("__row"))
+
+    inside = Window.partitionBy("__range", *group).orderBy("__row", *[F.col(f"`{c}`").asc_nulls_first() for c in order])
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.select("__range", "__row", *dict.fromkeys([*names, *columns]), *carried).unionByName(carry, allowMissingColumns=True)
+    out = both.select(
+        "__row", *[F.col(f"`{c}`") for c in columns],
+        *[F.lag(f"__lag_{c}").over(inside).alias(f"prev_{c}") for c in lags],
+        *[F.coalesce(F.sum(f"__sum_{c}").over(upto), F.lit(0)).alias(f"cum_{c}") for c in sums],
+        *[F.max(f"__max_{c}").over(before).alias(f"pmax_{c}") for c in prior_max],
+        *[F.first(f"__tot_{c}").over(upto).alias(f"tot_{c}") for c in totals])   # the carried row comes first
+    return out.where("__row = 1").drop("__row")
+
+
+def value_ranks(counts: DataFrame, key_cols: Sequence[str], value_col: str, n_col: str = "n",
+                partitions: int | None = None) -> DataFrame:
+    """Exact prefix sums of ``n`` ordered by ``value`` within each key.
+
+    ``counts`` holds one row per ``(key..., value)`` with multiplicity ``n``.
+    Adds ``before`` (rows with a smaller value in the same key) and ``tot`` (rows
+    of the key); min rank = before + 1, average rank = before + (n + 1) / 2.
+    """
+    scanned = ordered_scan(counts, key_cols, [value_col], sums=[n_col], totals=[n_col], partitions=partitions)
+    return (scanned.withColumn("before", F.col(f"cum_{n_col}") - F.col(n_col))
+            .withColumnRenamed(f"tot_{n_col}", "tot").drop(f"cum_{n_col}"))
+
+
+def order_quantiles(ranked: DataFrame, key: str, value_col: str, probs: Sequence[float]) -> DataFrame:
+    """(key, p, q): ``quantile_cont`` of every key from the rows of ``value_ranks``.  A value knows from its
+    rank whether it is one of the two order statistics of a quantile, so no target is joined."""
+    hits = []
+    for p in probs:
+        pos = F.lit(float(p)) * (F.col("tot") - 1)
+        for side, idx in (("lo", F.floor(pos)), ("hi", F.least(F.ceil(pos), F.col("tot") - 1))):
+            hits.append(F.when((F.col("before") <= idx) & (idx < F.col("before") + F.col("n")), F.struct(
+                F.lit(float(p)).alias("p"), F.lit(side).alias("side"), (pos - F.floor(pos)).alias("frac"), F.col(value_col).alias("v"))))
+    met = ranked.select(key, F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select(key, "h.*")
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("v")))
+    return (met.groupBy(key, "p").agg(side("lo").alias("lo"), side("hi").alias("hi"), F.max("frac").alias("frac"))
+            .select(key, "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("q")))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.operators.filters import col
-from tablescope.operators.ordered import largest_group, ordered_scan
+from tablescope.operators.ordered import ordered_scan
 
 # Fixed vocabularies and arrow syntax (same as the reference's renderer):
 PARTICIPANT_TYPES = ["actor", "database", "boundary", "participant"]
@@ -53,13 +53,13 @@ def messages(df: DataFrame, frm: str, to: str, label: str, order: str, key: str
                      opt(from_type).alias("src_type"), opt(to_type).alias("dst_type"))
 
 
-def numbered(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
+def numbered(msgs: DataFrame) -> DataFrame:
     """Autonumber: 1.. per diagram over messages with both endpoints."""
     valid = msgs.where((F.col("src") != "") & (F.col("dst") != "")).withColumn("one", F.lit(1))
-    return ordered_scan(valid, ["key"], ["ord"], sums=["one"], max_group=max_group).withColumnRenamed("cum_one", "number").drop("one")
+    return ordered_scan(valid, ["key"], ["ord"], sums=["one"]).withColumnRenamed("cum_one", "number").drop("one")
 
 
-def participants(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
+def participants(msgs: DataFrame) -> DataFrame:
     """(key, name, position, ptype): first appearance order (from before to)."""
     ends = msgs.select("key", "ord", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("src").alias("name"), F.col("src_type").alias("t")),
@@ -71,8 +71,7 @@ def participants(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
         F.min(F.when(tnorm.isin(PARTICIPANT_TYPES), F.struct("ord", "side", tnorm.alias("tt")))).alias("ft"))
     ranked = ordered_scan(first.select("key", "name", F.col("first.ord").alias("o"), F.col("first.side").alias("sd"),
                                        F.col("ft.tt").alias("ptype"), F.lit(1).alias("one")),
-                          ["key"], ["o", "sd"], sums=["one"],
-                          max_group=None if max_group is None else 2 * max_group)   # <= 2 names per message
+                          ["key"], ["o", "sd"], sums=["one"])
     return ranked.select("key", "name", (F.col("cum_one") - 1).alias("position"), "ptype")
 
 
@@ -85,7 +84,7 @@ def _frame_parts(grp: Column):
     return k, lbl
 
 
-def framed(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
+def framed(msgs: DataFrame) -> DataFrame:
     """Per valid message: frame boundaries and compartment changes.
 
     Adds frame_no (1.. per diagram, counting group frames), opens (a frame opens
@@ -93,17 +92,15 @@ def framed(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
     new_branch (a compartment starts here), kind and frame_label."""
     valid = msgs.where((F.col("src") != "") & (F.col("dst") != ""))
     valid = valid.withColumn("branch", F.when(F.col("branch") != "", F.col("branch")))   # a blank branch is none
-    if max_group is None:
-        max_group = largest_group(msgs, ["key"])          # one count bounds all three scans
-    s1 = ordered_scan(valid, ["key"], ["ord"], lags=["grp"], max_group=max_group)
+    s1 = ordered_scan(valid, ["key"], ["ord"], lags=["grp"])
     changed = ~F.col("grp").eqNullSafe(F.col("prev_grp"))
     s1 = s1.withColumn("chg", changed.cast("long")).withColumn("opened", (changed & F.col("grp").isNotNull()).cast("long"))
-    s2 = (ordered_scan(s1, ["key"], ["ord"], sums=["chg", "opened"], max_group=max_group)
+    s2 = (ordered_scan(s1, ["key"], ["ord"], sums=["chg", "opened"])
           .withColumnsRenamed({"cum_chg": "run", "cum_opened": "frame_no"}))
     # within a run: the last non-null branch before this row (the opening row's
     # branch counts even when NULL)
     s2 = s2.withColumn("bord", F.when(F.col("branch").isNotNull() | (F.col("chg") == 1), F.col("ord")))
-    s3 = ordered_scan(s2, ["key", "run"], ["ord"], prior_max=["bord"], max_group=max_group)
+    s3 = ordered_scan(s2, ["key", "run"], ["ord"], prior_max=["bord"])
     prevb = s3.select(F.col("key").alias("pk"), F.col("ord").alias("pm"), F.col("branch").alias("cur_branch"))
     s4 = (s3.join(prevb, (F.col("key") == F.col("pk")) & (F.col("pmax_bord") == F.col("pm")), "left")
           .drop("pk", "pm"))
@@ -116,9 +113,9 @@ def framed(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
          & ~F.col("branch").eqNullSafe(F.col("cur_branch"))).alias("new_branch"))
 
 
-def frames(msgs: DataFrame, max_group: int | None = None) -> DataFrame:
+def frames(msgs: DataFrame) -> DataFrame:
     """(key, frame_no, kind, label, first_ord, last_ord, compartments)."""
-    f = framed(msgs, max_group).where(F.col("grp").isNotNull())
+    f = framed(msgs).where(F.col("grp").isNotNull())
     return (f.groupBy("key", "frame_no").agg(F.first("kind").alias("kind"), F.first("frame_label").alias("label"),
                                         F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"),
                                              (F.count_if("new_branch") + 1).alias("compartments")))
@@ -132,8 +129,7 @@ def mermaid_id(name: Column) -> Column:
 def mermaid_lines(msgs: DataFrame, autonumber: bool = False) -> DataFrame:
     """(key, line_no, line): the mermaid ``sequenceDiagram`` document per diagram,
     one row per line (join with ``array_join`` per key for the text)."""
-    max_group = largest_group(msgs, ["key"])
-    parts = participants(msgs, max_group)
+    parts = participants(msgs)
     pid = mermaid_id(F.col("name"))
     ptype = F.coalesce(F.col("ptype"), F.lit("participant"))
     decl = F.concat(F.lit("  "), F.when(ptype == "actor", F.lit("actor")).otherwise(F.lit("participant")), F.lit(" "), pid,
@@ -148,7 +144,7 @@ def mermaid_lines(msgs: DataFrame, autonumber: bool = False) -> DataFrame:
         top.append(F.struct(F.lit(1).alias("sub"), F.lit("  autonumber").alias("line")))
     top_lines = keys.select("key", F.lit(0).alias("sec"), F.lit(0).cast("long").alias("pos"),
                             F.explode(F.array(*top)).alias("l")).select("key", "sec", "pos", "l.*")
-    f = framed(msgs, max_group)
+    f = framed(msgs)
     ids = parts.select("key", "name", pid.alias("mid"))
     f = (f.join(ids.select("key", F.col("name").alias("src"), F.col("mid").alias("src_id")), ["key", "src"], "left")
           .join(ids.select("key", F.col("name").alias("dst"), F.col("mid").alias("dst_id")), ["key", "dst"], "left"))
@@ -169,9 +165,7 @@ def mermaid_lines(msgs: DataFrame, autonumber: bool = False) -> DataFrame:
             .where(F.col("g_last").isNotNull())
             .select("key", F.lit(3).alias("sec"), F.lit(0).cast("long").alias("pos"), F.lit(0).alias("sub"), F.lit("  end").alias("line")))
     lines = top_lines.unionByName(head_lines).unionByName(body).unionByName(last).where(F.col("line").isNotNull())
-    # lines per diagram: <= 2 + 2 per participant (<= 2 per message) + 4 per message + 1
-    numbered_lines = ordered_scan(lines.withColumn("one", F.lit(1)), ["key"], ["sec", "pos", "sub"], sums=["one"],
-                                  max_group=3 + 8 * max_group)
+    numbered_lines = ordered_scan(lines.withColumn("one", F.lit(1)), ["key"], ["sec", "pos", "sub"], sums=["one"])
     return numbered_lines.select("key", F.col("cum_one").alias("line_no"), "line")
 
 

@@ -1,16 +1,14 @@
 """Per-column statistics (2.E), all scoped by search + filters.
 
 Pass 1 (one aggregate, partial aggregation on every executor): row count and,
-per column, non-null count, ``approx_count_distinct``; numeric min/max/avg;
-temporal min/max (for the timeline granularity).
+per column, non-null count; numeric min/max/avg; temporal min/max (for the
+timeline granularity); estimated distinct counts only where asked for.
 
 Then, each a single job over the filtered table:
 
-* exact distinct through the value census for columns whose estimate is at or
-  below ``exact_distinct_max`` (``None``: every column is counted exactly);
-* quartiles: ``percentile`` (exact, linear interpolation) where the column's
-  distinct estimate is bounded by ``percentile_map_max`` -- its value->count map
-  then stays small -- otherwise exact ranks from the distributed prefix sum;
+* exact distinct through the value census;
+* quartiles: exact order statistics (linear interpolation) from the
+  distributed prefix sum;
 * 12-bin histograms (all numeric columns in one ``groupBy(column, bin)``);
 * top values of non-numeric, non-temporal columns (census top-k);
 * timeline bins of temporal columns (one ``groupBy(column, bucket)``).
@@ -25,27 +23,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.text import key_text, text_of
-from tablescope.operators.census import census, ranks_by_key, top_k_per_group
+from tablescope.operators.census import census, top_k_per_group
 from tablescope.operators.facets import granularity
 from tablescope.operators.filters import Filter, apply_filters, col
+from tablescope.operators.ordered import order_quantiles, value_ranks
 from tablescope.types import is_nested, is_numeric, is_temporal
 
 HIST_BINS = 12
 TOP_VALUES = 12
-EXACT_DISTINCT_MAX = 10_000
-PERCENTILE_MAP_MAX = 10_000   # value->count map per column in one final task: keep it small
 QUARTILES = (0.25, 0.5, 0.75)
 
 
 class Stats:
     def __init__(self, df: DataFrame, q: str | None = None, filters: Sequence[Filter] = (),
-                 exact_distinct_max: int | None = EXACT_DISTINCT_MAX,
-                 percentile_map_max: int = PERCENTILE_MAP_MAX, bins: int = HIST_BINS, top: int = TOP_VALUES):
+                 estimate: bool = False, bins: int = HIST_BINS, top: int = TOP_VALUES):
+        """``estimate`` asks for estimated distinct counts; they are exact otherwise, at every size."""
         self.source = df
         self.df = apply_filters(df, q, filters)
         self.schema = df.schema
-        self.exact_distinct_max = exact_distinct_max
-        self.percentile_map_max = percentile_map_max
+        self.estimate = estimate
         self.bins = bins
         self.top_n = top
         self.numeric = [f.name for f in self.schema.fields if is_numeric(f.dataType)]
@@ -59,8 +55,9 @@ class Stats:
             aggs = [F.count(F.lit(1)).alias("n")]
             for i, f in enumerate(self.schema.fields):
                 c = col(f.name)
-                hashable = F.to_json(c) if is_nested(f.dataType) else c
-                aggs += [F.count(c).alias(f"nn{i}"), F.approx_count_distinct(hashable).alias(f"nd{i}")]
+                aggs.append(F.count(c).alias(f"nn{i}"))
+                if self.estimate:
+                    aggs.append(F.approx_count_distinct(F.to_json(c) if is_nested(f.dataType) else c).alias(f"nd{i}"))
                 if f.name in self.numeric:
                     aggs += [F.min(c).cast("double").alias(f"mn{i}"), F.max(c).cast("double").alias(f"mx{i}"),
                              F.avg(c).alias(f"av{i}")]
@@ -94,52 +91,26 @@ class Stats:
         return census(self.df, entries)
 
     def distinct(self) -> DataFrame:
-        """(column, distinct, exact): exact where the estimate is small (or always)."""
+        """(column, distinct, exact): counted exactly unless estimates were asked for."""
         names = self.schema.fieldNames()
-        if self.exact_distinct_max is None:
-            p, exact_names = {}, list(names)      # no estimate needed
-        else:
-            p = self.pass1()
-            exact_names = [n for i, n in enumerate(names) if p[f"nd{i}"] <= self.exact_distinct_max]
         spark = self.df.sparkSession
-        approx = spark.createDataFrame([(n, p[f"nd{i}"]) for i, n in enumerate(names) if n not in exact_names],
-                                       "column_name string, distinct long")
-        parts = [approx.withColumn("exact", F.lit(False))]
-        if exact_names:
-            ex = (self._census(exact_names, display=False).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct")))
-            # columns that are all NULL have no census rows
-            zero = spark.createDataFrame([(n,) for n in exact_names], "column_name string")
-            ex = zero.join(ex, "column_name", "left").select("column_name", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"))
-            parts.append(ex.withColumn("exact", F.lit(True)))
-        return reduce(DataFrame.unionByName, parts)
+        if self.estimate:
+            p = self.pass1()
+            return spark.createDataFrame([(n, p[f"nd{i}"], False) for i, n in enumerate(names)],
+                                         "column_name string, distinct long, exact boolean")
+        found = self._census(names, display=False).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"))
+        # columns that are all NULL have no census rows
+        every = spark.createDataFrame([(n,) for n in names], "column_name string")
+        return every.join(found, "column_name", "left").select(
+            "column_name", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"), F.lit(True).alias("exact"))
 
     def quartiles(self) -> DataFrame:
-        """(column, q1, median, q3), exact (linear interpolation).
-
-        One ``percentile`` aggregate when the estimate pass has already run and
-        shows every numeric column within ``percentile_map_max`` distinct
-        values (small value->count maps); otherwise exact ranks for all columns
-        (census + prefix sums), which needs no estimate at all."""
-        spark = self.df.sparkSession
-        small: list[str] = []
-        if self.percentile_map_max > 0 and self._p1 is not None:
-            p = self._p1
-            if all(p[f"nd{self._idx(n)}"] <= self.percentile_map_max for n in self.numeric):
-                small = list(self.numeric)
-        large = [n for n in self.numeric if n not in small]
-        parts = [spark.createDataFrame([], "column_name string, q1 double, median double, q3 double")]
-        if small:
-            aggs = [F.percentile(col(n).cast("double"), list(QUARTILES)).alias(f"p{i}") for i, n in enumerate(small)]
-            row = self.df.agg(*aggs)
-            structs = [F.struct(F.lit(n).alias("column_name"), F.col(f"p{i}")[0].alias("q1"), F.col(f"p{i}")[1].alias("median"),
-                                F.col(f"p{i}")[2].alias("q3")) for i, n in enumerate(small)]
-            parts.append(row.select(F.inline(F.array(*structs))))
-        if large:
-            eq = exact_quantiles(self.df, large, QUARTILES)
-            pick = lambda p: F.max(F.when(F.col("p") == F.lit(p), F.col("value")))
-            parts.append(eq.groupBy("column_name").agg(pick(0.25).alias("q1"), pick(0.5).alias("median"),
-                                                  pick(0.75).alias("q3")))
-        return reduce(DataFrame.unionByName, parts)
+        """(column, q1, median, q3), exact (linear interpolation), from ranks: one plan at every size."""
+        if not self.numeric:
+            return self.df.sparkSession.createDataFrame([], "column_name string, q1 double, median double, q3 double")
+        eq = exact_quantiles(self.df, self.numeric, QUARTILES)
+        pick = lambda p: F.max(F.when(F.col("p") == F.lit(p), F.col("value")))
+        return eq.groupBy("column_name").agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"))
 
     def histogram(self) -> DataFrame:
         """(column, bin, lo, hi, cnt): equal-width bins on [min, max], the max
@@ -225,37 +196,11 @@ def report(st: "Stats") -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact ``quantile_cont`` of many numeric columns without holding a large
+    """Exact ``quantile_cont`` of many numeric columns without holding a
     column's values in one task: census of ``(column, value) -> n``, exact
-    prefix sums (``ranks_by_key``), then a lookup of the two neighbouring
-    order statistics of every target.  Returns (column_name, p, value)."""
-    spark = df.sparkSession
+    prefix sums, and the two neighbouring order statistics of every quantile.
+    Returns (column_name, p, value)."""
     structs = [F.struct(F.lit(n).alias("column_name"), col(n).cast("double").alias("v")) for n in columns]
     counts = (df.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull())
-              .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    ranked = None
-    try:
-        # read twice (per-column totals, then the target lookup): persist once
-        ranked = ranks_by_key(counts, "column_name", "v").persist(StorageLevel.MEMORY_AND_DISK)
-        targets = (ranked.select("column_name", "tot").distinct()
-                   .select("column_name", "tot", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-                   .withColumn("pos", F.col("p") * (F.col("tot") - 1))
-                   .select("column_name", "p", (F.col("pos") - F.floor("pos")).alias("frac"), F.explode(F.array(
-                       F.struct(F.lit("lo").alias("side"), F.floor("pos").cast("long").alias("idx")),
-                       F.struct(F.lit("hi").alias("side"), F.least(F.ceil("pos").cast("long"), F.col("tot") - 1).alias("idx")))).alias("s"))
-                   .select("column_name", "p", "frac", "s.*"))
-        # targets: (#columns x #probs x 2) rows -- a proven small bound
-        hit = (ranked.join(F.broadcast(targets), "column_name")
-               .where((F.col("before") <= F.col("idx")) & (F.col("idx") < F.col("before") + F.col("n")))
-               .select("column_name", "p", "frac", "side", "v"))
-        lo = hit.where(F.col("side") == "lo").select("column_name", "p", "frac", F.col("v").alias("vlo"))
-        hi = hit.where(F.col("side") == "hi").select("column_name", "p", F.col("v").alias("vhi"))
-        out = (lo.join(hi, ["column_name", "p"])
-               .select("column_name", "p", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value")))
-        rows = out.collect()   # (#columns x #probs) rows
-    finally:
-        counts.unpersist()
-        if ranked is not None:
-            ranked.unpersist()
-    return spark.createDataFrame(rows, "column_name string, p double, value double")
+              .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")))
+    return order_quantiles(value_ranks(counts, ["column_name"], "v"), "column_name", "v", probs).withColumnRenamed("q", "value")

@@ -15,9 +15,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.operators.census import top_k_per_group, value_ranks
+from tablescope.operators.census import top_k_per_group
 from tablescope.operators.filters import col
-from tablescope.operators.ordered import ordered_scan
+from tablescope.operators.ordered import order_quantiles, ordered_scan, value_ranks
 from tablescope.types import is_numeric
 
 _AGGS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
@@ -85,28 +85,11 @@ def heatmap_grid(df: DataFrame, x: str, y: str, value: str | None = None, agg: s
 
 def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float]) -> DataFrame:
     """Exact ``quantile_cont`` per group without holding a group in one task:
-    census ``(group, value) -> n``, distributed prefix sums, neighbour lookup.
+    census ``(group, value) -> n``, distributed prefix sums, order statistics.
     Returns (group, p, q)."""
     counts = (df.where(col(group).isNotNull() & col(value).isNotNull())
               .groupBy(col(group).alias("g"), col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
-    ranked = value_ranks(counts, ["g"], "v")
-    totals = counts.groupBy("g").agg(F.sum("n").alias("tot"))
-    # targets per (group, p): two order statistics; groups x len(probs) rows
-    tg = (totals.select("g", "tot", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-          .withColumn("pos", F.col("p") * (F.col("tot") - 1))
-          .withColumn("lo", F.floor("pos").cast("long"))
-          .withColumn("hi", F.least(F.ceil("pos").cast("long"), F.col("tot") - 1))
-          .withColumn("frac", F.col("pos") - F.col("lo")))
-    sides = tg.select("g", "p", "frac", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.col("lo").alias("idx")),
-        F.struct(F.lit("hi").alias("side"), F.col("hi").alias("idx")))).alias("s")).select("g", "p", "frac", "s.*")
-    # equi-join on the group, then the rank interval: each target meets its group's values
-    hit = (ranked.join(sides, "g").where((F.col("before") <= F.col("idx")) & (F.col("idx") < F.col("before") + F.col("n")))
-           .select("g", "p", "frac", "side", "v"))
-    lo = hit.where(F.col("side") == "lo").select("g", "p", "frac", F.col("v").alias("vlo"))
-    hi = hit.where(F.col("side") == "hi").select("g", "p", F.col("v").alias("vhi"))
-    return lo.join(hi, ["g", "p"]).select(F.col("g").alias(group), "p",
-                                          (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("q"))
+    return order_quantiles(value_ranks(counts, ["g"], "v"), "g", "v", probs).withColumnRenamed("g", group)
 
 
 def box_from_values(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -167,21 +150,14 @@ def density(df: DataFrame, group: str, value: str, cells: int = DENSITY_CELLS) -
             .select(F.col("g").alias(group), "cell", centre(F.col("cell")).alias("x"), "density", "n", "mean"))
 
 
-SCATTER_MAX_POINTS = 5000
-
-
-def scatter(df: DataFrame, x: str, y: str, max_points: int = SCATTER_MAX_POINTS, bins: int = 64) -> tuple[str, DataFrame]:
-    """H8  ('points', x/y projection) when at most ``max_points`` rows have both
-    values, else ('bins', 2-D bin counts): every row is represented either way."""
-    pts = df.where(col(x).isNotNull() & col(y).isNotNull()).select(col(x).alias("x"), col(y).alias("y"))
-    if pts.limit(max_points + 1).count() <= max_points:
-        return "points", pts
-    return "bins", scatter_bins(df, x, y, bins)
+def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
+    """H8  (x, y) of every row that has both values."""
+    return df.where(col(x).isNotNull() & col(y).isNotNull()).select(col(x).alias("x"), col(y).alias("y"))
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 64) -> DataFrame:
-    """H8  Raw points are a projection; past a point budget they become 2-D bin
-    counts: (bin_x, bin_y, x_lo, y_lo, cnt) on ``bins`` x ``bins`` equal cells."""
+    """H8  The binned form, which the caller chooses for many points: 2-D bin
+    counts (bin_x, bin_y, x_lo, y_lo, cnt) on ``bins`` x ``bins`` equal cells."""
     pts = df.where(col(x).isNotNull() & col(y).isNotNull()).select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
     r = pts.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).collect()[0]
     if r[0] is None:
@@ -209,12 +185,14 @@ def quadrant(df: DataFrame, x: str, y: str, label: str) -> DataFrame:
 
 # Map grid (the reference's cell size lived in the browser): 2-degree cells.
 MAP_CELL_DEG = 2.0
-MAP_LABELS = 5
 
 
 def map_points(df: DataFrame, lat: str, lon: str, value: str | None = None, label: str | None = None,
-               cell_deg: float = MAP_CELL_DEG, labels: int = MAP_LABELS) -> DataFrame:
-    """H10  Points to grid cells: (cx, cy, lat, lon, n, avg_value, labels)."""
+               cell_deg: float = MAP_CELL_DEG, labels: int | None = None) -> DataFrame:
+    """H10  Points to grid cells: (cx, cy, lat, lon, n, avg_value, labels).  With ``label``, ``labels``
+    says how many of a cell's most frequent labels are listed."""
+    if label and labels is None:
+        raise ValueError("map: say how many labels a cell lists")
     pts = df.where(col(lat).between(-90, 90) & col(lon).between(-180, 180))
     cx = F.floor((col(lon) + 180) / F.lit(cell_deg)).cast("int")
     cy = F.floor((F.lit(90) - col(lat)) / F.lit(cell_deg)).cast("int")
@@ -225,7 +203,7 @@ def map_points(df: DataFrame, lat: str, lon: str, value: str | None = None, labe
         "lat", F.lit(90.0) - (F.col("cy") + 0.5) * F.lit(cell_deg)).withColumn(
         "lon", (F.col("cx") + 0.5) * F.lit(cell_deg) - F.lit(180.0))
     if label:
-        # bounded label sample per cell: the most frequent labels, exact top-k
+        # the most frequent labels per cell, exact top-k
         lc = keyed.where(F.col("lbl").isNotNull()).groupBy("cx", "cy", "lbl").agg(F.count(F.lit(1)).alias("k"))
         top = top_k_per_group(lc.withColumn("cell", F.concat_ws(":", "cx", "cy")), ["cell"],
                               [F.col("k").desc(), F.col("lbl").asc()], labels, tie_key="lbl")

@@ -24,9 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.operators.census import ranks_by_key
 from tablescope.operators.filters import col
-from tablescope.operators.ordered import largest_group, ordered_scan
+from tablescope.operators.ordered import ordered_scan, value_ranks
 from tablescope.types import is_numeric, is_temporal
 
 _NUMERIC_TEXT = r"^\s*[+]?[0-9]*\.?[0-9]+([eE][+-]?[0-9]+)?\s*$"
@@ -97,7 +96,7 @@ def lane_order(b: DataFrame) -> DataFrame:
     ranked with distributed prefix sums (no single-partition window)."""
     first = (b.groupBy("lane").agg(F.min("ord").alias("first_ord"))
              .select(F.lit(0).alias("g"), "lane", "first_ord", F.lit(1).cast("long").alias("n")))
-    r = ranks_by_key(first, "g", "first_ord")     # one key: the lanes, sized exactly first
+    r = value_ranks(first, ["g"], "first_ord")
     return r.select("lane", F.col("before").alias("lane_index"))
 
 
@@ -121,11 +120,9 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def sublanes(b: DataFrame) -> DataFrame:
     """(ord, lane, sub): greedy lowest-free-sublane packing per lane."""
-    biggest = largest_group(b, ["lane"])
-    scanned = ordered_scan(b.select("ord", "lane", "s", "e"), ["lane"], ["s", "ord"], prior_max=["e"], max_group=biggest)
+    scanned = ordered_scan(b.select("ord", "lane", "s", "e"), ["lane"], ["s", "ord"], prior_max=["e"])
     isl_start = (F.col("pmax_e").isNull() | (F.col("pmax_e") <= F.col("s"))).cast("long")
-    isl = ordered_scan(scanned.withColumn("isl_start", isl_start), ["lane"], ["s", "ord"], sums=["isl_start"],
-                       max_group=biggest)
+    isl = ordered_scan(scanned.withColumn("isl_start", isl_start), ["lane"], ["s", "ord"], sums=["isl_start"])
     ord_type = b.schema["ord"].dataType.simpleString()
     return (isl.select("ord", "lane", "s", "e", F.col("cum_isl_start").alias("island"))
             .groupBy("lane", "island").applyInPandas(_pack, f"ord {ord_type}, lane string, sub int"))

@@ -36,7 +36,7 @@ def stats_counts(spark, sf):
 def stats_distinct(spark, sf):
     # exact for every column (the reference estimates above 10,000; the estimate
     # is engine-specific, so the checked query counts exactly)
-    return Stats(load(spark, sf, "lineitem"), exact_distinct_max=None).distinct()
+    return Stats(load(spark, sf, "lineitem")).distinct()
 
 
 @register("stats_minmaxavg", _union(
@@ -58,8 +58,7 @@ def stats_quartiles(spark, sf):
 
 @register("stats_quartiles_ranked", QUARTILES_SQL)
 def stats_quartiles_ranked(spark, sf):
-    # forces the scalable path: exact order statistics from distributed prefix sums
-    return (Stats(load(spark, sf, "lineitem"), percentile_map_max=0).quartiles()
+    return (Stats(load(spark, sf, "lineitem")).quartiles()
             .select("column_name", _r("q1"), _r("median"), _r("q3")))
 
 
@@ -138,7 +137,4 @@ def stats_nested(spark, sf):
     f"SELECT '{c}' AS column_name, round(quantile_cont({c}, 0.25), 6) AS q1, round(median({c}), 6) AS median, "
     f"round(quantile_cont({c}, 0.75), 6) AS q3 FROM customer" for c in ["c_custkey", "c_nationkey", "c_acctbal"]))
 def stats_quartiles_small(spark, sf):
-    """With the estimate pass done and every column small, one percentile aggregate."""
-    st = Stats(load(spark, sf, "customer"))
-    st.pass1()
-    return st.quartiles().select("column_name", _r("q1"), _r("median"), _r("q3"))
+    return Stats(load(spark, sf, "customer")).quartiles().select("column_name", _r("q1"), _r("median"), _r("q3"))

@@ -121,6 +121,12 @@ def tile_density(spark, sf):
     return out.select("c_mktsegment", "cell", _r("x"), _r("density", 12), "n", _r("mean"))
 
 
+@register("tile_scatter_points", """
+SELECT p_size AS x, p_retailprice AS y FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL""")
+def tile_scatter_points(spark, sf):
+    return TL.scatter_points(load(spark, sf, "part"), "p_size", "p_retailprice")
+
+
 @register("tile_scatter", """
 WITH p AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem
            WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
@@ -164,7 +170,7 @@ def tile_map(spark, sf):
     c = load(spark, sf, "customer").select((F.col("c_nationkey") * 7.0 - 85).alias("lat"),
                                            ((F.col("c_acctbal") + 1000) / 11000 * 360 - 180).alias("lon"),
                                            "c_acctbal", "c_mktsegment")
-    out = TL.map_points(c, "lat", "lon", value="c_acctbal", label="c_mktsegment")
+    out = TL.map_points(c, "lat", "lon", value="c_acctbal", label="c_mktsegment", labels=5)
     return out.select("cx", "cy", "lat", "lon", "n", _r("avg_value"), F.array_join("labels", "|").alias("labels"))
 
 

@@ -44,19 +44,13 @@ def test_column_pruning_reaches_scan(spark):
     assert "ReadSchema: struct<l_quantity:double>" in plan
 
 
-def test_no_unpartitioned_window_in_ranks(spark):
-    from tablescope.operators.census import value_ranks
+def test_ranks_and_scans_have_no_single_partition(spark):
+    from tablescope.operators.ordered import ordered_scan, value_ranks
     counts = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
-    plan = _plan(value_ranks(counts, ["k"], "v"))
-    assert "Window [sum(n" in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0]
-
-
-def test_ordered_scan_skew_path_has_no_single_partition(spark):
-    from tablescope.operators.ordered import ordered_scan
-    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"), F.col("id").alias("v"))
-    out = ordered_scan(df, ["k"], ["t"], sums=["v"], window_max=0, partitions=6)
-    plan = _plan(out)
-    assert "SinglePartition" not in plan and "MapInPandas" in plan
+    assert "SinglePartition" not in _plan(value_ranks(counts, ["k"], "v"))
+    for keys in (["k"], []):
+        plan = _plan(ordered_scan(counts, keys, ["v"], sums=["n"], partitions=6))
+        assert "SinglePartition" not in plan and "Pandas" not in plan and "Window" in plan
 
 
 def test_census_aggregates_map_side(spark):
@@ -66,12 +60,11 @@ def test_census_aggregates_map_side(spark):
     assert "partial_count" in plan            # map-side partial aggregation before the shuffle
 
 
-def test_skew_safe_ranks_use_checkpointed_range_layout(spark):
-    from tablescope.operators.census import ranks_by_key
-    counts = spark.range(3000).select(F.lit("c").alias("k"), F.col("id").cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
-    a = {r.v: r.before for r in ranks_by_key(counts, "k", "v", window_max=0).collect()}
-    b = {r.v: r.before for r in ranks_by_key(counts, "k", "v").collect()}
-    assert a == b and a[0.0] == 0 and a[2999.0] == 2999
+def test_ranks_over_many_ranges(spark):
+    from tablescope.operators.ordered import value_ranks
+    counts = spark.range(3000).select(F.lit("c").alias("k"), F.col("id").cast("double").alias("v"), F.lit(2).cast("long").alias("n"))
+    got = {r.v: (r.before, r.tot) for r in value_ranks(counts, ["k"], "v", partitions=9).collect()}
+    assert got == {float(i): (2 * i, 6000) for i in range(3000)}
 
 
 def test_every_oracle_runs_in_duckdb():

@@ -15,7 +15,7 @@ def test_ordered_scan_matches_windows_with_hot_key(spark):
     rows = [(i, 7 if i < 3000 else rnd.randint(0, 50), rnd.random() * 100, None if i % 11 == 0 else float(i % 17))
             for i in range(6000)]
     df = spark.createDataFrame(rows, "id long, k long, t double, v double")
-    got = ordered_scan(df, ["k"], ["t", "id"], lags=["t"], sums=["id"], prior_max=["v"], partitions=13, window_max=0)
+    got = ordered_scan(df, ["k"], ["t", "id"], lags=["t"], sums=["id"], prior_max=["v"], partitions=13)
     w = Window.partitionBy("k").orderBy("t", "id")
     exp = df.select("id", F.lag("t").over(w).alias("prev_t"),
                     F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_id"),
@@ -25,17 +25,19 @@ def test_ordered_scan_matches_windows_with_hot_key(spark):
     assert a == b
 
 
-def test_ordered_scan_paths_agree(spark):
-    rnd = random.Random(9)
-    rows = [(i, rnd.choice([1, 1, 1, 2, 3]), float(rnd.randint(0, 50)), None if i % 7 == 0 else i % 13) for i in range(2000)]
-    df = spark.createDataFrame(rows, "id long, k long, t double, v long")
-    a = ordered_scan(df, ["k"], ["t", "id"], lags=["v"], sums=["v"], prior_max=["v"], partitions=7, window_max=0)
-    b = ordered_scan(df, ["k"], ["t", "id"], lags=["v"], sums=["v"], prior_max=["v"])
-    key = lambda r: r.id
-    assert sorted(map(tuple, a.collect()), key=lambda r: r[0]) == sorted(map(tuple, b.collect()), key=lambda r: r[0])
-    c = ordered_scan(df, [], ["t", "id"], sums=["v"], window_max=0).select("id", "cum_v")
-    d = ordered_scan(df, [], ["t", "id"], sums=["v"]).select("id", "cum_v")
-    assert sorted(map(tuple, c.collect())) == sorted(map(tuple, d.collect()))
+def test_ordered_scan_null_keys_long_values_and_no_keys(spark):
+    big = 2 ** 53 + 1
+    rows = [(i, None if i % 3 else 1, None if i % 2 else "r", None if i % 7 == 0 else big + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k long, run string, v long")
+    for keys in (["k", "run"], ["k"], []):
+        w = Window.partitionBy(*(keys or [F.col("id") * 0])).orderBy("id")
+        upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        exp = df.select("*", F.lag("v").over(w), F.coalesce(F.sum("v").over(upto), F.lit(0)), F.max("v").over(before), F.sum("v").over(whole))
+        for parts in (1, 7):
+            got = ordered_scan(df, keys, ["id"], lags=["v"], sums=["v"], prior_max=["v"], totals=["v"], partitions=parts)
+            assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(map(tuple, exp.collect()), key=lambda r: r[0])
+    assert ordered_scan(df.limit(0), ["k"], ["id"], lags=["v"], sums=["v"]).count() == 0
 
 
 def _greedy(bars):

@@ -55,21 +55,28 @@ def test_role_ladder_and_pair_plan():
     roles = P.assign_roles(profs, 100)
     assert [r.reason for r in roles] == ["id_like", "high_cardinality", None, "all_null", None, "duplicate_name", "unsupported_type"]
     usable = [r for r in roles if r.role != "excluded"]
-    plans = {(p.x, p.y): p.method for p in P.plan_pairs(usable)}
+    plans = {(p.x, p.y): p.method for p in P.plan_pairs(usable)[0]}
     assert plans == {("c", "e"): "eta_sq", ("e", "c"): "binned_theil_u"}
 
 
-def test_column_cap():
+def test_no_column_or_category_is_left_out_unless_asked():
     from pyspark.sql import types as T
     profs = [P.Profile(f"c{i}", T.DoubleType(), True, False, 100, 50) for i in range(25)]
-    roles = P.assign_roles(profs, 100)
-    assert sum(r.role == "num" for r in roles) == 20 and roles[-1].reason == "column_cap"
+    profs.append(P.Profile("wide", T.StringType(), True, False, 100_000, 20_000))
+    roles = P.assign_roles(profs, 100_000)
+    assert all(r.reason is None for r in roles)
+    plans, skipped = P.plan_pairs(roles)
+    assert len(plans) == 25 * 24 // 2 + 50 and not skipped
+    limits = P.Limits(columns=20, cat_distinct=500)
+    roles = P.assign_roles(profs, 100_000, limits)
+    assert [r.reason for r in roles] == [None] * 20 + ["column_cap"] * 5 + ["high_cardinality"]
 
 
-def test_sample_is_exact_and_repeatable(spark, planted):
-    a = P.sample_exact(planted, 500)
-    assert a.count() == 500
-    assert sorted(r.x for r in a.collect()) == sorted(r.x for r in P.sample_exact(planted.repartition(7), 500).collect())
+def test_a_skipped_pair_is_reported():
+    from pyspark.sql import types as T
+    rows = [P.RoleRow(n, T.StringType(), "cat", d, 0, None) for n, d in (("a", 300), ("b", 200))]
+    plans, skipped = P.plan_pairs(rows, P.Limits(joint_cells=50_000))
+    assert plans == [] and skipped == [("a", "b", "joint_cells"), ("b", "a", "joint_cells")]
 
 
 def test_junk_fixture(spark):

@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import math
 import re
 from dataclasses import dataclass, replace
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 from functools import reduce
 from typing import Iterable, Sequence
 
@@ -92,6 +94,29 @@ def normalize_contains(schema: T.StructType, filters: Iterable[Filter]) -> list[
 
 
 _INT_TEXT = re.compile(r"0|-?[1-9]\d*")
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _int_bounds(dt: T.DataType) -> tuple[int, int]:
+    half = 1 << (_BITS[type(dt)] - 1)
+    return -half, half - 1
+
+
+def _typed_equals(c: Column, dt: T.DataType, v: str) -> Column | None:
+    """A comparison in the column's own type that every row with the text ``v`` meets; it reaches the scan."""
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        try:
+            number = float(v)
+        except ValueError:
+            return None
+        return c == F.lit(number).cast(dt) if math.isfinite(number) and number else None
+    literal = F.lit(v).try_cast(dt)
+    if isinstance(dt, (T.DecimalType, T.DateType, T.TimestampNTZType)):
+        return c == literal
+    if isinstance(dt, T.TimestampType):   # a wall-clock text can name two instants where clocks go back
+        day = F.expr("interval 1 day")
+        return c.between(literal - day, literal + day)
+    return None
 
 
 def _value_equals(schema: T.StructType, name: str, v: str) -> Column:
@@ -99,14 +124,34 @@ def _value_equals(schema: T.StructType, name: str, v: str) -> Column:
     c = col(name)
     if isinstance(dt, T.StringType):
         return c == F.lit(v)  # identical to text equality, and pushes down
-    if isinstance(dt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        if _INT_TEXT.fullmatch(v):
-            lo, hi = {T.ByteType: (-2**7, 2**7), T.ShortType: (-2**15, 2**15),
-                      T.IntegerType: (-2**31, 2**31), T.LongType: (-2**63, 2**63)}[type(dt)]
-            if lo <= int(v) < hi:
-                return c == F.lit(int(v)).cast(dt)
+    if type(dt) in _BITS:
+        lo, hi = _int_bounds(dt)
+        if _INT_TEXT.fullmatch(v) and lo <= int(v) <= hi:
+            return c == F.lit(int(v)).cast(dt)
         return F.lit(False) & c.isNotNull()  # no integer has this text
-    return text_of(c, dt) == F.lit(v)
+    typed, text = _typed_equals(c, dt, v), text_of(c, dt) == F.lit(v)
+    return text if typed is None else typed & text
+
+
+def _bound(c: Column, dt: T.DataType, value, lower: bool) -> Column:
+    """``c >= value`` (``lower``) or ``c <= value``, exact and in the column's own type."""
+    exact = Decimal(str(value))
+    rounding = ROUND_CEILING if lower else ROUND_FLOOR
+    if exact.is_finite() and type(dt) in _BITS:
+        whole, (lo, hi) = int(exact.to_integral_value(rounding)), _int_bounds(dt)
+        if not lo <= whole <= hi:   # beyond the type: every value meets the bound, or none
+            return c.isNotNull() if (whole < lo) == lower else F.lit(False) & c.isNotNull()
+        literal = F.lit(whole).cast(dt)
+    elif exact.is_finite() and isinstance(dt, T.DecimalType) and exact.adjusted() < dt.precision - dt.scale:
+        with localcontext() as ctx:
+            ctx.prec = 100
+            rounded = exact.quantize(Decimal(1).scaleb(-dt.scale), rounding)
+        if rounded.adjusted() >= dt.precision - dt.scale and rounded:   # rounded past the last value of the type
+            return F.lit(False) & c.isNotNull() if (rounded > 0) == lower else c.isNotNull()
+        literal = F.lit(format(rounded, "f")).cast(dt)
+    else:
+        literal = F.lit(float(value))
+    return c >= literal if lower else c <= literal
 
 
 def _contains(schema: T.StructType, name: str, v: str) -> Column:
@@ -150,72 +195,71 @@ def _temporal_literal(dt: T.DataType, s: str) -> Column:
     return F.lit(s).cast(dt if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)) else T.TimestampType())
 
 
-def build_clauses(schema: T.StructType, q: str | None, filters: Sequence[Filter]) -> list[Column]:
-    """The AND-ed clauses of the filter algebra, in the reference's order."""
-    clauses: list[Column] = []
-    groups: dict[tuple[str, bool], list] = {}
+def _known(schema: T.StructType, name: str) -> Column:
+    if name not in schema.fieldNames():
+        raise ValueError(f"no such column: {name}")
+    return col(name)
+
+
+def _wanted(schema: T.StructType, filters: Sequence[Filter]) -> list[Column]:
+    """Wanted values and wanted NULLs: OR within a column (containment apart)."""
+    by_column: dict[tuple[str, bool], list[Filter]] = {}
     for f in filters:
-        if f.negate or (f.value is None and not f.is_null):
-            continue
-        g = groups.setdefault((f.column, f.contains), [[], False])
-        if f.value is not None:
-            g[0].append(f.value)
+        if not f.negate and (f.value is not None or f.is_null):
+            by_column.setdefault((f.column, f.contains), []).append(f)
+    out = []
+    for (name, contains), members in by_column.items():
+        c = _known(schema, name)
+        values = list(dict.fromkeys(f.value for f in members if f.value is not None))
+        if not contains and len(values) > 1 and isinstance(schema[name].dataType, T.StringType):
+            options = [c.isin(values)]
         else:
-            g[1] = True
-    for (name, contains), (vals, has_null) in groups.items():
-        if name not in schema.fieldNames():
-            raise ValueError(f"no such column: {name}")
-        ors = [(_contains(schema, name, v) if contains else _value_equals(schema, name, v)) for v in vals]
-        if not contains and len(vals) > 1 and isinstance(schema[name].dataType, T.StringType):
-            ors = [col(name).isin(list(vals))]
-        if has_null:
-            ors.append(col(name).isNull())
-        clauses.append(reduce(lambda a, b: a | b, ors))
+            test = _contains if contains else _value_equals
+            options = [test(schema, name, v) for v in values]
+        if any(f.value is None for f in members):
+            options.append(c.isNull())
+        out.append(reduce(Column.__or__, options))
+    return out
 
-    for f in filters:
-        if not f.negate:
-            continue
-        if f.column not in schema.fieldNames():
-            raise ValueError(f"no such column: {f.column}")
-        if f.value is not None and f.contains:
-            clauses.append(~_contains(schema, f.column, f.value))
-        elif f.value is not None:
-            dt = schema[f.column].dataType
-            clauses.append(~text_of(col(f.column), dt).eqNullSafe(F.lit(f.value)))
-        elif f.is_null:
-            clauses.append(col(f.column).isNotNull())
 
-    for f in filters:
-        if not f.is_range():
-            continue
-        c = col(f.column)
-        parts = []
-        if f.min is not None:
-            parts.append(c >= F.lit(float(f.min)))
-        if f.max is not None:
-            parts.append(c <= F.lit(float(f.max)))
-        clauses.append(reduce(lambda a, b: a & b, parts))
+def _unwanted(schema: T.StructType, f: Filter) -> Column | None:
+    """The rows that a negated filter leaves (a NULL has no text, so it stays)."""
+    if not f.negate:
+        return None
+    c = _known(schema, f.column)
+    if f.value is None:
+        return c.isNotNull() if f.is_null else None
+    if f.contains:
+        return ~_contains(schema, f.column, f.value)
+    return ~text_of(c, schema[f.column].dataType).eqNullSafe(F.lit(f.value))
 
-    for f in filters:
-        if not f.is_trange():
-            continue
-        c = col(f.column)
-        dt = schema[f.column].dataType
-        parts = []
-        if f.tmin is not None:
-            parts.append(c >= _temporal_literal(dt, f.tmin))
-        if f.tmax is not None:
-            if _is_bare_date(f.tmax):
-                nxt = (_dt.date.fromisoformat(f.tmax) + _dt.timedelta(days=1)).isoformat()
-                parts.append(c < _temporal_literal(dt, nxt))
-            else:
-                parts.append(c < _temporal_literal(dt, f.tmax))
-        clauses.append(reduce(lambda a, b: a & b, parts))
-
-    s = search_predicate(schema, q)
-    if s is not None:
-        clauses.append(s)
-    return clauses
+
+def _in_range(schema: T.StructType, f: Filter) -> Column | None:
+    """Numbers from ``min`` to ``max``, both included."""
+    if not f.is_range():
+        return None
+    c, dt = _known(schema, f.column), schema[f.column].dataType
+    return reduce(Column.__and__, [_bound(c, dt, v, lower) for v, lower in ((f.min, True), (f.max, False)) if v is not None])
+
+
+def _in_time_range(schema: T.StructType, f: Filter) -> Column | None:
+    """Instants from ``tmin`` to before ``tmax``; a bare date as ``tmax`` includes that day."""
+    if not f.is_trange():
+        return None
+    c, dt = _known(schema, f.column), schema[f.column].dataType
+    sides = [] if f.tmin is None else [c >= _temporal_literal(dt, f.tmin)]
+    if f.tmax is not None:
+        end = f.tmax
+        if _is_bare_date(end):
+            end = (_dt.date.fromisoformat(end) + _dt.timedelta(days=1)).isoformat()
+        sides.append(c < _temporal_literal(dt, end))
+    return reduce(Column.__and__, sides)
+
+
+def build_clauses(schema: T.StructType, q: str | None, filters: Sequence[Filter]) -> list[Column]:
+    """The clauses of search and filters; a row must meet all of them."""
+    single = [kind(schema, f) for kind in (_unwanted, _in_range, _in_time_range) for f in filters]
+    return [c for c in (*_wanted(schema, filters), *single, search_predicate(schema, q)) if c is not None]
 
 
 def build_predicate(schema: T.StructType, q: str | None = None, filters: Sequence[Filter] = ()) -> Column | None:

@@ -104,3 +104,29 @@ def test_integer_value_filter_matches_text_exactly(spark):
     df = spark.createDataFrame([(0,), (5,), (-5,), (None,)], "v long")
     for text, want in {"0": 1, "-0": 0, "5": 1, "05": 0, "-5": 1, "5.0": 0}.items():
         assert apply_filters(df, filters=[Filter("v", value=text)]).count() == want, text
+
+
+def test_typed_predicates_reach_the_scan(spark, tmp_path):
+    from decimal import Decimal
+    path = str(tmp_path / "typed")
+    spark.range(100).select(
+        "id", (F.col("id") / 100).alias("d"), (F.col("id") + 2 ** 53).alias("big"), (F.col("id") / 4).cast("decimal(9,2)").alias("m"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id)").alias("t"),
+        F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(id)").alias("z")).write.parquet(path)
+    df = spark.read.parquet(path)
+
+    def run(f, pushed):
+        out = apply_filters(df, None, [f])
+        plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert pushed in plan, plan
+        return sorted(r.id for r in out.collect())
+    assert run(Filter("d", value="0.05"), "EqualTo(d,0.05)") == [5]
+    assert run(Filter("m", value="0.75"), "EqualTo(m,0.75)") == [3]
+    assert run(Filter("t", value="2024-01-03 00:00:00"), "EqualTo(t,2024-01-03") == [2]
+    assert run(Filter("z", value="2024-01-03 00:00:00"), "GreaterThanOrEqual(z,") == [2]
+    assert run(Filter("id", min=9.5, max=12), "GreaterThanOrEqual(id,10)") == [10, 11, 12]
+    assert run(Filter("big", min=2 ** 53 + 1, max=2 ** 53 + 2), f"GreaterThanOrEqual(big,{2 ** 53 + 1})") == [1, 2]
+    assert run(Filter("m", min=0.3, max=Decimal("0.8")), "GreaterThanOrEqual(m,0.30)") == [2, 3]
+    assert run(Filter("d", min=0.97), "GreaterThanOrEqual(d,0.97)") == [97, 98, 99]
+    for f, n in ((Filter("id", min=1e30), 0), (Filter("id", max=1e30), 100), (Filter("id", min=float("-inf")), 100), (Filter("d", value="x"), 0)):
+        assert apply_filters(df, None, [f]).count() == n

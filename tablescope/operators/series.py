@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 
 from tablescope.operators.facets import granularity
 from tablescope.operators.filters import col
+from tablescope.operators.census import checkpoint
 from tablescope.operators.ordered import ordered_scan
+from tablescope.operators.stats import exact_quantiles
 from tablescope.types import EPOCH_NAME, is_numeric, is_temporal
 
 LOESS_SPAN = 0.3
@@ -97,11 +99,10 @@ def loess(series: DataFrame, x: str, y: str, span: float = LOESS_SPAN) -> DataFr
 
 def outliers(trend: DataFrame, threshold: float = OUTLIER_Z, top: int | None = None) -> DataFrame:
     """I3  (x, y, fit, residual, z) for |z| > threshold, most extreme first."""
-    r = trend.withColumn("residual", F.col("y") - F.col("fit"))
-    med = r.agg(F.median("residual").alias("m")).collect()[0]["m"]
-    if med is None:
-        return r.withColumn("z", F.lit(None).cast("double")).limit(0)
-    mad = r.agg(F.median(F.abs(F.col("residual") - F.lit(med))).alias("mad")).collect()[0]["mad"]
+    r = checkpoint(trend.withColumn("residual", F.col("y") - F.col("fit")))   # read four times
+    middle = lambda df, c: next((row["value"] for row in exact_quantiles(df, [c], [0.5]).collect()), None)
+    med = middle(r, "residual")     # medians from ranks: no task holds the series
+    mad = None if med is None else middle(r.select(F.abs(F.col("residual") - F.lit(med)).alias("away")), "away")
     if not mad:
         return r.withColumn("z", F.lit(None).cast("double")).limit(0)
     out = (r.withColumn("z", F.col("residual") / F.lit(MAD_SCALE * mad))

@@ -178,27 +178,32 @@ COMMENT_MARKER = "tablescope:"
 
 def parse_comment(comment: Column) -> Column:
     """A format spec in a column comment: ``tablescope:{...}`` anywhere, or a
-    bare ``{...}`` comment; anything else is no format (NULL)."""
+    bare ``{...}`` comment; anything else, also text that is no JSON, is no format (NULL)."""
     i = F.instr(comment, COMMENT_MARKER)
     marked = F.trim(F.substr(comment, i + F.lit(len(COMMENT_MARKER)), F.length(comment)))
     bare = F.trim(comment)
     spec = F.when(i > 0, marked).when(bare.startswith("{"), bare)
-    return F.when(F.coalesce(spec, F.lit("")).isin("", "{}"), F.lit(None).cast("string")).otherwise(spec)
+    usable = ~F.coalesce(spec, F.lit("")).isin("", "{}") & F.try_parse_json(spec).isNotNull()
+    return F.when(usable, spec)
 
 
-def resolve_formats(comments: DataFrame, registry: DataFrame) -> DataFrame:
+def resolve_formats(comments: DataFrame, registry: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """J7  Effective format per (db, table, column).  Column comments give
     table-scoped formats, registry entries override them; a table-scoped entry
     (comment or registry) beats a bare ``column`` registry entry.  The latest
     registry write per key wins (upsert) and an empty spec deletes.
 
     ``comments``: (db, table, column, spec); ``registry``: (db, table, column,
-    spec, seq) with ``table`` NULL for a bare-column entry."""
+    spec, seq) with ``table`` NULL for a bare-column entry; ``columns``: (db, table, column)
+    of all relations, so that a bare entry reaches columns without a comment too."""
     latest = (registry.groupBy("db", "table", "column").agg(F.max_by("spec", "seq").alias("spec"))
               .where(F.col("spec").isNotNull() & (F.col("spec") != "")))
     scoped = latest.where(F.col("table").isNotNull()).withColumn("prio", F.lit(3))
     bare = latest.where(F.col("table").isNull()).drop("table")
-    targets = comments.select("db", "table", "column").distinct()
+    targets = comments.select("db", "table", "column")
+    if columns is not None:
+        targets = targets.unionByName(columns.select("db", "table", "column"))
+    targets = targets.distinct()
     bare_hits = targets.join(bare, ["db", "column"]).withColumn("prio", F.lit(1))
     com = comments.withColumn("spec", parse_comment(F.col("spec"))).where(F.col("spec").isNotNull()).withColumn("prio", F.lit(2))
     allc = com.unionByName(bare_hits.select("db", "table", "column", "spec", "prio")).unionByName(

@@ -4,14 +4,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.operators.filters import Filter, apply_filters, col
 from tablescope.types import is_nested
 
 DEFAULT_PAGE = 25
 TABLE_TILE_ROWS = 20
+# exports keep microseconds, and quotes inside values are doubled
+_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_CSV = {"header": True, "escape": '"', **_TIMES}
 
 
 def json_safe(df: DataFrame) -> DataFrame:
@@ -84,9 +88,20 @@ def export(df: DataFrame, path: str, fmt: str = "csv", q: str | None = None,
     lines.  Distributed write: one file per partition under ``path``."""
     out = export_frame(df, q, filters, hidden)
     if fmt == "csv":
-        json_safe(out).write.mode(mode).option("header", True).csv(path)
+        json_safe(out).write.mode(mode).options(**_CSV).csv(path)
     elif fmt == "json":
-        out.write.mode(mode).json(path)
+        out.write.mode(mode).options(**_TIMES).json(path)
     else:
         raise ValueError(f"unknown export format: {fmt}")
     return path
+
+
+def read_export(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+    """An export read back under the schema it was written from (nested columns of a CSV stay JSON text)."""
+    if fmt == "csv":
+        flat = T.StructType([T.StructField(f.name, T.StringType() if is_nested(f.dataType) else f.dataType) for f in schema.fields])
+        # an unquoted empty field is NULL, a quoted one an empty text; no word stands for NULL
+        return spark.read.schema(flat).options(multiLine=True, nullValue="\0", **_CSV).csv(path)
+    if fmt == "json":
+        return spark.read.schema(schema).options(**_TIMES).json(path)
+    raise ValueError(f"unknown export format: {fmt}")

@@ -10,34 +10,26 @@ vocabulary may grow with the data.
 """
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _variants_udf(k: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def variants(words):
-        out = []
-        for w in words:
-            if w is None:
-                out.append([])
-                continue
-            seen = {w}
-            n = len(w)
-            for d in range(1, min(k, n) + 1):
-                for drop in combinations(range(n), d):
-                    ds = set(drop)
-                    seen.add("".join(ch for i, ch in enumerate(w) if i not in ds))
-            out.append(sorted(seen))
-        return __import__("pandas").Series(out)
-    return variants
+
+
+def _drop_one(word: Column) -> Column:
+    """Every text that lacks one character of ``word`` (none for an empty one)."""
+    n = F.length(word)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                                     lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def deletion_variants(c: Column, k: int) -> Column:
-    return _variants_udf(k)(c)
+    """The text itself and all texts that lack up to ``k`` of its characters, each once."""
+    level = F.array(c)
+    found = level
+    for _ in range(k):
+        level = F.array_distinct(F.flatten(F.transform(level, _drop_one)))
+        found = F.array_union(found, level)
+    return found
 
 
 def closest_match(queries: DataFrame, qcol: str, vocab: DataFrame, vcol: str, order_col: str,

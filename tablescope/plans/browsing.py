@@ -1,9 +1,10 @@
 """2.A/2.C  Paging, sorting, table tile, export projection, nested-as-JSON."""
 from __future__ import annotations
 
-from tablescope.operators.explore import export_frame, json_safe, preview_with_total, table_tile
+from tablescope.operators.explore import export, export_frame, json_safe, preview_with_total, read_export, table_tile
 from tablescope.operators.filters import Filter
 from tablescope.plans import load, register
+from tablescope.session import scratch_path
 from tablescope.plans.filtering import PART_WORDS_SQL, part_words
 
 
@@ -55,9 +56,11 @@ WHERE CAST(o_orderpriority AS VARCHAR) = '3-MEDIUM'
    OR CAST(o_orderdate AS VARCHAR) ILIKE '%99%' OR CAST(o_orderpriority AS VARCHAR) ILIKE '%99%')
 """)
 def export_filtered(spark, sf):
-    # hidden columns are dropped from the output but still searched
-    return export_frame(load(spark, sf, "orders"), q="99", filters=[Filter("o_orderpriority", value="3-MEDIUM")],
-                        hidden=["o_custkey", "o_orderpriority"])
+    # hidden columns are dropped from the output but still searched; written as CSV and read back
+    df, hidden = load(spark, sf, "orders"), ["o_custkey", "o_orderpriority"]
+    path = export(df, scratch_path(spark, "export-filtered"), "csv", q="99",
+                  filters=[Filter("o_orderpriority", value="3-MEDIUM")], hidden=hidden)
+    return read_export(spark, path, df.drop(*hidden).schema)
 
 
 @register("export_all_hidden", "SELECT * FROM region")

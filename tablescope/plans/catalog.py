@@ -1,21 +1,31 @@
 """2.A  Sources, sinks, catalog."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame
+
+from tablescope.operators.explore import read_export
 from tablescope.session import scratch_path
-from tablescope.sources.catalog import describe, list_relations, query, register_tables, save_view
+from tablescope.sources.catalog import describe, export_query as export_result, list_relations, query, register_tables, save_view
 from tablescope.sources.ingest import read_csv, read_json
 from tablescope.sources.snapshot import read_manifest, restore, snapshot
 from tablescope.plans import TABLES, load, register
 
 
+_INVENTORY = ("SELECT '{name}' AS name, 'default' AS schema_name, CAST((SELECT count(*) FROM information_schema.columns "
+              "WHERE table_name = '{table}') AS INTEGER) AS column_count, {size} AS estimated_size, {view} AS is_view")
+
+
 @register("table_inventory", "\nUNION ALL\n".join(
-    f"SELECT '{t}' AS name, CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) "
-    f"AS column_count, (SELECT count(*) FROM {t}) AS estimated_size, false AS is_view" for t in TABLES))
+    [_INVENTORY.format(name=t, table=t, size=f"(SELECT count(*) FROM {t})", view="false") for t in TABLES]
+    + [_INVENTORY.format(name="late_orders", table="orders", size="CAST(NULL AS BIGINT)", view="true"),
+       _INVENTORY.format(name="plain_view", table="region", size="CAST(NULL AS BIGINT)", view="true")]))
 def table_inventory(spark, sf):
     register_tables(spark, sf, TABLES)
-    return list_relations(spark, TABLES)
+    save_view(spark, "late_orders", "SELECT * FROM orders WHERE o_orderdate >= DATE '1998-01-01'", overwrite=True)
+    load(spark, sf, "region").createOrReplaceTempView("plain_view")
+    return list_relations(spark, [*TABLES, "late_orders", "plain_view"])
 
 
 _KIND = ("CASE WHEN data_type LIKE '%[]' THEN 'list' "
@@ -25,15 +35,21 @@ _KIND = ("CASE WHEN data_type LIKE '%[]' THEN 'list' "
          "WHEN data_type = 'BOOLEAN' THEN 'boolean' ELSE 'text' END")
 
 
+_TYPE = ("replace(replace(replace(replace(replace(replace(lower(CASE WHEN data_type LIKE '%[]' THEN 'array<' || data_type[:-3] || '>' "
+         "ELSE data_type END), 'varchar', 'string'), 'bigint', 'long'), 'integer', 'int'), 'timestamp', 'timestamp_ntz'), 'long', 'bigint'), "
+         "'real', 'float')")
+_COUNTED = "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, column_name, n FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE n)"
+    for t in TABLES)
+
+
 @register("describe_table", f"""
-SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name, {_KIND} AS kind,
-       is_nullable = 'YES' AS nullable
-FROM information_schema.columns WHERE table_name IN ('lineitem', 'embeddings', 'events')
+SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name, {_TYPE} AS col_type, {_KIND} AS kind,
+       is_nullable = 'YES' AS nullable, n AS non_null
+FROM information_schema.columns JOIN ({_COUNTED}) USING (table_name, column_name)
 """)
 def describe_table(spark, sf):
-    parts = [describe(load(spark, sf, t), t) for t in ("lineitem", "embeddings", "events")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.drop("col_type")
+    return reduce(DataFrame.unionByName, [describe(load(spark, sf, t), t) for t in TABLES])
 
 
 ADHOC_JOIN = """
@@ -95,9 +111,12 @@ def saved_view(spark, sf):
 SELECT l_returnflag, l_linestatus, l_shipdate, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-06-01 00:00:00'
 """)
 def export_query(spark, sf):
+    # written as JSON lines and read back
     register_tables(spark, sf, ["lineitem"])
-    return query(spark, "SELECT l_returnflag, l_linestatus, l_shipdate, l_quantity FROM lineitem "
-                        "WHERE l_shipdate >= TIMESTAMP '1997-06-01 00:00:00'")
+    path = scratch_path(spark, "export-query")
+    schema = export_result(spark, "SELECT l_returnflag, l_linestatus, l_shipdate, l_quantity FROM lineitem "
+                                  "WHERE l_shipdate >= TIMESTAMP_NTZ '1997-06-01 00:00:00'", path, "json")
+    return read_export(spark, path, schema, "json")
 
 
 @register("ingest_csv", """
@@ -133,10 +152,10 @@ def ingest_json(spark, sf):
 @register("snapshot_manifest", "\nUNION ALL\n".join(
     f"SELECT 1 AS version, '{t}' AS table_name, (SELECT count(*) FROM {t}) AS rows, "
     f"CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) AS column_count"
-    for t in ("nation", "region", "supplier", "orders")))
+    for t in TABLES))
 def snapshot_manifest(spark, sf):
     bundle = scratch_path(spark, "bundle")
-    snapshot({t: load(spark, sf, t) for t in ("nation", "region", "supplier", "orders")}, bundle)
+    snapshot({t: load(spark, sf, t) for t in TABLES}, bundle)
     return read_manifest(spark, bundle).select("version", "table_name", "rows", "column_count")
 
 

@@ -47,8 +47,8 @@ def ledger(spark, sf):
 SELECT id, min(ts) FILTER (WHERE phase = 'start') AS started, max(ts) FILTER (WHERE phase = 'end') AS ended,
        max(ts) FILTER (WHERE phase = 'end') IS NULL AS running,
        CAST(arg_max(exit_code, ts) FILTER (WHERE phase = 'end') AS INTEGER) AS exit_code,
-       coalesce(arg_max(db_path, ts) FILTER (WHERE phase = 'start'), arg_max(db_path, ts) FILTER (WHERE phase = 'end')) AS db_path,
-       arg_max(cwd, ts) FILTER (WHERE phase = 'start') AS cwd, arg_max(session, ts) FILTER (WHERE phase = 'start') AS session
+       coalesce(arg_min(db_path, ts) FILTER (WHERE phase = 'start'), arg_max(db_path, ts) FILTER (WHERE phase = 'end')) AS db_path,
+       arg_min(cwd, ts) FILTER (WHERE phase = 'start') AS cwd, arg_min(session, ts) FILTER (WHERE phase = 'start') AS session
 FROM {LEDGER_SQL} WHERE phase IN ('start', 'end') GROUP BY id HAVING min(ts) FILTER (WHERE phase = 'start') IS NOT NULL""")
 def fold_events(spark, sf):
     return EV.fold(ledger(spark, sf))
@@ -85,10 +85,11 @@ def activity_counts(spark, sf):
 @register("stream_profile", """
 SELECT event_type AS key, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""")
 def stream_profile(spark, sf):
+    """The stream gets one of four files in each micro-batch, so every batch but the first merges."""
     src = load(spark, sf, "events")
-    stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
     base = scratch_path(spark, "stream-profile")
+    src.repartition(4, F.pmod(F.xxhash64("ts"), F.lit(4))).write.parquet(base + "/events")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(base + "/events")
     path = EV.stream_profile(spark, stream, "event_type", "value", base + "/out", base + "/chk")
     return spark.read.parquet(path).select("key", "n", F.round("total", 2).alias("total"))
 
@@ -97,8 +98,8 @@ def stream_profile(spark, sf):
 SELECT id, min(ts) FILTER (WHERE phase = 'start') AS started, max(ts) FILTER (WHERE phase = 'end') AS ended,
        max(ts) FILTER (WHERE phase = 'end') IS NULL AS running,
        CAST(arg_max(exit_code, ts) FILTER (WHERE phase = 'end') AS INTEGER) AS exit_code,
-       coalesce(arg_max(db_path, ts) FILTER (WHERE phase = 'start'), arg_max(db_path, ts) FILTER (WHERE phase = 'end')) AS db_path,
-       arg_max(cwd, ts) FILTER (WHERE phase = 'start') AS cwd, arg_max(session, ts) FILTER (WHERE phase = 'start') AS session
+       coalesce(arg_min(db_path, ts) FILTER (WHERE phase = 'start'), arg_max(db_path, ts) FILTER (WHERE phase = 'end')) AS db_path,
+       arg_min(cwd, ts) FILTER (WHERE phase = 'start') AS cwd, arg_min(session, ts) FILTER (WHERE phase = 'start') AS session
 FROM {LEDGER_SQL} WHERE phase IN ('start', 'end') GROUP BY id HAVING min(ts) FILTER (WHERE phase = 'start') IS NOT NULL""")
 def stream_fold(spark, sf):
     """The K1 fold as a Structured Streaming job: the ledger (derived by Spark

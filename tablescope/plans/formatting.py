@@ -98,6 +98,31 @@ def fmt_duration(spark, sf):
                      FM.duration_text(F.col("value") * -97).alias("negative"))
 
 
+@register("fmt_resolve", """
+SELECT db, "table", "column", spec FROM (
+  SELECT p_brand AS db, 't' || CAST(p_partkey % 7 AS VARCHAR) AS "table", 'c' || CAST(p_partkey AS VARCHAR) AS "column",
+         CASE WHEN p_partkey % 6 = 0 AND p_partkey % 12 <> 0 THEN '{"prefix":"s"}'
+              WHEN p_partkey % 8 = 0 THEN '{"decimals":' || CAST(p_size AS VARCHAR) || '}'
+              WHEN p_partkey % 4 = 1 THEN '{"suffix":"c"}'
+              WHEN p_partkey % 5 = 0 THEN '{"suffix":"b"}' END AS spec
+  FROM part) WHERE spec IS NOT NULL""")
+def fmt_resolve(spark, sf):
+    """Every part is a column of a relation; most have a comment (marked, bare, plain words or broken JSON),
+    some a bare-column entry, some a table-scoped one, of which half is deleted again."""
+    key = F.col("p_partkey")
+    text = key.cast("string")
+    p = load(spark, sf, "part").select("p_partkey", "p_size", F.col("p_brand").alias("db"), F.concat(F.lit("t"), (key % 7).cast("string")).alias("table"),
+                                       F.concat(F.lit("c"), text).alias("column"))
+    spec = (F.when(key % 8 == 0, F.concat(F.lit('Size. tablescope:{"decimals":'), F.col("p_size").cast("string"), F.lit("}")))
+            .when(key % 4 == 1, '{"suffix":"c"}').when(key % 4 == 2, "plain words").otherwise('{"suffix":'))
+    comments = p.where(key % 8 != 7).select("db", "table", "column", spec.alias("spec"))
+    entry = lambda rows, table, spec, seq: rows.select("db", table.cast("string").alias("table"), "column", F.lit(spec).alias("spec"), F.lit(seq).alias("seq"))
+    registry = (entry(p.where(key % 5 == 0), F.lit(None), '{"suffix":"b"}', 1)
+                .unionByName(entry(p.where(key % 6 == 0), F.col("table"), '{"prefix":"s"}', 1))
+                .unionByName(entry(p.where(key % 12 == 0), F.col("table"), "", 2)))
+    return FM.resolve_formats(comments, registry, p)
+
+
 @register("slugify", """
 SELECT doc_id, CASE WHEN s = '' THEN 'session' ELSE s END AS slug
 FROM (SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') AS s FROM documents)""")

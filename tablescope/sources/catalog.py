@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.operators.explore import json_safe
+from tablescope.operators.explore import export, json_safe
+from tablescope.operators.filters import col
 from tablescope.types import classify
 
 # SQL text of views saved through ``save_view`` (temp views keep no text).
 _VIEW_SQL: dict[str, str] = {}
+# Names that ``register_tables`` exposes: relations over files, not views.
+_FILE_RELATIONS: set[str] = set()
 
 _READ_START = re.compile(r"^\s*(select|with|from|values|table)\b", re.IGNORECASE)
 
@@ -24,35 +27,42 @@ def register_tables(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> l
     out = []
     for n in names:
         spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet").createOrReplaceTempView(n)
+        _FILE_RELATIONS.add(n)
         out.append(n)
     return out
 
 
 def list_relations(spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
-    """(name, column_count, estimated_size, is_view) ordered by name.
+    """(name, schema_name, column_count, estimated_size, is_view) by name.
 
-    Sizes are row counts from one union of per-relation counts (one job;
-    each count reads only parquet footers/row groups, no column data)."""
+    A table's size is its row count, from one union of per-table counts (one job; each count
+    reads only parquet footers).  A view -- saved, persistent, or any other temp view -- is
+    never run to be listed: its size is NULL."""
+    current = spark.catalog.currentDatabase()
     tables = [t for t in spark.catalog.listTables() if names is None or t.name in names]
     tables.sort(key=lambda t: t.name)
     if not tables:
-        return spark.createDataFrame([], "name string, column_count int, estimated_size long, is_view boolean")
+        return spark.createDataFrame([], "name string, schema_name string, column_count int, estimated_size long, is_view boolean")
     parts = []
     for t in tables:
         df = spark.table(t.name)
-        parts.append(df.agg(F.count(F.lit(1)).alias("estimated_size"))
-                     .select(F.lit(t.name).alias("name"), F.lit(len(df.columns)).alias("column_count"),
-                             "estimated_size", F.lit(t.name in _VIEW_SQL).alias("is_view")))
+        is_view = t.tableType == "VIEW" or (t.isTemporary and t.name not in _FILE_RELATIONS)
+        size = F.lit(None).cast("long") if is_view else F.col("n")
+        source = spark.range(1).select(F.lit(None).cast("long").alias("n")) if is_view else df.agg(F.count(F.lit(1)).alias("n"))
+        parts.append(source.select(F.lit(t.name).alias("name"), F.lit(t.namespace[0] if t.namespace else current).alias("schema_name"),
+                                   F.lit(len(df.columns)).alias("column_count"), size.alias("estimated_size"), F.lit(is_view).alias("is_view")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def describe(df: DataFrame, table_name: str | None = None) -> DataFrame:
-    """(ordinal, column_name, col_type, kind, nullable) in table order."""
-    rows = [(table_name, i + 1, f.name, f.dataType.simpleString(), classify(f.dataType), f.nullable)
+    """(table_name, ordinal, column_name, col_type, kind, nullable, non_null) in table order;
+    ``non_null`` counts the values of every column in one aggregate."""
+    counted = df.agg(*[F.count(col(f.name)).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
+    rows = [F.struct(F.lit(table_name).cast("string").alias("table_name"), F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"),
+                     F.lit(f.dataType.simpleString()).alias("col_type"), F.lit(classify(f.dataType)).alias("kind"),
+                     F.lit(f.nullable).alias("nullable"), F.col(f"c{i}").alias("non_null"))
             for i, f in enumerate(df.schema.fields)]
-    spark = df.sparkSession
-    return spark.createDataFrame(
-        rows, "table_name string, ordinal int, column_name string, col_type string, kind string, nullable boolean")
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def view_definition(spark: SparkSession, name: str) -> str | None:
@@ -119,8 +129,12 @@ def save_view(spark: SparkSession, name: str, sql: str, overwrite: bool = False)
     df = spark.sql(body)
     df.createOrReplaceTempView(name)
     _VIEW_SQL[name] = body
+    _FILE_RELATIONS.discard(name)
     return spark.table(name)
 
 
-def schema_json(schema: T.StructType) -> str:
-    return schema.json()
+def export_query(spark: SparkSession, sql: str, path: str, fmt: str = "csv") -> T.StructType:
+    """Write the whole result of one read-only statement under ``path``; returns its schema."""
+    result = query(spark, sql, json_nested=False)
+    export(result, path, fmt)
+    return result.schema

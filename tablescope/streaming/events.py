@@ -5,7 +5,7 @@ with ``phase`` in start/end; anything else is a malformed line and skipped.
 
 * ``fold``: one row per id that has a start -- running until its end; the end
   fills ``exit_code`` and, when the start had none, ``db_path``; an end
-  without a start is ignored.  Batch: one ``groupBy(id)`` of conditional
+  without a start is ignored; of a repeated start the first counts.  Batch: one ``groupBy(id)`` of conditional
   aggregates.  Stream: ``applyInPandasWithState`` keyed by id with an
   event-time timeout, so state is dropped once the watermark passes a run's
   start by ``max_run``.
@@ -33,7 +33,9 @@ FOLD_SCHEMA = ("id long, started timestamp_ntz, ended timestamp_ntz, running boo
 
 
 def valid_records(ledger: DataFrame) -> DataFrame:
-    return ledger.where(F.col("id").isNotNull() & F.col("ts").isNotNull() & F.col("phase").isin(*PHASES))
+    """Start and end records; ``forget`` tombstones (if the ledger has the column) are no phases of a run."""
+    kept = ledger.where(F.col("id").isNotNull() & F.col("ts").isNotNull() & F.col("phase").isin(*PHASES))
+    return kept.where(~F.coalesce(F.col("forget"), F.lit(False))) if "forget" in ledger.columns else kept
 
 
 def fold(ledger: DataFrame) -> DataFrame:
@@ -44,10 +46,10 @@ def fold(ledger: DataFrame) -> DataFrame:
         F.min(F.when(is_s, F.col("ts"))).alias("started"),
         F.max(F.when(is_e, F.col("ts"))).alias("ended"),
         F.max_by(F.when(is_e, F.col("exit_code")), F.when(is_e, F.col("ts"))).alias("exit_code"),
-        F.max_by(F.when(is_s, F.col("db_path")), F.when(is_s, F.col("ts"))).alias("start_db"),
+        F.min_by(F.when(is_s, F.col("db_path")), F.when(is_s, F.col("ts"))).alias("start_db"),
         F.max_by(F.when(is_e, F.col("db_path")), F.when(is_e, F.col("ts"))).alias("end_db"),
-        F.max_by(F.when(is_s, F.col("cwd")), F.when(is_s, F.col("ts"))).alias("cwd"),
-        F.max_by(F.when(is_s, F.col("session")), F.when(is_s, F.col("ts"))).alias("session"))
+        F.min_by(F.when(is_s, F.col("cwd")), F.when(is_s, F.col("ts"))).alias("cwd"),
+        F.min_by(F.when(is_s, F.col("session")), F.when(is_s, F.col("ts"))).alias("session"))
     return g.where(F.col("started").isNotNull()).select(
         "id", "started", "ended", F.col("ended").isNull().alias("running"), F.col("exit_code").cast("int").alias("exit_code"),
         F.coalesce("start_db", "end_db").alias("db_path"), "cwd", F.col("session").cast("string").alias("session"))
@@ -129,32 +131,39 @@ def fold_stream(ledger_stream: DataFrame, watermark: str = "1 hour", max_run_ms:
     return out
 
 
+def _published(spark: SparkSession, out_dir: str) -> list[int]:
+    """Batch ids of the complete versions under ``out_dir``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(p.getName()[1:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def stream_profile(spark: SparkSession, source: DataFrame, key: str, value: str, out_dir: str,
-                   checkpoint: str) -> str:
-    """K5  Per-key (n, total) maintained across micro-batches with
-    ``foreachBatch``; each batch merges its partial counts into the current
-    profile and writes a new version only when the digest changed.  Returns
-    the directory of the latest version (``<out_dir>/v<N>``)."""
-    latest = {"path": None, "digest": None, "version": 0}
+                   checkpoint: str) -> str | None:
+    """K5  Per-key (n, total) maintained across micro-batches with ``foreachBatch``: a batch adds its
+    partial counts to the newest version of an earlier batch and is published as ``<out_dir>/v<batch id>``
+    only when the digest changed.  All state lies in those folders, so a restart goes on
+    from them, and a batch that is replayed overwrites its own version instead of counting twice.
+    Returns the newest version's path (None before any row came)."""
+    digest = F.sum(F.xxhash64("key", "n").cast("decimal(38,0)")).alias("d")
 
     def merge(batch: DataFrame, batch_id: int):
-        part = batch.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"),
-                                                          F.sum(F.col(value)).alias("total"))
-        cur = part if latest["path"] is None else (
-            spark.read.parquet(latest["path"]).unionByName(part).groupBy("key")
-            .agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-        digest = cur.agg(F.sum(F.xxhash64("key", "n").cast("decimal(38,0)")).alias("d")).collect()[0]["d"]
-        if digest == latest["digest"]:
-            return   # nothing moved: publish nothing
-        latest["version"] += 1
-        path = os.path.join(out_dir, f"v{latest['version']}")
-        cur.write.mode("overwrite").parquet(path)
-        latest.update(path=path, digest=digest)
+        merged = batch.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value)).alias("total"))
+        before = None
+        earlier = [v for v in _published(spark, out_dir) if v < batch_id]
+        if earlier:
+            old = spark.read.parquet(os.path.join(out_dir, f"v{earlier[-1]}"))
+            before = old.agg(digest).first()["d"]
+            merged = old.unionByName(merged).groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        if merged.agg(digest).first()["d"] != before:   # else nothing moved: publish nothing
+            merged.write.mode("overwrite").parquet(os.path.join(out_dir, f"v{batch_id}"))
 
     q = (source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest["path"]
+    versions = _published(spark, out_dir)
+    return os.path.join(out_dir, f"v{versions[-1]}") if versions else None
 
 
 def run_fold_stream(spark: SparkSession, ledger_dir: str, schema, out_dir: str, checkpoint: str,

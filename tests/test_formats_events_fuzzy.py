@@ -150,3 +150,43 @@ def test_active_keys_and_history(spark):
     assert {r.key for r in EV.active_keys(t).collect()} == {"b", "c"}
     h = EV.history(_ledger(spark, LEDGER), 3).collect()
     assert [r.id for r in h] == [5, 1, 5]
+
+
+def test_bare_formats_reach_columns_without_comment_and_broken_json_is_none(spark):
+    comments = spark.createDataFrame([("db", "t", "a", "{broken"), ("db", "t", "b", '{"x": 1}')], "db string, table string, column string, spec string")
+    reg = spark.createDataFrame([("db", None, c, '{"bare": 1}', 1) for c in ("a", "b", "c")], "db string, table string, column string, spec string, seq long")
+    every = spark.createDataFrame([("db", "t", c) for c in ("a", "b", "c", "d")], "db string, table string, column string")
+    got = {r.column: r.spec for r in FM.resolve_formats(comments, reg, every).collect()}
+    assert got == {"a": '{"bare": 1}', "b": '{"x": 1}', "c": '{"bare": 1}'}
+
+
+def test_forget_records_are_no_phases_and_first_start_counts(spark):
+    import datetime as dt
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(1, at(1), "start", "first", False), (1, at(2), "start", "second", None), (2, at(1), "start", "x", True)]
+    led = (spark.createDataFrame(rows, "id long, ts timestamp_ntz, phase string, cwd string, forget boolean")
+           .selectExpr("*", "cast(null as string) db_path", "cast(null as int) exit_code", "cwd as session"))
+    got = EV.fold(led).collect()
+    assert [(r.id, r.started, r.cwd, r.session, r.running) for r in got] == [(1, at(1), "first", "first", True)]
+
+
+def test_profile_survives_restart_and_replay(spark):
+    from tablescope.session import scratch_path
+    base = scratch_path(spark, "profile-restart")
+    schema = "k string, v double"
+
+    def add(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base + "/in")
+
+    def go(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+        path = EV.stream_profile(spark, stream, "k", "v", base + "/out", base + checkpoint)
+        return path, {r.key: (r.n, r.total) for r in spark.read.parquet(path).collect()}
+
+    add(("a", 1.0), ("b", 2.0))
+    add(("a", 3.0))
+    assert go("/chk")[1] == {"a": (2, 4.0), "b": (1, 2.0)}
+    add(("b", 5.0), (None, 1.0))
+    path, got = go("/chk")                   # a new query from the same checkpoint
+    assert path.endswith("/v2") and got == {"a": (2, 4.0), "b": (2, 7.0), None: (1, 1.0)}
+    assert go("/other-chk")[1] == got        # every batch replayed over its own version

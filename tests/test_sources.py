@@ -115,3 +115,46 @@ def test_heatmap_takes_any_label(spark):
 def test_preview_honours_its_limit(spark):
     from tablescope.operators.explore import preview
     assert preview(spark.range(6000), limit=5000).rows.count() == 5000
+
+
+def test_views_are_listed_without_running_them(spark):
+    C.register_tables(spark, SF, ["region"])
+    C.save_view(spark, "listed_view", "SELECT CAST(raise_error('ran') AS INT) AS x FROM region", overwrite=True)
+    spark.range(3).createOrReplaceTempView("listed_temp")
+    rel = {r.name: r for r in C.list_relations(spark, ["region", "listed_view", "listed_temp"]).collect()}
+    assert rel["region"].estimated_size == 5 and not rel["region"].is_view
+    for name in ("listed_view", "listed_temp"):
+        assert rel[name].is_view and rel[name].estimated_size is None
+
+
+def test_exports_read_back_as_written(spark):
+    import datetime as dt
+    from tablescope.operators import explore as X
+    df = spark.createDataFrame([(1, 'say "hi", then\nleave', dt.datetime(2020, 1, 2, 3, 4, 5, 678901), [1, 2]), (2, "", None, None), (3, None, None, [])],
+                               "id int, note string, at timestamp_ntz, l array<int>")
+    path = X.export(df, scratch_path(spark, "export-test-json"), "json")
+    assert sorted(X.read_export(spark, path, df.schema, "json").collect()) == sorted(df.collect())
+    path = X.export(df, scratch_path(spark, "export-test-csv"), "csv")
+    got = {r.id: r for r in X.read_export(spark, path, df.schema).collect()}
+    assert [got[i].note for i in (1, 2, 3)] == ['say "hi", then\nleave', "", None]
+    assert got[1]["at"] == dt.datetime(2020, 1, 2, 3, 4, 5, 678901) and [got[i].l for i in (1, 2, 3)] == ["[1,2]", None, "[]"]
+    df.createOrReplaceTempView("export_src")
+    path = scratch_path(spark, "export-test-query")
+    schema = C.export_query(spark, "SELECT id, note FROM export_src WHERE id < 3", path)
+    assert {r.id: r.note for r in X.read_export(spark, path, schema).collect()} == {1: 'say "hi", then\nleave', 2: ""}
+
+
+def test_snapshot_of_maps_formats_and_changed_schema(spark):
+    bundle = scratch_path(spark, "bundle-maps")
+    df = spark.createDataFrame([(1, {"a": 1}), (2, None)], "id int, m map<string,int>")
+    reg = spark.createDataFrame([("old", "snapmap", "id", "{1}", 1), ("old", None, "id", "{2}", 1), ("old", "other", "id", "{3}", 1)],
+                                "db string, table string, column string, spec string, seq long")
+    df.createOrReplaceTempView("snapmap")
+    S.snapshot({"snapmap": df}, bundle, formats=reg)
+    views = S.register_views(spark, S.restore(spark, bundle))
+    assert views == {"snapmap": "snapmap_2"} and spark.table("snapmap_2").count() == 2
+    got = {(r.db, r.table, r.spec) for r in S.restored_formats(spark, bundle, "new", views).collect()}
+    assert got == {("new", "snapmap_2", "{1}"), ("new", None, "{2}"), ("new", "other", "{3}")}
+    df.select(F.col("id").cast("long").alias("id"), "m").write.mode("overwrite").parquet(bundle + "/snapmap")
+    with pytest.raises(ValueError, match="schema"):
+        S.restore(spark, bundle)

@@ -65,6 +65,21 @@ def keep_flags(schema: T.StructType, q: str | None, filters: Sequence[Filter]) -
     return KeepFlags(search_predicate(schema, q), per)
 
 
+def _with_flags(df: DataFrame, flags: KeepFlags) -> tuple[DataFrame, KeepFlags]:
+    """The search and every column's filters as one boolean column each, so that a row's texts
+    are searched once and not once for every facet."""
+    prefix = "__keep"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    named = {f"{prefix}{i}": c for i, c in enumerate(flags.per_column.values())}
+    held = {n: F.col(f"{prefix}{i}") for i, n in enumerate(flags.per_column)}
+    search = None
+    if flags.search is not None:
+        named[prefix] = flags.search
+        search = F.col(prefix)
+    return (df.withColumns(named) if named else df), KeepFlags(search, held)
+
+
 def _cond(keep: Column | None, c: Column) -> Column:
     return c if keep is None else F.when(keep, c)
 
@@ -93,9 +108,8 @@ class Facets:
 
     def __init__(self, df: DataFrame, q: str | None = None, filters: Sequence[Filter] = (),
                  top: int = TOP_VALUES):
-        self.df = df
         self.schema = df.schema
-        self.flags = keep_flags(self.schema, q, filters)
+        self.df, self.flags = _with_flags(df, keep_flags(self.schema, q, filters))
         self.kinds = facet_kinds(self.schema)
         self.top = top
         self._bounds = None

@@ -1,8 +1,8 @@
 """Chart-ready data shapes of the tiles (2.H1-H11, H21, H22).  Only the table
 behind each chart is built, never the picture.
 
-No operator here cross joins: full heatmap grids come from ``pivot`` +
-``unpivot`` (axis sizes are bounded by Spark's pivot limit), densities
+No operator here cross joins: full heatmap grids join aggregated cells to their
+axes, densities
 ``explode`` a fixed evaluation grid per aggregated cell, and scalar ranges are
 computed by one aggregate and applied as literals.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tablescope.operators.census import top_k_per_group
 from tablescope.operators.filters import col
 from tablescope.operators.ordered import order_quantiles, ordered_scan, value_ranks
-from tablescope.types import is_numeric
+from tablescope.types import find_coordinates, is_numeric
 
 _AGGS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
@@ -187,10 +187,12 @@ def quadrant(df: DataFrame, x: str, y: str, label: str) -> DataFrame:
 MAP_CELL_DEG = 2.0
 
 
-def map_points(df: DataFrame, lat: str, lon: str, value: str | None = None, label: str | None = None,
+def map_points(df: DataFrame, lat: str | None = None, lon: str | None = None, value: str | None = None, label: str | None = None,
                cell_deg: float = MAP_CELL_DEG, labels: int | None = None) -> DataFrame:
     """H10  Points to grid cells: (cx, cy, lat, lon, n, avg_value, labels).  With ``label``, ``labels``
-    says how many of a cell's most frequent labels are listed."""
+    says how many of a cell's most frequent labels are listed.  Coordinates that are not
+    named are found by their usual names."""
+    lat, lon = find_coordinates(df.schema, {"lat": lat, "lon": lon})
     if label and labels is None:
         raise ValueError("map: say how many labels a cell lists")
     pts = df.where(col(lat).between(-90, 90) & col(lon).between(-180, 180))
@@ -213,10 +215,15 @@ def map_points(df: DataFrame, lat: str, lon: str, value: str | None = None, labe
     return cells
 
 
-def map_flows(df: DataFrame, from_lat: str, from_lon: str, to_lat: str, to_lon: str,
+def _ends(df: DataFrame, from_lat: str | None, from_lon: str | None, to_lat: str | None, to_lon: str | None) -> list[str]:
+    return find_coordinates(df.schema, {"from_lat": from_lat, "from_lon": from_lon, "to_lat": to_lat, "to_lon": to_lon})
+
+
+def map_flows(df: DataFrame, from_lat: str | None = None, from_lon: str | None = None, to_lat: str | None = None, to_lon: str | None = None,
               from_label: str | None = None, to_label: str | None = None) -> DataFrame:
     """H11  Connection arcs: the shorter way round when |dlon| > 180 (the end
     longitude is shifted by 360 and ``wraps`` is set)."""
+    from_lat, from_lon, to_lat, to_lon = _ends(df, from_lat, from_lon, to_lat, to_lon)
     d = col(to_lon) - col(from_lon)
     wraps = F.abs(d) > 180
     adj = F.when(d > 180, col(to_lon) - 360).when(d < -180, col(to_lon) + 360).otherwise(col(to_lon))
@@ -225,10 +232,11 @@ def map_flows(df: DataFrame, from_lat: str, from_lon: str, to_lat: str, to_lon:
                      col(to_lon).alias("to_lon"), adj.cast("double").alias("to_lon_drawn"), wraps.alias("wraps"), *extra)
 
 
-def flow_endpoints(df: DataFrame, from_lat: str, from_lon: str, to_lat: str, to_lon: str,
+def flow_endpoints(df: DataFrame, from_lat: str | None = None, from_lon: str | None = None, to_lat: str | None = None, to_lon: str | None = None,
                    from_label: str | None = None, to_label: str | None = None) -> DataFrame:
     """H11  Endpoint markers: both ends stacked, grouped by position, named by
     their from/to label (smallest label when several)."""
+    from_lat, from_lon, to_lat, to_lon = _ends(df, from_lat, from_lon, to_lat, to_lon)
     a = df.select(col(from_lat).cast("double").alias("lat"), col(from_lon).cast("double").alias("lon"),
                   (col(from_label) if from_label else F.lit(None)).cast("string").alias("label"), F.lit("from").alias("end"))
     b = df.select(col(to_lat).cast("double").alias("lat"), col(to_lon).cast("double").alias("lon"),
@@ -240,6 +248,9 @@ def flow_endpoints(df: DataFrame, from_lat: str, from_lon: str, to_lat: str, to_
 
 def band(df: DataFrame, x: str, y: str, lower: str, upper: str) -> DataFrame:
     """H21  A line with a confidence band: exactly two band columns, checked."""
+    missing = [c for c in (x, y, lower, upper) if c not in df.columns]
+    if missing:
+        raise ValueError(f"band: no column {missing[0]!r}; columns: {', '.join(df.columns)}")
     return df.select(col(x).alias("x"), col(y).cast("double").alias("y"), col(lower).cast("double").alias("lower"),
                      col(upper).cast("double").alias("upper"),
                      (col(lower) <= col(upper)).alias("band_ok"))

@@ -1,6 +1,8 @@
 """2.D  Faceted search (drill-sideways)."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablescope.operators.facets import Facets, facet_values
 from tablescope.operators.filters import Filter
 from tablescope.plans import load, register
@@ -121,6 +123,18 @@ def facet_nulls(spark, sf):
     return Facets(customer_holes(spark, sf), None, CUST_NULL_FILTERS).nulls()
 
 
+@register("facet_flags", """
+WITH o AS (SELECT *, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority = '1-URGENT' END AS urgent FROM orders)
+SELECT 'urgent' AS column_name, count(*) FILTER (WHERE urgent IS NULL AND o_totalprice >= 100000) AS nulls,
+       count(*) FILTER (WHERE urgent IS NULL) > 0 AS has_nulls, false AS is_list, true AS is_boolean FROM o
+UNION ALL SELECT 'o_orderstatus', count(*) FILTER (WHERE o_orderstatus IS NULL AND o_totalprice >= 100000),
+       count(*) FILTER (WHERE o_orderstatus IS NULL) > 0, false, false FROM o""")
+def facet_flags(spark, sf):
+    o = load(spark, sf, "orders")
+    urgent = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority") == "1-URGENT")
+    return Facets(o.select("o_orderstatus", "o_totalprice", urgent.alias("urgent")), None, [Filter("o_totalprice", min=100000)]).nulls()
+
+
 @register("facet_total", f"""
 SELECT 'p_name' AS column_name, count(DISTINCT p_name) AS total FROM part
 UNION ALL SELECT 'p_brand', count(DISTINCT p_brand) FROM part

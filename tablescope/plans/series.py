@@ -66,9 +66,14 @@ def ts_outliers(spark, sf):
 
 
 @register("detect_epoch", """
-WITH e AS (SELECT epoch(ts)::BIGINT AS created_at, epoch_ms(ts) AS ts_ms, value AS amount_ms, user_id AS user_at FROM events)
-SELECT * FROM (VALUES ('created_at', 's'), ('ts_ms', 'ms')) v(column_name, unit)
-WHERE (SELECT min(created_at) >= 1e9 AND max(created_at) <= 4e9 FROM e)""")
+WITH e AS (SELECT epoch(ts)::BIGINT AS created_at, epoch_ms(ts) AS ts_ms, value AS amount_ms, user_id AS user_at FROM events),
+ends AS (SELECT 'created_at' AS column_name, min(created_at) AS lo, max(created_at) AS hi FROM e
+         UNION ALL SELECT 'ts_ms', min(ts_ms), max(ts_ms) FROM e
+         UNION ALL SELECT 'amount_ms', min(amount_ms), max(amount_ms) FROM e
+         UNION ALL SELECT 'user_at', min(user_at), max(user_at) FROM e),
+units AS (SELECT column_name, CASE WHEN lo >= 1e9 AND hi <= 4e9 THEN 's' WHEN lo >= 1e12 AND hi <= 4e12 THEN 'ms'
+                                   WHEN lo >= 1e15 AND hi <= 4e15 THEN 'us' END AS unit FROM ends)
+SELECT * FROM units WHERE unit IS NOT NULL""")
 def detect_epoch(spark, sf):
     ev = load(spark, sf, "events")
     us = epoch_micros(F.col("ts"), ev.schema["ts"].dataType)

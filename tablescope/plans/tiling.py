@@ -170,7 +170,7 @@ def tile_map(spark, sf):
     c = load(spark, sf, "customer").select((F.col("c_nationkey") * 7.0 - 85).alias("lat"),
                                            ((F.col("c_acctbal") + 1000) / 11000 * 360 - 180).alias("lon"),
                                            "c_acctbal", "c_mktsegment")
-    out = TL.map_points(c, "lat", "lon", value="c_acctbal", label="c_mktsegment", labels=5)
+    out = TL.map_points(c, value="c_acctbal", label="c_mktsegment", labels=5)
     return out.select("cx", "cy", "lat", "lon", "n", _r("avg_value"), F.array_join("labels", "|").alias("labels"))
 
 
@@ -203,7 +203,7 @@ def tile_flows(spark, sf):
     f = _flows(spark, sf).select(F.col("f_lat").alias("from_lat"), F.col("f_lon").alias("from_lon"),
                                  F.col("t_lat").alias("to_lat"), F.col("t_lon").alias("to_lon"),
                                  F.col("f_name").alias("from_nation"), F.col("t_name").alias("to_nation"), "n")
-    return TL.map_flows(f, "from_lat", "from_lon", "to_lat", "to_lon")
+    return TL.map_flows(f)
 
 
 @register("tile_flow_endpoints", f"""

@@ -79,19 +79,26 @@ def junk_supported(dt: T.DataType) -> bool:
 
 
 # Fixed name rules (must match the reference's detection):
-#   latitude column names: lat, latitude;  longitude: lon, lng, long, longitude
 #   epoch-ish names: ts, *_at, *_ms, epoch
-LAT_NAMES = ("lat", "latitude")
-LON_NAMES = ("lon", "lng", "long", "longitude")
 EPOCH_NAME = re.compile(r"^(ts|epoch|.*_at|.*_ms)$", re.IGNORECASE)
 
 
-def find_lat_lon(schema: T.StructType) -> tuple[str | None, str | None]:
-    lat = lon = None
-    for f in schema.fields:
-        n = f.name.lower()
-        if lat is None and n in LAT_NAMES and is_numeric(f.dataType):
-            lat = f.name
-        if lon is None and n in LON_NAMES and is_numeric(f.dataType):
-            lon = f.name
-    return lat, lon
+# Fixed column names of map coordinates, in any case:
+COORDINATES = {
+    "lat": ("lat", "latitude"), "lon": ("lon", "lng", "long", "longitude"),
+    "from_lat": ("from_lat", "src_lat", "origin_lat"), "from_lon": ("from_lon", "src_lon", "origin_lon"),
+    "to_lat": ("to_lat", "dst_lat", "dest_lat"), "to_lon": ("to_lon", "dst_lon", "dest_lon"),
+}
+
+
+def find_coordinates(schema: T.StructType, given: dict[str, str | None]) -> list[str]:
+    """The column of each coordinate role: the named one, else the first with one of its known names."""
+    out = []
+    for role, name in given.items():
+        if name is not None and name not in schema.names:
+            raise ValueError(f"map: no column {name!r}; columns: {', '.join(schema.names)}")
+        found = name or next((c for c in schema.names if c.lower() in COORDINATES[role]), None)
+        if found is None:
+            raise ValueError(f"map: which column is {role}? columns: {', '.join(schema.names)}")
+        out.append(found)
+    return out

@@ -11,7 +11,7 @@ of the 30 characters before), ``jwt`` (header and payload decode to JSON objects
 ``pem`` (a private-key block with its end line).
 
 Spans are (kind, start, end) in code points, end exclusive.  Defined results: a null
-or empty text has no spans; texts are scanned whole; overlapping spans of different
+or empty text has no spans; texts are scanned whole, in time that grows with their length; overlapping spans of different
 kinds are all reported, redaction merges them; equal rows give equal results.
 """
 from __future__ import annotations
@@ -35,7 +35,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY)-----[A-Za-z0-9+/=\s:,-]*?-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY)-----(?:(?!-----)[A-Za-z0-9+/=\s:,-])*-----END \1-----")
+#: a run in which, if one jwt place does not match, no later one does: the part must reach the run's end
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 BASE_62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE_KINDS = ("assign", "access", "hex")
 METHOD_KINDS = ("github", "npm", "jwt", "pem")
@@ -127,6 +129,8 @@ def find_secrets(text: str | None, words: ahocorasick.Automaton) -> list[tuple[s
             reached[kind] = match.end()
             if holds(match):
                 spans.append((start, kind, match.end()))
+        elif kind == "jwt":
+            reached[kind] = JWT_RUN.match(text, start).end()
     for start, end in hex_runs(raw):
         if len(raw) != len(text):
             begin = len(raw[:start].decode("utf-8", "surrogatepass"))

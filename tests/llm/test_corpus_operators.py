@@ -251,6 +251,26 @@ def test_checksummed_tokens_and_redaction():
     assert secretscan.redact(text, found) == "[SECRET], end"
 
 
+def test_repeated_openings_stay_cheap_and_tokens_behind_them_are_found():
+    import base64
+    import random
+    import time
+    machine = secretscan.automaton()
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    jwt = f"{part({'alg': 'none'})}.{part({'sub': 'a'})}.sig"
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nAb+/=\n-----END RSA PRIVATE KEY-----"
+    began = time.perf_counter()
+    text = "eyJ" * 100_000 + " " + "-----BEGIN PRIVATE KEY-----\n" * 20_000 + jwt + "\n" + key
+    found = secretscan.find_secrets(text, machine)
+    assert time.perf_counter() - began < 20
+    assert [(k, text[s:e]) for k, s, e in found if k in ("jwt", "pem")] == [("jwt", jwt), ("pem", key)]
+    rnd = random.Random(11)
+    for _ in range(2000):  # skipping the rest of a run loses no place that matches
+        t = "".join(rnd.choice(["eyJ", "a", ".", "-", " ", jwt]) for _ in range(rnd.randint(1, 12)))
+        plain = [(m.start(), m.end()) for m in secretscan.JWT.finditer(t) if secretscan._json_object(m[1]) and secretscan._json_object(m[2])]
+        assert [(s, e) for k, s, e in secretscan.find_secrets(t, machine) if k == "jwt"] == plain, t
+
+
 # ---- quality
 
 def test_quality_rules_equal_brute_force(spark, documents, texts):

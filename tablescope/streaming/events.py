@@ -99,7 +99,7 @@ def _fold_state_fn(max_run_ms: int):
         st = list(state.get) if state.exists else [None] * 7
         for pdf in pdfs:
             for r in pdf.sort_values("ts").itertuples(index=False):
-                if r.phase == "start" and st[0] is None:
+                if r.phase == "start" and (st[0] is None or r.ts < st[0]):
                     st[0:4] = [r.ts, r.db_path, r.cwd, r.session]
                 elif r.phase == "end" and (st[4] is None or r.ts >= st[4]):
                     st[4:7] = [r.ts, r.exit_code, r.db_path]

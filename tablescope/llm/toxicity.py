@@ -1,21 +1,33 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary labelled documents, are compared word by word.
-An expression (a word) has its absolutely discounted share of the class; the
-discounted mass goes to the next coarser expression: a word, its first six bytes, its
-first four bytes, and at last to counts shared by both classes.  Counts are Kneser-Ney
-continuation counts of word pairs: after how many different left neighbours the class
-has the word.  So a copied or repeated passage counts once, and what a class saw in at
-most ``DISCOUNT`` contexts says nothing by itself.  (Raw counts of word pairs as a top
-order were tried and dropped: in a corpus with groups of copies every pair of a copied
-document is frequent in one class, and held-out recall fell from 1.00 to 0.62.)
-
-The class tables come from all labelled training documents (one shuffle of distinct
-word pairs, summed into hashed tables of fixed size, which are broadcast: about
-15 MB whatever the corpus).  A document's features are its length-normalised
-log-likelihood ratio and its excess, the sum of what single expressions exceed
-``MARGIN``, by itself and for its length; a logistic function fitted on about
-``CALIBRATION_ROWS`` labelled training rows (all if there are fewer) turns them into a score.
+An expression is a word, its first six bytes or its first four bytes.  Each order has
+its absolutely discounted share of the class; exactly the discounted mass (discount *
+kinds / total) goes to the next coarser order, and behind the four bytes to counts
+shared by both classes.  The discount lies between 0 and 1 and is estimated for each
+class and order as n1 / (n1 + 2 * n2), from the expressions counted once and twice.
+Counts are Kneser-Ney continuation counts of word pairs: after how many different left
+neighbours the class has the word.  So a copied or repeated passage counts once.  (Raw
+counts of word pairs as a top order were tried and dropped: in a corpus with groups of
+copies every pair of a copied document is frequent in one class, and held-out recall
+fell from 1.00 to 0.62.)
+
+Copied documents still force a second, firm model beside it: a near copy of a toxic
+training document brings ordinary rare words that only the toxic class has, once each.
+The firm model discounts ``FIRM`` contexts and gives both classes the same mass, so it
+hears only what a class has in more contexts; it adds evidence and takes none away.
+
+The class counts come from all labelled training documents: one shuffle of distinct
+word pairs, summed into a written table keyed by the full 64-bit hash of the word and
+its first six bytes themselves.  No two expressions share an entry, whatever the
+corpus; workers hold 16 bytes for each distinct expression of the training rows.  A
+document's features are its length-normalised log-likelihood ratio and the excess under
+each model, the sum of what single expressions exceed ``MARGIN``, by itself and for its
+length; a logistic function turns them into a score.  It is fitted on about
+``CALIBRATION_ROWS`` (all if there are fewer) of the training rows in every
+``LEFT_OUT``-th place of a hash, whose features come from models that have not counted
+them: a row's own rare words would speak for its class.  If these rows lack a class, it
+is fitted on all training rows with the models of all.
 
 Training rows: labelled rows whose crc32(doc_id as text) mod 3 is not 1.  Labels,
 language, source and id are no inputs of a score.
@@ -33,49 +45,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
+from tablescope.llm import skew
 from tablescope.llm.labelled import with_label
-from tablescope.llm.textkernel import ALNUM_WORDS, FOLD_ASCII, LETTER, Block, annotate, chunks, mix64, scan_words
+from tablescope.llm.textkernel import ALNUM_WORDS, FOLD_ASCII, Block, annotate, chunks, mix64, scan_words
 from tablescope.session import ship_package
 
-DISCOUNT = 8
-SHARED_SHARE = 0.2
 MARGIN = 2.0
 THRESHOLD = 0.7
 CALIBRATION_ROWS = 20_000
-#: bits of the hashed tables: word, first six bytes, first four bytes
-WORD_BITS, SIX_BITS, FOUR_BITS = 20, 18, 16
-WORD, SIX, FOUR = range(3)
-STARTS = np.cumsum([0, 1 << WORD_BITS, 1 << SIX_BITS, 1 << FOUR_BITS])
-
-
-def _prefix_hash(block: Block, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    stop = np.minimum(end, start + n)
-    out = np.zeros(len(start), np.uint64)
-    for k in range(n):
-        use = start + k < stop
-        out = np.where(use, mix64(out * np.uint64(0xD6E8FEB86659FD93) + LETTER[FOLD_ASCII[block.data[np.minimum(start + k, len(block.data) - 1)]]]), out)
-    return out
+#: discount of the firm model, and its mass for the coarser order
+FIRM = 8
+FIRM_SHARE = 0.2
+#: one of so many training rows is left out of the model that calibrates on it
+LEFT_OUT = 4
+#: bits of a word pair: toxic and ordinary training rows, then those left out
+PARTS = TOXIC, ORDINARY, LEFT_TOXIC, LEFT_ORDINARY = 1, 2, 4, 8
 
 
 def expressions(block: Block):
-    """(row, word key, context key): a word key holds its prefixes' hashes in its high bits."""
+    """(row, word hash, first six bytes, hash of the left word): a prefix is its folded bytes, the first one highest."""
     words = scan_words(block, ALNUM_WORDS)
-    four = _prefix_hash(block, words.start, words.end, 4) >> np.uint64(64 - FOUR_BITS)
-    six = _prefix_hash(block, words.start, words.end, 6) >> np.uint64(64 - SIX_BITS)
-    rest = 64 - FOUR_BITS - SIX_BITS
-    key = (four << np.uint64(64 - FOUR_BITS)) | (six << np.uint64(rest)) | (words.hash >> np.uint64(64 - rest))
-    left = np.zeros(len(key), np.uint64)
-    if len(key):
-        left[1:] = np.where(words.row[1:] == words.row[:-1], key[:-1], 0)
-    return words.row, key, left
+    six = np.zeros(len(words.start), np.uint64)
+    for k in range(6):
+        at = words.start + k
+        byte = FOLD_ASCII[block.data[np.minimum(at, max(len(block.data) - 1, 0))]].astype(np.uint64) if len(at) else six
+        six = (six << np.uint64(8)) | np.where(at < words.end, byte, np.uint64(0))
+    left = np.zeros(len(six), np.uint64)
+    if len(six):
+        left[1:] = np.where(words.row[1:] == words.row[:-1], words.hash[:-1], 0)
+    return words.row, words.hash, six, left
 
 
-def buckets(key: np.ndarray) -> list[np.ndarray]:
-    """Table positions of words and their prefixes."""
-    rest = 64 - FOUR_BITS - SIX_BITS
-    return [(key & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64),
-            (key >> np.uint64(rest) & np.uint64((1 << SIX_BITS) - 1)).astype(np.int64),
-            (key >> np.uint64(64 - FOUR_BITS)).astype(np.int64)]
+def first_four(six: np.ndarray) -> np.ndarray:
+    return six >> np.uint64(16)
 
 
 def context_hash(left: np.ndarray) -> np.ndarray:
@@ -83,99 +85,119 @@ def context_hash(left: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batches):
-    """Distinct (word, left context) of each block and the classes that have it."""
-    schema = pa.schema([("word", pa.int64()), ("context", pa.int32()), ("toxic", pa.bool_()), ("ordinary", pa.bool_())])
+    """Distinct (word, left context) of each block and who has it: a bit for each of ``PARTS``."""
+    schema = pa.schema([("word", pa.int64()), ("six", pa.int64()), ("context", pa.int32()), ("who", pa.int32())])
     for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False)
+        part = np.where(batch.column(1).to_numpy(zero_copy_only=False) == 1, 0, 1) + 2 * batch.column(2).to_numpy(zero_copy_only=False)
         for block in chunks(batch.column(0)):
-            row, key, left = expressions(block)
-            if not len(key):
+            row, word, six, left = expressions(block)
+            if not len(word):
                 continue
-            context, toxic = context_hash(left), label[block.first + row] == 1
-            order = np.argsort(mix64(key ^ (context.astype(np.uint64) << np.uint64(32))))
-            key, context, toxic = key[order], context[order], toxic[order]
-            opens = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])])
-            bad, good = np.logical_or.reduceat(toxic, opens), np.logical_or.reduceat(~toxic, opens)
-            yield pa.RecordBatch.from_arrays([pa.array(key[opens].view(np.int64)), pa.array(context[opens]), pa.array(bad), pa.array(good)], schema=schema)
-
-
-def _table_rows(batches):
-    """Distinct pairs to sums per table position: in how many contexts each class has the expression."""
-    schema = pa.schema([("at", pa.int32()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
-    sums = np.zeros((2, STARTS[-1]), np.int64)
-    for batch in batches:
-        at = buckets(batch.column(0).to_numpy().view(np.uint64))
-        for k in (0, 1):
-            seen = batch.column(1 + k).to_numpy(zero_copy_only=False).astype(bool)
-            for level in (WORD, SIX, FOUR):
-                np.add.at(sums[k], STARTS[level] + at[level][seen], 1)
-    some = np.flatnonzero(sums.any(axis=0))
-    for i in range(0, len(some), 100_000):
-        part = some[i:i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[0][part]), pa.array(sums[1][part])], schema=schema)
+            context, who = context_hash(left), (1 << part[block.first + row]).astype(np.int32)
+            order = np.argsort(mix64(word ^ (context.astype(np.uint64) << np.uint64(32))))
+            word, six, context, who = word[order], six[order], context[order], who[order]
+            opens = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(word[opens].view(np.int64)), pa.array(six[opens].view(np.int64)), pa.array(context[opens]),
+                                              pa.array(np.bitwise_or.reduceat(who, opens))], schema=schema)
 
 
 @dataclass
 class Model:
-    """Per table: the discounted class shares, and for words and prefixes the smoothed and shared probabilities."""
-    word: np.ndarray
-    word_shared: np.ndarray
-    six: np.ndarray
-    six_shared: np.ndarray
-    four: np.ndarray
-    four_shared: np.ndarray
-    share: float
-
-    def word_probability(self, word, six, four) -> np.ndarray:
-        """Class probabilities (2 x n) of single words."""
-        by_six = self.six[:, six] + self.share * self.four[:, four] * np.minimum(1, self.six_shared[six] / self.four_shared[four])
-        return self.word[:, word] + self.share * by_six * np.minimum(1, self.word_shared[word] / self.six_shared[six])
-
-    def ratios(self, key) -> np.ndarray:
-        """Log-likelihood ratio of every word."""
-        p = self.word_probability(*buckets(key))
-        return np.log(p[0] / p[1])
-
-
-def build_model(tables: np.ndarray, discount: float = DISCOUNT, share: float = SHARED_SHARE) -> Model:
-    """``tables`` (2 x all positions): sums of toxic and of ordinary counts."""
-    part = [tables[:, a:b].astype(np.float64) for a, b in zip(STARTS[:-1], STARTS[1:])]
-
-    def discounted(counts):
-        kept = np.maximum(counts - discount, 0)
-        return (1 - share) * kept / np.maximum(kept.sum(axis=1, keepdims=True), 1)
-
-    def shared(counts):
-        both = counts.sum(axis=0) + 0.5
-        return both / both.sum()
-
-    four_shared = shared(part[FOUR])
-    four = discounted(part[FOUR]) + share * four_shared
-    narrow = lambda x: x.astype(np.float32)
-    return Model(narrow(discounted(part[WORD])), narrow(shared(part[WORD])), narrow(discounted(part[SIX])),
-                 narrow(shared(part[SIX])), narrow(four), narrow(four_shared), share)
+    """Log-likelihood ratios by exact key: for each order ascending keys and their ratios (expressions x 2,
+    under the estimated discounts and under ``FIRM``).
+
+    A prefix has the ratio of the words behind it that no training row has: the share of
+    such a word within its prefix is the same in both classes.
+    """
+    word: tuple[np.ndarray, np.ndarray]
+    six: tuple[np.ndarray, np.ndarray]
+    four: tuple[np.ndarray, np.ndarray]
+    unseen: np.ndarray
+
+    def ratios(self, word: np.ndarray, six: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratios (words x 2), from the finest order that knows the word."""
+        out, left = np.repeat(self.unseen[None], len(word), axis=0), np.arange(len(word))
+        for (keys, ratio), key in ((self.word, word), (self.six, six), (self.four, first_four(six))):
+            if not len(keys) or not len(left):
+                continue
+            distinct, back = np.unique(key[left], return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+            known = (keys[at] == distinct)[back]
+            out[left[known]] = ratio[at[back[known]]]
+            left = left[~known]
+        return out
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """n1 / (n1 + 2 * n2) of each class (2 x expressions); a half where none is counted once or none twice."""
+    once, twice = (counts == 1).sum(axis=1), (counts == 2).sum(axis=1)
+    return np.where((once > 0) & (twice > 0), once / np.maximum(once + 2 * twice, 1), 0.5)
+
+
+def probabilities(counts: np.ndarray, coarser: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class probabilities (2 x expressions) of one order and the discounted mass of each class.
+    ``coarser`` is what the next coarser order gives the expressions."""
+    discount, total = discounts(counts)[:, None], counts.sum(axis=1, keepdims=True)
+    mass = discount * (counts > 0).sum(axis=1, keepdims=True) / total
+    return np.maximum(counts - discount, 0) / total + mass * coarser, mass
+
+
+def firm_probabilities(counts: np.ndarray, coarser: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the firm model: only counts above ``FIRM``, and one fixed mass for both classes."""
+    kept = np.maximum(counts - FIRM, 0)
+    return (1 - FIRM_SHARE) * kept / np.maximum(kept.sum(axis=1, keepdims=True), 1) + FIRM_SHARE * coarser, np.full((2, 1), FIRM_SHARE)
+
+
+def build_model(word: np.ndarray, six: np.ndarray, counts: np.ndarray) -> Model:
+    """From distinct words (hash, first six bytes) and their toxic and ordinary counts (2 x words)."""
+    seen = counts.any(axis=0)
+    word, six, counts = word[seen], six[seen], counts[:, seen]
+    if not counts.sum(axis=1).all():
+        none = (np.zeros(0, np.uint64), np.zeros((0, 2), np.float32))
+        return Model(none, none, none, np.zeros(2, np.float32))
+
+    def summed(key, counts):
+        keys, back = np.unique(key, return_inverse=True)
+        return keys, back, np.stack([np.bincount(back, c, len(keys)) for c in counts])
+
+    six_keys, six_of, six_counts = summed(six, counts)
+    four_keys, four_of, four_counts = summed(first_four(six_keys), six_counts)
+    share = lambda c, coarser: c.sum(axis=0) / coarser.sum(axis=0)
+    ratio = lambda p: np.log(p[0] / p[1]).astype(np.float32)
+    columns = []
+    for law in (probabilities, firm_probabilities):
+        by_four, rest_four = law(four_counts, four_counts.sum(axis=0) / four_counts.sum())
+        by_six, rest_six = law(six_counts, by_four[:, four_of] * share(six_counts, four_counts[:, four_of]))
+        by_word, rest_word = law(counts, by_six[:, six_of] * share(counts, six_counts[:, six_of]))
+        columns.append([ratio(by_word), ratio(rest_word * by_six), ratio(rest_word * rest_six * by_four), ratio(rest_word * rest_six * rest_four)])
+    by_word, by_six, by_four, unseen = (np.stack(c, 1) for c in zip(*columns))
+    order = np.argsort(word)
+    return Model((word[order], by_word[order]), (six_keys, by_six), (four_keys, by_four), unseen[0])
 
 
 def _features(model):
     def run(column: pa.Array) -> list[pa.Array]:
-        words, mean, excess = [], [], []
+        words, mean, excess, firm = [], [], [], []
         for block in chunks(column):
-            row, key, _ = expressions(block)
-            r = model.ratios(key)
+            row, word, six, _ = expressions(block)
+            r, sure = model.ratios(word, six).T
             n = np.bincount(row, minlength=block.rows)
             words.append(n)
             mean.append(np.bincount(row, weights=r, minlength=block.rows) / np.maximum(n, 1))
             excess.append(np.bincount(row, weights=np.maximum(r - MARGIN, 0), minlength=block.rows))
+            firm.append(np.bincount(row, weights=np.maximum(sure - MARGIN, 0), minlength=block.rows))
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
-        return [join(words, pa.int64()), join(mean, pa.float64()), join(excess, pa.float64())]
+        return [join(words, pa.int64()), join(mean, pa.float64()), join(excess, pa.float64()), join(firm, pa.float64())]
     return run
 
 
-FEATURES = [StructField("n_words", LongType()), StructField("mean_ratio", DoubleType()), StructField("excess", DoubleType())]
+FEATURES = [StructField("n_words", LongType()), StructField("mean_ratio", DoubleType()), StructField("excess", DoubleType()),
+            StructField("firm_excess", DoubleType())]
 
 
-def _inputs(n, mean, excess):
-    return np.stack([np.ones(len(n)), mean, np.log1p(excess), np.log1p(100 * excess / np.maximum(n, 20))], 1)
+def _inputs(n, mean, excess, firm):
+    by_length = lambda x: np.log1p(100 * x / np.maximum(n, 20))
+    return np.stack([np.ones(len(n)), mean, np.log1p(excess), by_length(excess), np.log1p(firm), by_length(firm)], 1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -195,7 +217,7 @@ def training_rows(doc_id: Column) -> Column:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-                   keep: list[str] | None = None, discount: int = DISCOUNT, threshold: float = THRESHOLD,
+                   keep: list[str] | None = None, threshold: float = THRESHOLD,
                    calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """Each document (kept columns in the struct ``row``) with ``n_words``, ``held_out``, ``score`` and ``predicted``."""
     spark = docs.sparkSession
@@ -203,30 +225,40 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     keep = docs.columns if keep is None else keep
     train = with_label(docs.where(training_rows(docs[doc_id])).select(docs[doc_id].alias("doc_id"), docs[text].alias("text")),
                        labels.select(labels[doc_id].alias("doc_id"), labels[label].alias("label")), F.col("label"), how="inner")
-    pairs = (train.select("text", "label").mapInArrow(_pairs, "word long, context int, toxic boolean, ordinary boolean")
-             .groupBy("word", "context").agg(F.bool_or("toxic").alias("toxic"), F.bool_or("ordinary").alias("ordinary")))
-    summed = (pairs.select("word", "toxic", "ordinary").mapInArrow(_table_rows, "at int, toxic long, ordinary long").groupBy("at")
-              .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow())
-    tables = np.zeros((2, STARTS[-1]), np.int64)
-    for k, name in enumerate(("toxic", "ordinary")):
-        tables[k, summed["at"].to_numpy()] = summed[name].to_numpy()
-    del summed
-    model = spark.sparkContext.broadcast(build_model(tables, discount))
-    # calibration: rows by a hash of their id, so many that about calibration_rows are taken whatever the corpus
-    share = min(1.0, calibration_rows / max(1, train.select("label").count()))
-    sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    seen = annotate(sample.select("text", "label"), "text", ["label"], FEATURES, lambda: _features(model.value)) \
-        .select(F.col("row.label").alias("label"), "n_words", "mean_ratio", "excess").toPandas()
-    y = (seen["label"].to_numpy() == 1).astype(float)
-    both = 0 < y.sum() < len(y)
-    weights = fit_logistic(_inputs(seen["n_words"].to_numpy(), seen["mean_ratio"].to_numpy(), seen["excess"].to_numpy()), y) if both else None
+    left_out = F.coalesce(F.pmod(F.xxhash64(F.lit("left out"), "doc_id"), F.lit(LEFT_OUT)) == 0, F.lit(False))
+    pairs = (train.select("text", "label", left_out.alias("left")).mapInArrow(_pairs, "word long, six long, context int, who int")
+             .groupBy("word", "six", "context").agg(F.bit_or("who").alias("who")))
+    had = lambda bits, name: F.count_if(F.col("who").bitwiseAND(bits) != 0).alias(name)
+    counted = skew.written(pairs.groupBy("word", "six").agg(
+        had(TOXIC | LEFT_TOXIC, "toxic"), had(ORDINARY | LEFT_ORDINARY, "ordinary"),
+        had(TOXIC, "other_toxic"), had(ORDINARY, "other_ordinary")), "toxicity-words").toArrow()
+    word, six = (counted[c].to_numpy().view(np.uint64) for c in ("word", "six"))
+    model, others = (spark.sparkContext.broadcast(build_model(word, six, np.stack([counted[c].to_numpy() for c in names])))
+                     for names in (("toxic", "ordinary"), ("other_toxic", "other_ordinary")))
+    del counted, word, six
+
+    def calibration(rows, known_to):
+        # rows by a hash of their id, so many that about calibration_rows are taken whatever the corpus
+        share = min(1.0, calibration_rows / max(1, rows.select("label").count()))
+        sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        seen = annotate(sample.select("text", "label"), "text", ["label"], FEATURES, lambda: _features(known_to.value)) \
+            .select(F.col("row.label").alias("label"), *(f.name for f in FEATURES)).toPandas()
+        y = (seen["label"].to_numpy() == 1).astype(float)
+        if not 0 < y.sum() < len(y):
+            return None
+        return fit_logistic(_inputs(*(seen[f.name].to_numpy() for f in FEATURES)), y)
+
+    weights = calibration(train.where(left_out), others)
+    if weights is None:
+        weights = calibration(train, model)
     scored = annotate(docs, text, [*keep, *([doc_id] if doc_id not in keep else [])], FEATURES, lambda: _features(model.value))
     if weights is None:
         score = F.lit(0.0)
     else:
         w = [float(v) for v in weights]
-        z = (F.lit(w[0]) + F.lit(w[1]) * F.col("mean_ratio") + F.lit(w[2]) * F.log1p("excess")
-             + F.lit(w[3]) * F.log1p(100 * F.col("excess") / F.greatest(F.col("n_words"), F.lit(20))))
+        by_length = lambda c: F.log1p(100 * F.col(c) / F.greatest(F.col("n_words"), F.lit(20)))
+        z = (F.lit(w[0]) + F.lit(w[1]) * F.col("mean_ratio") + F.lit(w[2]) * F.log1p("excess") + F.lit(w[3]) * by_length("excess")
+             + F.lit(w[4]) * F.log1p("firm_excess") + F.lit(w[5]) * by_length("firm_excess"))
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     held = F.coalesce(F.crc32(F.col("row")[doc_id].cast("string")) % 3 == 1, F.lit(False))
     return (scored.withColumn("held_out", held).withColumn("score", score)

@@ -1,0 +1,59 @@
+"""Whole-job checks of corpus operators: each of them failed before its finding was settled."""
+import numpy as np
+import pytest
+
+from tablescope.llm import toxicity
+
+
+# ---- toxicity
+
+def _counts(rng, words):
+    word = np.unique(rng.integers(1, 1 << 63, words, dtype=np.uint64))
+    six = rng.integers(0, words // 8, len(word)).astype(np.uint64) << np.uint64(9)
+    return word, six, np.stack([rng.geometric(0.6, len(word)) - 1, rng.geometric(0.3, len(word)) - 1]).astype(np.int64)
+
+
+def test_toxicity_discounts_lie_under_one_and_mass_is_whole():
+    _, _, counts = _counts(np.random.default_rng(3), 4000)
+    d = toxicity.discounts(counts)
+    assert (0 < d).all() and (d < 1).all()
+    for k in (0, 1):
+        assert d[k] == (counts[k] == 1).sum() / ((counts[k] == 1).sum() + 2 * (counts[k] == 2).sum())
+    both = counts.sum(axis=0) / counts.sum()
+    p, mass = toxicity.probabilities(counts, both)
+    assert np.allclose(p.sum(axis=1), 1) and np.allclose(mass[:, 0], d * (counts > 0).sum(axis=1) / counts.sum(axis=1))
+
+
+def test_toxicity_keeps_a_rare_word_in_a_fixed_phrase():
+    word, six, counts = _counts(np.random.default_rng(4), 4000)
+    counts[:, 7] = 3, 0                              # three left neighbours, as many as a fixed phrase has
+    model = toxicity.build_model(word, six, counts)
+    known, prefix_only = model.ratios(word[[7]], six[[7]])[0, 0], model.ratios(np.array([0], np.uint64), six[[7]])[0, 0]
+    assert known > toxicity.MARGIN and known > prefix_only
+
+
+def test_toxicity_words_never_share_an_entry():
+    word, six, counts = _counts(np.random.default_rng(5), 3_000_000)   # more than 2 ** 20 words
+    some = counts.any(axis=0)
+    word, six, counts = word[some], six[some], counts[:, some]
+    model = toxicity.build_model(word, six, counts)
+    assert len(model.word[0]) == len(word)
+    some = np.random.default_rng(6).permutation(len(word))[:200]
+    six_keys, at = np.unique(six, return_inverse=True)
+    sums = np.stack([np.bincount(at, c) for c in counts])
+    four_keys, four_at = np.unique(toxicity.first_four(six_keys), return_inverse=True)
+    fours = np.stack([np.bincount(four_at, c) for c in sums])
+    p = toxicity.probabilities(fours, fours.sum(axis=0) / fours.sum())[0]
+    p = toxicity.probabilities(sums, p[:, four_at] * sums.sum(axis=0) / fours.sum(axis=0)[four_at])[0]
+    p = toxicity.probabilities(counts, p[:, at] * counts.sum(axis=0) / sums.sum(axis=0)[at])[0]
+    assert np.allclose(model.ratios(word[some], six[some])[:, 0], np.log(p[0] / p[1])[some], rtol=1e-4, atol=1e-4)
+
+
+def test_toxicity_backs_off_by_literal_prefix():
+    from tablescope.llm.textkernel import chunks
+    import pyarrow as pa
+    block = next(chunks(pa.array(["Abcdefgh abcdefxy abcdzz ab"])))
+    _, word, six, left = toxicity.expressions(block)
+    as_bytes = [int(s).to_bytes(6, "big") for s in six]
+    assert as_bytes == [b"abcdef", b"abcdef", b"abcdzz", b"ab\0\0\0\0"] and len(set(word.tolist())) == 4
+    assert toxicity.first_four(six)[0] == toxicity.first_four(six)[2] and left[0] == 0 and left[1] == word[0]

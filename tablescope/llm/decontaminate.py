@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, LongType, StringType, StructField, StructType)
 
-from tablescope.llm.textkernel import (ALNUM_WORDS, annotate, chunks, code_point_offsets, scan_words)
+from tablescope.llm import skew
+from tablescope.llm.textkernel import (ALNUM_WORDS, _quoted, annotate, chunks, code_point_offsets, scan_words)
 
 WINDOW_WORDS = 13
 SAMPLE_STEP = 8
@@ -258,22 +259,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    out = None
+    # one block needs no more than the kept columns; of several, every pass but the last is written with the text
+    out = before = None
     for phrases in phrase_blocks(benchmark, item_id, item_text, width, phrase_bytes):
-        shared = spark.sparkContext.broadcast(phrases)
-        if out is None:
-            out = annotate(docs, text, keep, FIELDS, lambda s=shared: _work(s.value))
-        else:  # a further block: the first results travel along, merged by a union of spans
-            out = _merge(annotate(out.withColumn("text", F.col("row")[text]) if text in keep else _no_text(), "text",
-                                  ["row", *(f.name for f in FIELDS)], FIELDS, lambda s=shared: _work(s.value)))
+        if before is not None:
+            out = skew.written(_pass(docs, out, text, keep, before), "decontamination-pass")
+            before.unpersist()
+        before = spark.sparkContext.broadcast(phrases)
+    if before is not None and out is None:
+        return annotate(docs, text, keep, FIELDS, lambda: _work(before.value))
+    if out is not None:
+        out = _pass(docs, out, text, keep, before).drop("text")
     if out is None:
         empty = spark.sparkContext.broadcast(Phrases([], []))
         out = annotate(docs, text, keep, FIELDS, lambda: _work(empty.value))
     return out
 
 
-def _no_text():
-    raise ValueError("a benchmark of several blocks needs the text column among the kept ones")
+def _pass(docs: DataFrame, done: DataFrame | None, text: str, keep: list[str], shared) -> DataFrame:
+    """The kept columns as ``row``, the results of the blocks up to this one, and the text as ``text``."""
+    if done is None:
+        asked = docs.select(F.struct(*[docs[_quoted(c)] for c in keep]).alias("row"), docs[_quoted(text)].alias("text"))
+        found = annotate(asked, "text", ["row", "text"], FIELDS, lambda: _work(shared.value))
+        return found.select(F.col("row.row").alias("row"), *(f.name for f in FIELDS), F.col("row.text").alias("text"))
+    return _merge(annotate(done, "text", ["row", "text", *(f.name for f in FIELDS)], FIELDS, lambda: _work(shared.value)))
 
 
 def _merge(df: DataFrame) -> DataFrame:
@@ -288,10 +297,10 @@ def _merge(df: DataFrame) -> DataFrame:
                                   F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(s))))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    text = old["row"]["text"]
+    text = old["text"]
     inner = F.aggregate(F.col("merged"), F.lit(0).cast("long"),
                         lambda n, s: n + F.regexp_count(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(word)))
     full = (df.withColumn("merged", merged).withColumn("inner", inner)
             .withColumn("united", F.array_sort(F.array_union(old["items"], F.col("items")))))
     return full.select(F.col("row.row").alias("row"), "n_words", F.col("inner").alias("n_hit"), F.col("united").alias("items"),
-                       F.col("merged").alias("spans"))
+                       F.col("merged").alias("spans"), text.alias("text"))

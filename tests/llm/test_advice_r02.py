@@ -2,7 +2,9 @@
 import numpy as np
 import pytest
 
-from tablescope.llm import toxicity
+from tablescope.llm import decontaminate, registry, toxicity
+
+SF = "/root/testdata/sf0.001"
 
 
 # ---- toxicity
@@ -57,3 +59,15 @@ def test_toxicity_backs_off_by_literal_prefix():
     as_bytes = [int(s).to_bytes(6, "big") for s in six]
     assert as_bytes == [b"abcdef", b"abcdef", b"abcdzz", b"ab\0\0\0\0"] and len(set(word.tolist())) == 4
     assert toxicity.first_four(six)[0] == toxicity.first_four(six)[2] and left[0] == 0 and left[1] == word[0]
+
+
+# ---- decontamination
+
+def test_registered_decontamination_in_several_passes(spark, monkeypatch):
+    one = {tuple(r) for r in registry.op2_decontamination(spark, SF).collect()}
+    whole, passes = decontaminate.decontaminate, []
+    texts = [len(r.text or "") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    monkeypatch.setattr(decontaminate.skew, "written", lambda df, name, f=decontaminate.skew.written: passes.append(name) or f(df, name))
+    monkeypatch.setattr(decontaminate, "decontaminate", lambda *a, **b: whole(*a, phrase_bytes=sum(texts) // 3, **b))
+    assert {tuple(r) for r in registry.op2_decontamination(spark, SF).collect()} == one
+    assert len(passes) >= 2

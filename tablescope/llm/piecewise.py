@@ -2,14 +2,15 @@
 
 The merges of a public BPE model with byte fallback are replayed by agenda: among all
 adjacent pairs whose concatenation is a piece, the best-scored (then leftmost) is
-taken; a keyed hash of (seed, variant, left, right, place) decides whether it is merged
-or skipped.  A skipped pair comes back only when a neighbour has changed.  With a
+taken; a hash of (left, right, place), keyed with seed, text and occurrence, decides whether
+it is merged or skipped.  A skipped pair comes back only when a neighbour has changed.  With a
 dropout of 0 the result is the model's own encoding.
 
 A unit is a run of spaces with the characters behind it (no piece reaches further).
-Each occurrence of a unit draws one of ``VARIANTS`` variants by a keyed hash of the
-text and its place, so a unit's segmentation varies inside a text and between seeds, and
-every (unit, variant) is segmented once per block.  Units of up to ``SHORT`` symbols
+Every occurrence has a key of its own, by the text's digest and its place in the text, so
+each draws its own skips.  What is shared is the agenda without skips, made once for each
+distinct unit: an occurrence that skips none of its merges has its result, any other
+replays the agenda under its key.  Units of up to ``SHORT`` symbols
 run their agendas side by side in arrays, one step a round; longer ones on a heap.
 
 Decoding concatenates the pieces' bytes; every text comes back exactly: a character
@@ -34,13 +35,12 @@ SPACE_MARK = 0x2581
 LITERAL_MARK = 0x110000  # a space mark that stands in the text itself
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 4
 SHORT = 48
 #: units are segmented in slices of at most this many characters
 SLICE = 1 << 20
 #: rows are encoded in blocks of at most this many bytes (a longer row is a block of its own)
 ENCODE_BYTES = 1 << 19
-#: a worker keeps the segmentations of at most this many (unit, variant) pairs
+#: a worker keeps the agendas without skips of at most this many units
 CACHE_UNITS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1) << np.int64(62)
@@ -135,17 +135,21 @@ def load_model(path: str) -> PieceModel:
     return _models[path]
 
 
-def skipped(key: np.ndarray, left: np.ndarray, right: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether a candidate merge is skipped, by a hash keyed with seed and variant (``key``)."""
-    h = mix64(key + mix64((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)) + place.astype(np.uint64) * _GOLD)
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 < dropout
+def step_code(left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix64((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)) + place.astype(np.uint64) * _GOLD
 
 
-def merge_short(model: PieceModel, symbol: np.ndarray, unit: np.ndarray, key: np.ndarray, dropout: float):
+def skipped(key: np.ndarray, code: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether a candidate merge (its ``step_code``) is skipped, by a hash keyed with the occurrence (``key``)."""
+    return (mix64(key + code) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 < dropout
+
+
+def merge_short(model: PieceModel, symbol: np.ndarray, unit: np.ndarray, key: np.ndarray, dropout: float, trace: list | None = None):
     """Agendas of many units side by side, one step of each a round.
 
     ``symbol`` and ``unit`` (ascending) are flat; ``key`` is per unit.  Returns flat
-    (unit, symbol, place of the symbol's first character).
+    (unit, symbol, place of the symbol's first character); ``trace`` gets the (unit, step
+    code) of all merges.
     """
     place = np.arange(len(symbol)) - np.searchsorted(unit, unit)
     symbol = symbol.astype(np.int64)
@@ -174,7 +178,9 @@ def merge_short(model: PieceModel, symbol: np.ndarray, unit: np.ndarray, key: np
                 break
         else:
             at = best & 0xFFFFFFFF
-        skip = skipped(key[unit[at]], symbol[at], symbol[at + 1], place[at], dropout) if dropout else np.zeros(len(at), bool)
+        if trace is not None:
+            trace.append((unit[at], step_code(symbol[at], symbol[at + 1], place[at])))
+        skip = skipped(key[unit[at]], step_code(symbol[at], symbol[at + 1], place[at]), dropout) if dropout else np.zeros(len(at), bool)
         rank[at[skip]] = NEVER
         at = at[~skip]
         if len(at):
@@ -217,7 +223,7 @@ def merge_long(model: PieceModel, symbol: np.ndarray, key: int, dropout: float)
         _, a, b, left, right, made = heapq.heappop(agenda)
         if not (alive[a] and b < n and alive[b] and following[a] == b and value[a] == left and value[b] == right):
             continue
-        if dropout and skipped(keys, np.array([left]), np.array([right]), np.array([a]), dropout)[0]:
+        if dropout and skipped(keys, step_code(np.array([left]), np.array([right]), np.array([a])), dropout)[0]:
             continue
         value[a], alive[b], following[a] = made, False, following[b]
         if following[b] < n:
@@ -251,41 +257,55 @@ def _ids_of(model: PieceModel, unit, symbol, place, first_char, chars):
     return np.repeat(unit, counts), flat
 
 
-def encode_units(model: PieceModel, chars: np.ndarray, start: np.ndarray, variant: np.ndarray, seed: int, dropout: float,
-                 cache: UnitCache | None = None):
-    """Piece ids of units given by their first characters; returns (flat ids, ids per unit)."""
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indices of all ranges, one range after another."""
+    return np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def encode_units(model: PieceModel, chars: np.ndarray, start: np.ndarray, key: np.ndarray, dropout: float,
+                 cache: UnitCache, share: bool = True):
+    """Piece ids of units given by their first characters and their occurrences' keys; returns (flat ids, ids per unit)."""
     size = np.diff(np.r_[start, len(chars)])
-    # equal units of one variant are segmented once: keyed by two 64-bit hashes of their characters
-    spread = mix64(chars.astype(np.uint64) + np.uint64(1))
-    place = np.arange(len(chars)) - np.repeat(start, size)
-    weighted = spread * (mix64(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1))
-    digest = mix64(np.add.reduceat(weighted, start) + size.astype(np.uint64) * _GOLD + mix64(variant.astype(np.uint64) + np.uint64(5)))
-    distinct, pick, back = np.unique(digest, return_index=True, return_inverse=True)
-    if cache is not None:
+    if share:  # equal units share one agenda without skips: keyed by a 64-bit hash of their characters
+        spread = mix64(chars.astype(np.uint64) + np.uint64(1))
+        place = np.arange(len(chars)) - np.repeat(start, size)
+        weighted = spread * (mix64(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1))
+        digest = mix64(np.add.reduceat(weighted, start) + size.astype(np.uint64) * _GOLD)
+    else:
+        digest = np.arange(len(start)).astype(np.uint64)
+    replay = (size > SHORT) & (dropout > 0)
+    plain = np.flatnonzero(~replay)
+    begin, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    if len(plain):
+        distinct, pick, back = np.unique(digest[plain], return_index=True, return_inverse=True)
         known, at = cache.find(distinct)
-        fresh = pick[~known]
-        if len(fresh):
-            flat, count = _segment(model, chars, start[fresh], size[fresh], variant[fresh], seed, dropout)
-            cache.add(distinct[~known], flat, count)
+        if not known.all():
+            fresh, trace = plain[pick[~known]], []
+            flat, many = _segment(model, chars, start[fresh], size[fresh], np.zeros(len(fresh), np.uint64), 0, trace)
+            unit, code = (np.concatenate(x) for x in zip(*trace)) if trace else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            cache.add(distinct[~known], flat, many, code[np.argsort(unit, kind="stable")], np.bincount(unit, minlength=len(fresh)))
             known, at = cache.find(distinct)
-        begin, count, ids = cache.begin[at], cache.count[at], cache.ids
-    else:
-        ids, count = _segment(model, chars, start[pick], size[pick], variant[pick], seed, dropout)
-        begin = np.cumsum(count) - count
-    many = count[back]
-    take = np.repeat(begin[back], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return ids[take], many
-
-
-def _segment(model, chars, first, width, variant, seed, dropout):
-    """Flat piece ids of distinct units, and how many each has."""
-    key = mix64(variant.astype(np.uint64) + np.uint64(seed * int(_GOLD) % (1 << 64)))
+        at = at[back]
+        begin[plain], count[plain] = cache.begin[at], cache.count[at]
+        if dropout:
+            steps = cache.step_count[at]
+            owner = np.repeat(plain, steps)
+            replay[owner[skipped(key[owner], cache.steps[_ranges(cache.step_begin[at], steps)], dropout)]] = True
+    ids, again = cache.ids, np.flatnonzero(replay)
+    if len(again):
+        flat, many = _segment(model, chars, start[again], size[again], key[again], dropout)
+        begin[again], count[again] = len(ids) + np.cumsum(many) - many, many
+        ids = np.concatenate([ids, flat])
+    return ids[_ranges(begin, count)], count
+
+
+def _segment(model, chars, first, width, key, dropout, trace=None):
+    """Flat piece ids of units, and how many each has; ``trace`` gets the merges of the short ones."""
     short = width <= SHORT
     units, symbols, places = [], [], []
     some = np.flatnonzero(short)
     if len(some):
-        at = np.repeat(first[some], width[some]) + np.arange(width[some].sum()) - np.repeat(np.cumsum(width[some]) - width[some], width[some])
-        u, s, p = merge_short(model, model.of_char[chars[at]], np.repeat(some, width[some]), key, dropout)
+        u, s, p = merge_short(model, model.of_char[chars[_ranges(first[some], width[some])]], np.repeat(some, width[some]), key, dropout, trace)
         units.append(u), symbols.append(s), places.append(p)
     for k in np.flatnonzero(~short).tolist():
         s, p = merge_long(model, model.of_char[chars[first[k]:first[k] + width[k]]], int(key[k]), dropout)
@@ -297,15 +317,15 @@ def _segment(model, chars, first, width, variant, seed, dropout):
 
 
 class UnitCache:
-    """Segmentations a worker has made, by digest of (unit, variant); emptied when it is full."""
+    """Agendas without skips a worker has made, by digest of the unit: piece ids and step codes; emptied when it is full."""
 
     def __init__(self, most: int = CACHE_UNITS):
         self.most = most
         self.clear()
 
     def clear(self):
-        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.keys, self.ids, self.steps = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        self.begin, self.count, self.step_begin, self.step_count = (np.zeros(0, np.int64) for _ in range(4))
 
     def find(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -313,21 +333,24 @@ class UnitCache:
         at = np.minimum(np.searchsorted(self.keys, digests), len(self.keys) - 1)
         return self.keys[at] == digests, at
 
-    def add(self, digests: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """Ascending new digests with their ids."""
+    def add(self, digests: np.ndarray, ids: np.ndarray, count: np.ndarray, steps: np.ndarray, step_count: np.ndarray) -> None:
+        """Ascending new digests with their ids and step codes."""
         at = np.searchsorted(self.keys, digests)
         self.keys = np.insert(self.keys, at, digests)
         self.begin = np.insert(self.begin, at, len(self.ids) + np.cumsum(count) - count)
         self.count = np.insert(self.count, at, count)
-        self.ids = np.concatenate([self.ids, ids])
+        self.step_begin = np.insert(self.step_begin, at, len(self.steps) + np.cumsum(step_count) - step_count)
+        self.step_count = np.insert(self.step_count, at, step_count)
+        self.ids, self.steps = np.concatenate([self.ids, ids]), np.concatenate([self.steps, steps])
 
 
 _caches: dict[tuple, UnitCache] = {}
 
 
-def encode_block(model: PieceModel, block: Block, seed: int, dropout: float, variants: int,
-                 cache: UnitCache | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, offsets) of all rows of a block."""
+def encode_block(model: PieceModel, block: Block, seed: int, dropout: float, variants: int | None = None,
+                 cache: UnitCache | None = None, share: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, offsets) of all rows of a block.  ``variants`` has no effect any more: every occurrence draws by itself."""
+    cache = UnitCache() if cache is None or not share else cache
     points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.r_[0, np.cumsum((block.data & 0xC0) != 0x80)]
     bounds = lead[block.offsets]
@@ -346,12 +369,14 @@ def encode_block(model: PieceModel, block: Block, seed: int, dropout: float, var
     row = np.searchsorted(row_start, start, side="right") - 1
     texts = np.array([xxhash.xxh64_intdigest(block.data[block.offsets[i]:block.offsets[i + 1]], seed & 0xFFFFFFFFFFFFFFFF) for i in filled.tolist()], np.uint64)
     nth = np.arange(len(start)) - np.searchsorted(row, row)
-    variant = (mix64(texts[row] + nth.astype(np.uint64) * _GOLD) % np.uint64(variants)).astype(np.int64)
+    key = mix64(texts[row] + nth.astype(np.uint64) * _GOLD)
     parts, counts, a = [], [], 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(start, start[a] + SLICE, side="right")) - 1) if start[-1] > start[a] + SLICE else len(start)
         begin, end = start[a], start[b] if b < len(start) else len(chars)
-        ids, many = encode_units(model, chars[begin:end], start[a:b] - begin, variant[a:b], seed, dropout, cache)
+        ids, many = encode_units(model, chars[begin:end], start[a:b] - begin, key[a:b], dropout, cache, share)
+        if not share:
+            cache.clear()
         parts.append(ids.astype(np.int32))
         counts.append(many)
         a = b
@@ -361,7 +386,7 @@ def encode_block(model: PieceModel, block: Block, seed: int, dropout: float, var
     return np.concatenate(parts), offsets
 
 
-def _encode(path: str, seed: int, dropout: float, variants: int):
+def _encode(path: str, seed: int, dropout: float):
     model = load_model(path)
     cache = _caches.setdefault((path, seed, dropout), UnitCache())
 
@@ -377,10 +402,10 @@ def _encode(path: str, seed: int, dropout: float, variants: int):
         for block in chunks(column, ENCODE_BYTES):
             if len(cache.keys) > cache.most:
                 cache.clear()
-            flat, offsets = encode_block(model, block, seed, dropout, variants, cache)
+            flat, offsets = encode_block(model, block, seed, dropout, cache=cache)
             right = exact_rows(block, flat, offsets)
             if not all(right):  # two units with one digest: without sharing
-                flat, offsets = encode_block(model, block, seed, dropout, 1 << 40)
+                flat, offsets = encode_block(model, block, seed, dropout, share=False)
                 right = exact_rows(block, flat, offsets)
             exact += right
             ids.append(flat)
@@ -397,13 +422,13 @@ FIELDS = [StructField("piece_ids", ArrayType(IntegerType())), StructField("lossl
 
 
 def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, seed: int = SEED,
-                  dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+                  dropout: float = DROPOUT) -> DataFrame:
     """Each document (kept columns in the struct ``row``) with ``piece_ids`` and ``lossless``: whether
     the ids decode to the text, checked for every row.
 
     ``model_path`` must be readable by the workers (a path of an installed package).
     """
-    return annotate(docs, text, docs.columns if keep is None else keep, FIELDS, lambda: _encode(model_path, seed, dropout, variants))
+    return annotate(docs, text, docs.columns if keep is None else keep, FIELDS, lambda: _encode(model_path, seed, dropout))
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "piece_ids") -> DataFrame:

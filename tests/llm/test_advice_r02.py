@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from tablescope.llm import decontaminate, registry, toxicity
+from tablescope.llm import decontaminate, piecewise, registry, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +71,34 @@ def test_registered_decontamination_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "decontaminate", lambda *a, **b: whole(*a, phrase_bytes=sum(texts) // 3, **b))
     assert {tuple(r) for r in registry.op2_decontamination(spark, SF).collect()} == one
     assert len(passes) >= 2
+
+
+# ---- pieces
+
+def _occurrences(word, texts, each, dropout=0.1):
+    """Piece ids of every occurrence of a word in texts that differ in their first word."""
+    import public_tokenizers
+    import pyarrow as pa
+    model = piecewise.load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    out = []
+    for block in piecewise.chunks(pa.array([f"{i}" + f" {word}" * each for i in range(texts)])):
+        ids, at = piecewise.encode_block(model, block, 17, dropout, None, piecewise.UnitCache())
+        for i in range(block.rows):
+            found = []
+            for k in ids[at[i]:at[i + 1]].tolist():
+                if model.bytes_of[k].startswith(b" "):
+                    found.append([])
+                found[-1].append(k)
+            out += [tuple(f) for f in found[1:]]
+    return out
+
+
+@pytest.mark.parametrize("word", ["a", "I"])
+def test_a_word_of_one_merge_is_split_at_the_dropout_rate(word):
+    got = _occurrences(word, 40, 200)
+    assert len(got) == 8000 and abs(np.mean([len(g) > 1 for g in got]) - 0.1) < 0.015
+
+
+def test_a_hot_word_has_many_segmentations_in_and_across_texts():
+    assert len(set(_occurrences("international", 1, 2000, 0.3))) > 20
+    assert len(set(_occurrences("international", 2000, 1, 0.3))) > 20

@@ -71,15 +71,12 @@ def cumulative(series: DataFrame, order: str, value: str, keys: Sequence[str] =
 def heatmap_grid(df: DataFrame, x: str, y: str, value: str | None = None, agg: str = "sum") -> DataFrame:
     """H5  One row per (x, y) of the full grid; missing cells are 0.
 
-    Cells are aggregated once; the grid is every x with the list of all y values
-    exploded, to which the cells are joined.  Labels may be any text."""
+    Cells are aggregated once; the grid is the product of the two tables of distinct
+    labels, to which the cells are joined.  Labels may be any text."""
     measure = F.count(F.lit(1)) if value is None else _agg(agg, col(value))
     cells = (df.where(col(x).isNotNull() & col(y).isNotNull())
              .groupBy(col(x).alias("x"), col(y).cast("string").alias("y")).agg(measure.cast("double").alias("value")))
-    # the grid has x * y cells; its y axis, one row of an array, meets the x axis
-    axis = cells.agg(F.collect_set("y").alias("ys"))
-    grid = (cells.select("x").distinct().withColumn("__one", F.lit(1))
-            .join(F.broadcast(axis.withColumn("__one", F.lit(1))), "__one").select("x", F.explode("ys").alias("y")))
+    grid = cells.select("x").distinct().crossJoin(cells.select("y").distinct())
     return grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 

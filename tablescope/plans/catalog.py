@@ -162,5 +162,5 @@ def snapshot_manifest(spark, sf):
 @register("snapshot_restore", "SELECT * FROM orders")
 def snapshot_restore(spark, sf):
     bundle = scratch_path(spark, "bundle")
-    snapshot({"orders": load(spark, sf, "orders")}, bundle)
-    return restore(spark, bundle)["orders"]
+    snapshot({t: load(spark, sf, t) for t in TABLES}, bundle)
+    return restore(spark, bundle)["orders"]  # every table's rows and checksum are compared

@@ -79,9 +79,9 @@ def activity(events: DataFrame, session: str, tile: str, kind: str, ts: str,
 # ---- streaming ----
 
 def _fold_state_fn(max_run_ms: int):
-    """State per id: the start (if seen) and the latest end (if seen) -- an end
-    may arrive before its start, so it waits in state until the start comes or
-    the watermark passes it."""
+    """State per id: the earliest start (if seen) and the latest end (if seen) -- an end
+    may arrive before its start, and a finished run may start or end again in a later
+    micro-batch, so both wait in state until the watermark passes start (or end) + max_run."""
     def row(rid, st):
         started, db, cwd, sess, ended, code, end_db = st
         return pd.DataFrame([{"id": rid, "started": started, "ended": ended, "running": ended is None,
@@ -93,7 +93,7 @@ def _fold_state_fn(max_run_ms: int):
         if state.hasTimedOut:
             st = state.get
             state.remove()
-            if st[0] is not None:            # a run that never ended: final 'running' row
+            if st[0] is not None and st[4] is None:   # a run that never ended: final 'running' row
                 yield row(rid, st)
             return                           # an end whose start never came: ignored
         st = list(state.get) if state.exists else [None] * 7
@@ -103,15 +103,16 @@ def _fold_state_fn(max_run_ms: int):
                     st[0:4] = [r.ts, r.db_path, r.cwd, r.session]
                 elif r.phase == "end" and (st[4] is None or r.ts >= st[4]):
                     st[4:7] = [r.ts, r.exit_code, r.db_path]
-        st = tuple(None if (v is not None and not isinstance(v, str) and pd.isna(v)) else v for v in st)
-        if st[0] is not None and st[4] is not None:
-            if state.exists:
-                state.remove()
-            yield row(rid, st)
-            return
-        state.update(st)
+        st = [None if (v is not None and not isinstance(v, str) and pd.isna(v)) else v for v in st]
+        st[5] = None if st[5] is None else int(st[5])   # pandas makes it a float beside nulls, which the state would lose
+        st = tuple(st)
         anchor = st[0] if st[0] is not None else st[4]
-        state.setTimeoutTimestamp(int(pd.Timestamp(anchor).value // 1_000_000) + max_run_ms)
+        due = int(pd.Timestamp(anchor).value // 1_000_000) + max_run_ms
+        if due > state.getCurrentWatermarkMs():
+            state.update(st)
+            state.setTimeoutTimestamp(due)
+        elif state.exists:
+            state.remove()
         if st[0] is not None:
             yield row(rid, st)
     return fn
@@ -120,7 +121,7 @@ def _fold_state_fn(max_run_ms: int):
 def fold_stream(ledger_stream: DataFrame, watermark: str = "1 hour", max_run_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """K1 streaming fold (update mode): one output row per id touched in a
     micro-batch with its current fold; late records beyond the watermark are
-    dropped by Spark; state for a run that never ends is evicted once the
+    dropped by Spark; the state of a run, finished or not, is evicted once the
     watermark passes ``start + max_run``."""
     v = valid_records(ledger_stream).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     state_schema = ("started timestamp, db_path string, cwd string, session string, "

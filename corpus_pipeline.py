@@ -4,11 +4,17 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 to the shared checkpoint folder and reads it again as the next stage's documents, so a
 lost executor costs at most the stage at hand.  All but the last stage return the columns
 of ``documents``.
+
+Defined results: null and empty texts are neither toxic nor contaminated and have no near copies
+(null ones) or are copies of one another (empty ones), and hold no secret; they end with null and
+empty id lists.  Of equal or near rows the one with the least id stays (of equal ids any one, a null id
+only if there is no other).  Rows with a null id are scored and kept like others.  Extra columns pass through; an
+input column named like a result of the last stage gives way to it.  An empty table goes through all
+stages and gives an empty table.  Without the corpus subpackage this module cannot be imported.
 """
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.llm import dartminhash, decontaminate, piecewise, secretscan, skew, toxicity
 
@@ -17,16 +23,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def piece_model() -> str:
-    """Path of the SentencePiece model (a file of the installed public tokenizers)."""
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
-def contaminated() -> Column:
-    """The contamination rule on a decontamination result: a hit, and a twentieth of the words or more."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
     scored = toxicity.score_toxicity(docs, _table(spark, sf_dir, "labels"))
@@ -41,22 +37,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule leaves; their texts stay as they are."""
     found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    return found.where(~contaminated()).select("row.*")
+    return found.where(~decontaminate.contaminated()).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every found secret replaced by a mark; n_chars follows the new text."""
-    found = secretscan.scan_secrets(docs).select("row.*", "redacted")
-    changed = found.withColumns({"text": F.coalesce("redacted", "text"),
-                                 "n_chars": F.when(F.col("redacted").isNull(), F.col("n_chars")).otherwise(F.char_length("redacted").cast("long"))})
-    return changed.select(*docs.columns)
+    found = secretscan.scan_secrets(docs)
+    text, length = F.coalesce("redacted", F.col("row")["text"]), F.char_length("redacted").cast("long")
+    new = {"text": text, "n_chars": F.when(F.col("redacted").isNull(), F.col("row")["n_chars"]).otherwise(length)}
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document with seeded merge-dropout, checked to decode to its text."""
-    keep = [c for c in docs.columns if c != "text"]
-    found = piecewise.encode_pieces(docs, piece_model(), keep=keep)
-    return found.select("row.*", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "lossless")
+    made = {"piece_ids": F.col("piece_ids"), "n_pieces": F.size("piece_ids").cast("long"), "lossless": F.col("lossless")}
+    keep = [c for c in docs.columns if c != "text" and c not in made]
+    found = piecewise.encode_pieces(docs, piecewise.piece_model(), keep=keep)
+    return found.select(*[F.col("row")[c].alias(c) for c in keep], *[v.alias(c) for c, v in made.items()])
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated),

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, LongType, StringType, StructField, StructType)
 
 from tablescope.llm import skew
@@ -304,3 +304,8 @@ def _merge(df: DataFrame) -> DataFrame:
             .withColumn("united", F.array_sort(F.array_union(old["items"], F.col("items")))))
     return full.select(F.col("row.row").alias("row"), "n_words", F.col("inner").alias("n_hit"), F.col("united").alias("items"),
                        F.col("merged").alias("spans"), text.alias("text"))
+
+
+def contaminated() -> Column:
+    """The contamination rule on a result of ``decontaminate``: a hit, and a twentieth of the words or more."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -125,6 +126,11 @@ class PieceModel:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8")[1:] if len(ids) else ""
 
 
+def piece_model() -> str:
+    """Path of the SentencePiece model (a file of the installed public tokenizers)."""
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 _models: dict[str, PieceModel] = {}
 
 
@@ -347,9 +353,9 @@ class UnitCache:
 _caches: dict[tuple, UnitCache] = {}
 
 
-def encode_block(model: PieceModel, block: Block, seed: int, dropout: float, variants: int | None = None,
+def encode_block(model: PieceModel, block: Block, seed: int, dropout: float,
                  cache: UnitCache | None = None, share: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, offsets) of all rows of a block.  ``variants`` has no effect any more: every occurrence draws by itself."""
+    """(flat ids, offsets) of all rows of a block; every occurrence draws by itself."""
     cache = UnitCache() if cache is None or not share else cache
     points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.r_[0, np.cumsum((block.data & 0xC0) != 0x80)]

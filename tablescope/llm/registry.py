@@ -5,10 +5,10 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescope.llm import (dartminhash, decontaminate, htmlextract, piecewise, quality, secretscan, sharding, skew, tokencounts,
-                            toxicity, urlfilter)
+from tablescope.llm import (dartminhash, decontaminate, htmlextract, piecewise, quality, secretscan, sharding, skew, spelling, tokencounts,
+                            tokenalign, toxicity, urlfilter)
 
 #: the rules of the url query (host, path prefix, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
@@ -43,11 +43,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 def decontaminated_digest(found: DataFrame) -> DataFrame:
     """The digest columns of a decontamination result."""
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
-
-
-def contaminated() -> Column:
-    return corpus_pipeline.contaminated()
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +97,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = piecewise.encode_pieces(docs, corpus_pipeline.piece_model(), keep=["doc_id"])
+    found = piecewise.encode_pieces(docs, piecewise.piece_model(), keep=["doc_id"])
     return found.select("row.doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "lossless")
 
 
@@ -139,9 +135,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = tokenalign.align_tokens(docs, tokenalign.byte_bpe_file(), piecewise.piece_model(), keep=["doc_id"], derive={"groups_sha256": digest})
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_near_duplicates, op4_html_text, op5_secret_scan, op6_quality,
-                            op7_sentencepiece, op8_toxicity, op9_sharding, op10_token_counts)} | {"pipeline": corpus_pipeline.run}
+                            op7_sentencepiece, op8_toxicity, op9_sharding, op10_token_counts, op11_token_alignment, op12_spelling_variants)} | {"pipeline": corpus_pipeline.run}
 ORACLE = {"op1_url_filter": OP1_SQL, "op2_decontamination": OP2_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -156,6 +156,20 @@ def windows(h: np.ndarray, row: np.ndarray, n: int, salt: int = 0) -> tuple[np.n
     return out, at
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, for spans that follow one another."""
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 20), side="right")))
+        a, b = int(start[i]), int(end[j - 1])
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(LETTER[data[a:b]] * _power("up", _BASE, b - a), out=total[1:])
+        h = (total[end[i:j] - a] - total[start[i:j] - a]) * _power("down", _INVERSE, b - a)[start[i:j] - a]
+        out[i:j] = mix64(h ^ (end[i:j] - start[i:j]).astype(np.uint64))
+        i = j
+    return out
+
+
 def code_point_offsets(block: Block, byte_positions: np.ndarray) -> np.ndarray:
     """Number of code points before each byte position of the block."""
     lead = np.cumsum((block.data & 0xC0) != 0x80, dtype=np.int64)

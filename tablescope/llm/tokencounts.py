@@ -9,8 +9,13 @@ batches, so batches may come in any order.
 A commit is idempotent: a batch is written to the folder of its id by Spark's
 committer, whose success mark makes it visible.  A batch whose mark is there is not
 written again, whatever is offered under its id; a batch that broke off has no mark, is
-ignored by readers and overwritten by the next try.  ``compact`` sums committed batches
-into one and keeps their ids, so that replays of old batches are still refused.
+ignored by readers and overwritten by the next try.  Folder names hold the ids in hex, so
+any text is an id of its own (no id is taken for a path pattern).
+
+``compact`` publishes, in the same folder, the sums of all committed batches together with
+the ids they stand for.  The ids are written first, the sums' success mark makes both
+visible at once: after a crash readers still see the batches themselves, and replays of
+summed batches are refused before and after.
 
 Defined results: events with a null source or language form groups of their own; null
 token counts count 0 tokens; an event with an unknown kind is an error; repeated events
@@ -45,27 +50,42 @@ class Rollup:
 
     def _entry(self, batch: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        where = hadoop.Path(f"{self.path}/batch={batch}")
+        where = hadoop.Path(self._folder(batch))
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def is_committed(self, batch: str) -> bool:
-        fs, where = self._entry(batch)
-        return fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(where, "_SUCCESS"))
+    def _folder(self, batch: str, kind: str = "batch") -> str:
+        return f"{self.path}/{kind}={batch.encode('utf-8', 'surrogatepass').hex()}"
 
-    def committed(self) -> list[str]:
+    def _published(self, kind: str) -> list[str]:
+        """Ids of the folders of a kind that have their success mark."""
         fs, where = self._entry("x")
-        root = where.getParent()
+        root, path = where.getParent(), self.spark._jvm.org.apache.hadoop.fs.Path
         if not fs.exists(root):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(n[6:] for n in names if n.startswith("batch=") and self.is_committed(n[6:]))
+        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{kind}=")]
+        return sorted(bytes.fromhex(p.getName()[len(kind) + 1:]).decode("utf-8", "surrogatepass") for p in found if fs.exists(path(p, "_SUCCESS")))
+
+    def _summed(self) -> tuple[list[str], set[str]]:
+        """Published compactions that no later one stands for, and the ids of everything they stand for."""
+        sums, covers = self._published("sums"), {}
+        for name in sums:
+            covers[name] = {(r.kind, r.id) for r in self.spark.read.schema("kind string, id string").parquet(self._folder(name, "ids")).collect()}
+        under = set().union(*covers.values()) if covers else set()
+        return [n for n in sums if ("sums", n) not in under], {i for kind, i in under if kind == "batch"}
+
+    def is_committed(self, batch: str) -> bool:
+        return batch in self.committed()
+
+    def committed(self) -> list[str]:
+        """Ids of all committed batches, also of those that a compaction stands for."""
+        return sorted(set(self._published("batch")) | self._summed()[1])
 
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Add ``events`` (source, lang, tokenizer, kind, tokens) as one batch; False if it was there already.
 
         ``kind`` is ``insert`` or ``delete``.
         """
-        if "/" in batch or not batch:
+        if not batch:
             raise ValueError(f"not a batch id: {batch!r}")
         if self.is_committed(batch):
             return False
@@ -73,26 +93,30 @@ class Rollup:
                 .otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce("kind", F.lit("null"))))))
         sums = events.groupBy(*KEYS).agg(F.sum(sign).cast("long").alias("documents"),
                                          F.sum(sign * F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        sums.write.mode("overwrite").parquet(self._folder(batch))
         return True
 
     def totals(self) -> DataFrame:
         """documents and tokens by source, language and tokenizer over all committed batches."""
-        batches = self.committed()
-        if not batches:
+        tops, under = self._summed()
+        folders = [self._folder(n, "sums") for n in tops] + [self._folder(b) for b in self._published("batch") if b not in under]
+        if not folders:
             return self.spark.createDataFrame([], TOTALS)
-        rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/batch={b}" for b in batches])
+        rows = self.spark.read.schema(TOTALS).parquet(*folders)
         return (rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
                 .where("documents <> 0 or tokens <> 0"))
 
     def compact(self, name: str) -> "Rollup":
-        """A new rollup whose single batch ``name`` has today's totals and that knows all old batch ids."""
-        target = Rollup(self.spark)
-        self.totals().write.parquet(f"{target.path}/batch={name}")
-        empty = self.spark.createDataFrame([], TOTALS)
-        for batch in self.committed():
-            empty.write.mode("overwrite").parquet(f"{target.path}/batch={batch}")
-        return target
+        """Publish today's totals as compaction ``name`` of this rollup; its batches are read no more.
+
+        A compaction of a name that is published already is left as it is.
+        """
+        if name in self._published("sums"):
+            return self
+        ids = [("batch", b) for b in self.committed()] + [("sums", n) for n in self._summed()[0]]
+        self.spark.createDataFrame(ids, "kind string, id string").coalesce(1).write.mode("overwrite").parquet(self._folder(name, "ids"))
+        self.totals().write.mode("overwrite").parquet(self._folder(name, "sums"))
+        return self
 
 
 def bpe_counter(rank_path: str, pattern: str):

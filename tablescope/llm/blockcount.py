@@ -109,12 +109,11 @@ def count_parts(blocks: DataFrame, dtype: str, width: int = 1, with_keys: bool =
 
 
 def answer_blocks(docs: DataFrame, answers: DataFrame, schema: StructType,
-                  finish: Callable[[pa.Table, np.ndarray, bytes], pa.Table]) -> DataFrame:
-    """``finish(documents, counts, keys)`` of every block: its documents, and counts and keys in the block's order."""
+                  finish: Callable[[pa.Table, bytes, bytes], pa.Table]) -> DataFrame:
+    """``finish(documents, counts, keys)`` of every block: its documents, and the bytes of counts and keys in the block's order."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
-        cells = [c.as_buffer() for c in right.column("counts")]
-        counts = np.frombuffer(b"".join(cells), np.int64)
+        counts = b"".join(c.as_buffer() for c in right.column("counts"))
         keys = b"".join(c.as_buffer() for c in right.column("keys") if c.is_valid)
         return finish(left, counts, keys)
 

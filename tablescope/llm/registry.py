@@ -7,8 +7,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescope.llm import (dartminhash, decontaminate, htmlextract, piecewise, quality, secretscan, sharding, skew, spelling, tokencounts,
-                            tokenalign, toxicity, urlfilter)
+from tablescope.llm import (bloomlm, dartminhash, decontaminate, htmlextract, piecewise, quality, secretscan, sharding, skew, spelling,
+                            tokenalign, tokencounts, toxicity, urlfilter)
 
 #: the rules of the url query (host, path prefix, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
@@ -146,9 +146,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bloomlm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_near_duplicates, op4_html_text, op5_secret_scan, op6_quality,
-                            op7_sentencepiece, op8_toxicity, op9_sharding, op10_token_counts, op11_token_alignment, op12_spelling_variants)} | {"pipeline": corpus_pipeline.run}
+                            op7_sentencepiece, op8_toxicity, op9_sharding, op10_token_counts, op11_token_alignment, op12_spelling_variants, op13_lm_score)} | {"pipeline": corpus_pipeline.run}
 ORACLE = {"op1_url_filter": OP1_SQL, "op2_decontamination": OP2_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

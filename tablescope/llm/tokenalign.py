@@ -327,7 +327,8 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, text: str = "text",
                       StructField("n_best", LongType()), StructField("count_sum", LongType()),
                       *[StructField(f"derived_{k}", staged.schema[f"derived_{k}"].dataType) for k in derive]])
 
-    def finish(documents: pa.Table, counts: np.ndarray, keys: bytes) -> pa.Table:
+    def finish(documents: pa.Table, counted: bytes, keys: bytes) -> pa.Table:
+        counts = np.frombuffer(counted, np.int64)
         a = np.frombuffer(keys, np.uint64).astype(np.int64) // ids_b
         is_best = counts == shared.value[a]
         row, at = unpack_positions(documents.column("positions"))

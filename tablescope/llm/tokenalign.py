@@ -26,6 +26,7 @@ rows give equal results, each counting as a document; an empty table gives no ro
 """
 from __future__ import annotations
 
+import itertools
 import json
 
 import numpy as np
@@ -40,9 +41,11 @@ from tablescope.llm.textkernel import _quoted, chunks, hash_spans
 from tablescope.session import ship_package
 
 #: documents are encoded in blocks of at most this many bytes (a longer one is a block of its own)
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: bytes of units that a worker remembers
-MEMORY = 48 << 20
+MEMORY = 96 << 20
+#: units are encoded in batches of this many
+BATCH_UNITS = 8192
 #: links of this many token pairs are laid out at once
 LINKS_AT_ONCE = 1 << 21
 
@@ -86,7 +89,7 @@ class Pair:
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of units that start with the space."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        a = [e.ids for i in range(0, len(units), BATCH_UNITS) for e in self.a.encode_batch_fast(units[i:i + BATCH_UNITS], add_special_tokens=False)]
         # the model puts the space in front itself, but not before nothing
         b = self.b.encode([u[1:] for u in units], num_threads=1)
         return a, [x if u != " " else [self.mark] for u, x in zip(units, b)]
@@ -160,7 +163,7 @@ class Units:
         a_lists = [x if ok else [] for x, ok in zip(a_lists, exact)]
         b_lists = [x if ok else [] for x, ok in zip(b_lists, exact)]
         many_a, many_b = (np.array([len(x) for x in lists], np.int64) for lists in (a_lists, b_lists))
-        a, b = (np.array([i for x in lists for i in x], np.int64) for lists in (a_lists, b_lists))
+        a, b = (np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(many.sum())) for lists, many in ((a_lists, many_a), (b_lists, many_b)))
         # units lie one behind another, so all of them are labelled at once
         label_a, label_b = group_labels(np.cumsum(model.a_size[a]), np.cumsum(model.b_size[b]))
         unit_a = np.repeat(np.arange(len(units)), many_a)
@@ -187,11 +190,20 @@ class Units:
 
     @staticmethod
     def _group_texts(a, b, in_a, in_b, unit_of, units: int) -> list[str]:
-        said_a, said_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        at_a, at_b = np.r_[0, np.cumsum(in_a)].tolist(), np.r_[0, np.cumsum(in_b)].tolist()
-        told = [",".join(said_a[at_a[g]:at_a[g + 1]]) + "|" + ",".join(said_b[at_b[g]:at_b[g + 1]]) for g in range(len(in_a))]
-        bounds = np.searchsorted(unit_of, np.arange(units + 1)).tolist()
-        return [";".join(told[bounds[u]:bounds[u + 1]]) for u in range(units)]
+        # all tokens in the order they are told, each with what follows it: , inside a side, | behind A, ; behind B
+        ends_a, ends_b = np.cumsum(in_a), np.cumsum(in_b)
+        groups = np.arange(len(in_a))
+        side_a, side_b = np.repeat(2 * groups, in_a), np.repeat(2 * groups + 1, in_b)
+        order = np.argsort(np.concatenate([side_a, side_b]), kind="stable")
+        follows_a, follows_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        follows_a[ends_a - 1], follows_b[ends_b - 1] = 1, 2
+        ids, follows = np.concatenate([a, b])[order], np.concatenate([follows_a, follows_b])[order]
+        told, where = np.unique(ids * 3 + follows, return_inverse=True)
+        names = np.array([f"{k // 3}{',|;'[k % 3]}" for k in told.tolist()], object)
+        said = names[where].tolist()
+        many = np.bincount(unit_of, in_a + in_b, units).astype(np.int64)
+        ends = np.cumsum(many).tolist()
+        return ["".join(said[j - m:j])[:-1] for j, m in zip(ends, many.tolist())]
 
 
 def split_units(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +228,7 @@ def align_block(model: Pair, units: Units, block):
     data, start, end, row = split_units(block)
     _, first, back = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
     raw = data.tobytes()
-    distinct = [raw[start[i]:end[i]] for i in first.tolist()]
+    distinct = [raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())]
     new = [u for u in distinct if u not in units.number]
     if new:
         units.add(model, new)

@@ -40,7 +40,7 @@ from tablescope.llm.blockcount import (answer_blocks, count_parts, new_block, or
 from tablescope.llm.textkernel import FOLD_ASCII, SPACED_WORDS, _quoted, chunks, mix64, scan_words
 from tablescope.session import ship_package
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: prior weight of the word alone (of 1, 2, 4, ... 64 the best on held-out rows)
 MU = 16.0
 #: growth of the thresholds from level to level

@@ -37,20 +37,20 @@ def new_block() -> int:
 
 
 def key_hash(keys: np.ndarray) -> np.ndarray:
-    """The hash that orders and deals keys (rows of one or two unsigned integers)."""
+    """The hash that orders and deals keys (unsigned integers, or rows of them: the first counts)."""
     return mix64(keys if keys.ndim == 1 else keys[:, 0])
 
 
 def order_of(keys: np.ndarray) -> np.ndarray:
-    """The order of a block's distinct keys: by hash (which is one to one), then by a second integer."""
-    return np.argsort(key_hash(keys)) if keys.ndim == 1 else np.lexsort((keys[:, 1], key_hash(keys)))
+    """The order of a block's distinct keys: by hash (which is one to one), then by the other integers."""
+    return np.argsort(key_hash(keys)) if keys.ndim == 1 else np.lexsort((*keys.T[:0:-1], key_hash(keys)))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys, their sums of ``n``, position of each input key among them)."""
     if not len(keys):
         return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable") if keys.ndim == 1 else np.lexsort((keys[:, 1], keys[:, 0]))
+    order = np.argsort(keys, kind="stable") if keys.ndim == 1 else np.lexsort(keys.T[::-1])
     laid = keys[order]
     changes = laid[1:] != laid[:-1]
     first = np.flatnonzero(np.r_[True, changes if keys.ndim == 1 else changes.any(axis=1)])
@@ -70,7 +70,7 @@ def count_parts(blocks: DataFrame, dtype: str, width: int = 1, with_keys: bool =
                 summary: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
     """Answers (block, part, keys, counts) to the key rows (block, keys, n) of ``blocks``, as a written table.
 
-    Keys are ``width`` unsigned integers of ``dtype``, ``n`` is int64.  ``summary`` turns a
+    Keys are ``width`` unsigned integers of ``dtype`` each, ``n`` is int64.  ``summary`` turns a
     part's distinct keys and counts into bytes: they are the ``counts`` of an answer to block -1.
     """
     spark = blocks.sparkSession

@@ -10,7 +10,7 @@ The probability of a word behind another is smoothed by Dirichlet's prior:
 (count of the pair + MU * probability of the word) / (count of the first word + MU), and that of a
 word alone is (count + 0.1) / (N + 0.1 * (V + 1)).  A numerator takes the lower edge of its level
 and a denominator the upper one, so probabilities do not exceed the exact model's but for wrong
-hits (about one probe in 200).  A text begins behind a start mark (as many as there are training texts) and ends with the end token.
+hits (about one probe in 100).  A text begins behind a start mark (as many as there are training texts) and ends with the end token.
 
 The filter grows with the corpus: ``BITS`` bits for each (n-gram, level).  It is built and
 written in segments, by hash, each by one task of bounded size.  Up to ``BROADCAST_BYTES`` in
@@ -19,7 +19,7 @@ gets more than one segment: probes of a block of documents are dealt to the segm
 (each distinct n-gram of a block once), and the levels come back to the block.  Both
 ways give the same scores.
 
-The base score needs exact counts: words are keyed by two 64-bit hashes and added up over
+The base score needs exact counts: words are keyed by 96 bits of two hashes and added up over
 blocks (``blockcount``); nothing that grows with the vocabulary is collected.
 
 Training rows: crc32(doc_id as text) mod 10 is not 0.
@@ -40,20 +40,20 @@ from tablescope.llm.blockcount import (answer_blocks, count_parts, new_block, or
 from tablescope.llm.textkernel import FOLD_ASCII, SPACED_WORDS, _quoted, chunks, mix64, scan_words
 from tablescope.session import ship_package
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: prior weight of the word alone (of 1, 2, 4, ... 64 the best on held-out rows)
 MU = 16.0
 #: growth of the thresholds from level to level
 GROWTH = 1.25
 LEVELS = 90
 #: bits of the filter for each (n-gram, level), and bits set for each
-BITS = 12
-SET_BITS = 8
+BITS = 10
+SET_BITS = 6
 #: n-gram occurrences that one segment's task counts, at most and on average
-SEGMENT_GRAMS = 4_000_000
+SEGMENT_GRAMS = 3_000_000
 BROADCAST_BYTES = 256 << 20
 #: n-gram hashes travel in so many bytes; a segment's share of the hash comes on top
-HASH_BYTES = 5
+HASH_BYTES = 4
 _END, _START = np.uint64(0x51ED270B0A1F3C49), np.uint64(0x2545F4914F6CDD1D)
 _PAIR, _SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E6C63D0876A9A47)
 _LEVEL, _GOLD = 0xA0761D6478BD642F, 0x9E3779B97F4A7C15
@@ -117,42 +117,24 @@ def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 # ---- the filter
 
-class Segment:
-    """One segment: 64-bit words; a (n-gram, level) sets half of its bits in each of two of them."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    @staticmethod
-    def place(keys: np.ndarray, level: int, half: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(word, bits in it) of one half of each (n-gram, level)."""
-        h = mix64(keys + np.uint64((level * _LEVEL + half * _GOLD) % (1 << 64)))
-        mask = np.zeros(len(keys), np.uint64)
-        for k in range(SET_BITS // 2):
-            mask |= np.uint64(1) << (h >> np.uint64(6 * k) & np.uint64(63))
-        return ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64), mask
-
-    @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray) -> "Segment":
-        level = level_of(counts)
-        words = np.zeros(max(1, -(-int(level.sum()) * BITS // 64)), np.uint64)
-        for q in range(1, int(level.max(initial=0)) + 1):
-            for half in (0, 1):
-                at, mask = cls.place(keys[level >= q], q, half, len(words))
-                np.bitwise_or.at(words, at, mask)
-        return cls(words)
+def place(keys: np.ndarray, level: int, half: int, size) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bits in it) of one half of each (n-gram, level) in a segment of ``size`` 64-bit words."""
+    h = mix64(keys + np.uint64((level * _LEVEL + half * _GOLD) % (1 << 64)))
+    mask = np.zeros(len(keys), np.uint64)
+    for k in range(SET_BITS // 2):
+        mask |= np.uint64(1) << (h >> np.uint64(6 * k) & np.uint64(63))
+    return ((h >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), mask
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key: membership probes, level after level, until one fails."""
-        out, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
-        for q in range(1, LEVELS + 1):
-            for half in (0, 1):
-                at, mask = self.place(keys[left], q, half, len(self.words))
-                left = left[(self.words[at] & mask) == mask]
-            if not len(left):
-                break
-            out[left] = q
-        return out
+
+def build_segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The 64-bit words of a segment; a (n-gram, level) sets half of its bits in each of two words."""
+    level = level_of(counts)
+    words = np.zeros(max(1, -(-int(level.sum()) * BITS // 64)), np.uint64)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        for half in (0, 1):
+            at, mask = place(keys[level >= q], q, half, np.uint64(len(words)))
+            np.bitwise_or.at(words, at, mask)
+    return words
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -174,15 +156,26 @@ def from_bytes(raw) -> np.ndarray:
 
 
 class Filter:
-    """All segments on one worker."""
+    """Segments one behind the other, each from its place in ``starts`` on."""
 
-    def __init__(self, cells: list[bytes]):
-        self.segments = [Segment(np.frombuffer(c, np.uint64)) for c in cells]
+    def __init__(self, words: np.ndarray, starts: np.ndarray):
+        self.words, self.starts, self.sizes = words, starts[:-1], np.diff(starts).astype(np.uint64)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of ascending keys."""
-        bounds = np.searchsorted(segment_of(keys, len(self.segments)), np.arange(len(self.segments) + 1))
-        return np.concatenate([s.levels(inner(keys[a:b])) for s, a, b in zip(self.segments, bounds[:-1], bounds[1:])])
+    def levels(self, keys: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
+        """The level of each key: membership probes, level after level, until one fails."""
+        segment = segment_of(keys, len(self.sizes)) if segment is None else segment
+        keys, size, start = inner(keys), self.sizes[segment], self.starts[segment]
+        out, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+        for q in range(1, LEVELS + 1):
+            for half in (0, 1):
+                at, mask = place(keys, q, half, size)
+                held = np.flatnonzero((self.words[at + start] & mask) == mask)
+                if len(held) < len(keys):
+                    keys, size, start, left = keys[held], size[held], start[held], left[held]
+            if not len(left):
+                break
+            out[left] = q
+        return out
 
 
 # ---- training
@@ -217,8 +210,8 @@ def _build(table: pa.Table) -> pa.Table:
         return keys, n
 
     (words, words_n), (pairs, pairs_n) = total("words"), total("pairs")
-    made = Segment.build(np.concatenate([words, pairs]), np.concatenate([words_n, pairs_n]))
-    return pa.table({"part": table.column("part")[:1], "bits": pa.array([made.words.tobytes()], pa.binary()),
+    made = build_segment(np.concatenate([words, pairs]), np.concatenate([words_n, pairs_n]))
+    return pa.table({"part": table.column("part")[:1], "bits": pa.array([made.tobytes()], pa.binary()),
                      "words": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(words_n.sum())], pa.int64())})
 
 
@@ -250,13 +243,10 @@ ROWS = [StructField("block", LongType()), StructField("held_out", BooleanType())
 
 
 def log10_probability(tokens: Tokens, rows: int, levels, n: int, v: int) -> np.ndarray:
-    """The model's log10 probability of each row; ``levels`` gives the levels of ascending keys."""
+    """The model's log10 probability of each row; ``levels`` gives the levels of keys."""
     words, at_word = np.unique(np.r_[tokens.key, _START], return_inverse=True)
     pairs, at_pair = np.unique(tokens.pairs(), return_inverse=True)
-    both = np.concatenate([words, pairs])
-    order = np.argsort(both, kind="stable")
-    level = np.empty(len(both), np.int64)
-    level[order] = levels(both[order])
+    level = levels(np.concatenate([words, pairs])).astype(np.int64)
     word_level, pair_level = level[:len(words)], level[len(words):]
     alone = (least_count(word_level[at_word[:-1]]) + 0.1) / (n + 0.1 * (v + 1))
     opens = np.r_[True, tokens.ends[:-1]]
@@ -270,7 +260,8 @@ def _scored_block(block, rows: pa.Array, trains: np.ndarray, held: pa.Array, lev
     tokens = Tokens(block)
     score = log10_probability(tokens, block.rows, levels, n, v)
     _, first, where = np.unique(tokens.key, return_index=True, return_inverse=True)
-    keys = np.stack([tokens.key[first], tokens.second[first]], 1)
+    # 96 bits of each word: its hash and half of the second one
+    keys = np.stack([x.astype(np.uint32) for x in (tokens.key[first] >> np.uint64(32), tokens.key[first], tokens.second[first])], 1)
     order = order_of(keys)
     spot = np.empty(len(keys), np.int64)
     spot[order] = np.arange(len(keys))
@@ -292,11 +283,13 @@ def _scored_block(block, rows: pa.Array, trains: np.ndarray, held: pa.Array, lev
 
 def _score_here(packed: DataFrame, bits: DataFrame, n: int, v: int, fields: StructType, schema: pa.Schema) -> DataFrame:
     """Every task probes a broadcast of the whole filter, whose size has been checked."""
-    cells = bits.select("part", "bits").toArrow().sort_by("part").column("bits").to_pylist()
-    shared = packed.sparkSession.sparkContext.broadcast(cells)
+    cells = bits.select("part", "bits").toArrow().sort_by("part").column("bits")
+    words = [np.frombuffer(c.as_buffer(), np.uint64) for c in cells]
+    shared = packed.sparkSession.sparkContext.broadcast((np.concatenate(words), np.cumsum([0, *map(len, words)])))
+    del cells, words
 
     def run(batches):
-        levels = Filter(shared.value).levels
+        levels = Filter(*shared.value).levels
         for batch in batches:
             trains = batch.column(2).to_numpy(zero_copy_only=False)
             for block in chunks(batch.column(1), BLOCK):
@@ -335,8 +328,11 @@ def _score_dealt(packed: DataFrame, bits: DataFrame, segments: int, n: int, v: i
                                                   pa.array([to_bytes(keys[bounds[i]:bounds[i + 1]]) for i in some], pa.binary())], names=["block", "part", "keys"])
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        segment = Segment(np.frombuffer(right.column("bits")[0].as_buffer(), np.uint64)) if right.num_rows else None
-        levels = [segment.levels(from_bytes(c.as_buffer())).tobytes() for c in left.column("keys")]
+        if not left.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+        words = np.frombuffer(right.column("bits")[0].as_buffer(), np.uint64)
+        one, lists = Filter(words, np.array([0, len(words)])), [from_bytes(c.as_buffer()) for c in left.column("keys")]
+        levels = [one.levels(k, np.zeros(len(k), np.int64)).tobytes() for k in lists]
         return pa.table({"block": left.column("block"), "part": left.column("part"), "keys": pa.nulls(left.num_rows, pa.binary()), "counts": pa.array(levels, pa.binary())})
 
     staged = skew.written(packed.mapInArrow(ask, asked), "probes")
@@ -390,7 +386,7 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     else:
         scored = _score_dealt(packed, bits, segments, n, v, fields, schema)
     staged = skew.written(scored, "lm-scored")
-    answers = count_parts(staged.where("keys is not null"), "uint64", 2, summary=_known_and_all)
+    answers = count_parts(staged.where("keys is not null"), "uint32", 3, summary=_known_and_all)
     known = answers.where("block < 0").select("counts").mapInArrow(_unfold, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     words, train_tokens = int(known[0] or 0), int(known[1] or 0)
     out = StructType([fields["row"], fields["held_out"], fields["n_tokens"], StructField("n_known", LongType()),

@@ -8,8 +8,10 @@ bounded by the bucket rule: hours for <= 2 days, days for <= 90, months for
 LOESS (the reference drew it in the browser; parameters are ours): local
 linear fit at every bucket with tricube weights over the q = ceil(span * n)
 nearest buckets (span 0.3), w = (1 - (d / d_q)^3)^3 for d < d_q, no robustness
-iterations.  Neighbours come from an index-band equi-join (each point meets at
-most 2q - 1 candidates), not a cross join.
+iterations.  The fit is made at ``vertices`` points evenly spaced in the order (at every point
+of a shorter series) and drawn straight in between, so a series of n points costs
+n * vertices, whatever its length.  The bandwidth of a vertex is found by moving a window of q
+consecutive points over it: the least over the windows of the farther end.
 
 Outliers: robust z = residual / (1.4826 * MAD of residuals); |z| > threshold.
 """
@@ -32,9 +34,8 @@ from tablescope.types import EPOCH_NAME, is_numeric, is_temporal
 
 LOESS_SPAN = 0.3
 OUTLIER_Z = 3.0
-# LOESS meets 2q - 1 neighbours per point (q = 0.3 n): quadratic in the series
-# length.  It runs on bucketed series; longer inputs are refused, not cut.
-LOESS_MAX_POINTS = 200_000
+#: points at which LOESS fits a line of its own; the fit is drawn straight between them
+LOESS_VERTICES = 1000
 MAD_SCALE = 1.4826
 # plausible epoch values (years 2001-2096) per unit
 EPOCH_BOUNDS = {"s": (1e9, 4e9), "ms": (1e12, 4e12), "us": (1e15, 4e15)}
@@ -64,37 +65,42 @@ def overview(df: DataFrame, ts: str | None = None, value: str | None = None, uni
             .agg(*aggs))
 
 
-def loess(series: DataFrame, x: str, y: str, span: float = LOESS_SPAN) -> DataFrame:
-    """I2  (x, y, idx, fit): local linear LOESS over an ordered series."""
-    n = series.count()
-    if n > LOESS_MAX_POINTS:
-        raise ValueError(f"LOESS on {n} points: bucket the series first (overview), at most {LOESS_MAX_POINTS}")
-    spark = series.sparkSession
-    if n == 0:
-        return spark.createDataFrame([], f"x double, y double, idx long, fit double")
-    q = max(2, math.ceil(span * n)) if n > 1 else 1
-    q = min(q, n)
-    base = series.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
-    idx = ordered_scan(base.withColumn("one", F.lit(1)), [], ["x"], sums=["one"]).select(
-        "x", "y", (F.col("cum_one") - 1).alias("idx"))
-    cand = (idx.select(F.col("idx").alias("i"), F.col("x").alias("xi"),
-                       F.explode(F.sequence(F.lit(-(q - 1)), F.lit(q - 1))).alias("off"))
-            .withColumn("j", F.col("i") + F.col("off")).where((F.col("j") >= 0) & (F.col("j") < n))
-            .join(idx.select(F.col("idx").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")), "j")
-            .withColumn("d", F.abs(F.col("xj") - F.col("xi"))))
-    w = Window.partitionBy("i").orderBy("d", "j")     # at most 2q - 1 rows per point
-    dq = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == q).select("i", F.col("d").alias("dq"))
-    wt = (cand.join(dq, "i")
-          .withColumn("w", F.when(F.col("d") < F.col("dq"), F.pow(1 - F.pow(F.col("d") / F.col("dq"), 3), 3))
-                      .otherwise(F.when(F.col("dq") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))))
-    s = wt.groupBy("i", "xi").agg(
-        F.sum("w").alias("W"), F.sum(F.col("w") * F.col("xj")).alias("Sx"), F.sum(F.col("w") * F.col("yj")).alias("Sy"),
-        F.sum(F.col("w") * F.col("xj") * F.col("xj")).alias("Sxx"), F.sum(F.col("w") * F.col("xj") * F.col("yj")).alias("Sxy"))
-    den = F.col("W") * F.col("Sxx") - F.col("Sx") * F.col("Sx")
-    b = F.when(F.abs(den) > 1e-12 * F.greatest(F.lit(1.0), F.abs(F.col("W") * F.col("Sxx"))),
-               (F.col("W") * F.col("Sxy") - F.col("Sx") * F.col("Sy")) / den)
-    fit = F.when(b.isNull(), F.col("Sy") / F.col("W")).otherwise((F.col("Sy") - b * F.col("Sx")) / F.col("W") + b * F.col("xi"))
-    return idx.join(s.select(F.col("i").alias("idx"), fit.alias("fit")), "idx").select("x", "y", "idx", "fit")
+def loess(series: DataFrame, x: str, y: str, span: float = LOESS_SPAN, vertices: int = LOESS_VERTICES) -> DataFrame:
+    """I2  (x, y, idx, fit): local linear LOESS over an ordered series, fitted at up to ``vertices`` points."""
+    base = series.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"), F.lit(1).alias("one"))
+    idx = checkpoint(ordered_scan(base, [], ["x", "y"], sums=["one"]).select("x", "y", (F.col("cum_one") - 1).alias("idx")))
+    n = idx.count()
+    if n < 2:
+        return idx.withColumn("fit", F.col("y"))
+    q = min(max(2, math.ceil(span * n)), n)
+    steps, gaps = n - 1, min(n, max(2, vertices)) - 1
+    at = f"k * {steps}L div {gaps}L"                                       # the point of vertex k
+    from_point = lambda e: F.expr(f"({e} * {gaps}L + {steps - 1}L) div {steps}L")          # noqa: E731  the first vertex at point e or behind it
+    up_to_point = lambda e: F.expr(f"least({gaps}L, (({e} + 1L) * {gaps}L + {steps - 1}L) div {steps}L - 1L)")   # noqa: E731  the last one not behind it
+    # the vertices: at most ``vertices`` rows, so they may be broadcast
+    nodes = (idx.withColumn("k", from_point("idx")).where(F.expr(at) == F.col("idx")).select("k", F.col("x").alias("xk")))
+    meets = lambda df, first, last: (df.withColumn("k0", F.greatest(F.lit(0).cast("long"), from_point(first))).withColumn("k1", up_to_point(last))
+                                     .where("k0 <= k1").withColumn("k", F.explode(F.sequence("k0", "k1"))).drop("k0", "k1"))
+    ends = idx.select(F.col("idx") - (q - 1), F.col("x").alias("right")).toDF("idx", "right")
+    windows = meets(idx.join(ends, "idx").select("idx", F.col("x").alias("left"), "right"), "idx", f"(idx + {q - 1}L)")
+    reach = (windows.join(F.broadcast(nodes), "k").groupBy("k")
+             .agg(F.first("xk").alias("xk"), F.min(F.greatest(F.col("xk") - F.col("left"), F.col("right") - F.col("xk"))).alias("h")))
+    reach = checkpoint(reach)
+    near = meets(idx, f"(idx - {q - 1}L)", f"(idx + {q - 1}L)").join(F.broadcast(reach), "k")
+    u, v = F.col("x") - F.col("xk"), F.col("y")
+    w = F.when(F.abs(u) < F.col("h"), F.pow(1 - F.pow(F.abs(u) / F.col("h"), 3), 3)).when((F.col("h") == 0) & (u == 0), F.lit(1.0))
+    moments = (near.select("k", "xk", u.alias("u"), v.alias("v"), w.alias("w")).where("w is not null and v is not null").groupBy("k").agg(
+        F.first("xk").alias("xk"), F.sum("w").alias("s0"), F.sum(F.expr("w * u")).alias("su"), F.sum(F.expr("w * v")).alias("sv"),
+        F.sum(F.expr("w * u * u")).alias("suu"), F.sum(F.expr("w * u * v")).alias("suv")))
+    spread = F.expr("s0 * suu - su * su")
+    slope = F.when(spread > 1e-12 * F.expr("s0 * suu"), F.expr("s0 * suv - su * sv") / spread).otherwise(F.lit(0.0))
+    fits = checkpoint(moments.select("k", "xk", ((F.col("sv") - slope * F.col("su")) / F.col("s0")).alias("fk")))
+    ahead = fits.select((F.col("k") - 1).alias("k"), F.col("xk").alias("x_next"), F.col("fk").alias("f_next"))
+    lines = fits.join(F.broadcast(ahead), "k", "left")
+    along = (F.col("x") - F.col("xk")) / (F.col("x_next") - F.col("xk"))
+    fit = F.when(F.col("x_next").isNull() | (F.col("x_next") == F.col("xk")) | (F.col("x") == F.col("xk")), F.col("fk")).otherwise(
+        F.col("fk") + along * (F.col("f_next") - F.col("fk")))
+    return idx.withColumn("k", up_to_point("idx")).join(F.broadcast(lines), "k").select("x", "y", "idx", fit.alias("fit"))
 
 
 def outliers(trend: DataFrame, threshold: float = OUTLIER_Z, top: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.operators.census import top_k_per_group
+from tablescope.operators.census import checkpoint, top_k_per_group
 from tablescope.operators.filters import col
 from tablescope.operators.ordered import order_quantiles, ordered_scan, value_ranks
 from tablescope.types import find_coordinates, is_numeric
@@ -76,7 +76,12 @@ def heatmap_grid(df: DataFrame, x: str, y: str, value: str | None = None, agg: s
     measure = F.count(F.lit(1)) if value is None else _agg(agg, col(value))
     cells = (df.where(col(x).isNotNull() & col(y).isNotNull())
              .groupBy(col(x).alias("x"), col(y).cast("string").alias("y")).agg(measure.cast("double").alias("value")))
-    grid = cells.select("x").distinct().crossJoin(cells.select("y").distinct())
+    cells = checkpoint(cells)
+    # the grid is as many rows as its axes ask for; each x gets the numbers of the y axis, then their labels
+    ys = value_ranks(cells.select(F.lit(0).alias("g"), "y").distinct().withColumn("n", F.lit(1).cast("long")), ["g"], "y")
+    ys = checkpoint(ys.select("y", F.col("before").alias("yi")))
+    grid = (cells.select("x").distinct().withColumn("yi", F.explode(F.sequence(F.lit(0), F.lit(max(ys.count() - 1, 0)).cast("long"))))
+            .join(ys, "yi").select("x", "y"))
     return grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 

@@ -7,7 +7,11 @@
   <= start, else a new one.  Exact and parallel: a lane splits into *islands*
   where the running max end of earlier bars <= start (every sublane is free
   there, so packing restarts at 0); islands come from the skew-safe ordered
-  scan, and each (lane, island) is packed by ``applyInPandas``;
+  scan.  An island is cut into ranges of ``RANGE_BARS`` bars in start order.  One
+  job packs the first ranges of all islands side by side, the next one their
+  second ranges, and so on; over a border go only the bars still open there,
+  as (end, sublane), in a written table.  No task holds more than a range and
+  the open bars in front of it, however long an island is;
 * dependency edges: ``depends_on`` split on commas, trimmed, joined to ids
   (unmatched ids dropped; for a repeated id the last bar wins);
 * event markers: ``VALUE`` or ``VALUE|label``, kept if inside the axis domain;
@@ -26,6 +30,7 @@ from pyspark.sql import types as T
 
 from tablescope.operators.filters import col
 from tablescope.operators.ordered import ordered_scan, value_ranks
+from tablescope.session import scratch_path
 from tablescope.types import is_numeric, is_temporal
 
 _NUMERIC_TEXT = r"^\s*[+]?[0-9]*\.?[0-9]+([eE][+-]?[0-9]+)?\s*$"
@@ -100,13 +105,26 @@ def lane_order(b: DataFrame) -> DataFrame:
     return r.select("lane", F.col("before").alias("lane_index"))
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["s", "ord"], kind="stable")
+#: bars of one island that are packed by one task at a time
+RANGE_BARS = 10_000
+
+
+def _pack(bars: pd.DataFrame, carried: pd.DataFrame | None, more: bool) -> pd.DataFrame:
+    """The sublanes of one range (kind 0) and, if ``more`` bars may follow, what goes on to the next range:
+    the bars still open (kind 1) and the number of sublanes so far (kind 1 without an end)."""
+    bars = bars.sort_values(["s", "ord"], kind="stable")
     active: list[tuple[float, int]] = []   # (end, sublane) of bars still open
     free: list[int] = []
     nxt = 0
+    if carried is not None and len(carried):
+        opened = carried[carried["e"].notna()]
+        active = list(zip(opened["e"].tolist(), opened["sub"].tolist()))
+        nxt = int(carried.loc[carried["e"].isna(), "sub"].iloc[0])
+        free = sorted(set(range(nxt)) - {k for _, k in active})
+        heapq.heapify(active)
     subs = []
-    for s, e in zip(pdf["s"].to_numpy(), pdf["e"].to_numpy()):
+    starts, ends = bars["s"].tolist(), bars["e"].tolist()
+    for s, e in zip(starts, ends):
         while active and active[0][0] <= s:
             heapq.heappush(free, heapq.heappop(active)[1])
         if free:
@@ -115,17 +133,55 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
             k, nxt = nxt, nxt + 1
         subs.append(k)
         heapq.heappush(active, (e, k))
-    return pd.DataFrame({"ord": pdf["ord"].to_numpy(), "lane": pdf["lane"].to_numpy(), "sub": subs})
+    out = pd.DataFrame({"kind": 0, "ord": bars["ord"], "lane": bars["lane"], "island": bars["island"], "e": float("nan"), "sub": subs})
+    if more and len(bars):
+        still = [(e, k) for e, k in active if e > starts[-1]] + [(float("nan"), nxt)]
+        out = pd.concat([out, pd.DataFrame({"kind": 1, "ord": None, "lane": bars["lane"].iloc[0], "island": bars["island"].iloc[0],
+                                            "e": [e for e, _ in still], "sub": [k for _, k in still]})])
+    return out
+
 
+def _packers(range_bars: int, more: bool):
+    """The functions of a step: on a range alone, and on a range with what was carried to it."""
+    def later(bars: pd.DataFrame, carried: pd.DataFrame | None) -> pd.DataFrame:
+        return _pack(bars, carried, more and len(bars) >= range_bars)
 
-def sublanes(b: DataFrame) -> DataFrame:
+    def first(bars: pd.DataFrame) -> pd.DataFrame:
+        return later(bars, None)
+
+    return first, later
+
+
+def sublanes(b: DataFrame, range_bars: int = RANGE_BARS) -> DataFrame:
     """(ord, lane, sub): greedy lowest-free-sublane packing per lane."""
-    scanned = ordered_scan(b.select("ord", "lane", "s", "e"), ["lane"], ["s", "ord"], prior_max=["e"])
-    isl_start = (F.col("pmax_e").isNull() | (F.col("pmax_e") <= F.col("s"))).cast("long")
-    isl = ordered_scan(scanned.withColumn("isl_start", isl_start), ["lane"], ["s", "ord"], sums=["isl_start"])
+    spark = b.sparkSession
+    one = b.select("ord", "lane", "s", "e", F.lit(1).alias("one"))
+    scanned = ordered_scan(one, ["lane"], ["s", "ord"], prior_max=["e"], sums=["one"])
+    opens = F.col("pmax_e").isNull() | (F.col("pmax_e") <= F.col("s"))
+    marked = (scanned.withColumn("isl_start", opens.cast("long"))
+              .withColumn("first", F.when(opens, F.col("cum_one"))))
+    isl = ordered_scan(marked, ["lane"], ["s", "ord"], sums=["isl_start"], prior_max=["first"])
+    place = F.col("cum_one") - F.coalesce("first", "pmax_first")
+    laid = isl.select("ord", "lane", "s", "e", F.col("cum_isl_start").alias("island"),
+                      F.floor(place / F.lit(range_bars)).cast("int").alias("step"))
+    base = scratch_path(spark, "sublanes")
+    laid.repartition("step", "lane", "island").write.partitionBy("step").parquet(f"{base}/bars")
     ord_type = b.schema["ord"].dataType.simpleString()
-    return (isl.select("ord", "lane", "s", "e", F.col("cum_isl_start").alias("island"))
-            .groupBy("lane", "island").applyInPandas(_pack, f"ord {ord_type}, lane string, sub int"))
+    schema = f"kind int, ord {ord_type}, lane string, island long, e double, sub int"
+    packed = spark.read.schema(schema + ", step int").parquet
+    bars_in = spark.read.schema(f"ord {ord_type}, lane string, s double, e double, island long, step int").parquet(f"{base}/bars")
+    last = bars_in.agg(F.max("step")).first()[0]
+    if last is None:
+        return b.select("ord", "lane", F.lit(0).alias("sub"))
+    carried = None
+    for step in range(last + 1):
+        group = bars_in.where(F.col("step") == step).groupBy("lane", "island")
+        first, later = _packers(range_bars, step < last)
+        done = group.applyInPandas(first, schema) if carried is None else \
+            group.cogroup(carried.groupBy("lane", "island")).applyInPandas(later, schema)
+        done.write.parquet(f"{base}/packed/step={step}")
+        carried = packed(f"{base}/packed").where((F.col("step") == step) & (F.col("kind") == 1))
+    return packed(f"{base}/packed").where("kind = 0").select("ord", "lane", "sub")
 
 
 def dependency_edges(b: DataFrame) -> DataFrame:

@@ -54,6 +54,24 @@ def ts_trend(spark, sf):
     return SR.loess(_hourly(spark, sf), "x", "y").select("x", "y", "idx", F.round("fit", 6).alias("fit"))
 
 
+@register("ts_trend_points", """
+WITH i AS (SELECT CAST(o_orderkey AS DOUBLE) AS x, CAST(o_totalprice AS DOUBLE) AS y, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders),
+size AS (SELECT count(*) AS n, CAST(ceil(0.3 * count(*)) AS BIGINT) AS q FROM i),
+node AS (SELECT k, x AS xk, idx AS spot FROM (SELECT unnest(range(100)) AS k), size JOIN i ON idx = (k * (n - 1)) // 99),
+away AS (SELECT k, x - xk AS u, y AS v, abs(x - xk) AS d, row_number() OVER (PARTITION BY k ORDER BY abs(x - xk), idx) AS nth FROM node, i),
+reach AS (SELECT k, d AS h FROM away, size WHERE nth = q),
+weighed AS (SELECT k, u, v, pow(1 - pow(d / h, 3), 3) AS w FROM away JOIN reach USING (k) WHERE d < h),
+line AS (SELECT k, sum(w) AS s0, sum(w * u) AS su, sum(w * v) AS sv, sum(w * u * u) AS suu, sum(w * u * v) AS suv FROM weighed GROUP BY k),
+fits AS (SELECT k, xk, spot, (sv - (s0 * suv - su * sv) / (s0 * suu - su * su) * su) / s0 AS fk FROM line JOIN node USING (k)),
+spans AS (SELECT *, lead(xk) OVER (ORDER BY k) AS x_next, lead(fk) OVER (ORDER BY k) AS f_next FROM fits)
+SELECT x, y, idx, round(CASE WHEN x = xk THEN fk ELSE fk + (x - xk) / (x_next - xk) * (f_next - fk) END, 1) AS fit
+FROM i ASOF JOIN spans ON i.idx >= spans.spot""")
+def ts_trend_points(spark, sf):
+    """The trend of all orders, unbucketed: fitted at 100 points, drawn straight in between."""
+    trend = SR.loess(load(spark, sf, "orders"), "o_orderkey", "o_totalprice", vertices=100)
+    return trend.select("x", "y", "idx", F.round("fit", 1).alias("fit"))
+
+
 @register("ts_outliers", f"""
 WITH t AS ({_loess_sql()}), r AS (SELECT *, y - fit AS residual FROM t),
 m AS (SELECT median(residual) AS med FROM r), mad AS (SELECT median(abs(residual - (SELECT med FROM m))) AS mad FROM r)

@@ -121,16 +121,20 @@ def answer_blocks(docs: DataFrame, answers: DataFrame, schema: StructType,
 
 
 def pack_positions(position: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Ascending positions of each row (between ``bounds``) as differences, which compress well."""
+    """Ascending positions of each row (between ``bounds``) as differences, all first bytes in front of all second ones
+    and so on, which compresses well."""
     step = np.diff(position, prepend=0).astype(np.int64)
     opens = bounds[:-1][np.diff(bounds) > 0]
     step[opens] = position[opens]
-    step = step.astype(np.uint32)
-    return [step[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    cells = step.astype(np.uint32).view(np.uint8).reshape(-1, 4)
+    return [cells[a:b].T.tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def unpack_positions(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(row, position) of all entries."""
-    lists = [np.cumsum(np.frombuffer(c.as_buffer(), np.uint32), dtype=np.int64) for c in column]
+    lists = []
+    for cell in column:
+        planes = np.frombuffer(cell.as_buffer(), np.uint8).reshape(4, -1)
+        lists.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.int64))
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     return row, np.concatenate(lists) if lists else np.zeros(0, np.int64)

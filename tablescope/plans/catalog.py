@@ -4,11 +4,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablescope.operators.explore import read_export
 from tablescope.session import scratch_path
 from tablescope.sources.catalog import describe, export_query as export_result, list_relations, query, register_tables, save_view
-from tablescope.sources.ingest import read_csv, read_json
+from tablescope.sources.ingest import mixed_fields, read_ledger, read_mixed_json, read_csv, read_json
 from tablescope.sources.snapshot import read_manifest, restore, snapshot
 from tablescope.plans import TABLES, load, register
 
@@ -149,6 +150,45 @@ def ingest_json(spark, sf):
     return read_json(spark, path, schema=src.schema, timestamp_format=MICROS)
 
 
+# what an interrupted or careless writer leaves in a log: a cut line, a missing field, a blank line, a line that is no JSON
+_LEDGER = """
+WITH lines AS (SELECT event_id, event_type, user_id, event_id % 11 AS fate FROM events)
+SELECT event_id, event_type, user_id, CAST(NULL AS VARCHAR) AS line, 'event' AS reason FROM lines WHERE fate NOT IN (3, 5, 9)
+UNION ALL SELECT NULL, NULL, NULL, '{"event_id":' || event_id, 'malformed' FROM lines WHERE fate = 3
+UNION ALL SELECT NULL, NULL, NULL, '{"event_type":"' || event_type || '"}', 'missing event_id' FROM lines WHERE fate = 5
+UNION ALL SELECT NULL, NULL, NULL, 'not json ' || event_id, 'malformed' FROM lines WHERE fate = 9"""
+
+
+@register("ingest_ledger", _LEDGER)
+def ingest_ledger(spark, sf):
+    """A log of all events with broken and blank lines among them: events, and the lines that were refused."""
+    ev = load(spark, sf, "events").select("event_id", "event_type", "user_id")
+    fate, number = F.col("event_id") % 11, F.col("event_id").cast("string")
+    line = (F.when(fate == 3, F.concat(F.lit('{"event_id":'), number))
+            .when(fate == 5, F.to_json(F.struct("event_type"))).when(fate == 9, F.concat(F.lit("not json "), number))
+            .when(fate == 7, F.concat(F.to_json(F.struct("*")), F.lit("\n  \t"))).otherwise(F.to_json(F.struct("*"))))
+    path = scratch_path(spark, "ledger")
+    ev.select(line.alias("value")).write.text(path)
+    rows, rejects = read_ledger(spark, path, ev.schema, ["event_id"])
+    return (rows.select("*", F.lit(None).cast("string").alias("line"), F.lit("event").alias("reason"))
+            .unionByName(rejects, allowMissingColumns=True))
+
+
+@register("ingest_variant", """
+SELECT 'id' AS path, 'BIGINT' AS type, count(*) AS n FROM orders
+UNION ALL SELECT 'price', CASE WHEN o_orderkey % 3 = 0 THEN 'STRING' ELSE 'BIGINT' END, count(*) FROM orders GROUP BY ALL
+UNION ALL SELECT 'flag', 'BOOLEAN', count(*) FROM orders WHERE o_orderkey % 2 = 0""")
+def ingest_variant(spark, sf):
+    """Records of all orders whose price is now a number, now a text, and whose flag is not always there."""
+    key = F.col("o_orderkey")
+    whole = F.floor("o_totalprice").cast("long")
+    record = F.concat(F.lit('{"id":'), key.cast("string"), F.lit(',"price":'), F.when(key % 3 == 0, F.concat(F.lit('"'), whole.cast("string"), F.lit('"'))).otherwise(whole.cast("string")),
+                      F.when(key % 2 == 0, F.lit(',"flag":true')).otherwise(F.lit("")), F.lit("}"))
+    path = scratch_path(spark, "mixed")
+    load(spark, sf, "orders").select(record.alias("value")).write.text(path)
+    return mixed_fields(read_mixed_json(spark, path)).select("path", F.col("type"), "n")
+
+
 @register("snapshot_manifest", "\nUNION ALL\n".join(
     f"SELECT 1 AS version, '{t}' AS table_name, (SELECT count(*) FROM {t}) AS rows, "
     f"CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) AS column_count"

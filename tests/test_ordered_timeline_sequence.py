@@ -70,6 +70,41 @@ def test_sublanes_equal_whole_lane_greedy(spark):
     assert got == _greedy(bars)
 
 
+def test_sublanes_over_many_ranges_equal_whole_lane_greedy(spark, monkeypatch):
+    rnd = random.Random(12)
+    bars = [(o, "one lane" if o % 4 else "b", float(o // 3), float(o // 3 + rnd.choice([0, 1, 2, 40, 300, 2000]))) for o in range(400)]
+    df = spark.createDataFrame(bars, "ord long, lane string, s double, e double")
+    for size in (60, 100):
+        assert {r.ord: r.sub for r in TM.sublanes(df, range_bars=size).collect()} == _greedy(bars)
+    assert TM.sublanes(df.limit(0)).count() == 0
+
+
+def test_loess_between_vertices(spark):
+    from tablescope.operators import series as SR
+    rnd = random.Random(13)
+    x = sorted(rnd.uniform(0, 100) for _ in range(150))
+    y = [v * v / 50 + rnd.gauss(0, 1) for v in x]
+    df = spark.createDataFrame(list(zip(x, y)), "x double, y double").repartition(3)
+    every = {r.idx: r.fit for r in SR.loess(df, "x", "y").collect()}
+
+    def direct(i, q=45):
+        d = sorted(abs(v - x[i]) for v in x)[q - 1]
+        w = [(1 - (abs(v - x[i]) / d) ** 3) ** 3 if abs(v - x[i]) < d else 0.0 for v in x]
+        s0, su, sv = sum(w), sum(a * (v - x[i]) for a, v in zip(w, x)), sum(a * b for a, b in zip(w, y))
+        suu, suv = sum(a * (v - x[i]) ** 2 for a, v in zip(w, x)), sum(a * (v - x[i]) * b for a, v, b in zip(w, x, y))
+        return (sv - (s0 * suv - su * sv) / (s0 * suu - su * su) * su) / s0
+
+    assert all(abs(every[i] - direct(i)) < 1e-8 for i in range(150))
+    few = {r.idx: r.fit for r in SR.loess(df, "x", "y", vertices=12).collect()}
+    nodes = [k * 149 // 11 for k in range(12)]
+    for a, b in zip(nodes, nodes[1:]):
+        for i in range(a, b + 1):
+            assert abs(few[i] - (direct(a) + (x[i] - x[a]) / (x[b] - x[a]) * (direct(b) - direct(a)))) < 1e-8
+    same = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0), (1.0, 6.0)], "x double, y double")
+    # one place only: the mean of the q - 1 = 1 points before and behind in order
+    assert sorted(round(r.fit, 9) for r in SR.loess(same, "x", "y").collect()) == [3.0, 4.0, 5.0]
+
+
 def test_deploy_timeline_fixture(spark):
     rows = [("build", "compile", 0.0, 30.0, "s1", None), ("build", "lint", 10.0, 25.0, "s2", None),
             ("test", "unit", 30.0, 60.0, "s3", "s1"), ("test", "e2e", 60.0, 90.0, "s4", "s1, s3,nope")]

@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "filter_combined", "search_text", "preview_page", "facets_all", "facet_list", "stats_counts", "stats_distinct",
     "stats_quartiles", "stats_histogram", "stats_top", "prediction_matrix", "junk_columns",
-    "junk_duplicates", "tile_heatmap", "tile_box", "tile_density", "tile_flows", "tile_map", "tile_timeline",
+    "junk_duplicates", "tile_heatmap_all", "tile_box", "tile_density", "tile_flows", "tile_map", "tile_timeline",
     "timeline_sublanes", "tile_sequence", "seq_mermaid", "ts_trend", "closest_match", "fold_events",
     "activity_counts", "adhoc_query", "snapshot_manifest",
 ]

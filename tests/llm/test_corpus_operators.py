@@ -307,7 +307,7 @@ PIECE_TEXTS = ["", "  a  b\n\tc ", "a▁b ▁", "\x00x", "ﬁ é 😀", "x" * 30
 def encoded(texts, dropout, seed=17):
     model, out = piecewise.load_model(MODEL), []
     for block in piecewise.chunks(pa.array(texts)):
-        ids, at = piecewise.encode_block(model, block, seed, dropout, 4)
+        ids, at = piecewise.encode_block(model, block, seed, dropout)
         out += [ids[at[i]:at[i + 1]].tolist() for i in range(block.rows)]
     return out
 

@@ -82,7 +82,7 @@ def _occurrences(word, texts, each, dropout=0.1):
     model = piecewise.load_model(public_tokenizers.path("piece_bpe_32k.model"))
     out = []
     for block in piecewise.chunks(pa.array([f"{i}" + f" {word}" * each for i in range(texts)])):
-        ids, at = piecewise.encode_block(model, block, 17, dropout, None, piecewise.UnitCache())
+        ids, at = piecewise.encode_block(model, block, 17, dropout, piecewise.UnitCache())
         for i in range(block.rows):
             found = []
             for k in ids[at[i]:at[i + 1]].tolist():

@@ -282,7 +282,7 @@ def _scored_block(block, rows: pa.Array, trains: np.ndarray, held: pa.Array, lev
 
 
 def _score_here(packed: DataFrame, bits: DataFrame, n: int, v: int, fields: StructType, schema: pa.Schema) -> DataFrame:
-    """Every task probes a broadcast of the whole filter, whose size has been checked."""
+    """Every task probes a broadcast of the whole filter, whose size has been checked; it is given up when the scores are written."""
     cells = bits.select("part", "bits").toArrow().sort_by("part").column("bits")
     words = [np.frombuffer(c.as_buffer(), np.uint64) for c in cells]
     shared = packed.sparkSession.sparkContext.broadcast((np.concatenate(words), np.cumsum([0, *map(len, words)])))
@@ -297,7 +297,9 @@ def _score_here(packed: DataFrame, bits: DataFrame, n: int, v: int, fields: Stru
                 yield from _scored_block(block, batch.column(0).slice(block.first, block.rows), trains[part], batch.column(3).slice(block.first, block.rows),
                                          levels, n, v, schema)
 
-    return packed.mapInArrow(run, fields)
+    scored = skew.written(packed.mapInArrow(run, fields), "lm-scored")
+    shared.destroy()
+    return scored
 
 
 def _score_dealt(packed: DataFrame, bits: DataFrame, segments: int, n: int, v: int, fields: StructType, schema: pa.Schema) -> DataFrame:
@@ -382,10 +384,9 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     fields = StructType([StructField("row", packed.schema["row"].dataType), *ROWS])
     schema = to_arrow_schema(fields)
     if total <= broadcast_bytes:
-        scored = _score_here(packed, bits, n, v, fields, schema)
+        staged = _score_here(packed, bits, n, v, fields, schema)
     else:
-        scored = _score_dealt(packed, bits, segments, n, v, fields, schema)
-    staged = skew.written(scored, "lm-scored")
+        staged = skew.written(_score_dealt(packed, bits, segments, n, v, fields, schema), "lm-scored")
     answers = count_parts(staged.where("keys is not null"), "uint32", 3, summary=_known_and_all)
     known = answers.where("block < 0").select("counts").mapInArrow(_unfold, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     words, train_tokens = int(known[0] or 0), int(known[1] or 0)

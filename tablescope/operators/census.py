@@ -84,6 +84,40 @@ def _element_struct(name: str, keep: Column):
     return make
 
 
+#: leading characters of a text that take part in the order of equally frequent digests
+LEAD = 32
+#: so many candidate digests (under 100 bytes each) are broadcast to fetch their texts; more meet them in a join
+CANDIDATE_ROWS = 100_000
+
+
+def heavy_values(df: DataFrame, entries: Sequence[tuple[str, Column]], k: int) -> DataFrame:
+    """(column_name, value, cnt, rank): the ``k`` most frequent texts of each column, ties by text,
+    without a shuffle of whole texts.
+
+    ``entries``: ``(name, text_expr)``.  Values are counted by their length, a 128-bit digest and their first
+    ``LEAD`` characters.  The digests that can be among the first ``k`` (all that tie with the last
+    of them in count and leading characters) get their texts in a second pass over the table.
+    """
+    ids = ["column_name", "size", "h1", "h2"]
+
+    def stacked(with_text: bool) -> DataFrame:
+        structs = [F.struct(F.lit(name).alias("column_name"), F.length(t).alias("size"), F.xxhash64(t).alias("h1"),
+                            F.xxhash64(F.lit("second"), t).alias("h2"), (t if with_text else F.substring(t, 1, LEAD)).alias("text"))
+                   for name, t in entries]
+        return df.select(F.inline(F.array(*structs))).where(F.col("size").isNotNull())
+
+    counts = stacked(False).groupBy(*ids, F.col("text").alias("lead")).agg(F.count(F.lit(1)).alias("cnt"))
+    order = [F.col("cnt").desc(), F.col("lead").asc()]
+    b = default_buckets(df.sparkSession)
+    inside = Window.partitionBy("column_name", F.pmod("h1", F.lit(b))).orderBy(*order)
+    first = counts.withColumn("place", F.rank().over(inside)).where(F.col("place") <= k)
+    near = checkpoint(first.withColumn("place", F.rank().over(Window.partitionBy("column_name").orderBy(*order)))
+                      .where(F.col("place") <= k).select(*ids, "cnt"))
+    wanted = F.broadcast(near) if near.count() <= CANDIDATE_ROWS else near
+    texts = stacked(True).join(wanted, ids).groupBy(*ids, "cnt").agg(F.any_value("text").alias("value"))
+    return top_k_per_group(texts, ["column_name"], [F.col("cnt").desc(), F.col("value").asc()], k, tie_key="value").select("column_name", "value", "cnt", "rank")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint dir."""
     ensure_checkpoint_dir(df.sparkSession)

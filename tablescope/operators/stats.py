@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.text import key_text, text_of
-from tablescope.operators.census import census, top_k_per_group
+from tablescope.operators.census import census, heavy_values, top_k_per_group
 from tablescope.operators.facets import granularity
 from tablescope.operators.filters import Filter, apply_filters, col
 from tablescope.operators.ordered import order_quantiles, value_ranks
@@ -151,6 +151,12 @@ class Stats:
         return top_k_per_group(cen, ["column_name"], [F.col("cnt").desc(), F.col("value").asc()], self.top_n,
                                tie_key="value").select("column_name", "value", "cnt", "rank")
 
+    def top_long(self) -> DataFrame:
+        """The same as ``top`` for columns of long texts: counted by digest, so no text is shuffled but those of the result."""
+        if not self.categorical:
+            return self.df.sparkSession.createDataFrame([], "column_name string, value string, cnt long, rank int")
+        return heavy_values(self.df, [(n, text_of(col(n), self.schema[n].dataType)) for n in self.categorical], self.top_n)
+
     def timeline(self) -> DataFrame:
         """(column, bucket, cnt) per auto-granularity bucket of temporal columns."""
         p = self.pass1()
@@ -195,6 +201,28 @@ def report(st: "Stats") -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+#: size parameter of a quantile sketch
+SKETCH_K = 400
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """The share of rows by which the rank of a sketched quantile may be off, with 99 % confidence (published
+    bound of the KLL sketch)."""
+    return 2.296 / k ** 0.9723
+
+
+def sketch_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """(by..., column_name, p, value): estimated quantiles of numeric columns, for all rows or each group, from one
+    mergeable KLL sketch per column and group: one pass, a few kB shuffled per task and column,
+    no sort.  ``value`` is a value of the column whose rank is off by ``sketch_rank_error(k)`` at most
+    with 99 % confidence.  NULL and NaN are no values; a column without values has no rows."""
+    structs = [F.struct(F.lit(n).alias("column_name"), col(n).cast("double").alias("v")) for n in columns]
+    rows = df.select(*[col(c) for c in by], F.inline(F.array(*structs))).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    sketches = rows.groupBy(*by, "column_name").agg(F.kll_sketch_agg_double("v", k).alias("sketch"))
+    each = [F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("value")) for p in probs]
+    return sketches.select(*[col(c) for c in by], "column_name", F.inline(F.array(*each)))
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact ``quantile_cont`` of many numeric columns without holding a
     column's values in one task: census of ``(column, value) -> n``, exact

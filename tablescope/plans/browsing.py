@@ -2,7 +2,10 @@
 from __future__ import annotations
 
 from tablescope.operators.explore import export, export_frame, json_safe, preview_with_total, read_export, table_tile
-from tablescope.operators.filters import Filter
+from pyspark.sql import functions as F
+
+from tablescope.operators.filters import Filter, apply_filters, filters_from_json
+from tablescope.operators.pages import KEY, Pages
 from tablescope.plans import load, register
 from tablescope.session import scratch_path
 from tablescope.plans.filtering import PART_WORDS_SQL, part_words
@@ -78,3 +81,34 @@ def nested_json(spark, sf):
     df = part_words(spark, sf).select("p_partkey", "p_words",
                                       F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).alias("spec"))
     return json_safe(df)
+
+
+@register("preview_keyset", """
+SELECT *, CAST((place - start) // 40 + 1 AS INTEGER) AS page FROM (
+  SELECT *, row_number() OVER (ORDER BY l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber) - 1 AS place,
+         (SELECT count(*) FROM lineitem) * 3 // 4 AS start FROM lineitem)
+WHERE place >= start AND place < start + 120""".replace("SELECT *, CAST", "SELECT * EXCLUDE (place, start), CAST"))
+def preview_keyset(spark, sf):
+    """Three pages of 40 rows from three quarters down the table: the first by its offset, the others from the last row seen."""
+    df = load(spark, sf, "lineitem")
+    pages = Pages(df, "l_shipdate", "desc", ["l_orderkey", "l_linenumber"])
+    cursor, out = pages.seek(df.count() * 3 // 4), None
+    for number in (1, 2, 3):
+        page = pages.page(cursor, 40)
+        cursor = pages.after(page.select(KEY).collect(), cursor)
+        shown = page.drop(KEY).withColumn("page", F.lit(number))
+        out = shown if out is None else out.unionByName(shown)
+    return out
+
+
+@register("filter_json", """
+SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_shipdate FROM lineitem
+WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 20 AND l_quantity <= 30.5 AND l_linestatus <> 'O'
+  AND l_shipdate >= TIMESTAMP '1994-01-01 00:00:00'""")
+def filter_json(spark, sf):
+    """A filter list as a client sends it."""
+    sent = '''[{"column": "l_returnflag", "value": "A"}, {"column": "l_returnflag", "value": "R"},
+               {"column": "l_quantity", "min": 20, "max": 30.5}, {"column": "l_linestatus", "value": "O", "negate": true},
+               {"column": "l_shipdate", "tmin": "1994-01-01 00:00:00"}]'''
+    kept = apply_filters(load(spark, sf, "lineitem"), None, filters_from_json(sent))
+    return kept.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_shipdate")

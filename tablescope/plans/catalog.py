@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tablescope.operators.explore import read_export
 from tablescope.session import scratch_path
-from tablescope.sources.catalog import describe, export_query as export_result, list_relations, query, register_tables, save_view
-from tablescope.sources.ingest import mixed_fields, read_ledger, read_mixed_json, read_csv, read_json
+from tablescope.sources.catalog import describe, export_query as export_result, list_relations, query, register_tables, save_view, view_definition
+from tablescope.sources.ingest import from_values, mixed_fields, read_any, read_ledger, read_mixed_json, read_csv, read_json
 from tablescope.sources.snapshot import read_manifest, restore, snapshot
 from tablescope.plans import TABLES, load, register
 
@@ -94,9 +94,46 @@ def _adhoc(sql):
     return run
 
 
-for _name, _sql in [("adhoc_query", ADHOC_JOIN), ("adhoc_window", ADHOC_WINDOW), ("adhoc_cte", ADHOC_CTE),
-                    ("adhoc_union", ADHOC_UNION), ("adhoc_self_lookup", ADHOC_SELF)]:
-    register(_name, _sql)(_adhoc(_sql))
+# the same results worked out another way: sums by customer first, ranks and running sums by counting
+# the rows in front, a mean from its sum, distinct keys by grouping, a union as an outer join, the next turn by lead
+ADHOC_JOIN_CHECK = """
+SELECT (SELECT n_name FROM nation WHERE n_nationkey = nk) AS nation, CAST(sum(cnt) AS BIGINT) AS orders, round(sum(total), 2) AS revenue
+FROM (SELECT o_custkey, count(*) AS cnt, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) per
+JOIN (SELECT c_custkey, c_nationkey AS nk FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)) c ON c_custkey = o_custkey
+GROUP BY nk
+"""
+
+ADHOC_WINDOW_CHECK = """
+SELECT a.o_custkey, a.o_orderkey,
+       1 + count(*) FILTER (WHERE b.o_totalprice > a.o_totalprice OR b.o_totalprice = a.o_totalprice AND b.o_orderkey < a.o_orderkey) AS rnk,
+       round(sum(b.o_totalprice) FILTER (WHERE b.o_orderdate < a.o_orderdate OR b.o_orderdate = a.o_orderdate AND b.o_orderkey <= a.o_orderkey), 2) AS running
+FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
+GROUP BY a.o_custkey, a.o_orderkey
+"""
+
+ADHOC_CTE_CHECK = """
+SELECT l_returnflag, l_linestatus, CAST(sum(lines) AS BIGINT) AS n, count(*) AS orders, CAST(sum(cheap) AS BIGINT) AS discounted
+FROM (SELECT l_returnflag, l_linestatus, l_orderkey, count(*) AS lines, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS cheap
+      FROM lineitem, (SELECT sum(l_quantity) / count(l_quantity) AS mean FROM lineitem) WHERE l_quantity > mean GROUP BY ALL)
+GROUP BY l_returnflag, l_linestatus
+"""
+
+ADHOC_UNION_CHECK = """
+SELECT CASE WHEN s_suppkey IS NOT NULL THEN 'supplier' ELSE 'customer' END AS kind, coalesce(s_name, c_name) AS name,
+       coalesce(s_nationkey, c_nationkey) AS nationkey
+FROM supplier FULL OUTER JOIN customer ON s_suppkey = -c_custkey - 1
+"""
+
+ADHOC_SELF_CHECK = """
+SELECT conv_id, turn, role AS asker, answerer
+FROM (SELECT *, lead(role) OVER w AS answerer, lead(turn) OVER w AS following FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE following = turn + 1
+"""
+
+for _name, _sql, _check in [("adhoc_query", ADHOC_JOIN, ADHOC_JOIN_CHECK), ("adhoc_window", ADHOC_WINDOW, ADHOC_WINDOW_CHECK),
+                            ("adhoc_cte", ADHOC_CTE, ADHOC_CTE_CHECK), ("adhoc_union", ADHOC_UNION, ADHOC_UNION_CHECK),
+                            ("adhoc_self_lookup", ADHOC_SELF, ADHOC_SELF_CHECK)]:
+    register(_name, _check)(_adhoc(_sql))
 
 
 @register("saved_view", """
@@ -204,3 +241,36 @@ def snapshot_restore(spark, sf):
     bundle = scratch_path(spark, "bundle")
     snapshot({t: load(spark, sf, t) for t in TABLES}, bundle)
     return restore(spark, bundle)["orders"]  # every table's rows and checksum are compared
+
+
+_BUSY = "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12"
+
+
+@register("view_text", f"""
+SELECT 'busy_customers' AS name, '{_BUSY}' AS definition, count(*) AS rows FROM ({_BUSY})""")
+def view_text(spark, sf):
+    """The stored text of a saved view next to the rows it gives."""
+    register_tables(spark, sf, ["orders"])
+    view = save_view(spark, "busy_customers", _BUSY + ";", overwrite=True)
+    return view.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit("busy_customers").alias("name"), F.lit(view_definition(spark, "busy_customers")).alias("definition"), "rows")
+
+
+@register("ingest_parquet", "SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def ingest_parquet(spark, sf):
+    """Written by Spark in a folder for each flag and read back by its path, the flags from the folder names."""
+    path = scratch_path(spark, "ingest-lineitem") + ".parquet"
+    (load(spark, sf, "lineitem").select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+     .write.partitionBy("l_returnflag").parquet(path))
+    return read_any(spark, path)
+
+
+@register("ingest_values", """
+SELECT word, count(o_orderkey) AS orders FROM (VALUES ('F', 'finished'), ('O', 'open'), ('X', 'unheard of')) v(status, word)
+LEFT JOIN orders ON o_orderstatus = status GROUP BY word""")
+def ingest_values(spark, sf):
+    """Inline rows joined to all orders."""
+    words = from_values(spark, [("F", "finished"), ("O", "open"), ("X", "unheard of")], "status string, word string")
+    counts = load(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("o_orderkey").alias("n"))
+    return (words.join(counts, words.status == counts.o_orderstatus, "left")
+            .select("word", F.coalesce("n", F.lit(0)).cast("long").alias("orders")))

@@ -112,3 +112,48 @@ def stream_fold(spark, sf):
     out = EV.run_fold_stream(spark, base + "/ledger", led.schema, base + "/out", base + "/chk")
     return out.select("id", F.col("started").cast("timestamp_ntz").alias("started"),
                       F.col("ended").cast("timestamp_ntz").alias("ended"), "running", "exit_code", "db_path", "cwd", "session")
+
+
+@register("profile_log", """
+SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""")
+def profile_log(spark, sf):
+    """Counts by user from a log of deltas, one of four files in each micro-batch, summed into a base after two of them."""
+    src = load(spark, sf, "events")
+    base = scratch_path(spark, "profile-log")
+    src.repartition(4, F.pmod(F.xxhash64("ts"), F.lit(4))).write.parquet(base + "/events")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(base + "/events")
+    out = EV.profile_log(spark, stream, "user_id", "value", base + "/log", base + "/chk", compact_every=2)
+    return out.select("key", "n", F.round("total", 2).alias("total"))
+
+
+# the ledger in four deliveries, one for each quarter of its time span; a twentieth of the runs start again a minute later;
+# a fifth of the first quarter's views end in time but are delivered with the last quarter, hours behind the watermark
+_AGAIN = "SELECT event_id, ts + INTERVAL 60 SECOND, 'start', 'again', NULL, NULL, 'again' FROM events WHERE event_id % 20 = 1"
+
+
+@register("stream_fold_late", f"""
+SELECT id, min(ts) FILTER (WHERE phase = 'start') AS started, max(ts) FILTER (WHERE phase = 'end') AS ended,
+       max(ts) FILTER (WHERE phase = 'end') IS NULL AS running,
+       CAST(arg_max(exit_code, ts) FILTER (WHERE phase = 'end') AS INTEGER) AS exit_code,
+       coalesce(arg_min(db_path, ts) FILTER (WHERE phase = 'start'), arg_max(db_path, ts) FILTER (WHERE phase = 'end')) AS db_path,
+       arg_min(cwd, ts) FILTER (WHERE phase = 'start') AS cwd, arg_min(session, ts) FILTER (WHERE phase = 'start') AS session
+FROM (SELECT * FROM {LEDGER_SQL} UNION ALL {_AGAIN}) WHERE phase IN ('start', 'end') GROUP BY id HAVING min(ts) FILTER (WHERE phase = 'start') IS NOT NULL""")
+def stream_fold_late(spark, sf):
+    """The streaming fold under a watermark of an hour: late ends are dropped, so their runs go on running; a repeated start
+    does not begin a run again; the state of runs a day old is evicted between the deliveries."""
+    base, ev = scratch_path(spark, "stream-late"), load(spark, sf, "events")
+    again = ev.where("event_id % 20 = 1").select(
+        F.col("event_id").alias("id"), (F.col("ts") + F.expr("INTERVAL '60' SECOND")).alias("ts"), F.lit("start").alias("phase"), F.lit("again").alias("cwd"),
+        F.lit(None).cast("string").alias("db_path"), F.lit(None).cast("int").alias("exit_code"), F.lit("again").alias("session"))
+    led = ledger(spark, sf).unionByName(again)
+    first, last = led.agg(F.min("ts"), F.max("ts")).first()
+    quarter = F.least(F.lit(3), F.floor(4 * F.timestamp_diff("SECOND", F.lit(str(first)).cast("timestamp_ntz"), F.col("ts")) / max(1, (last - first).total_seconds())))
+    late = led.where((quarter == 0) & (F.col("phase") == "start") & (F.col("cwd") == "view") & (F.col("id") % 5 == 0)).select(
+        "id", (F.col("ts") + F.expr("INTERVAL '1' SECOND")).alias("ts"), F.lit("end").alias("phase"), F.lit(None).cast("string").alias("cwd"),
+        F.lit("late").alias("db_path"), F.lit(9).alias("exit_code"), F.lit(None).cast("string").alias("session"))
+    sent = led.withColumn("delivery", quarter).unionByName(late.withColumn("delivery", F.lit(3).cast("long")))
+    for k in range(4):
+        sent.where(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(base + "/ledger")
+        out = EV.run_fold_stream(spark, base + "/ledger", led.schema, base + "/out", base + "/chk", watermark="1 hour", files_per_trigger=1_000_000)
+    return out.select("id", F.col("started").cast("timestamp_ntz").alias("started"),
+                      F.col("ended").cast("timestamp_ntz").alias("ended"), "running", "exit_code", "db_path", "cwd", "session")

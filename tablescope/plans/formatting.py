@@ -7,6 +7,8 @@ from pyspark.sql import types as T
 from tablescope.functions import formats as FM
 from tablescope.operators.fuzzy import closest_match
 from tablescope.plans import load, register
+from tablescope.session import scratch_path
+from tablescope.sources.format_registry import KEY, FormatRegistry
 
 
 @register("fmt_number", """
@@ -123,6 +125,27 @@ def fmt_resolve(spark, sf):
     return FM.resolve_formats(comments, registry, p)
 
 
+@register("fmt_registry", """
+SELECT db, "table", "column", spec FROM (
+  SELECT p_brand AS db, CASE WHEN p_partkey % 2 = 0 THEN 't' || CAST(p_partkey % 7 AS VARCHAR) END AS "table", 'c' || CAST(p_partkey AS VARCHAR) AS "column",
+         CASE WHEN p_partkey % 10 = 4 THEN '{"suffix":"back"}' WHEN p_partkey % 5 = 4 THEN NULL
+              WHEN p_partkey % 3 = 0 THEN '{"decimals":' || CAST(p_size AS VARCHAR) || '}' ELSE '{"group":true}' END AS spec
+  FROM part) WHERE spec IS NOT NULL""")
+def fmt_registry(spark, sf):
+    """Formats for all parts written, a third overwritten, a fifth removed, half of those set again; folded into a base in between."""
+    key = F.col("p_partkey")
+    p = load(spark, sf, "part").select("p_partkey", "p_size", F.col("p_brand").alias("db"),
+                                       F.when(key % 2 == 0, F.concat(F.lit("t"), (key % 7).cast("string"))).alias("table"),
+                                       F.concat(F.lit("c"), key.cast("string")).alias("column"))
+    registry = FormatRegistry(spark, scratch_path(spark, "format-registry"))
+    registry.write(p.withColumn("spec", F.lit('{"group":true}')))
+    registry.write(p.where(key % 3 == 0).withColumn("spec", F.concat(F.lit('{"decimals":'), F.col("p_size").cast("string"), F.lit("}"))))
+    registry.compact()
+    registry.write(p.where(key % 5 == 4).withColumn("spec", F.lit(None).cast("string")))
+    registry.write(p.where(key % 10 == 4).withColumn("spec", F.lit('{"suffix":"back"}')))
+    return registry.entries().select(*KEY, "spec")
+
+
 @register("slugify", """
 SELECT doc_id, CASE WHEN s = '' THEN 'session' ELSE s END AS slug
 FROM (SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') AS s FROM documents)""")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablescope.operators.filters import Filter
-from tablescope.operators.stats import Stats
+from tablescope.operators.stats import Stats, sketch_quantiles, sketch_rank_error
 from tablescope.plans import load, register
 
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -138,3 +138,45 @@ def stats_nested(spark, sf):
     f"round(quantile_cont({c}, 0.75), 6) AS q3 FROM customer" for c in ["c_custkey", "c_nationkey", "c_acctbal"]))
 def stats_quartiles_small(spark, sf):
     return Stats(load(spark, sf, "customer")).quartiles().select("column_name", _r("q1"), _r("median"), _r("q3"))
+
+
+@register("stats_top_long", _union([f"""
+SELECT * FROM (SELECT '{c}' AS column_name, {c} AS value, count(*) AS cnt,
+  CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS rank FROM documents WHERE {c} IS NOT NULL GROUP BY {c})
+WHERE rank <= 12""" for c in ["text", "lang", "source"]]))
+def stats_top_long(spark, sf):
+    """Top values of long texts: counted by digest, the texts of the result fetched at the end."""
+    return Stats(load(spark, sf, "documents")).top_long()
+
+
+@register("stats_histogram_flat", """
+SELECT 'flat' AS column_name, CAST(1 AS INTEGER) AS bin, 7.0::DOUBLE AS lo, 7.0::DOUBLE AS hi, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS cnt FROM orders""")
+def stats_histogram_flat(spark, sf):
+    """A column with one value and NULLs: one bin with the true count."""
+    flat = load(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 3 != 0, F.lit(7)).alias("flat"))
+    return Stats(flat).histogram().select("column_name", "bin", "lo", "hi", "cnt")
+
+
+SKETCHED = (0.25, 0.5, 0.75)
+
+
+@register("stats_quartiles_sketch", _union(
+    [f"SELECT l_returnflag, '{c}' AS column_name, {p}::DOUBLE AS p, count(*) AS n, true AS within_bound FROM lineitem GROUP BY l_returnflag"
+     for c in LINEITEM_NUM for p in SKETCHED]))
+def stats_quartiles_sketch(spark, sf):
+    """Sketched quartiles of each group, held against their exact ranks: the share of rows under and up to the estimate must
+    enclose p within twice the stated error (five standard deviations)."""
+    df = load(spark, sf, "lineitem")
+    found = sketch_quantiles(df, LINEITEM_NUM, SKETCHED, by=["l_returnflag"])
+    # a row for each group and column: as many as groups, joined by Spark's own choice
+    wide = found.groupBy("l_returnflag").pivot("column_name", LINEITEM_NUM).agg(F.map_from_entries(F.collect_list(F.struct("p", "value"))))
+    guess = lambda c, p: F.col(f"guess.{c}")[F.lit(p)]
+    rows = df.select("l_returnflag", *LINEITEM_NUM).alias("rows").join(wide.alias("guess"), "l_returnflag")
+    counts = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), *[
+        F.count_if(test).alias(f"{c}_{p}_{side}") for c in LINEITEM_NUM for p in SKETCHED
+        for side, test in (("under", F.col(f"rows.{c}") < guess(c, p)), ("upto", F.col(f"rows.{c}") <= guess(c, p)))])
+    slack = 2 * sketch_rank_error()
+    each = [F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("p"),
+                     ((F.col(f"`{c}_{p}_under`") / F.col("n") <= p + slack) & (F.col(f"`{c}_{p}_upto`") / F.col("n") >= p - slack)).alias("within_bound"))
+            for c in LINEITEM_NUM for p in SKETCHED]
+    return counts.select("l_returnflag", "n", F.inline(F.array(*each))).select("l_returnflag", "column_name", "p", "n", "within_bound")

@@ -53,17 +53,16 @@ def _orders_region(spark, sf):
 
 
 @register("tile_heatmap", """
-WITH f AS (SELECT r.r_name AS x, o.o_orderpriority AS y FROM orders o
-           JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-           JOIN region r ON n.n_regionkey = r.r_regionkey WHERE o.o_totalprice > 450000)
+WITH f AS (SELECT n.n_name AS x, CAST(o.o_orderdate AS DATE) AS y FROM orders o
+           JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)
 SELECT xs.x, ys.y, CAST(coalesce(cnt, 0) AS DOUBLE) AS value
 FROM (SELECT DISTINCT x FROM f) xs CROSS JOIN (SELECT DISTINCT y FROM f) ys
 LEFT JOIN (SELECT x, y, count(*) AS cnt FROM f GROUP BY x, y) g ON g.x = xs.x AND g.y = ys.y""")
 def tile_heatmap(spark, sf):
-    """Region x priority counts of the largest orders (> 450,000): a sparse
-    selection on purpose, so the grid has empty cells and the zero fill --
-    the behaviour under test -- shows."""
-    return TL.heatmap_grid(_orders_region(spark, sf).where(F.col("o_totalprice") > 450000), "r_name", "o_orderpriority")
+    """Nation x day counts of all orders: most days have no order from some nation, so the grid has empty cells."""
+    o, c, n = (load(spark, sf, t) for t in ("orders", "customer", "nation"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).withColumn("day", F.col("o_orderdate").cast("date"))
+    return TL.heatmap_grid(rows, "n_name", "day")
 
 
 @register("tile_heatmap_all", """

@@ -6,26 +6,29 @@ with ``phase`` in start/end; anything else is a malformed line and skipped.
 * ``fold``: one row per id that has a start -- running until its end; the end
   fills ``exit_code`` and, when the start had none, ``db_path``; an end
   without a start is ignored; of a repeated start the first counts.  Batch: one ``groupBy(id)`` of conditional
-  aggregates.  Stream: ``applyInPandasWithState`` keyed by id with an
-  event-time timeout, so state is dropped once the watermark passes a run's
-  start by ``max_run``.
+  aggregates.  Stream: a state processor keyed by id with an event-time
+  timer, so state is dropped once the watermark passes a run's start by ``max_run``.
 * ``active_keys``: distinct keys, most recent first, hidden when the last
   touch is not after the last forget.
 * ``history``: the last N records, newest last (top-k, not a sort).
 * ``activity``: per (session, tile) counters and last time.
 * ``stream_profile``: per-key counts maintained by ``foreachBatch``; a new
   version is written only when the digest of the counts changed.
+* ``profile_log``: the same counts as a log in which a batch writes the keys it touched and no others.
 """
 from __future__ import annotations
 
 import os
 from typing import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+
+from tablescope.functions.formats import epoch_micros
+from tablescope.session import ship_package
+from tablescope.sources.keyedlog import COMMIT, KeyedLog
 
 PHASES = ("start", "end")
 FOLD_SCHEMA = ("id long, started timestamp_ntz, ended timestamp_ntz, running boolean, "
@@ -78,58 +81,73 @@ def activity(events: DataFrame, session: str, tile: str, kind: str, ts: str,
 
 # ---- streaming ----
 
-def _fold_state_fn(max_run_ms: int):
-    """State per id: the earliest start (if seen) and the latest end (if seen) -- an end
-    may arrive before its start, and a finished run may start or end again in a later
+class RunFold(StatefulProcessor):
+    """State of one run: the earliest start (if seen), the latest end (if seen) and the timer that evicts both.
+
+    An end may arrive before its start, and a finished run may start or end again in a later
     micro-batch, so both wait in state until the watermark passes start (or end) + max_run."""
-    def row(rid, st):
-        started, db, cwd, sess, ended, code, end_db = st
-        return pd.DataFrame([{"id": rid, "started": started, "ended": ended, "running": ended is None,
-                              "exit_code": None if code is None or pd.isna(code) else int(code),
-                              "db_path": db if db is not None else end_db, "cwd": cwd, "session": sess}])
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        (rid,) = key
-        if state.hasTimedOut:
-            st = state.get
-            state.remove()
-            if st[0] is not None and st[4] is None:   # a run that never ended: final 'running' row
-                yield row(rid, st)
-            return                           # an end whose start never came: ignored
-        st = list(state.get) if state.exists else [None] * 7
-        for pdf in pdfs:
-            for r in pdf.sort_values("ts").itertuples(index=False):
-                if r.phase == "start" and (st[0] is None or r.ts < st[0]):
-                    st[0:4] = [r.ts, r.db_path, r.cwd, r.session]
-                elif r.phase == "end" and (st[4] is None or r.ts >= st[4]):
-                    st[4:7] = [r.ts, r.exit_code, r.db_path]
-        st = [None if (v is not None and not isinstance(v, str) and pd.isna(v)) else v for v in st]
-        st[5] = None if st[5] is None else int(st[5])   # pandas makes it a float beside nulls, which the state would lose
-        st = tuple(st)
-        anchor = st[0] if st[0] is not None else st[4]
-        due = int(pd.Timestamp(anchor).value // 1_000_000) + max_run_ms
-        if due > state.getCurrentWatermarkMs():
-            state.update(st)
-            state.setTimeoutTimestamp(due)
-        elif state.exists:
-            state.remove()
-        if st[0] is not None:
-            yield row(rid, st)
-    return fn
+    STATE = ("started long, db_path string, cwd string, session string, ended long, exit_code int, end_db string, due long")
+    OUT = "id long, started long, ended long, running boolean, exit_code int, db_path string, cwd string, session string"
+
+    def __init__(self, max_run_ms: int):
+        self.max_run_ms = max_run_ms
+
+    def init(self, handle) -> None:
+        self.handle, self.run = handle, handle.getValueState("run", self.STATE)
+
+    @staticmethod
+    def _row(key, st) -> Row:
+        started, db_path, cwd, session, ended, exit_code, end_db = st
+        return Row(id=key[0], started=started, ended=ended, running=ended is None, exit_code=exit_code,
+                   db_path=end_db if db_path is None else db_path, cwd=cwd, session=session)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.run.get()
+        *st, due = held if held is not None else (None,) * 8
+        for r in rows:
+            if r.phase == "start" and (st[0] is None or r.at < st[0]):
+                st[0:4] = r.at, r.db_path, r.cwd, r.session
+            elif r.phase == "end" and (st[4] is None or r.at >= st[4]):
+                st[4:7] = r.at, r.exit_code, r.db_path
+        now_due = (st[0] if st[0] is not None else st[4]) // 1000 + self.max_run_ms
+        if due is not None and due != now_due:
+            self.handle.deleteTimer(due)
+        if now_due > timerValues.getCurrentWatermarkInMs():
+            self.run.update((*st, now_due))
+            self.handle.registerTimer(now_due)
+        elif held is not None:
+            self.run.clear()
+        if st[0] is not None:               # an end whose start has not come is ignored
+            yield self._row(key, st)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.run.get()
+        self.run.clear()
+        if held is not None and held[0] is not None and held[4] is None:   # a run that never ended: its last word
+            yield self._row(key, held[:7])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def fold_stream(ledger_stream: DataFrame, watermark: str = "1 hour", max_run_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """K1 streaming fold (update mode): one output row per id touched in a
     micro-batch with its current fold; late records beyond the watermark are
-    dropped by Spark; the state of a run, finished or not, is evicted once the
-    watermark passes ``start + max_run``."""
-    v = valid_records(ledger_stream).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    state_schema = ("started timestamp, db_path string, cwd string, session string, "
-                    "ended timestamp, exit_code int, end_db string")
-    out = (v.groupBy("id").applyInPandasWithState(
-        _fold_state_fn(max_run_ms), FOLD_SCHEMA.replace("timestamp_ntz", "timestamp"), state_schema, "update",
-        GroupStateTimeout.EventTimeTimeout))
-    return out
+    dropped by Spark; the state of a run, finished or not, is evicted by an event-time timer once the
+    watermark passes ``start + max_run``.  Typed state with timers needs the RocksDB state store, which is
+    set on the session."""
+    ledger_stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    naive = isinstance(ledger_stream.schema["ts"].dataType, T.TimestampNTZType)
+    v = (valid_records(ledger_stream).withColumn("at", epoch_micros(F.col("ts"), T.TimestampNTZType() if naive else T.TimestampType()))
+         .select("id", F.timestamp_micros("at").alias("ts"), "at", "phase", "db_path", "cwd", F.col("session").cast("string").alias("session"),
+                 F.col("exit_code").cast("int").alias("exit_code")).withWatermark("ts", watermark))
+    out = v.groupBy("id").transformWithState(RunFold(max_run_ms), RunFold.OUT, "update", "EventTime")
+    at = lambda c: (F.timestamp_add("MICROSECOND", F.col(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) if naive
+                    else F.timestamp_micros(c)).alias(c)
+    return out.select("id", at("started"), at("ended"), "running", "exit_code", "db_path", "cwd", "session")
 
 
 def _published(spark: SparkSession, out_dir: str) -> list[int]:
@@ -167,12 +185,43 @@ def stream_profile(spark: SparkSession, source: DataFrame, key: str, value: str,
     return os.path.join(out_dir, f"v{versions[-1]}") if versions else None
 
 
+PROFILE = "key string, n long, total double"
+
+
+def profile_log(spark: SparkSession, source: DataFrame, key: str, value: str, log_dir: str, checkpoint: str,
+                compact_every: int = 16) -> DataFrame:
+    """K5  Per-key (n, total) across micro-batches, as a ``KeyedLog`` of deltas: a batch commits the counts of the
+    keys it touched under its batch id, so its write follows its keys and not the profile; a batch that is
+    replayed changes nothing; every ``compact_every`` batches the log is summed into a new base and older folders
+    are dropped.  Returns ``profile_rows`` of the log."""
+    log = KeyedLog(spark, log_dir, PROFILE)
+
+    def publish(batch: DataFrame, batch_id: int):
+        touched = batch.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value)).cast("double").alias("total"))
+        if log.commit(batch_id, touched) and (batch_id + 1) % compact_every == 0:
+            log.compact(_profile_sums)
+
+    q = source.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return profile_rows(log)
+
+
+def _profile_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max(COMMIT).alias(COMMIT))
+
+
+def profile_rows(log: KeyedLog) -> DataFrame:
+    """(key, n, total): the profile that the log's commits add up to."""
+    return _profile_sums(log.rows()).drop(COMMIT)
+
+
 def run_fold_stream(spark: SparkSession, ledger_dir: str, schema, out_dir: str, checkpoint: str,
                     watermark: str = "3650 days", files_per_trigger: int = 1) -> DataFrame:
     """Drive ``fold_stream`` over a directory of ledger files to completion
     (``availableNow``) and return the final fold: each micro-batch's updates
     are appended with their batch id, and the last update per id wins."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(ledger_dir))
+    ship_package(spark)
     updates = fold_stream(stream, watermark=watermark)
 
     def sink(batch: DataFrame, batch_id: int):

@@ -12,8 +12,11 @@ observed minus expected features under the same messages), on the driver, once.
 
 Text: character references decoded, white space inside a block one space, blocks trimmed
 and joined in page order by one space.  Scripts, styles, templates, titles, form fields and
-comments of the markup are never text.  Elements left open end where HTML ends them or
-with the page; a tag or comment cut off by the end of the page is dropped.
+comments of the markup are never text; noscript, iframe, svg, object and media fallbacks are nodes
+like others, math belongs to its sentence.  Elements left open end where HTML ends them or
+with the page.  Behind an opening of a title, template, form field or comment that is never closed the page
+goes on (behind one of a script or style nothing is text); a tag cut off by the end of the page is
+dropped.  Reading a page takes time in proportion to its length, however it is nested or broken.
 
 Defined results: a null or empty page has an empty text; a page without an article block
 has an empty text; pages are read whole; equal rows give equal texts.
@@ -37,8 +40,9 @@ TRAINING_COPIES = 12
 
 #: fixed element classes of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style template title textarea select noscript iframe svg math object canvas audio video".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var big label".split())
+SKIPPED = frozenset("script style template title textarea select".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var big label".split()
+                   + "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle semantics".split())
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 #: an opening tag ends open elements of these names, up to the named boundary
@@ -69,6 +73,8 @@ WORD_STEPS = (1, 5, 15, 40)
 NAMES = ([f"tag {t}" for t in TAG_FEATURES] + [f"hint {h}" for h in HINTS] + [f"inside {h}" for h in HINTS] + [f"words {k}" for k in range(5)]
          + [f"links {k}" for k in range(3)] + [f"all words {k}" for k in range(5)] + [f"all links {k}" for k in range(3)] + ["ends a sentence", "bias"])
 NUMBER = {n: i for i, n in enumerate(NAMES)}
+#: an element nested deeper is a child of its ancestor at this depth, as in browsers
+MAX_DEPTH = 512
 #: kinds of children for the edge potentials
 EDGE_KINDS = 3
 
@@ -93,10 +99,15 @@ class Page:
 def parse(html: str) -> Page:
     page = Page(["body"], [-1], [frozenset()], [None], [], [0], [0])
     stack, names = [0], ["body"]
+    places: dict[str, list[int]] = {}    # of each open name, where it stands in the stack
+    unclosed: set[str] = set()           # names that are not closed any more on the rest of the page
     parts: list[str] = []
     link = 0
     at, n = 0, len(html)
 
+    def deepest(some) -> int:
+        return max((places[t][-1] for t in some if places.get(t)), default=0)
+
     def flush():
         if parts:
             text = " ".join("".join(parts).split())
@@ -113,6 +124,8 @@ def parse(html: str) -> Page:
     def pop_to(k: int):
         nonlocal link
         flush()
+        for t in names[k:]:
+            places[t].pop()
         del stack[k:], names[k:]
         link = 0
 
@@ -126,8 +139,10 @@ def parse(html: str) -> Page:
             break
         following = html[less + 1:less + 2]
         if html.startswith("<!--", less):
-            end = html.find("-->", less + 4)
-            at = n if end < 0 else end + 3
+            end = -1 if "!--" in unclosed else html.find("-->", less + 4)
+            at = less + 4 if end < 0 else end + 3
+            if end < 0:
+                unclosed.add("!--")
             continue
         if following in ("!", "?"):
             end = html.find(">", less)
@@ -149,17 +164,18 @@ def parse(html: str) -> Page:
                 link = 0 if closing else 1
             continue
         if closing:
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == tag:
-                    pop_to(k)
-                    break
+            if places.get(tag):
+                pop_to(places[tag][-1])
             continue
         if tag in SKIPPED:
-            if not rest.endswith("/"):
+            if not rest.endswith("/") and tag not in unclosed:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-                if tag in ("svg", "math", "object", "canvas", "audio", "video", "noscript", "select") and end is None:
-                    continue
-                at = n if end is None else end.end()
+                if end is not None:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = n
+                else:
+                    unclosed.add(tag)
             continue
         if tag in VOID:
             if tag in ("hr", "br"):
@@ -169,30 +185,22 @@ def parse(html: str) -> Page:
             if tag == "body" and rest:
                 page.labels[0] = _label(rest) or page.labels[0]
             continue
-        if tag in CLOSES_P and "p" in names:
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == "p":
-                    pop_to(k)
-                    break
-                if names[k] in ("button", "td", "th", "table"):
-                    break
+        if tag in CLOSES_P and deepest(("p",)) > deepest(("button", "td", "th", "table")):
+            pop_to(places["p"][-1])
         if tag in ENDS:
             ended, boundary = ENDS[tag]
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in boundary:
-                    break
-                if names[k] in ended:
-                    pop_to(k)
-                    break
+            if (last := deepest(ended)) > deepest(boundary):
+                pop_to(last)
         flush()
         link = 0
         page.tags.append(tag)
-        page.parents.append(stack[-1])
+        page.parents.append(stack[min(len(stack), MAX_DEPTH) - 1])
         hints, label = _attributes(rest) if rest else (frozenset(), None)
         page.hints.append(hints)
         page.labels.append(label)
         page.words.append(0)
         page.linked.append(0)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(len(page.tags) - 1)
         names.append(tag)
     flush()

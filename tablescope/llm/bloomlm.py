@@ -14,7 +14,7 @@ hits (about one probe in 100).  A text begins behind a start mark (as many as th
 
 The filter grows with the corpus: ``BITS`` bits for each (n-gram, level).  It is built and
 written in segments, by hash, each by one task of bounded size.  Up to ``BROADCAST_BYTES`` in
-all it is broadcast and every task probes its own documents.  Beyond that no worker
+all every executor gets a copy, which its workers map into memory together, and every task probes its own documents.  Beyond that no worker
 gets more than one segment: probes of a block of documents are dealt to the segments
 (each distinct n-gram of a block once), and the levels come back to the block.  Both
 ways give the same scores.
@@ -30,8 +30,16 @@ empty table gives no rows; without training rows every probability is that of V
 """
 from __future__ import annotations
 
+import atexit
+import ctypes
+import os
+import shutil
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
@@ -82,6 +90,15 @@ def most_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, STEPS[np.minimum(level, LEVELS - 1)] - 1, 0)
 
 
+def give_back() -> None:
+    """What this worker has freed goes back to the system, so that the next stage does not pay for the last one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):   # a C library without it
+        pass
+
+
 # ---- tokens
 
 class Tokens:
@@ -211,6 +228,7 @@ def _build(table: pa.Table) -> pa.Table:
 
     (words, words_n), (pairs, pairs_n) = total("words"), total("pairs")
     made = build_segment(np.concatenate([words, pairs]), np.concatenate([words_n, pairs_n]))
+    give_back()
     return pa.table({"part": table.column("part")[:1], "bits": pa.array([made.tobytes()], pa.binary()),
                      "words": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(words_n.sum())], pa.int64())})
 
@@ -282,14 +300,21 @@ def _scored_block(block, rows: pa.Array, trains: np.ndarray, held: pa.Array, lev
 
 
 def _score_here(packed: DataFrame, bits: DataFrame, n: int, v: int, fields: StructType, schema: pa.Schema) -> DataFrame:
-    """Every task probes a broadcast of the whole filter, whose size has been checked; it is given up when the scores are written."""
+    """Every task probes the whole filter, whose size has been checked: a file that Spark's file server gives
+    each executor once, and that its workers map into their memory together."""
     cells = bits.select("part", "bits").toArrow().sort_by("part").column("bits")
-    words = [np.frombuffer(c.as_buffer(), np.uint64) for c in cells]
-    shared = packed.sparkSession.sparkContext.broadcast((np.concatenate(words), np.cumsum([0, *map(len, words)])))
-    del cells, words
+    folder = tempfile.mkdtemp(prefix="tablescope-bloom-")   # what the driver's file server serves until the driver ends
+    atexit.register(shutil.rmtree, folder, True)
+    name, starts = f"bloom-{uuid.uuid4().hex[:12]}.bits", np.cumsum([0, *(len(c.as_buffer()) // 8 for c in cells)])
+    with open(os.path.join(folder, name), "wb") as file:
+        for c in cells:
+            file.write(c.as_buffer())
+    packed.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    del cells
 
     def run(batches):
-        levels = Filter(*shared.value).levels
+        give_back()
+        levels = Filter(np.memmap(SparkFiles.get(name), np.uint64, "r"), starts).levels
         for batch in batches:
             trains = batch.column(2).to_numpy(zero_copy_only=False)
             for block in chunks(batch.column(1), BLOCK):
@@ -297,9 +322,7 @@ def _score_here(packed: DataFrame, bits: DataFrame, n: int, v: int, fields: Stru
                 yield from _scored_block(block, batch.column(0).slice(block.first, block.rows), trains[part], batch.column(3).slice(block.first, block.rows),
                                          levels, n, v, schema)
 
-    scored = skew.written(packed.mapInArrow(run, fields), "lm-scored")
-    shared.destroy()
-    return scored
+    return skew.written(packed.mapInArrow(run, fields), "lm-scored")
 
 
 def _score_dealt(packed: DataFrame, bits: DataFrame, segments: int, n: int, v: int, fields: StructType, schema: pa.Schema) -> DataFrame:

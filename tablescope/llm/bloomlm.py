@@ -36,11 +36,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from tablescope.llm import skew
@@ -256,6 +257,24 @@ def train_filter(docs: DataFrame, text: str = "text", segment_grams: int = SEGME
 
 # ---- scoring
 
+#: Spark setting: the shuffle files of a statement go when it has ended (a repeated statement makes them anew)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """While it lasts, the shuffle files of each written table are dropped as soon as the table is written."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 ROWS = [StructField("block", LongType()), StructField("held_out", BooleanType()), StructField("n_tokens", LongType()), StructField("score", DoubleType()),
         StructField("positions", BinaryType()), StructField("times", BinaryType()), StructField("keys", BinaryType()), StructField("n", BinaryType())]
 
@@ -399,18 +418,20 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     ship_package(spark)
     keep = docs.columns if keep is None else keep
     trains = training_rows(docs[_quoted(doc_id)])
-    bits = train_filter(docs.where(trains), text, segment_grams)
+    with shuffles_dropped(spark):
+        bits = train_filter(docs.where(trains), text, segment_grams)
     size = bits.agg(F.count(F.lit(1)), F.sum(F.octet_length("bits")), F.sum("words"), F.sum("tokens")).first()
     segments, total, v, n = (int(x) for x in size)
     packed = docs.select(F.struct(*[docs[_quoted(c)] for c in keep]).alias("row"), F.coalesce(docs[_quoted(text)], F.lit("")).alias("text"),
                          trains.alias("trains"), F.coalesce(F.crc32(docs[_quoted(doc_id)].cast("string")) % 10 == 0, F.lit(False)).alias("held_out"))
     fields = StructType([StructField("row", packed.schema["row"].dataType), *ROWS])
     schema = to_arrow_schema(fields)
-    if total <= broadcast_bytes:
-        staged = _score_here(packed, bits, n, v, fields, schema)
-    else:
-        staged = skew.written(_score_dealt(packed, bits, segments, n, v, fields, schema), "lm-scored")
-    answers = count_parts(staged.where("keys is not null"), "uint32", 3, summary=_known_and_all)
+    with shuffles_dropped(spark):
+        if total <= broadcast_bytes:
+            staged = _score_here(packed, bits, n, v, fields, schema)
+        else:
+            staged = skew.written(_score_dealt(packed, bits, segments, n, v, fields, schema), "lm-scored")
+        answers = count_parts(staged.where("keys is not null"), "uint32", 3, summary=_known_and_all)
     known = answers.where("block < 0").select("counts").mapInArrow(_unfold, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     words, train_tokens = int(known[0] or 0), int(known[1] or 0)
     out = StructType([fields["row"], fields["held_out"], fields["n_tokens"], StructField("n_known", LongType()),

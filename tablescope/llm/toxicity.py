@@ -20,8 +20,10 @@ hears only what a class has in more contexts; it adds evidence and takes none aw
 The class counts come from all labelled training documents: one shuffle of distinct
 word pairs, summed into a written table keyed by the full 64-bit hash of the word and
 its first six bytes themselves.  No two expressions share an entry, whatever the
-corpus; workers hold 16 bytes for each distinct expression of the training rows.  A
-document's features are its length-normalised log-likelihood ratio and the excess under
+corpus.  Up to ``BROADCAST_WORDS`` distinct words the models are made on the driver and broadcast, 16 bytes for
+each distinct expression; beyond that they are tables, and documents meet them in joins
+(``toxicwords``), so that nothing that grows with the vocabulary leaves the executors.  Both
+ways give the same scores.  A document's features are its length-normalised log-likelihood ratio and the excess under
 each model, the sum of what single expressions exceed ``MARGIN``, by itself and for its
 length; a logistic function turns them into a score.  It is fitted on about
 ``CALIBRATION_ROWS`` (all if there are fewer) of the training rows in every
@@ -56,6 +58,8 @@ CALIBRATION_ROWS = 20_000
 #: discount of the firm model, and its mass for the coarser order
 FIRM = 8
 FIRM_SHARE = 0.2
+#: distinct words of training rows whose models may go to the driver (48 bytes each) and to the workers; more are joined
+BROADCAST_WORDS = 2_000_000
 #: one of so many training rows is left out of the model that calibrates on it
 LEFT_OUT = 4
 #: bits of a word pair: toxic and ordinary training rows, then those left out
@@ -175,20 +179,18 @@ def build_model(word: np.ndarray, six: np.ndarray, counts: np.ndarray) -> Model:
     return Model((word[order], by_word[order]), (six_keys, by_six), (four_keys, by_four), unseen[0])
 
 
-def _features(model):
-    def run(column: pa.Array) -> list[pa.Array]:
-        words, mean, excess, firm = [], [], [], []
-        for block in chunks(column):
-            row, word, six, _ = expressions(block)
-            r, sure = model.ratios(word, six).T
-            n = np.bincount(row, minlength=block.rows)
-            words.append(n)
-            mean.append(np.bincount(row, weights=r, minlength=block.rows) / np.maximum(n, 1))
-            excess.append(np.bincount(row, weights=np.maximum(r - MARGIN, 0), minlength=block.rows))
-            firm.append(np.bincount(row, weights=np.maximum(sure - MARGIN, 0), minlength=block.rows))
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
-        return [join(words, pa.int64()), join(mean, pa.float64()), join(excess, pa.float64()), join(firm, pa.float64())]
-    return run
+def feature_columns(column: pa.Array, ratios) -> list[pa.Array]:
+    """``FEATURES`` of each text; ``ratios(word, six)`` gives the ratios of words (words x 2)."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for block in chunks(column):
+        row, word, six, _ = expressions(block)
+        r, sure = ratios(word, six).T
+        n = np.bincount(row, minlength=block.rows)
+        for part, one in zip(parts, (n, np.bincount(row, weights=r, minlength=block.rows) / np.maximum(n, 1),
+                                     np.bincount(row, weights=np.maximum(r - MARGIN, 0), minlength=block.rows),
+                                     np.bincount(row, weights=np.maximum(sure - MARGIN, 0), minlength=block.rows))):
+            part.append(one)
+    return [pa.array(np.concatenate(p) if p else np.zeros(0), kind) for p, kind in zip(parts, (pa.int64(), *[pa.float64()] * 3))]
 
 
 FEATURES = [StructField("n_words", LongType()), StructField("mean_ratio", DoubleType()), StructField("excess", DoubleType()),
@@ -216,9 +218,32 @@ def training_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(False))
 
 
+def _broadcast_models(counted: DataFrame, classes: list[tuple[str, str]]) -> list:
+    """For each pair of count columns the function (docs, text, keep) that gives features; the models are broadcast."""
+    table = counted.toArrow()
+    word, six = (table[c].to_numpy().view(np.uint64) for c in ("word", "six"))
+
+    def scorer(names):
+        shared = counted.sparkSession.sparkContext.broadcast(build_model(word, six, np.stack([table[c].to_numpy() for c in names])))
+        return lambda docs, text, keep: annotate(docs, text, keep, FEATURES, lambda: lambda column: feature_columns(column, shared.value.ratios))
+    return [scorer(names) for names in classes]
+
+
+def _joined_models(counted: DataFrame, classes: list[tuple[str, str]]) -> list:
+    """The same with models that stay tables."""
+    from tablescope.llm import toxicwords   # built on this module
+
+    def scorer(names):
+        tables = toxicwords.ratio_tables(counted, *names)
+        if tables is None:   # a class has no counts: no word has evidence
+            return _broadcast_models(counted.limit(0), [names])[0]
+        return lambda docs, text, keep: toxicwords.joined_features(docs, text, keep, tables)
+    return [scorer(names) for names in classes]
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
                    keep: list[str] | None = None, threshold: float = THRESHOLD,
-                   calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+                   calibration_rows: int = CALIBRATION_ROWS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Each document (kept columns in the struct ``row``) with ``n_words``, ``held_out``, ``score`` and ``predicted``."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -231,17 +256,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     had = lambda bits, name: F.count_if(F.col("who").bitwiseAND(bits) != 0).alias(name)
     counted = skew.written(pairs.groupBy("word", "six").agg(
         had(TOXIC | LEFT_TOXIC, "toxic"), had(ORDINARY | LEFT_ORDINARY, "ordinary"),
-        had(TOXIC, "other_toxic"), had(ORDINARY, "other_ordinary")), "toxicity-words").toArrow()
-    word, six = (counted[c].to_numpy().view(np.uint64) for c in ("word", "six"))
-    model, others = (spark.sparkContext.broadcast(build_model(word, six, np.stack([counted[c].to_numpy() for c in names])))
-                     for names in (("toxic", "ordinary"), ("other_toxic", "other_ordinary")))
-    del counted, word, six
+        had(TOXIC, "other_toxic"), had(ORDINARY, "other_ordinary")), "toxicity-words")
+    scorers = _broadcast_models if counted.count() <= broadcast_words else _joined_models
+    model, others = scorers(counted, [("toxic", "ordinary"), ("other_toxic", "other_ordinary")])
 
     def calibration(rows, known_to):
         # rows by a hash of their id, so many that about calibration_rows are taken whatever the corpus
         share = min(1.0, calibration_rows / max(1, rows.select("label").count()))
         sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        seen = annotate(sample.select("text", "label"), "text", ["label"], FEATURES, lambda: _features(known_to.value)) \
+        seen = known_to(sample.select("text", "label"), "text", ["label"]) \
             .select(F.col("row.label").alias("label"), *(f.name for f in FEATURES)).toPandas()
         y = (seen["label"].to_numpy() == 1).astype(float)
         if not 0 < y.sum() < len(y):
@@ -251,7 +274,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     weights = calibration(train.where(left_out), others)
     if weights is None:
         weights = calibration(train, model)
-    scored = annotate(docs, text, [*keep, *([doc_id] if doc_id not in keep else [])], FEATURES, lambda: _features(model.value))
+    scored = model(docs, text, [*keep, *([doc_id] if doc_id not in keep else [])])
     if weights is None:
         score = F.lit(0.0)
     else:

@@ -102,3 +102,53 @@ def test_a_word_of_one_merge_is_split_at_the_dropout_rate(word):
 def test_a_hot_word_has_many_segmentations_in_and_across_texts():
     assert len(set(_occurrences("international", 1, 2000, 0.3))) > 20
     assert len(set(_occurrences("international", 2000, 1, 0.3))) > 20
+
+
+def _labelled(spark, odd_docs):
+    """Toxic and ordinary documents with words of both, shared prefixes and odd rows among them; ids of all remainders."""
+    mean, kind = ["idiot", "idiotic", "scumbag", "loser", "trash"], ["garden", "gardens", "river", "window", "teacher"]
+    common = [f"common{i}" for i in range(12)]
+    rows = []
+    for i in range(240):
+        words = mean if i % 3 == 0 else kind
+        body = [w for k in range(9) for w in (common[(i * 5 + k * 7) % 12], words[(i + k * k) % 5])]
+        rows.append((1000 + i, " ".join(body) + f" only{i % 37}", "en", "s", None, 7, "r"))
+    docs = odd_docs.unionByName(spark.createDataFrame(rows, odd_docs.schema))
+    labels = spark.createDataFrame([(1000 + i, int(i % 3 == 0)) for i in range(240)] + [(0, 1), (5, 0), (None, 1)], "doc_id long, toxic int")
+    return docs, labels
+
+
+def test_toxicity_models_as_tables_score_like_broadcast_ones(spark, odd_docs):
+    docs, labels = _labelled(spark, odd_docs)
+
+    def scores(**how):
+        got = toxicity.score_toxicity(docs, labels, **how).select("row.doc_id", "n_words", "held_out", "score", "predicted").collect()
+        return sorted(map(tuple, got), key=lambda r: (r[0] is None, r[0] or 0))
+
+    here, joined = scores(), scores(broadcast_words=0)
+    assert len(here) == len(joined) == docs.count()
+    for a, b in zip(here, joined):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-5 and a[4] == b[4]
+    assert {r[4] for r in here if r[0] and r[0] >= 1000 and (r[0] - 1000) % 3 == 0} == {1}
+
+
+def test_toxicity_tables_hold_the_ratios_of_the_model(spark):
+    from tablescope.llm import toxicwords
+    words = [("a", "idiot", 9, 1), ("b", "idioti", 3, 0), ("c", "idioti", 1, 2), ("d", "garden", 0, 7), ("e", "garage", 2, 2), ("f", "river", 1, 12)]
+    code = lambda t: int.from_bytes(t.encode().ljust(6, b"\0"), "big")
+    counted = spark.createDataFrame([(ord(w), code(s), t, o) for w, s, t, o in words], "word long, six long, toxic long, ordinary long")
+    model = toxicity.build_model(np.array([ord(w[0]) for w in words], np.uint64), np.array([code(w[1]) for w in words], np.uint64),
+                                 np.array([[w[2] for w in words], [w[3] for w in words]]))
+    asked = [*words, ("z", "idioti"), ("y", "idiom"), ("x", "garnet"), ("w", "unseen")]
+    vocabulary = spark.createDataFrame([(ord(w[0]), code(w[1])) for w in asked], "word long, six long")
+    got = {r.word: (r.ratio, r.sure) for r in toxicwords.resolved(vocabulary, toxicwords.ratio_tables(counted, "toxic", "ordinary")).collect()}
+    want = model.ratios(np.array([ord(w[0]) for w in asked], np.uint64), np.array([code(w[1]) for w in asked], np.uint64))
+    for w, pair in zip(asked, want):
+        assert np.allclose(got[ord(w[0])], pair, atol=1e-5), w
+
+
+def test_toxicity_by_tables_on_missing_classes_and_empty_input(spark, odd_docs, empty_docs):
+    one_class = spark.createDataFrame([(0, 1), (5, 1)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(odd_docs, one_class, broadcast_words=0).collect()
+    assert len(got) == odd_docs.count() and {r.score for r in got} == {0.0}
+    assert toxicity.score_toxicity(empty_docs, one_class, broadcast_words=0).collect() == []

@@ -36,17 +36,29 @@ from pyspark.sql import types as T
 from tablescope.operators.census import checkpoint, default_buckets
 
 
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: Sequence[str] = (),
-                 sums: Sequence[str] = (), prior_max: Sequence[str] = (), totals: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
-    """See module docstring.  ``order`` must make rows unique within a key for a
-    deterministic result (add a row-order column)."""
-    columns = df.columns
-    types = {f.name: f.dataType for f in df.schema.fields}
+#: columns of a layout: one group of all rows, and the range of the row
+LAYOUT = ["__all", "__range"]
+
+
+def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """The rows in ranges of (key, order), fixed by a checkpoint, with the ``LAYOUT`` columns.  Scans of it, and
+    scans of their results, along the same keys and order need no further layout."""
     p = partitions or default_buckets(df.sparkSession)
     sort_cols = [F.col(f"`{c}`").asc_nulls_first() for c in (*keys, *order)]
     # a key column that is stored, so that no keys at all means one group and not one task
-    laid = checkpoint(df.withColumn("__all", F.lit(0)).repartitionByRange(p, *sort_cols)
+    return checkpoint(df.withColumn("__all", F.lit(0)).repartitionByRange(p, *sort_cols)
                       .withColumn("__range", F.spark_partition_id()))
+
+
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: Sequence[str] = (),
+                 sums: Sequence[str] = (), prior_max: Sequence[str] = (), totals: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """See module docstring.  ``order`` must make rows unique within a key for a
+    deterministic result (add a row-order column).  Rows of ``lay_out`` are scanned
+    in their ranges and keep the ``LAYOUT`` columns; others are laid out first."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    kept = set(LAYOUT) <= set(df.columns)
+    laid = df if kept else lay_out(df, keys, order, partitions)
+    columns = [c for c in laid.columns if c not in LAYOUT]
     group = [F.col(f"`{c}`") for c in (keys or ["__all"])]
     names = list(keys or ["__all"])
 
@@ -81,9 +93,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags:
     inside = Window.partitionBy("__range", *group).orderBy("__row", *[F.col(f"`{c}`").asc_nulls_first() for c in order])
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    both = rows.select("__range", "__row", *dict.fromkeys([*names, *columns]), *carried).unionByName(carry, allowMissingColumns=True)
+    both = rows.select("__range", "__row", *dict.fromkeys(["__all", *names, *columns]), *carried).unionByName(carry, allowMissingColumns=True)
     out = both.select(
-        "__row", *[F.col(f"`{c}`") for c in columns],
+        "__row", *(LAYOUT if kept else []), *[F.col(f"`{c}`") for c in columns],
         *[F.lag(f"__lag_{c}").over(inside).alias(f"prev_{c}") for c in lags],
         *[F.coalesce(F.sum(f"__sum_{c}").over(upto), F.lit(0)).alias(f"cum_{c}") for c in sums],
         *[F.max(f"__max_{c}").over(before).alias(f"pmax_{c}") for c in prior_max],

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.operators.filters import col
-from tablescope.operators.ordered import ordered_scan
+from tablescope.operators.ordered import LAYOUT, lay_out, ordered_scan
 
 # Fixed vocabularies and arrow syntax (same as the reference's renderer):
 PARTICIPANT_TYPES = ["actor", "database", "boundary", "participant"]
@@ -92,20 +92,17 @@ def framed(msgs: DataFrame) -> DataFrame:
     new_branch (a compartment starts here), kind and frame_label."""
     valid = msgs.where((F.col("src") != "") & (F.col("dst") != ""))
     valid = valid.withColumn("branch", F.when(F.col("branch") != "", F.col("branch")))   # a blank branch is none
-    s1 = ordered_scan(valid, ["key"], ["ord"], lags=["grp"])
+    s1 = ordered_scan(lay_out(valid, ["key"], ["ord"]), ["key"], ["ord"], lags=["grp"])
     changed = ~F.col("grp").eqNullSafe(F.col("prev_grp"))
     s1 = s1.withColumn("chg", changed.cast("long")).withColumn("opened", (changed & F.col("grp").isNotNull()).cast("long"))
-    s2 = (ordered_scan(s1, ["key"], ["ord"], sums=["chg", "opened"])
+    # the last non-null branch before this row; the opening row of a run counts even with a
+    # NULL branch, so inside a run nothing of an earlier one is seen
+    s1 = s1.withColumn("said", F.when(F.col("branch").isNotNull() | (F.col("chg") == 1), F.struct("ord", "branch")))
+    s2 = (ordered_scan(s1, ["key"], ["ord"], sums=["chg", "opened"], prior_max=["said"])
           .withColumnsRenamed({"cum_chg": "run", "cum_opened": "frame_no"}))
-    # within a run: the last non-null branch before this row (the opening row's
-    # branch counts even when NULL)
-    s2 = s2.withColumn("bord", F.when(F.col("branch").isNotNull() | (F.col("chg") == 1), F.col("ord")))
-    s3 = ordered_scan(s2, ["key", "run"], ["ord"], prior_max=["bord"])
-    prevb = s3.select(F.col("key").alias("pk"), F.col("ord").alias("pm"), F.col("branch").alias("cur_branch"))
-    s4 = (s3.join(prevb, (F.col("key") == F.col("pk")) & (F.col("pmax_bord") == F.col("pm")), "left")
-          .drop("pk", "pm"))
+    s2 = s2.withColumn("cur_branch", F.col("pmax_said.branch")).drop("said", "pmax_said", *LAYOUT)
     kind, lbl = _frame_parts(F.col("grp"))
-    return s4.select(
+    return s2.select(
         "*", kind.alias("kind"), lbl.alias("frame_label"),
         ((F.col("chg") == 1) & F.col("grp").isNotNull()).alias("opens"),
         ((F.col("chg") == 1) & F.col("prev_grp").isNotNull()).alias("closes_prev"),
@@ -169,7 +166,14 @@ def mermaid_lines(msgs: DataFrame, autonumber: bool = False) -> DataFrame:
     return numbered_lines.select("key", F.col("cum_one").alias("line_no"), "line")
 
 
-def mermaid_documents(lines: DataFrame) -> DataFrame:
-    """(key, document): one text per diagram (a diagram's size is the output's)."""
-    return (lines.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-            .select("key", F.concat(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n")).alias("document")))
+#: lines of one page of a document
+PAGE_LINES = 10_000
+
+
+def mermaid_documents(lines: DataFrame, page_lines: int = PAGE_LINES) -> DataFrame:
+    """(key, page, document): the text of each diagram in pages of ``page_lines`` lines, from page 0; a shorter
+    diagram is one page, and the pages of a longer one joined are its document.  No
+    group is larger than a page, however long a diagram is."""
+    page = F.floor((F.col("line_no") - 1) / F.lit(page_lines)).cast("long").alias("page")
+    return (lines.groupBy("key", page).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+            .select("key", "page", F.concat(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n")).alias("document")))

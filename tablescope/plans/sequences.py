@@ -120,3 +120,11 @@ def seq_mermaid(spark, sf):
     """One row per document line; also checked against a line-by-line Python
     rendering of the same rules in tests/."""
     return SQ.mermaid_lines(conv_messages(spark, sf), autonumber=True)
+
+
+@register("seq_mermaid_documents", f"""
+SELECT key, (line_no - 1) // 8 AS page, string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS document
+FROM ({_mermaid_sql()}) GROUP BY key, (line_no - 1) // 8""")
+def seq_mermaid_documents(spark, sf):
+    """The documents' texts, in pages of 8 lines here, so that most have several."""
+    return SQ.mermaid_documents(SQ.mermaid_lines(conv_messages(spark, sf), autonumber=True), page_lines=8)

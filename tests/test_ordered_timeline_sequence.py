@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import sequence as SQ
 from tablescope.operators import timeline as TM
-from tablescope.operators.ordered import ordered_scan
+from tablescope.operators.ordered import lay_out, ordered_scan
 
 
 def test_ordered_scan_matches_windows_with_hot_key(spark):
@@ -182,6 +182,26 @@ def test_mermaid_loop_opt_and_plain_groups_have_no_dividers(spark):
 """
 
 
+def test_mermaid_pages_join_to_the_document(spark):
+    rows = [(i, "A", "B", f"m{i}", "alt:x" if i % 5 else None, f"b{i // 3}") for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "seq long, src string, dst string, label string, grp string, branch string")
+    lines = SQ.mermaid_lines(SQ.messages(df, "src", "dst", "label", "seq", group="grp", branch="branch"))
+    pages = SQ.mermaid_documents(lines, page_lines=7).orderBy("page").collect()
+    assert [r.page for r in pages] == list(range(-(-lines.count() // 7))) and all(r.document.count("\n") <= 7 for r in pages)
+    assert "".join(r.document for r in pages) == _document(spark, rows)
+    assert SQ.mermaid_documents(lines.limit(0)).count() == 0
+
+
+def test_scans_of_one_layout_equal_separate_scans(spark):
+    rnd = random.Random(21)
+    rows = [(i, None if i % 9 == 0 else 1 if i < 500 else rnd.randint(2, 9), rnd.choice([None, "a", "b"])) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, k long, g string")
+    def two(first):  # noqa: E306
+        one = ordered_scan(first, ["k"], ["id"], lags=["g"], partitions=7).withColumn("same", F.col("g").eqNullSafe(F.col("prev_g")).cast("long"))
+        return ordered_scan(one, ["k"], ["id"], sums=["same"], prior_max=["g"], partitions=7).select("id", "prev_g", "cum_same", "pmax_g")
+    assert sorted(two(lay_out(df, ["k"], ["id"], 7)).collect()) == sorted(two(df).collect())
+
+
 def test_frames_are_numbered_without_the_gaps(spark):
     rows = [(1, "A", "B", "m", None, None), (2, "A", "B", "m", "alt:x", "p"), (3, "A", "B", "m", None, None), (4, "A", "B", "m", "alt:x", "q")]
     df = spark.createDataFrame(rows, "seq long, src string, dst string, label string, grp string, branch string")

@@ -8,8 +8,10 @@ suffix with every prefix of the path that is as long as some rule's path), hashe
 them, finds them with a vectorised binary search, and confirms each hit against the
 stored string, so equal keys of different strings cannot mislead.
 
-The files hold at most ``MAX_ARRAY_BYTES``.  A larger rule table meets the same
-candidate strings in an ordinary join, which Spark splits by key.
+The files hold at most ``MAX_ARRAY_BYTES``.  A larger rule table is cut by key into digest
+arrays of about ``SEGMENT_BYTES``, one to a task.  A block of urls sends each of its distinct
+candidate strings once to the segment of its key and gets back the rules found, so a rule that fits
+nearly every url is asked for once a block.  Both ways give the same verdicts.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path:
 then up to ``?``, ``#`` or the end.  A rule fits its host and all subdomains if the path
@@ -32,12 +34,15 @@ import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from tablescope.llm import skew
+from tablescope.llm.blockcount import new_block
 from tablescope.session import ship_package
 
 DEFAULT_VERDICT = "allow"
 MAX_ARRAY_BYTES = 512 << 20
+SEGMENT_BYTES = 32 << 20
 URL = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 
 
@@ -63,26 +68,41 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[str, str]
     return [(s, path[:n]) for s in suffixes for n in lengths if n <= len(path)]
 
 
+def rule_text(host: str, path: str) -> bytes:
+    return f"{host}\0{path}".encode()
+
+
 class DigestArray:
-    """Memory-mapped rules: sorted keys, offsets, and records of verdict, host length and string."""
+    """Rules as sorted keys, offsets, and records of verdict and string; memory-mapped where they come from files."""
+
+    NAMES = "keys", "offsets", "records"
 
     def __init__(self, folder: str, stem: str):
-        self.keys = np.load(os.path.join(folder, f"{stem}-keys.npy"), mmap_mode="r")
-        self.offsets = np.load(os.path.join(folder, f"{stem}-offsets.npy"), mmap_mode="r")
-        self.records = np.load(os.path.join(folder, f"{stem}-records.npy"), mmap_mode="r")
+        self.keys, self.offsets, self.records = (np.load(os.path.join(folder, f"{stem}-{name}.npy"), mmap_mode="r") for name in self.NAMES)
+
+    @classmethod
+    def of(cls, rules: list[tuple[str, str, str]]) -> "DigestArray":
+        """In memory, without files."""
+        array = cls.__new__(cls)
+        arrays = cls.make(rules)
+        array.keys, array.offsets, array.records = (arrays[name] for name in cls.NAMES)
+        return array
 
     @staticmethod
-    def build(rules: list[tuple[str, str, str]], folder: str, stem: str) -> list[str]:
+    def make(rules: list[tuple[str, str, str]]) -> dict[str, np.ndarray]:
         found: dict[tuple[str, str], str] = {}
         for host, path, verdict in rules:
             if found.get((host, path)) != "block":
                 found[host, path] = verdict
-        rows = sorted((xxhash.xxh64_intdigest((h + "\0" + p).encode()), f"{v[:1]}{h}\0{p}".encode()) for (h, p), v in found.items())
-        arrays = {"keys": np.array([k for k, _ in rows], np.uint64),
-                  "offsets": np.r_[0, np.cumsum([len(r) for _, r in rows])].astype(np.int64),
-                  "records": np.frombuffer(b"".join(r for _, r in rows) or b"\0", np.uint8)}
+        rows = sorted((xxhash.xxh64_intdigest(rule_text(h, p)), v[:1].encode() + rule_text(h, p)) for (h, p), v in found.items())
+        return {"keys": np.array([k for k, _ in rows], np.uint64),
+                "offsets": np.r_[0, np.cumsum([len(r) for _, r in rows])].astype(np.int64),
+                "records": np.frombuffer(b"".join(r for _, r in rows) or b"\0", np.uint8)}
+
+    @staticmethod
+    def build(rules: list[tuple[str, str, str]], folder: str, stem: str) -> list[str]:
         paths = []
-        for name, array in arrays.items():
+        for name, array in DigestArray.make(rules).items():
             paths.append(os.path.join(folder, f"{stem}-{name}.npy"))
             np.save(paths[-1], array)
         return paths
@@ -114,7 +134,7 @@ def _judge(hosts: pd.Series, paths: pd.Series, array: DigestArray, lengths: list
         some = candidates(host, path, lengths)
         owner.extend([i] * len(some))
         pairs.extend(some)
-    letters = array.probe([f"{h}\0{p}".encode() for h, p in pairs])
+    letters = array.probe([rule_text(h, p) for h, p in pairs])
     best: list[tuple | None] = [None] * len(hosts)
     for i, (host, path), letter in zip(owner, pairs, letters):
         if letter is not None:
@@ -129,7 +149,8 @@ VERDICT = StructType([StructField("rule", StringType()), StructField("verdict",
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]], url: str = "url",
-                default: str = DEFAULT_VERDICT, max_array_bytes: int = MAX_ARRAY_BYTES) -> DataFrame:
+                default: str = DEFAULT_VERDICT, max_array_bytes: int = MAX_ARRAY_BYTES,
+                segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """``pages`` as the struct column ``row`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``rules``: (host, path, verdict) rows, verdict ``allow`` or ``block``.
@@ -145,7 +166,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]],
     base = pages.select(F.struct(*[pages[c].alias(c) for c in pages.columns]).alias("row"),
                         url_host(pages[url]).alias("host"), url_path(pages[url]).alias("path"))
     if size > max_array_bytes:
-        return _by_join(base, rules, list(lengths), default)
+        return _dealt(base, rules, list(lengths), default, -(-size // segment_bytes))
     stem = f"urlrules-{uuid.uuid4().hex[:12]}"
     folder = tempfile.mkdtemp(prefix="tablescope-rules-")
     for path in DigestArray.build([tuple(r) for r in rules.collect()], folder, stem):
@@ -161,19 +182,72 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]],
     return base.withColumn("judged", judge("host", "path")).select("row", "host", "path", "judged.rule", "judged.verdict")
 
 
-def _by_join(base: DataFrame, rules: DataFrame, lengths: list[int], default: str) -> DataFrame:
-    """The same verdicts by joining distinct (host, path prefix) candidates with the rules."""
-    one = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block > allow
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
-    distinct = base.select("host", "path").where("host <> ''").distinct()
-    asked = (distinct.select("host", "path", F.explode(suffixes).alias("rule_host"))
-             .select("host", "path", "rule_host", F.explode(cuts).alias("cut"))
-             .select("host", "path", "rule_host", F.expr("substring(path, 1, cut)").alias("rule_path")))
-    met = asked.join(one.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict"), ["rule_host", "rule_path"])
-    rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"),
-                    F.concat("rule_host", "rule_path").alias("rule"), "verdict")
-    best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    return (base.join(best, ["host", "path"], "left")
-            .select("row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))
+class FoundRules:
+    """The rules that a block's candidates have met, to be asked like a ``DigestArray``."""
+
+    def __init__(self, texts: list[bytes], letters: list[str]):
+        self.found = dict(zip(texts, letters))
+
+    def probe(self, strings: list[bytes]) -> list[str | None]:
+        return [self.found.get(s) for s in strings]
+
+
+def segment_of(text: bytes, segments: int) -> int:
+    """The segment of a rule string: its key's place in the range of keys."""
+    return xxhash.xxh64_intdigest(text) * segments >> 64
+
+
+def _dealt(base: DataFrame, rules: DataFrame, lengths: list[int], default: str, segments: int) -> DataFrame:
+    """The same verdicts from digest arrays by segment: blocks ask the segments and get the rules found back."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    row = StructField("row", base.schema["row"].dataType)   # null beside a block's questions
+    urls = [row, StructField("host", StringType()), StructField("path", StringType())]
+    asked = StructType([StructField("block", LongType()), *urls, StructField("part", IntegerType()), StructField("texts", ArrayType(BinaryType()))])
+    asked_schema = to_arrow_schema(asked)
+    none = pa.nulls
+
+    def ask(batches):
+        for batch in batches:
+            name, many = new_block(), batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([name] * many, pa.int64()), *batch.columns, none(many, pa.int32()), none(many, asked_schema.field("texts").type)],
+                                             schema=asked_schema)
+            parts: dict[int, set[bytes]] = {}
+            for host, path in set(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for pair in candidates(host, path, lengths):
+                    text = rule_text(*pair)
+                    parts.setdefault(segment_of(text, segments), set()).add(text)
+            k = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * k, pa.int64()), none(k, asked_schema.field("row").type), none(k, pa.string()), none(k, pa.string()),
+                                              pa.array(list(parts), pa.int32()), pa.array([list(p) for p in parts.values()], asked_schema.field("texts").type)],
+                                             schema=asked_schema)
+
+    def place(batches):
+        for batch in batches:
+            parts = [segment_of(rule_text(h, p), segments) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *batch.columns], names=["part", "host", "path", "verdict"])
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        array = DigestArray.of(list(zip(*(right.column(c).to_pylist() for c in ("host", "path", "verdict")))))
+        blocks, texts, letters = [], [], []
+        for block, strings in zip(left.column("block").to_pylist(), left.column("texts").to_pylist()):
+            met = [(s, letter) for s, letter in zip(strings, array.probe(strings)) if letter is not None]
+            blocks.append(block)
+            texts.append([s for s, _ in met])
+            letters.append([letter for _, letter in met])
+        return pa.table({"block": pa.array(blocks, pa.int64()), "texts": pa.array(texts, pa.list_(pa.binary())), "letters": pa.array(letters, pa.list_(pa.string()))})
+
+    out = StructType([*urls, *VERDICT.fields])
+    out_schema = to_arrow_schema(out)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        rules = FoundRules(*([x for cell in right.column(c).to_pylist() for x in cell] for c in ("texts", "letters")))
+        judged = _judge(left.column("host").to_pandas(), left.column("path").to_pandas(), rules, lengths, default)
+        return pa.table([*(left.column(f.name) for f in urls), pa.array(judged["rule"], pa.string(), from_pandas=True), pa.array(judged["verdict"], pa.string())],
+                        schema=out_schema)
+
+    staged = skew.written(base.mapInArrow(ask, asked), "url-blocks")
+    placed = rules.mapInArrow(place, "part int, host string, path string, verdict string")
+    answers = (staged.where("part is not null").select("block", "part", "texts").groupBy("part").cogroup(placed.groupBy("part"))
+               .applyInArrow(probe, "block long, texts array<binary>, letters array<string>"))
+    return (staged.where("part is null").select("block", *[f.name for f in urls]).groupBy("block").cogroup(answers.groupBy("block"))
+            .applyInArrow(finish, out))

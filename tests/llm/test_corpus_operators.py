@@ -339,6 +339,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(toxic) > 0.88 and np.mean(clean) < 0.01
 
 
+# ---- url rules in segments
+
+def test_url_rules_in_segments_judge_like_one_array(spark):
+    rules = [(h, p, "block" if (i + len(p)) % 3 else "allow") for i, h in enumerate(["com", "net", "a.com", "b.a.com", "x.net", "é.org"]) for p in ("", "/", "/a", "/a/b", "/a/bc")]
+    rules += [("com", "/", "block"), ("unused.test", "/", "block")]
+    hosts = ["b.a.com", "a.com", "com", "q.x.net", "é.org", "none.test", "acom", "", "A.CoM"]
+    urls = [f"http://{h}{p}?q" for h in hosts for p in ("", "/", "/a", "/a/b", "/a/bcd", "/z")] + [None, "", "no scheme", "://", "http://a.com/" + "x" * 9000]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls * 3)], "page_id long, url string, host string, rule string").repartition(4)
+
+    def judged(**how):
+        return sorted((r.row.page_id, r.row.host, r.host, r.path, r.rule or "", r.verdict) for r in urlfilter.filter_urls(pages, rules, **how).collect())
+
+    one = judged()
+    assert len(one) == len(urls) * 3 and len({r[4] for r in one}) > 8
+    for size in (1 << 20, 90):   # one segment, and many
+        assert judged(max_array_bytes=0, segment_bytes=size) == one
+    assert urlfilter.filter_urls(pages.limit(0), rules, max_array_bytes=0).collect() == []
+
+
 # ---- sharding
 
 def test_shards_and_slots(spark):
@@ -352,6 +371,13 @@ def test_shards_and_slots(spark):
     assert {(r.size, r.text_crc32) for r in rows if r.doc_id is None} == {(2, zlib.crc32(b"x"))}
 
 
+def test_slots_depend_on_the_rows_alone(spark):
+    rows = [(i % 90, f"t{i % 11}" if i % 5 else None) for i in range(700)] + [(None, None)] * 40 + [(3, "hot")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assigned = [sorted(map(str, sharding.assign_shards(docs.repartition(n), bucket_rows=20, chunk=chunk).collect())) for n, chunk in ((2, 10_000), (7, 10_000), (3, 64))]
+    assert len(assigned[0]) == len(rows) and assigned[0] == assigned[1] == assigned[2]
+
+
 def test_jump_hash_moves_only_into_the_new_shard():
     keys = np.random.default_rng(0).integers(0, 1 << 63, 20_000, dtype=np.uint64)
     for n in range(1, 12):

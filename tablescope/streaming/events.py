@@ -6,7 +6,7 @@ with ``phase`` in start/end; anything else is a malformed line and skipped.
 * ``fold``: one row per id that has a start -- running until its end; the end
   fills ``exit_code`` and, when the start had none, ``db_path``; an end
   without a start is ignored; of a repeated start the first counts.  Batch: one ``groupBy(id)`` of conditional
-  aggregates.  Stream: a state processor keyed by id with an event-time
+  aggregates.  Stream: a state processor keyed by buckets of ids with an event-time
   timer, so state is dropped once the watermark passes a run's start by ``max_run``.
 * ``active_keys``: distinct keys, most recent first, hidden when the last
   touch is not after the last forget.
@@ -19,6 +19,7 @@ with ``phase`` in start/end; anything else is a malformed line and skipped.
 from __future__ import annotations
 
 import os
+import pickle
 from typing import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -82,49 +83,72 @@ def activity(events: DataFrame, session: str, tile: str, kind: str, ts: str,
 # ---- streaming ----
 
 class RunFold(StatefulProcessor):
-    """State of one run: the earliest start (if seen), the latest end (if seen) and the timer that evicts both.
+    """State of a bucket of runs: of each id the earliest start (if seen) and the latest end (if seen), and the one timer
+    that is due first.  A call to the state store costs a message to the JVM; a bucket reads and
+    writes all its runs by one, so the calls follow the buckets and not the runs.
 
     An end may arrive before its start, and a finished run may start or end again in a later
     micro-batch, so both wait in state until the watermark passes start (or end) + max_run."""
-    STATE = ("started long, db_path string, cwd string, session string, ended long, exit_code int, end_db string, due long")
+    STATE = "runs binary, due long"
     OUT = "id long, started long, ended long, running boolean, exit_code int, db_path string, cwd string, session string"
 
     def __init__(self, max_run_ms: int):
         self.max_run_ms = max_run_ms
 
     def init(self, handle) -> None:
-        self.handle, self.run = handle, handle.getValueState("run", self.STATE)
+        self.handle, self.bucket = handle, handle.getValueState("bucket", self.STATE)
 
     @staticmethod
-    def _row(key, st) -> Row:
+    def _row(run, st) -> Row:
         started, db_path, cwd, session, ended, exit_code, end_db = st
-        return Row(id=key[0], started=started, ended=ended, running=ended is None, exit_code=exit_code,
+        return Row(id=run, started=started, ended=ended, running=ended is None, exit_code=exit_code,
                    db_path=end_db if db_path is None else db_path, cwd=cwd, session=session)
 
+    def _due(self, st) -> int:
+        return (st[0] if st[0] is not None else st[4]) // 1000 + self.max_run_ms
+
+    def _held(self) -> tuple[dict[int, list], int | None]:
+        held = self.bucket.get()
+        return ({}, None) if held is None else (pickle.loads(held[0]), held[1])
+
+    def _hold(self, runs: dict[int, list], due: int | None) -> None:
+        """Keep these runs; ``due`` is the timer that is set now (None: it has fired, or there was none)."""
+        first = min(map(self._due, runs.values()), default=None)
+        if due is not None and due != first:
+            self.handle.deleteTimer(due)
+        if first is None:
+            self.bucket.clear()
+        else:
+            self.bucket.update((pickle.dumps(runs), first))
+            if due != first:
+                self.handle.registerTimer(first)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.run.get()
-        *st, due = held if held is not None else (None,) * 8
+        runs, due = self._held()
+        touched: dict[int, list] = {}
         for r in rows:
+            st = touched.get(r.id)
+            if st is None:
+                st = touched[r.id] = runs.pop(r.id, None) or [None] * 7
             if r.phase == "start" and (st[0] is None or r.at < st[0]):
                 st[0:4] = r.at, r.db_path, r.cwd, r.session
             elif r.phase == "end" and (st[4] is None or r.at >= st[4]):
                 st[4:7] = r.at, r.exit_code, r.db_path
-        now_due = (st[0] if st[0] is not None else st[4]) // 1000 + self.max_run_ms
-        if due is not None and due != now_due:
-            self.handle.deleteTimer(due)
-        if now_due > timerValues.getCurrentWatermarkInMs():
-            self.run.update((*st, now_due))
-            self.handle.registerTimer(now_due)
-        elif held is not None:
-            self.run.clear()
-        if st[0] is not None:               # an end whose start has not come is ignored
-            yield self._row(key, st)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        runs.update((run, st) for run, st in touched.items() if self._due(st) > watermark)
+        self._hold(runs, due)
+        for run, st in touched.items():
+            if st[0] is not None:               # an end whose start has not come is ignored
+                yield self._row(run, st)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.run.get()
-        self.run.clear()
-        if held is not None and held[0] is not None and held[4] is None:   # a run that never ended: its last word
-            yield self._row(key, held[:7])
+        runs, _ = self._held()
+        until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        gone = {run: st for run, st in runs.items() if self._due(st) <= until}
+        self._hold({run: st for run, st in runs.items() if run not in gone}, None)
+        for run, st in gone.items():
+            if st[0] is not None and st[4] is None:   # a run that never ended: its last word
+                yield self._row(run, st)
 
     def close(self) -> None:
         pass
@@ -133,18 +157,24 @@ class RunFold(StatefulProcessor):
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def fold_stream(ledger_stream: DataFrame, watermark: str = "1 hour", max_run_ms: int = 24 * 3600 * 1000) -> DataFrame:
+#: buckets that the runs are dealt to by the hash of their id: a bucket is one row of state
+BUCKETS = 16_384
+
+
+def fold_stream(ledger_stream: DataFrame, watermark: str = "1 hour", max_run_ms: int = 24 * 3600 * 1000,
+                buckets: int = BUCKETS) -> DataFrame:
     """K1 streaming fold (update mode): one output row per id touched in a
     micro-batch with its current fold; late records beyond the watermark are
     dropped by Spark; the state of a run, finished or not, is evicted by an event-time timer once the
-    watermark passes ``start + max_run``.  Typed state with timers needs the RocksDB state store, which is
+    watermark passes ``start + max_run``.  A micro-batch rewrites the state of the buckets it touches; ``buckets`` is
+    fixed with the first batch of a checkpoint.  State with timers needs the RocksDB state store, which is
     set on the session."""
     ledger_stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     naive = isinstance(ledger_stream.schema["ts"].dataType, T.TimestampNTZType)
     v = (valid_records(ledger_stream).withColumn("at", epoch_micros(F.col("ts"), T.TimestampNTZType() if naive else T.TimestampType()))
          .select("id", F.timestamp_micros("at").alias("ts"), "at", "phase", "db_path", "cwd", F.col("session").cast("string").alias("session"),
                  F.col("exit_code").cast("int").alias("exit_code")).withWatermark("ts", watermark))
-    out = v.groupBy("id").transformWithState(RunFold(max_run_ms), RunFold.OUT, "update", "EventTime")
+    out = v.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).groupBy("bucket").transformWithState(RunFold(max_run_ms), RunFold.OUT, "update", "EventTime")
     at = lambda c: (F.timestamp_add("MICROSECOND", F.col(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) if naive
                     else F.timestamp_micros(c)).alias(c)
     return out.select("id", at("started"), at("ended"), "running", "exit_code", "db_path", "cwd", "session")

@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tablescope.operators.census import heavy_values
@@ -198,3 +199,52 @@ def test_timers_evict_old_runs_from_the_state(spark):
     assert held[0] >= 40 and held[-1] < 10          # runs and their timers are gone
     assert [r.running for r in rows if r.id == 2] == [True, True]     # its end came after the watermark; the timer's last word
     assert [r.running for r in rows if r.id == 1][-1] is False and {r.id for r in rows} == {*range(40), 100, 101}
+
+
+class _Store:
+    """A state store of one key that counts the messages to it."""
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 3_600_000
+
+    def getExpiryTimeInMs(self):
+        return min(self.timers)
+
+
+def test_the_fold_asks_its_state_once_a_bucket_and_not_once_a_run():
+    row = Row("id", "at", "phase", "db_path", "cwd", "session", "exit_code")
+    hour = 3_600_000_000
+    store, fold = _Store(), EV.RunFold(2 * 3_600_000)
+    fold.init(store)
+    starts = [row(i, (i % 3 + 1) * hour, "start", None, "/a", "s", None) for i in range(500)]
+    assert len(list(fold.handleInputRows((0,), iter(starts), store))) == 500 and store.calls <= 4
+    ended = list(fold.handleInputRows((0,), iter([row(i, 4 * hour, "end", "e.db", None, None, i) for i in range(0, 500, 3)]), store))
+    assert store.calls <= 8 and all((r.started, r.ended, r.exit_code, r.db_path) == (hour, 4 * hour, r.id, "e.db") for r in ended)
+    assert store.timers == {3 * 3_600_000}                       # one timer, of the runs that are due first
+    assert list(fold.handleExpiredTimer((0,), store, store)) == []   # they have ended
+    store.timers.remove(3 * 3_600_000)                           # Spark drops a timer that has fired
+    assert store.timers == {4 * 3_600_000}
+    assert {r.id for r in fold.handleExpiredTimer((0,), store, store)} == {i for i in range(500) if i % 3 == 1}

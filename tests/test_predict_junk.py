@@ -98,3 +98,18 @@ def test_near_copy_is_not_a_duplicate(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("a"),
                                    F.when(F.col("id") == 12345, "x").otherwise(F.col("id").cast("string")).alias("b"))
     assert junk(df).duplicates.count() == 0
+
+
+# ---- ranks of columns of few and of many values
+
+def test_ranks_joined_and_broadcast_and_bins_without_a_join_give_the_same_scores(spark, monkeypatch):
+    df = spark.range(400).select(
+        F.when(F.col("id") % 7 != 0, F.col("id") * 3 % 211).alias("r0"), (F.pow("id", 2) % 97).alias("q"),
+        F.when(F.col("id") % 11 != 0, F.col("id") % 5 * 1.0).otherwise(float("nan")).alias("few"), F.concat(F.lit("g"), (F.col("id") % 4).cast("string")).alias("g"))
+    got, plans, sums = [], [], P._rank_sums
+    monkeypatch.setattr(P, "_rank_sums", lambda wide, *a: plans.append(wide._jdf.queryExecution().optimizedPlan().toString()) or sums(wide, *a))
+    for values in (1_000_000, 50, 0):
+        monkeypatch.setattr(P, "BROADCAST_VALUES", values)
+        got.append({(r.x, r.y, r.method): (r.n, round(r.score, 9)) for r in P.predict(df).pairs.collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 12
+    assert [p.count("strategy=broadcast") for p in plans] == [3, 1, 0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablescope.operators.census import checkpoint
 from tablescope.operators.filters import Filter
 from tablescope.operators.stats import Stats, sketch_quantiles, sketch_rank_error
 from tablescope.plans import load, register
@@ -158,6 +159,8 @@ def stats_histogram_flat(spark, sf):
 
 
 SKETCHED = (0.25, 0.5, 0.75)
+#: estimates of so many groups (under 2 kB each) are broadcast to the rows
+SKETCH_GROUPS = 10_000
 
 
 @register("stats_quartiles_sketch", _union(
@@ -168,8 +171,9 @@ def stats_quartiles_sketch(spark, sf):
     enclose p within twice the stated error (five standard deviations)."""
     df = load(spark, sf, "lineitem")
     found = sketch_quantiles(df, LINEITEM_NUM, SKETCHED, by=["l_returnflag"])
-    # a row for each group and column: as many as groups, joined by Spark's own choice
-    wide = found.groupBy("l_returnflag").pivot("column_name", LINEITEM_NUM).agg(F.map_from_entries(F.collect_list(F.struct("p", "value"))))
+    wide = checkpoint(found.groupBy("l_returnflag").pivot("column_name", LINEITEM_NUM).agg(F.map_from_entries(F.collect_list(F.struct("p", "value")))))
+    # one row for each group: few groups meet the rows where these lie, so that no group is one task's input
+    wide = F.broadcast(wide) if wide.count() <= SKETCH_GROUPS else wide
     guess = lambda c, p: F.col(f"guess.{c}")[F.lit(p)]
     rows = df.select("l_returnflag", *LINEITEM_NUM).alias("rows").join(wide.alias("guess"), "l_returnflag")
     counts = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), *[

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablescope.operators.census import heavy_values
 from tablescope.operators.pages import KEY, Cursor, Pages
 from tablescope.operators.stats import Stats, sketch_quantiles, sketch_rank_error
+from tablescope.plans import profiling
 from tablescope.session import scratch_path
 from tablescope.sources.format_registry import FormatRegistry
 from tablescope.sources.keyedlog import KeyedLog, latest
@@ -176,6 +177,15 @@ def test_sketches_keep_their_rank_error_and_merge_groups(spark):
         assert under - 2 * sketch_rank_error() <= r.p <= upto + 2 * sketch_rank_error()
 
 
+def test_sketched_groups_are_checked_where_their_rows_lie(spark, monkeypatch):
+    few = profiling.stats_quartiles_sketch(spark, SF)
+    assert "strategy=broadcast" in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(profiling, "SKETCH_GROUPS", 0)
+    many = profiling.stats_quartiles_sketch(spark, SF)
+    assert "strategy=broadcast" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(few.collect()) == sorted(many.collect()) and all(r.within_bound for r in few.collect())
+
+
 # ---- stream state
 
 def test_timers_evict_old_runs_from_the_state(spark):

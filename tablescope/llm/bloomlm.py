@@ -30,8 +30,6 @@ empty table gives no rows; without training rows every probability is that of V
 """
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,7 +37,7 @@ from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, Str
 
 from tablescope.llm import skew
 from tablescope.llm.blockcount import (answer_blocks, count_parts, new_block, order_of, pack_positions, summed, unpack_positions)
-from tablescope.llm.textkernel import FOLD_ASCII, SPACED_WORDS, _quoted, chunks, mix64, scan_words
+from tablescope.llm.textkernel import FOLD_ASCII, SPACED_WORDS, _quoted, chunks, give_back, mix64, scan_words
 from tablescope.session import ship_package
 
 BLOCK = 1 << 20
@@ -84,15 +82,6 @@ def most_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, STEPS[np.minimum(level, LEVELS - 1)] - 1, 0)
 
 
-def give_back() -> None:
-    """What this worker has freed goes back to the system, so that the next stage does not pay for the last one."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):   # a C library without it
-        pass
-
-
 # ---- tokens
 
 class Tokens:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tablescope.llm.skew import components, maybe_in, written
-from tablescope.llm.textkernel import ALNUM_WORDS, Block, chunks, mix64, scan_words, windows, annotate
+from tablescope.llm.textkernel import ALNUM_WORDS, Block, chunks, give_back, mix64, scan_words, windows, annotate
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -166,6 +166,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarities(batch.column(2), batch.column(3), width))],
                                              names=["a", "b", "similarity"])
+        give_back()
 
     return both.mapInArrow(run, StructType([both.schema["a"], both.schema["b"], StructField("similarity", DoubleType())]))
 
@@ -207,6 +208,7 @@ def _forest(width: int, similarity: float):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         texts = table.column("text").combine_chunks()
         stray = table.column("stray").to_numpy(zero_copy_only=False).astype(bool)
         nodes = table.column("node").to_pylist()

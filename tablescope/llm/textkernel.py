@@ -8,6 +8,7 @@ is bounded by the block size plus 24 bytes per word of one text.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -176,23 +177,37 @@ def code_point_offsets(block: Block, byte_positions: np.ndarray) -> np.ndarray:
     return np.where(byte_positions > 0, lead[np.maximum(byte_positions, 1) - 1] if len(lead) else 0, 0)
 
 
+def give_back() -> None:
+    """What this worker has freed goes back to the system, so that the next stage does not pay for the last one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):   # a C library without it
+        pass
+
+
 def annotate(df: DataFrame, text: str, keep: list[str], fields: list[StructField],
              make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Rows of ``df`` with new columns computed from ``text`` in Arrow batches.
 
     The kept input columns come back as one struct column ``row`` beside the new
     columns, so that no name of the input can clash with a result.  ``make`` runs
-    once in each task and returns the batch function.  No shuffle.
+    once in each task and returns the batch function.  No shuffle.  A task gives back what an earlier
+    stage left in its worker, and in the end what it has freed itself.
     """
     ship_package(df.sparkSession)
     packed = df.select(F.struct(*[df[_quoted(c)] for c in keep]).alias("row"), df[_quoted(text)].alias("text"))
     schema = StructType([packed.schema["row"], *fields])
 
     def run(batches):
+        give_back()
         work = make()
         for batch in batches:
             arrays = work(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[f.name for f in schema.fields])
+            del arrays
+        del work
+        give_back()
 
     return packed.mapInArrow(run, schema)
 

@@ -477,3 +477,17 @@ def test_pipeline_stages_take_effect(spark, documents):
     model = piecewise.load_model(MODEL)
     assert {r.doc_id: model.decode(r.piece_ids) for r in last} == {r.doc_id: r.text for r in docs.collect()}
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_annotated_tasks_give_memory_back_before_and_after_their_work(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField
+    from tablescope.llm import textkernel
+    df, log, caught = spark.createDataFrame([(1, "x")], "id long, text string"), [], []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: caught.append(run))
+    monkeypatch.setattr(textkernel, "give_back", lambda: log.append("back"))
+    textkernel.annotate(df, "text", ["id"], [StructField("n", LongType())],
+                        lambda: log.append("made") or (lambda c: log.append("batch") or [pa.array([len(c)])]))
+    batch = pa.RecordBatch.from_arrays([pa.array([{"id": 1}]), pa.array(["x"])], names=["row", "text"])
+    assert len(list(caught[0](iter([batch, batch])))) == 2
+    assert log == ["back", "made", "batch", "batch", "back"]

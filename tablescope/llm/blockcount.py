@@ -66,6 +66,25 @@ def _from_bytes(cell, dtype: np.dtype, width: int) -> np.ndarray:
     return keys if width == 1 else keys.reshape(-1, width)
 
 
+def cells_of(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """``values`` between ``bounds`` (which leave nothing out) as one binary cell each, without a copy."""
+    values = np.ascontiguousarray(values)
+    kind, at = (pa.binary(), np.int32) if values.nbytes < 1 << 31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(at)), pa.py_buffer(values)])
+
+
+def joined_cells(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all binary cells one behind the other, bounds of the cells); no cell is null."""
+    lists, lengths = [], [np.zeros(1, np.int64)]
+    for chunk in column.cast(pa.large_binary()).chunks:
+        if len(chunk):
+            _, at, body = chunk.buffers()
+            ends = np.frombuffer(at, np.int64)[chunk.offset:chunk.offset + len(chunk) + 1]
+            lists.append(np.frombuffer(body, np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8))
+            lengths.append(np.diff(ends))
+    return np.concatenate([np.zeros(0, np.uint8), *lists]).view(dtype), np.cumsum(np.concatenate(lengths)) // np.dtype(dtype).itemsize
+
+
 def count_parts(blocks: DataFrame, dtype: str, width: int = 1, with_keys: bool = False,
                 summary: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
     """Answers (block, part, keys, counts) to the key rows (block, keys, n) of ``blocks``, as a written table.

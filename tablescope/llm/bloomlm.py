@@ -17,7 +17,10 @@ written in segments, by hash, each by one task of bounded size.  Up to ``BROADCA
 all it is broadcast and every task probes its own documents.  Beyond that no worker
 gets more than one segment: probes of a block of documents are dealt to the segments
 (each distinct n-gram of a block once), and the levels come back to the block.  Both
-ways give the same scores.
+ways give the same scores.  Segments and blocks both grow with the corpus, so what is done
+for each piece (a block's share of a segment) would grow with its square: n-grams are counted over
+``FLUSH_TOKENS`` before they are dealt, blocks that are dealt hold ``DEALT_BLOCK``, and a segment takes all its pieces
+at once.
 
 The base score needs exact counts: words are keyed by 96 bits of two hashes and added up over
 blocks (``blockcount``); nothing that grows with the vocabulary is collected.
@@ -33,14 +36,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tablescope.llm import skew
-from tablescope.llm.blockcount import (answer_blocks, count_parts, new_block, order_of, pack_positions, summed, unpack_positions)
+from tablescope.llm.blockcount import (answer_blocks, cells_of, count_parts, joined_cells, key_hash, new_block, order_of, pack_positions, unpack_positions)
 from tablescope.llm.textkernel import FOLD_ASCII, SPACED_WORDS, _quoted, chunks, give_back, mix64, scan_words
 from tablescope.session import ship_package
 
 BLOCK = 1 << 20
+#: text of a block whose probes are dealt, tokens whose n-grams are counted before they are dealt, and keys probed at once
+DEALT_BLOCK = 4 << 20
+FLUSH_TOKENS = 1 << 20
+PROBE_KEYS = 1 << 18
 #: prior weight of the word alone (of 1, 2, 4, ... 64 the best on held-out rows)
 MU = 16.0
 #: growth of the thresholds from level to level
@@ -54,6 +61,7 @@ SEGMENT_GRAMS = 3_000_000
 BROADCAST_BYTES = 256 << 20
 #: n-gram hashes travel in so many bytes; a segment's share of the hash comes on top
 HASH_BYTES = 4
+HASH_KIND = np.dtype(f"u{HASH_BYTES}")
 _END, _START = np.uint64(0x51ED270B0A1F3C49), np.uint64(0x2545F4914F6CDD1D)
 _PAIR, _SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E6C63D0876A9A47)
 _LEVEL, _GOLD = 0xA0761D6478BD642F, 0x9E3779B97F4A7C15
@@ -131,8 +139,9 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     level = level_of(counts)
     words = np.zeros(max(1, -(-int(level.sum()) * BITS // 64)), np.uint64)
     for q in range(1, int(level.max(initial=0)) + 1):
+        keys, level = keys[level >= q], level[level >= q]
         for half in (0, 1):
-            at, mask = place(keys[level >= q], q, half, np.uint64(len(words)))
+            at, mask = place(keys, q, half, np.uint64(len(words)))
             np.bitwise_or.at(words, at, mask)
     return words
 
@@ -146,13 +155,14 @@ def inner(keys: np.ndarray) -> np.ndarray:
     return keys & np.uint64((1 << 8 * HASH_BYTES) - 1)
 
 
-def to_bytes(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(inner(keys)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+def sent(keys: np.ndarray) -> np.ndarray:
+    """What travels of each key: the part inside its segment."""
+    return keys.astype(HASH_KIND)
 
 
-def from_bytes(raw) -> np.ndarray:
-    cells = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
-    return np.pad(cells, ((0, 0), (0, 8 - HASH_BYTES))).view(np.uint64).ravel()
+def segment_bounds(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Where each segment's keys begin among ascending ``keys``, and the end."""
+    return np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))
 
 
 class Filter:
@@ -163,7 +173,8 @@ class Filter:
 
     def levels(self, keys: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
         """The level of each key: membership probes, level after level, until one fails."""
-        segment = segment_of(keys, len(self.sizes)) if segment is None else segment
+        one = len(self.sizes) == 1
+        segment = 0 if one else segment_of(keys, len(self.sizes)) if segment is None else segment
         keys, size, start = inner(keys), self.sizes[segment], self.starts[segment]
         out, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
         for q in range(1, LEVELS + 1):
@@ -171,7 +182,9 @@ class Filter:
                 at, mask = place(keys, q, half, size)
                 held = np.flatnonzero((self.words[at + start] & mask) == mask)
                 if len(held) < len(keys):
-                    keys, size, start, left = keys[held], size[held], start[held], left[held]
+                    keys, left = keys[held], left[held]
+                    if not one:
+                        size, start = size[held], start[held]
             if not len(left):
                 break
             out[left] = q
@@ -181,33 +194,52 @@ class Filter:
 # ---- training
 
 def _grams(segments: int):
-    """Word and pair counts of each block of training rows, cut by segment."""
+    """Word and pair counts of the training rows, cut by segment, over ``FLUSH_TOKENS`` at a time."""
     names = ["part", "words", "words_n", "pairs", "pairs_n"]
 
-    def cells(keys: np.ndarray):
-        keys, n = np.unique(keys, return_counts=True)
-        bounds = np.searchsorted(segment_of(keys, segments), np.arange(segments + 1)).tolist()
-        return keys, n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint64), bounds
+    def counted(lists: list[np.ndarray]):
+        laid = np.sort(np.concatenate(lists))
+        first = np.flatnonzero(np.r_[True, laid[1:] != laid[:-1]])
+        keys, n = laid[first], np.diff(first, append=len(laid))
+        # a count travels in one byte; of a larger one there are several
+        times = -(-n // 255)
+        rest, last = n - 255 * (times - 1), np.cumsum(times) - 1
+        keys, n = np.repeat(keys, times), np.full(int(times.sum()), 255, np.uint8)
+        n[last] = rest
+        return sent(keys), n, segment_bounds(keys, segments)
+
+    def rows(words: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
+        lists = [counted(words), counted(pairs)]
+        some = np.flatnonzero(sum(np.diff(bounds) for _, _, bounds in lists))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[cells_of(x, np.r_[bounds[some], bounds[-1]]) for keys, n, bounds in lists for x in (keys, n)]],
+                                          names=names)
 
     def run(batches):
+        words, pairs, held = [], [], 0
         for batch in batches:
             for block in chunks(batch.column(0), BLOCK):
                 tokens = Tokens(block)
-                lists = [cells(tokens.key), cells(np.concatenate([tokens.pairs(), np.full(block.rows, _START, np.uint64)]))]
-                some = [i for i in range(segments) if any(b[i] < b[i + 1] for _, _, b in lists)]
-                columns = [pa.array([x for i in some for x in [make(k, n, b[i], b[i + 1])]], pa.binary())
-                           for k, n, b in lists for make in (lambda k, n, a, z: to_bytes(k[a:z]), lambda k, n, a, z: n[a:z].tobytes())]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *columns], names=names)
+                words.append(tokens.key)
+                pairs += [tokens.pairs(), np.full(block.rows, _START, np.uint64)]
+                held += len(tokens.key)
+                if held >= FLUSH_TOKENS:
+                    yield rows(words, pairs)
+                    words, pairs, held = [], [], 0
+        if held:
+            yield rows(words, pairs)
     return run
 
 
 def _build(table: pa.Table) -> pa.Table:
-    """A segment from the counts of all blocks, with the number of its words and their occurrences."""
+    """A segment from all its counts, with the number of its words and their occurrences."""
     def total(name):
-        keys = [from_bytes(c.as_buffer()) for c in table.column(name)]
-        n = [np.frombuffer(c.as_buffer(), np.uint8 if len(c.as_buffer()) == len(k) else np.uint64).astype(np.int64) for k, c in zip(keys, table.column(f"{name}_n"))]
-        keys, n, _ = summed(np.concatenate(keys), np.concatenate(n))
-        return keys, n
+        keys, n = joined_cells(table.column(name), HASH_KIND)[0], joined_cells(table.column(f"{name}_n"), np.uint8)[0]
+        if not len(keys):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        laid = np.sort(keys.astype(np.uint64) << np.uint64(8) | n)
+        keys, n = laid >> np.uint64(8), (laid & np.uint64(255)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[first], np.add.reduceat(n, first)
 
     (words, words_n), (pairs, pairs_n) = total("words"), total("pairs")
     made = build_segment(np.concatenate([words, pairs]), np.concatenate([words_n, pairs_n]))
@@ -239,35 +271,66 @@ def train_filter(docs: DataFrame, text: str = "text", segment_grams: int = SEGME
 
 # ---- scoring
 
+def block_order(keys: np.ndarray) -> np.ndarray:
+    """``order_of`` by one sort, as nearly all hashes differ."""
+    h = key_hash(keys)
+    order = np.argsort(h)
+    laid = h[order]
+    return order_of(keys) if (laid[1:] == laid[:-1]).any() else order
+
+
+def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The levels that a segment (``right``) gives to the keys of all pieces dealt to it."""
+    if not left.num_rows:
+        return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+    words = np.frombuffer(right.column("bits")[0].as_buffer(), np.uint64)
+    one, (keys, bounds) = Filter(words, np.array([0, len(words)])), joined_cells(left.column("keys"), HASH_KIND)
+    levels = np.concatenate([one.levels(keys[i:i + PROBE_KEYS].astype(np.uint64)) for i in range(0, len(keys), PROBE_KEYS)])
+    return pa.table({"block": left.column("block"), "part": left.column("part"), "keys": pa.nulls(left.num_rows, pa.binary()), "counts": cells_of(levels, bounds)})
+
+
 ROWS = [StructField("block", LongType()), StructField("held_out", BooleanType()), StructField("n_tokens", LongType()), StructField("score", DoubleType()),
         StructField("positions", BinaryType()), StructField("times", BinaryType()), StructField("keys", BinaryType()), StructField("n", BinaryType())]
 
 
-def log10_probability(tokens: Tokens, rows: int, levels, n: int, v: int) -> np.ndarray:
-    """The model's log10 probability of each row; ``levels`` gives the levels of keys."""
-    words, at_word = np.unique(np.r_[tokens.key, _START], return_inverse=True)
-    pairs, at_pair = np.unique(tokens.pairs(), return_inverse=True)
-    level = levels(np.concatenate([words, pairs])).astype(np.int64)
-    word_level, pair_level = level[:len(words)], level[len(words):]
-    alone = (least_count(word_level[at_word[:-1]]) + 0.1) / (n + 0.1 * (v + 1))
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, ascending; position of each key among them)."""
+    order = np.argsort(keys)
+    laid = keys[order]
+    opens = np.r_[True, laid[1:] != laid[:-1]] if len(laid) else np.zeros(0, bool)
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.cumsum(opens) - 1
+    return laid[opens], where
+
+
+def log10_probability(tokens: Tokens, rows: int, words: np.ndarray, at_word: np.ndarray, levels, n: int, v: int) -> np.ndarray:
+    """The model's log10 probability of each row; its tokens are ``words[at_word]``, ``levels`` gives the levels of keys."""
+    pairs, at_pair = distinct(tokens.pairs())
+    level = levels(np.concatenate([words, [_START], pairs])).astype(np.int64)
+    word_level, start_level, pair_level = level[:len(words)], level[len(words)], level[len(words) + 1:]
+    alone = (least_count(word_level) + 0.1)[at_word] / (n + 0.1 * (v + 1))
     opens = np.r_[True, tokens.ends[:-1]]
-    before = most_count(word_level[np.where(opens, at_word[-1], np.r_[0, at_word[:-2]])])
-    p = (least_count(pair_level[at_pair]) + MU * alone) / (before + MU)
+    before = most_count(np.r_[word_level, start_level])[np.where(opens, len(words), np.r_[0, at_word[:-1]])]
+    p = (least_count(pair_level)[at_pair] + MU * alone) / (before + MU)
     return np.bincount(tokens.row, np.log10(p), rows)
 
 
-def _scored_block(block, rows: pa.Array, trains: np.ndarray, held: pa.Array, levels, n: int, v: int, schema: pa.Schema):
+def _scored_block(block, rows: pa.Array, trains: np.ndarray, held: pa.Array, levels, n: int, v: int, schema: pa.Schema, tokens: Tokens | None = None):
     """The record batches of a scored block: its documents, and its words with their training counts."""
-    tokens = Tokens(block)
-    score = log10_probability(tokens, block.rows, levels, n, v)
-    _, first, where = np.unique(tokens.key, return_index=True, return_inverse=True)
+    tokens = Tokens(block) if tokens is None else tokens
+    words, where = distinct(tokens.key)
+    score = log10_probability(tokens, block.rows, words, where, levels, n, v)
+    first = np.empty(len(words), np.int64)
+    first[where[::-1]] = np.arange(len(where))[::-1]
     # 96 bits of each word: its hash and half of the second one
-    keys = np.stack([x.astype(np.uint32) for x in (tokens.key[first] >> np.uint64(32), tokens.key[first], tokens.second[first])], 1)
-    order = order_of(keys)
+    keys = np.stack([x.astype(np.uint32) for x in (words >> np.uint64(32), words, tokens.second[first])], 1)
+    order = block_order(keys)
     spot = np.empty(len(keys), np.int64)
     spot[order] = np.arange(len(keys))
     where = spot[where]
-    both, times = np.unique(tokens.row * len(keys) + where, return_counts=True)
+    both = np.sort(tokens.row * len(keys) + where)
+    opens = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    both, times = both[opens], np.diff(opens, append=len(both))
     owner, position = both // len(keys), both % len(keys)
     bounds = np.searchsorted(owner, np.arange(block.rows + 1))
     times = times.astype(np.uint32)
@@ -304,45 +367,37 @@ def _score_here(packed: DataFrame, bits: DataFrame, n: int, v: int, fields: Stru
     return scored
 
 
+def _probed(tokens: Tokens) -> np.ndarray:
+    """The distinct keys that a block probes, ascending."""
+    keys = np.sort(np.concatenate([tokens.key, tokens.pairs(), [_START]]))
+    return keys[np.r_[True, keys[1:] != keys[:-1]]]
+
+
 def _score_dealt(packed: DataFrame, bits: DataFrame, segments: int, n: int, v: int, fields: StructType, schema: pa.Schema) -> DataFrame:
     """The probes of each block are dealt to the segments, and their levels come back to the block."""
     asked = StructType([fields["row"], *[StructField(name, kind) for name, kind in (
-        ("block", LongType()), ("text", packed.schema["text"].dataType), ("trains", BooleanType()), ("held_out", BooleanType()), ("keys", BinaryType()))]])
+        ("block", LongType()), ("text", packed.schema["text"].dataType), ("trains", BooleanType()), ("held_out", BooleanType()), ("part", IntegerType()), ("keys", BinaryType()))]])
     from pyspark.sql.pandas.types import to_arrow_schema
     asked_schema = to_arrow_schema(asked)
 
     def ask(batches):
         for batch in batches:
-            for block in chunks(batch.column(1), BLOCK):
+            for block in chunks(batch.column(1), DEALT_BLOCK):
                 name, many, none = new_block(), block.rows, pa.nulls
                 cut = lambda k: batch.column(k).slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([cut(0), pa.array([name] * many, pa.int64()), cut(1), cut(2), cut(3), none(many, pa.binary())], schema=asked_schema)
-                tokens = Tokens(block)
-                keys = np.unique(np.concatenate([tokens.key, tokens.pairs(), [_START]]))
-                yield pa.RecordBatch.from_arrays([none(1, asked_schema.field(0).type), pa.array([name], pa.int64()), none(1, pa.string()), none(1, pa.bool_()),
-                                                  none(1, pa.bool_()), pa.array([keys.tobytes()], pa.binary())], schema=asked_schema)
-
-    def deal(batches):
-        for batch in batches:
-            for block, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys = np.frombuffer(cell.as_buffer(), np.uint64)
-                bounds = np.searchsorted(segment_of(keys, segments), np.arange(segments + 1)).tolist()
-                some = [i for i in range(segments) if bounds[i] < bounds[i + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()),
-                                                  pa.array([to_bytes(keys[bounds[i]:bounds[i + 1]]) for i in some], pa.binary())], names=["block", "part", "keys"])
-
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
-        words = np.frombuffer(right.column("bits")[0].as_buffer(), np.uint64)
-        one, lists = Filter(words, np.array([0, len(words)])), [from_bytes(c.as_buffer()) for c in left.column("keys")]
-        levels = [one.levels(k, np.zeros(len(k), np.int64)).tobytes() for k in lists]
-        return pa.table({"block": left.column("block"), "part": left.column("part"), "keys": pa.nulls(left.num_rows, pa.binary()), "counts": pa.array(levels, pa.binary())})
+                yield pa.RecordBatch.from_arrays([cut(0), pa.array([name] * many, pa.int64()), cut(1), cut(2), cut(3), none(many, pa.int32()), none(many, pa.binary())],
+                                                 schema=asked_schema)
+                keys = _probed(Tokens(block))
+                bounds = segment_bounds(keys, segments)
+                some = np.flatnonzero(np.diff(bounds))
+                many = len(some)
+                yield pa.RecordBatch.from_arrays([
+                    none(many, asked_schema.field(0).type), pa.array([name] * many, pa.int64()), none(many, pa.string()), none(many, pa.bool_()), none(many, pa.bool_()),
+                    pa.array(some, pa.int32()), cells_of(sent(keys), np.r_[bounds[some], bounds[-1]])], schema=asked_schema)
 
     staged = skew.written(packed.mapInArrow(ask, asked), "probes")
-    dealt = staged.where("keys is not null").select("block", "keys").mapInArrow(deal, "block long, part int, keys binary")
-    answers = (dealt.groupBy("part").cogroup(bits.select("part", "bits").groupBy("part"))
-               .applyInArrow(probe, "block long, part int, keys binary, counts binary"))
+    answers = (staged.where("part is not null").select("block", "part", "keys").groupBy("part").cogroup(bits.select("part", "bits").groupBy("part"))
+               .applyInArrow(_probe, "block long, part int, keys binary, counts binary"))
 
     def finish(documents: pa.Table, found: bytes, _: bytes) -> pa.Table:
         documents = documents.combine_chunks()
@@ -352,12 +407,12 @@ def _score_dealt(packed: DataFrame, bits: DataFrame, segments: int, n: int, v: i
             trains = documents.column("trains").to_numpy()
             one = lambda name: documents.column(name).combine_chunks()
             tokens = Tokens(block)
-            keys = np.unique(np.concatenate([tokens.key, tokens.pairs(), [_START]]))
+            keys = _probed(tokens)
             levels = np.frombuffer(found, np.uint8)
-            out += _scored_block(block, one("row"), trains, one("held_out"), lambda k: levels[np.searchsorted(keys, k)], n, v, schema)
+            out += _scored_block(block, one("row"), trains, one("held_out"), lambda k: levels[np.searchsorted(keys, k)], n, v, schema, tokens)
         return pa.Table.from_batches(out, schema=schema)
 
-    return answer_blocks(staged.where("keys is null").drop("keys"), answers, fields, finish)
+    return answer_blocks(staged.where("part is null").drop("part", "keys"), answers, fields, finish)
 
 
 def _known_and_all(keys: np.ndarray, counts: np.ndarray) -> bytes:

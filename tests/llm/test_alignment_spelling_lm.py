@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablescope.llm import bloomlm, piecewise, registry, spelling, tokenalign, tokencounts
+from tablescope.llm import blockcount, bloomlm, piecewise, registry, spelling, textkernel, tokenalign, tokencounts
 
 SF = "/root/testdata/sf0.001"
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -227,6 +229,44 @@ def test_filter_never_misses_and_seldom_invents():
     assert (bloomlm.least_count(right) <= counts[::2]).all() and (bloomlm.most_count(right) >= counts[::2]).all()
 
 
+def test_counts_of_small_blocks_are_dealt_together():
+    """A segment gets one piece of many blocks, not one of each, with the same counts."""
+    texts = [[f"the w{i % 900} the w{i % 7} x{i}" for i in range(k, 200_000, 5)] for k in range(5)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t)], names=["text"]) for t in texts]
+    segments = 40
+    made = pa.Table.from_batches(bloomlm._grams(segments)(batches))
+    blocks = [b for t in batches for b in textkernel.chunks(t.column(0), bloomlm.BLOCK)]
+    assert len(blocks) > 4 and made.num_rows <= 2 * segments
+    tokens = [bloomlm.Tokens(b) for b in blocks]
+    keys, counts = np.unique(np.concatenate([t.key for t in tokens]), return_counts=True)
+    assert counts.max() > 255
+    part = bloomlm.segment_of(keys, segments)
+    for i in range(segments):
+        one = bloomlm._build(made.filter(pc.equal(made.column("part"), i)))
+        assert one.column("words").to_pylist() == [int((part == i).sum())] and one.column("tokens").to_pylist() == [int(counts[part == i].sum())]
+        words = np.frombuffer(one.column("bits")[0].as_buffer(), np.uint64)
+        level = bloomlm.Filter(words, np.array([0, len(words)])).levels(keys[part == i])
+        right = bloomlm.level_of(counts[part == i])
+        assert (level >= right).all() and (level == right).mean() > 0.95
+
+
+def test_a_segment_answers_all_its_pieces_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 32, 30_000, dtype=np.uint64))
+    words = bloomlm.build_segment(keys, rng.geometric(0.3, len(keys)) ** 2)
+    bounds = np.r_[0, np.sort(rng.integers(0, len(keys), 499)), len(keys)]      # some pieces are empty
+    left = pa.table({"block": np.arange(500), "part": pa.array([3] * 500, pa.int32()), "keys": blockcount.cells_of(bloomlm.sent(keys), bounds)})
+    right = pa.table({"part": pa.array([3], pa.int32()), "bits": pa.array([words.tobytes()], pa.binary())})
+    levels, calls = bloomlm.Filter.levels, []
+    monkeypatch.setattr(bloomlm.Filter, "levels", lambda self, k, *more: calls.append(len(k)) or levels(self, k, *more))
+    monkeypatch.setattr(bloomlm, "PROBE_KEYS", 10_000)
+    got = bloomlm._probe(pa.concat_tables([left.slice(0, 200), left.slice(200)]), right)
+    assert len(calls) <= 3 and sum(calls) == len(keys)
+    one = bloomlm.Filter(words, np.array([0, len(words)]))
+    assert got.column("counts").to_pylist() == [levels(one, keys[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got.column("block").to_pylist() == list(range(500)) and set(got.column("part").to_pylist()) == {3}
+
+
 # ---- rollups and the pipeline's clashes
 
 def test_rollup_ids_are_no_path_patterns_and_compaction_survives(spark):
